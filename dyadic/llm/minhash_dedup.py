@@ -12,11 +12,13 @@ keeps its first point. Two documents agree in a register with a probability equa
 weighted Jaccard similarity.
 
 Plan: equal multisets collapse by a 128-bit sum before anything is compared, so that a group of
-exact copies costs one row. Buckets of bands are worked off round by round: each bucket's least
-member (hub) is compared with all other members that aren't in its component yet, then leaves the
-bucket. A bucket ends when its members are in one component, so that no linked pair of a bucket
-ends up in two classes, a group of copies costs a star instead of all pairs, and nothing is
-capped. Pairs are verified exactly on the shingles themselves.
+exact copies costs one row. Texts that share a band, directly or through others, form a candidate group (a
+connected component over buckets, each a star). Groups are compared exactly on their shingles, in
+blocks of bounded size: small groups share a block, a large one is dealt to blocks and
+every pair of its blocks is a task. A task finds all overlaps of its rows with one product of 0/1
+matrices (the j-th occurrence of a shingle is an element of its own, so that the product counts
+multiset overlaps) and gives off the links that connect its rows, fewer than it has rows. No list of pairs
+exists anywhere, no link between different texts is lost, and nothing is capped.
 
 Cases: null or empty texts have no shingle and form a class of their own; so do rows with a null
 doc_id, whose class_id is null. Repeated rows give repeated results. An empty table gives none.
@@ -41,6 +43,8 @@ from .graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of ROWS registers; a pair of similarity 0.8 shares no band with a probability of 0.0002.
 BANDS, ROWS = 16, 4
+#: Rows and shingles of a block of a candidate group.
+BLOCK_ROWS, BLOCK_ENTRIES = 512, 256_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,13 +175,13 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp binary, n long, bands array<long>")
 
 
-def _shingled(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _shingled(docs: DataFrame, wanted) -> DataFrame:
     """fp, hashes, counts (packed, ascending by hash) of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(in_filter(wanted, mix(ids.astype(np.int64).view(np.uint64)))))
+            batch = batch.filter(pa.array(in_filter(wanted.value, mix(ids.astype(np.int64).view(np.uint64)))))
             for rows, data, bounds in text_slices(batch):
                 texts = rows.num_rows
                 h, doc = shingles(data, bounds)
@@ -193,25 +197,91 @@ def _shingled(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "fp binary, hashes binary, counts binary")
 
 
-def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> tuple[int, int]:
-    """Sums of least and of greatest counts of two packed multisets."""
-    c1, c2 = np.frombuffer(c1, np.uint32).astype(np.int64), np.frombuffer(c2, np.uint32).astype(np.int64)
-    _, i, j = np.intersect1d(np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint64), assume_unique=True, return_indices=True)
-    least = int(np.minimum(c1[i], c2[j]).sum())
-    return least, int(c1.sum() + c2.sum()) - least
+def linked(overlap: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Whether overlaps of multisets of n1 and n2 elements make a similarity of SIMILARITY."""
+    return overlap >= (n1 + n2) * SIMILARITY / (1 + SIMILARITY) - 1e-9
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(k) for k in range(2, 6)]
-            ok = []
-            for k in range(batch.num_rows):
-                least, most = overlap(*(c[k].as_py() for c in cols))
-                ok.append(least * 5 >= most * 4 if SIMILARITY == 0.8 else least >= SIMILARITY * most)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _overlaps(hashes: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """Multiset overlaps of all rows with all rows."""
+    rows = len(hashes)
+    row = np.repeat(np.arange(rows), [int(c.sum()) for c in counts])
+    flat, times = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        element = np.where(turn > 0, mix(np.repeat(flat, times) + turn.astype(np.uint64) * _G), np.repeat(flat, times))
+    _, place, df = np.unique(element, return_inverse=True, return_counts=True)
+    shared = df > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[place]
+    row, column = row[keep], column[place[keep]]
+    out = np.zeros((rows, rows), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = max(1, (8 << 20) // rows)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        i, j = np.searchsorted(column, (low, low + wide))
+        part = np.zeros((rows, min(wide, int(column[-1]) + 1 - low)), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        out += part @ part.T
+    return out
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+
+def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links (from a symmetric matrix) of a forest that connects what they connect."""
+    left, out = np.ones(len(links), bool), []
+    for start in range(len(links)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(links[k] & left)
+            left[new] = False
+            out += [(k, int(j)) for j in new]
+            todo += new.tolist()
+    return out
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """a, b: links that connect the rows of each group, or for two blocks of a group, those from one to the other."""
+    table = table.sort_by("comp")
+    fps, blocks = table.column("fp").to_pylist(), table.column("block").to_numpy()
+    comps = table.column("comp").to_pylist()
+    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
+    n = np.array([int(c.sum()) for c in counts])
+    out: list[tuple] = []
+    first = 0
+    while first < len(fps):
+        last = first
+        while last < len(fps) and comps[last] == comps[first]:
+            last += 1
+        if last - first > 1:
+            at = slice(first, last)
+            good = linked(_overlaps(hashes[at], counts[at]), n[at][:, None], n[at][None, :])
+            if len(set(blocks[at].tolist())) > 1:
+                good &= blocks[at][:, None] != blocks[at][None, :]
+            np.fill_diagonal(good, False)
+            out += [(fps[first + i], fps[first + j]) for i, j in _spanning(good)]
+        first = last
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def _verified(packed: DataFrame) -> DataFrame:
+    """Links of (comp, fp, n, hashes, counts): within each candidate group, exactly."""
+    sizes = packed.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_ENTRIES)).cast("int")
+    total = sizes.agg(F.sum("rows"), F.sum("entries")).first()
+    bundles = max(1, (total[0] or 0) // (BLOCK_ROWS // 2) + 1, (total[1] or 0) // (BLOCK_ENTRIES // 2) + 1)
+    dealt = packed.join(sizes.select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    wide = dealt.select("*", other).select(
+        "comp", "fp", "hashes", "counts", "block",
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other"))).alias("task"),
+    )
+    return wide.groupBy("task").applyInArrow(_links, "a binary, b binary")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,49 +291,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows, _ = written(signed(docs), "signatures")
     known = rows.where("fp is not null and doc_id is not null")
     reps = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = reps.select("fp", "n", F.explode("bands").alias("bucket"))
+    members = reps.select("fp", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min("fp").alias("hub")).where("k > 1").select("bucket", "hub")
-    active, active_path = written(members.join(shared, "bucket").select("bucket", "fp", "n", "hub"), "buckets")
-
-    compared = active.select("fp").distinct().join(reps.select("fp", "doc_id"), "fp").select("fp", F.col("doc_id"))
-    compared, compared_path = written(compared, "compared")
-    packed_ids = compared.mapInArrow(_mixed_ids, "key long")
-    wanted = key_filter(packed_ids, "key")
-    packed, packed_path = written(
-        _shingled(docs, wanted).join(compared.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "shingles"
-    )
-    edges: DataFrame | None = None
-    used: list[str] = [compared_path, packed_path]
-    roots, roots_path = None, None
-    while True:
-        if roots is None:
-            todo = active.where("fp != hub").select("fp", "hub").distinct()
-        else:
-            todo = active.where("fp != hub and root != hub_root").select("fp", "hub").distinct()
-        left = packed.select("fp", F.col("hashes").alias("h1"), F.col("counts").alias("c1"))
-        right = packed.select(F.col("fp").alias("hub"), F.col("hashes").alias("h2"), F.col("counts").alias("c2"))
-        pairs = todo.join(left, "fp").join(right, "hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"), "h1", "c1", "h2", "c2")
-        new, path = written(_verified(pairs), "links")
-        used.append(path)
-        edges = new if edges is None else edges.unionByName(new)
-        if roots_path:
-            used.append(roots_path)
-        roots, roots_path = components(edges)
-        # Hubs have been compared with everyone in their bucket: they leave it.
-        rest = active.where("fp != hub").select("bucket", "fp", "n")
-        rest = rest.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        hubs = (
-            rest.groupBy("bucket")
-            .agg(F.min(F.struct("fp", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-            .where("low != high")
-            .select("bucket", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root"))
-        )
-        old_path = active_path
-        active, active_path = written(rest.join(hubs, "bucket"), "buckets")
-        remove(spark, old_path)
-        if active.isEmpty():
-            break
-    remove(spark, active_path, *used)
+    stars = members.join(shared, "bucket").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    groups, groups_path = components(stars)
+    groups = groups.select(F.col("v").alias("fp"), F.col("root").alias("comp"))
+    groups = groups.unionByName(groups.select(F.col("comp").alias("fp"), "comp").distinct())
+    compared, compared_path = written(groups.join(reps.select("fp", "n", "doc_id"), "fp").select("fp", "doc_id", "n", "comp"), "compared")
+    remove(spark, groups_path)
+    wanted = spark.sparkContext.broadcast(key_filter(compared.select("fp", "doc_id").mapInArrow(_mixed_ids, "key long"), "key"))
+    packed = _shingled(docs, wanted).join(compared.select("fp", "n", "comp"), "fp").dropDuplicates(["fp"])
+    packed, packed_path = written(packed, "shingles")
+    edges, edges_path = written(_verified(packed), "links")
+    remove(spark, compared_path, packed_path)
+    roots, _ = components(edges)
+    remove(spark, edges_path)
     rooted = rows.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select(
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "fp")).alias("root")
     )
