@@ -1,0 +1 @@
+"""Analytics for dyadic and hierarchical data on Spark DataFrames."""
