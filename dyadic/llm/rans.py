@@ -17,7 +17,6 @@ other. A file of an empty table has no blocks. Other columns are never read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,34 +27,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import id_text, remove, scratch_path, text_slices, written
-from .wordcache import ChunkCache
+from .wordcache import ChunkCache, ragged
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-SCALE, LANES, BLOCK, STEP = 20, 512, 1 << 18, 1 << 16
+SCALE, LANES, BLOCK, STEP = 20, 2048, 1 << 20, 1 << 18
 _LOW = np.uint64(1 << 31)  # least state
 _MAGIC = b"RNS1"
 
 
 # --- tokens -------------------------------------------------------------------------------------
 
-#: Chunks: white space and letters up to an ASCII character that is none, or white space and what follows it. Texts with any other white space are encoded whole.
-_CHUNK = re.compile(r"[ \n\r\t]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|$)|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+_b = np.arange(256)
+_WHITE = np.isin(_b, [0x20, 0x0A, 0x0D, 0x09])
+_LETTER = ((_b | 32) >= 97) & ((_b | 32) <= 122)
+#: ASCII characters that are neither letters nor white space.
+_OTHER = (_b < 128) & ~_LETTER & ~_WHITE
+_CONTROL = np.isin(_b, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F])
+
+
+def _rare(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than space, line feed, carriage return and tab (and of some characters that only look like it)."""
+    rare = _CONTROL[data]
+    if len(data) > 2 and (data >= 0x80).any():
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        odd = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | (b == 0x81))
+        odd |= ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB))
+        rare[:-2] |= odd
+    if len(data) > 1:
+        rare[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    return np.flatnonzero(rare)
+
+
+def _chunks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Starts of chunks: where white space follows something else, and where an ASCII non-letter follows a letter."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    if len(data) > 1:
+        white = _WHITE[data]
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:-1] |= (white[1:] & ~white[:-1]) | (letter[:-1] & _OTHER[data[1:]])
+    return np.flatnonzero(cut[:-1])
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer splits before any white space that follows something else, and between a letter and what isn't one, so chunks cut there are encoded apart and remembered.
 
-    Unknown chunks are encoded as one text; ids' lengths in bytes tell where each chunk ends.
+    Unknown chunks are encoded as one text; ids' lengths in bytes tell where each chunk ends. Texts with rare white space or an added token are encoded whole.
     """
 
+    _made: dict = {}
+
     def __init__(self, tokenizer: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer or public_tokenizers.path(TOKENIZER))
         own = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = [t.encode() for t in own]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, k in vocabulary.items():
@@ -63,38 +94,66 @@ class Encoder:
             self.bytes[k] = len(piece.encode()) if piece in own else len(piece)
         self.cache = ChunkCache(self._encode)
 
+    @classmethod
+    def shared(cls, tokenizer: str | None = None) -> Encoder:
+        """One encoder for all tasks that a Python worker runs, so that what it remembers serves them all."""
+        if tokenizer not in cls._made:
+            cls._made[tokenizer] = cls(tokenizer)
+        return cls._made[tokenizer]
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A chunk that starts without white space can't follow another one; nor can anything follow a chunk of white space alone.
-        joined = [c[0] in " \n\r\t" and c[-1] not in " \n\r\t" for c in new]
-        ids = self._ids("".join([c for c, j in zip(new, joined) if j])) if any(joined) else np.zeros(0, np.uint32)
-        ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c, j in zip(new, joined) if j])
-        cut = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right").astype(np.int64)
-        lengths = np.zeros(len(new), np.int64)
-        lengths[joined] = np.diff(np.r_[0, cut])
-        if all(joined):
-            return ids, lengths
+        joined = _WHITE[data[start]] & ~_WHITE[data[end - 1]]
+        n = np.zeros(len(start), np.int64)
+        size = (end - start)[joined]
+        ids = self._ids(ragged(data, start[joined], size).tobytes().decode()) if len(size) else np.zeros(0, np.uint32)
+        cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size), "right")
+        n[joined] = np.diff(np.r_[0, cut])
+        if joined.all():
+            return ids, n
         parts, at = [], 0
-        for k, (c, j) in enumerate(zip(new, joined)):
-            if j:
-                parts.append(ids[at : at + lengths[k]])
-                at += lengths[k]
+        for k in range(len(start)):
+            if joined[k]:
+                parts.append(ids[at : at + n[k]])
+                at += n[k]
             else:
-                parts.append(self._ids(c))
-                lengths[k] = len(parts[-1])
-        return np.concatenate(parts), lengths
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        rare = [bool(_RARE.search(t)) for t in texts]
-        chunks = [[] if r else _CHUNK.findall(t) for t, r in zip(texts, rare)]
-        ids, n = self.cache.ids([c for own in chunks for c in own])
-        ends = np.r_[0, np.cumsum(n)][np.cumsum([len(own) for own in chunks])]
-        out = np.split(ids, ends[:-1])
-        for k in np.flatnonzero(rare):
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        return out
+                parts.append(self._ids(data[start[k] : end[k]].tobytes().decode()))
+                n[k] = len(parts[-1])
+        return np.concatenate(parts), n
+
+    def _added_in(self, data: np.ndarray) -> np.ndarray:
+        """Places where an added token starts."""
+        out, raw = [], data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return np.array(out, np.int64)
+
+    def slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that data holds, joined, and each text's number of them."""
+        start = _chunks(data, bounds)
+        end = np.r_[start[1:], len(data)].astype(np.int64)
+        rare = np.unique(np.searchsorted(bounds, np.r_[_rare(data), self._added_in(data)], "right") - 1)
+        first = np.searchsorted(start, bounds)
+        if len(rare):
+            odd = np.zeros(len(bounds) - 1, bool)
+            odd[rare] = True
+            keep = ~odd[np.searchsorted(bounds, start, "right") - 1]
+            start, end = start[keep], end[keep]
+            first = np.searchsorted(start, bounds)
+        ids, n = self.cache.ids(textvec.hashes(data, start, end), data, start, end) if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ends = np.r_[0, np.cumsum(n)][first]
+        if not len(rare):
+            return ids, np.diff(ends)
+        parts = [ids[i:j] for i, j in zip(ends, ends[1:])]
+        for k in rare:
+            parts[k] = self._ids(data[bounds[k] : bounds[k + 1]].tobytes().decode())
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 _RAW = "part int, seq int, doc_ids array<long>, lengths array<long>, before long, n long, ids binary"
@@ -106,27 +165,28 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     """Blocks of whole documents in ascending order of ids, each text with the end id after it. ids: little-endian, 16 bits each if all are below 2^16, else 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer), np.array([end_id], np.uint32)
+        encoder = Encoder.shared(tokenizer)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids, own, n = [], [], 0
+        doc_ids, lengths, own, n = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal seq, before, doc_ids, own, n
+            nonlocal seq, before, doc_ids, lengths, own, n
             ids = np.concatenate(own)
             packed = (b"\x02" + ids.astype("<u2").tobytes()) if ids.max() < 1 << 16 else (b"\x04" + ids.astype("<u4").tobytes())
-            row = (part, seq, doc_ids, [len(x) for x in own], before, n, packed)
-            seq, before, doc_ids, own, n = seq + 1, before + n, [], [], 0
+            row = (part, seq, pa.concat_arrays(doc_ids).to_pylist(), np.concatenate(lengths), before, n, packed)
+            seq, before, doc_ids, lengths, own, n = seq + 1, before + n, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, _RAW_TYPES)], _RAW_NAMES)
 
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                coded = encode([t or "" for t in rows.column(1).to_pylist()])
-                for key, x in zip(rows.column(0).to_pylist(), coded):
-                    doc_ids.append(key)
-                    own.append(np.concatenate([x, end]))
-                    n += len(own[-1])
-                    if n >= BLOCK:
-                        yield block()
+            for rows, data, bounds in text_slices(batch):
+                ids, size = encoder.slice(data, bounds)
+                # The end id goes behind each text.
+                own.append(np.insert(ids, np.cumsum(size), end_id))
+                doc_ids.append(rows.column(0))
+                lengths.append(size + 1)
+                n += len(own[-1])
+                if n >= BLOCK:
+                    yield block()
         if doc_ids:
             yield block()
 
@@ -188,7 +248,7 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
-        lanes = int(min(LANES, max(1, n // 64)))
+        lanes = int(min(LANES, max(1, n // 256)))
         symbols = self.place[ids]
         x = np.full(lanes, _LOW, np.uint64)
         words, marks, count = [], [], 0
@@ -203,7 +263,8 @@ class Coder:
                 words.append(own[full].astype(np.uint32))
                 count += len(words[-1])
                 own = np.where(full, own >> np.uint64(32), own)
-            x[: len(s)] = ((own // f) << self.scale) + own % f + self.low[s]
+            q = own // f
+            x[: len(s)] = (q << self.scale) + (own - q * f) + self.low[s]
             if k and k % every == 0:
                 marks.append((k, count, x.copy()))
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)

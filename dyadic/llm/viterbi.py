@@ -18,7 +18,6 @@ none. Other columns are never read.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import id_text, text_slices
 from .wordcache import ChunkCache, ragged
 
@@ -35,7 +35,6 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 _BASE = 0x9E3779B97F4A7C15
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bits of hashes that a table answers before keys are searched, and their multiplier.
 _BITS, _SPREAD = 20, np.uint64(0xD6E8FEB86659FD93)
 #: Characters of text that are encoded together, so that lengths have many words.
@@ -116,7 +115,7 @@ class Encoder:
         self.byte_ids = np.full(256, int(np.flatnonzero(model.kinds == _UNKNOWN)[0]))
         for k in np.flatnonzero(model.kinds == _BYTE):
             self.byte_ids[int(model.pieces[k][3:5], 16)] = k
-        self.cache = ChunkCache(self.encode_words)
+        self.cache = ChunkCache(self.encode_words, np.int32)
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -129,8 +128,9 @@ class Encoder:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h * _SPREAD >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, joined, and how many each has."""
+    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (ranges of UTF-8 bytes, with spaces), joined, and how many each has."""
+        words = [data[s:e].tobytes().decode().replace(" ", MARK) for s, e in zip(start, end)]
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
@@ -192,17 +192,26 @@ class Encoder:
             parts[k] = np.array(own, np.int32)
         return parts
 
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return _WORD.findall((MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK))
+    def slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that data holds, joined, and each text's number of them."""
+        if self.model.dummy_prefix:
+            full = np.diff(bounds) > 0
+            data = np.insert(data, bounds[:-1][full], 0x20)
+            bounds = bounds + np.r_[0, np.cumsum(full)]
+        space = data == 0x20
+        cut = np.zeros(len(data) + 1, bool)
+        cut[bounds] = True
+        cut[1:-1] |= space[1:] & ~space[:-1]
+        start = np.flatnonzero(cut[:-1])
+        end = np.r_[start[1:], len(data)].astype(np.int64)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
+        ids, n = self.cache.ids(textvec.hashes(data, start, end), data, start, end)
+        return ids, np.diff(np.r_[0, np.cumsum(n)][np.searchsorted(start, bounds)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has."""
-        split = [self.words(t) for t in texts]
-        ids, length = self.cache.ids([w for s in split for w in s])
-        ends = np.r_[0, np.cumsum(length)]
-        return ids, np.diff(ends[np.r_[0, np.cumsum([len(s) for s in split])].astype(np.int64)])
+        own = [t.encode() for t in texts]
+        return self.slice(np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64))
 
 
 class Decoder:
@@ -218,19 +227,30 @@ class Decoder:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+_made: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def shared(path: str) -> tuple[Encoder, Decoder]:
+    """One coder for all tasks that a Python worker runs, so that what it remembers serves them all."""
+    if path not in _made:
+        model = Model.load(path)
+        _made[path] = Encoder(model), Decoder(model)
+    return _made[path]
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """doc_id, ids, n_ids, n_byte_ids, decoded_chars, exact (the ids decode to the text): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        loaded = Model.load(model or public_tokenizers.path(MODEL))
-        encode, decode = Encoder(loaded), Decoder(loaded)
+        encode, decode = shared(model or public_tokenizers.path(MODEL))
+        loaded = encode.model
         byte = loaded.kinds == _BYTE
         for batch in batches:
-            for part, _, _ in text_slices(batch, most=TOGETHER):
+            for part, data, bounds in text_slices(batch, most=TOGETHER):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, n = encode(texts)
+                ids, n = encode.slice(data, bounds)
                 ends = np.cumsum(n)
                 decoded = [decode(x) for x in np.split(ids, ends[:-1])]
                 bytes_before = np.r_[0, np.cumsum(byte[ids])]

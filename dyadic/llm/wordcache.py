@@ -1,4 +1,4 @@
-"""Ids of repeated chunks of text, looked up in flat numpy arrays."""
+"""Ids of repeated chunks of text, found by their hashes in flat numpy arrays."""
 
 from __future__ import annotations
 
@@ -6,59 +6,57 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a cache keeps; beyond that it starts anew, so memory stays bounded.
-LIMIT = 200_000
-#: Longer chunks are encoded each time.
-LONGEST = 48
+#: Bits of the number of slots; a slot holds the chunk that was put there last.
+SLOTS = 20
+#: Ids that a cache stores before it starts anew, so memory stays bounded.
+STORED = 6_000_000
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[start[k] : start[k] + length[k]] for all k, joined."""
-    total = int(length.sum())
-    shift = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]] if len(length) else start, length)
-    return flat[np.arange(total) + shift]
+    if not len(length):
+        return flat[:0]
+    shift = np.repeat(start - (np.cumsum(length) - length), length)
+    return flat[np.arange(len(shift)) + shift]
 
 
 class ChunkCache:
-    """encode: list of distinct chunks -> their ids, joined, and how many each has."""
-
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint32):
-        self.encode, self.dtype = encode, dtype
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = self.n = 0
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
-
-    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and each chunk's number of them."""
-        if self.n > LIMIT:
-            self._clear()
-        get = self.at.get
-        place = list(map(get, chunks))
-        if None in place:
-            new = list(dict.fromkeys(c for c, k in zip(chunks, place) if k is None))
-            self._add(new)
-            place = list(map(get, chunks))
-            for c in [c for c in new if len(c) > LONGEST]:
-                del self.at[c]
-        place = np.array(place, np.int64)
-        length = self.length[place]
-        return ragged(self.flat, self.start[place], length), length
-
-    def _add(self, new: list[str]) -> None:
-        flat, lengths = self.encode(new)
-        n = self.n
-        while n + len(new) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), len(self.flat)), self.dtype)])
-        self.start[n : n + len(new)] = self.used + np.r_[0, np.cumsum(lengths)[:-1]]
-        self.length[n : n + len(new)] = lengths
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.at.update(zip(new, range(n, n + len(new))))
-        self.n = n + len(new)
+    """encode(data, start, end): distinct ranges of bytes -> their ids, joined, and how many each has."""
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype=np.uint32):
+        self.encode = encode
+        self.keys = np.zeros(1 << SLOTS, np.uint64)
+        self.start = np.zeros(1 << SLOTS, np.int64)
+        self.length = np.zeros(1 << SLOTS, np.int64)
+        self.flat = np.zeros(1 << 20, dtype)
+        self.used = 0
+
+    def ids(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks (ranges of data with hashes h) in order, and each chunk's number of them."""
+        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at, length = self.start[slot], self.length[slot]
+        missed = np.flatnonzero(self.keys[slot] != h)
+        if len(missed):
+            new, first, place = np.unique(h[missed], return_index=True, return_inverse=True)
+            one = missed[first]
+            ids, n = self.encode(data, start[one], end[one])
+            base = self._store(ids)
+            begin = base + np.cumsum(n) - n
+            at[missed], length[missed] = begin[place], n[place]
+            out = ragged(self.flat, at, length)
+            if self.used > STORED:
+                self.keys[:] = 0
+                self.used = 0
+            else:
+                slot = (new >> np.uint64(64 - SLOTS)).astype(np.int64)
+                self.keys[slot], self.start[slot], self.length[slot] = new, begin, n
+            return out, length
+        return ragged(self.flat, at, length), length
+
+    def _store(self, ids: np.ndarray) -> int:
+        base = self.used
+        if base + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:base], np.zeros(max(len(ids), len(self.flat)), self.flat.dtype)])
+        self.flat[base : base + len(ids)] = ids
+        self.used += len(ids)
+        return base
