@@ -31,7 +31,7 @@ def moment_estimates(sums: DataFrame) -> DataFrame:
     pq = mean * (1 - mean)
     spread = (c("wpp") - c("w") * mean * mean) * (c("N") - 1) / c("N")
     noise = c("wn") - c("wwn") / c("w")
-    rho = (spread - pq * noise) / (pq * (c("w") - c("ww") / c("w") - noise))
+    rho = F.try_divide(spread - pq * noise, pq * (c("w") - c("ww") / c("w") - noise))
     rho = F.least(F.greatest(rho, F.lit(RHO_LEAST)), F.lit(RHO_MOST))
     return sums.withColumn("mean", mean).withColumn("size", 1 / rho - 1)
 

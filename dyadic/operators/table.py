@@ -95,9 +95,9 @@ def normalize_by(df: DataFrame, by: list[str], column: str, out: str) -> DataFra
 def smooth_ratio(df: DataFrame, x: str, y: str, size: float, mean: float | None = None, out: str = "ratio") -> DataFrame:
     """(x + m size) / (y + size) with m the overall ratio unless given."""
     if mean is not None:
-        return df.withColumn(out, (F.col(x) + mean * size) / (F.col(y) + size))
-    m = df.agg((F.sum(x) / F.sum(y)).alias("__m"))
-    return df.crossJoin(F.broadcast(m)).withColumn(out, (F.col(x) + F.col("__m") * size) / (F.col(y) + size)).drop("__m")
+        return df.withColumn(out, F.try_divide(F.col(x) + mean * size, F.col(y) + size))
+    m = df.agg(F.try_divide(F.sum(x), F.sum(y)).alias("__m"))
+    return df.crossJoin(F.broadcast(m)).withColumn(out, F.try_divide(F.col(x) + F.col("__m") * size, F.col(y) + size)).drop("__m")
 
 
 # Scores of editorial labels, and labels that are left out.
