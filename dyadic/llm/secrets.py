@@ -109,7 +109,8 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 def _spans(text: Column, pattern: str, kind: str, found: Column, good) -> Column:
     """Array of (start, rank, end, kind) of a kind's matches for which good(match, value) holds."""
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    # The end of the text is a match as well (without a hit): else each place behind the last hit would be tried to the end.
+    whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     take = lambda k: F.regexp_extract_all(text, whole, F.lit(k))
     has_value = kind == "assign"
     parts = F.arrays_zip(take(1).alias("gap"), take(2).alias("hit"), take(3 if has_value else 2).alias("value"))
@@ -120,7 +121,7 @@ def _spans(text: Column, pattern: str, kind: str, found: Column, good) -> Column
         start = a["at"] + F.length(x["gap"])
         return F.struct(
             (start + F.length(x["hit"])).alias("at"),
-            F.when(good(x["hit"], x["value"]), F.concat(a["out"], F.array(span(start, x["hit"])))).otherwise(a["out"]).alias("out"),
+            F.when((x["hit"] != "") & good(x["hit"], x["value"]), F.concat(a["out"], F.array(span(start, x["hit"])))).otherwise(a["out"]).alias("out"),
         )
 
     made = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
