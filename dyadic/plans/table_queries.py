@@ -113,10 +113,10 @@ def subset_info(spark: Spark, d: str) -> DataFrame:
     return E.subset_info(obs(spark, d), "src_id", "src_context").groupBy("context").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_linenumber AS k, o_custkey AS \"group\", round(sum(l_quantity * o_totalprice / 1000), 2) + 0.0 AS sum FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("SELECT l_linenumber AS k, o_custkey AS \"group\", round(sum(l_quantity * o_totalprice / 997.0), 2) + 0.0 AS sum FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def select_group_sum(spark: Spark, d: str) -> DataFrame:
     cells = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("k"), F.col("l_orderkey").alias("j"), F.col("l_quantity").alias("value"))
-    picks = read(spark, d, "orders").select(F.col("o_orderkey").alias("j"), F.col("o_custkey").alias("group"), (F.col("o_totalprice") / 1000).alias("weight"))
+    picks = read(spark, d, "orders").select(F.col("o_orderkey").alias("j"), F.col("o_custkey").alias("group"), (F.col("o_totalprice") / 997.0).alias("weight"))
     return round_all(E.select_group_sum(cells, picks), 2)
 
 
@@ -259,9 +259,9 @@ def decile_bins(spark: Spark, d: str) -> DataFrame:
     return T.decile_bins(read(spark, d, "orders"), "o_totalprice", "o_orderkey").select("bin", "o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey), 6) + 0.0 AS l_quantity FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey), 10) + 0.0 AS l_quantity FROM lineitem")
 def centred(spark: Spark, d: str) -> DataFrame:
-    return round_all(T.centred(read(spark, d, "lineitem"), "l_quantity", ["l_suppkey"]).select("l_orderkey", "l_linenumber", "l_quantity"))
+    return round_all(T.centred(read(spark, d, "lineitem"), "l_quantity", ["l_suppkey"]).select("l_orderkey", "l_linenumber", "l_quantity"), 10)
 
 
 @query("SELECT l_suppkey, round(avg(l_quantity), 6) + 0.0 AS mean, round(var_samp(l_quantity), 4) + 0.0 AS var, round(covar_pop(l_quantity, l_discount), 6) + 0.0 AS cov FROM lineitem GROUP BY 1")
