@@ -293,9 +293,10 @@ class Coder:
         """Ids from a checkpoint to the next one; sections can be decoded in any order and place."""
         n, lanes, _, points, words = self._open(block)
         last = points[number + 1][0] if number + 1 < len(points) else -(-n // lanes)
-        return self._decode(n, lanes, points[number], last, words)
+        return self._decode(n, lanes, points[number], last, words)[0]
 
-    def _decode(self, n: int, lanes: int, point: tuple, last: int, words: np.ndarray) -> np.ndarray:
+    def _decode(self, n: int, lanes: int, point: tuple, last: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the steps from a checkpoint up to `last`, and the states after them."""
         step, at, x = point[0], point[1], point[2].copy()
         out = np.empty(min(n, last * lanes) - step * lanes, np.uint32)
         mask = np.uint64((1 << int(self.scale)) - 1)
@@ -309,16 +310,17 @@ class Coder:
             own = self.freq[s] * (own >> self.scale) + slot - self.low[s]
             short = np.flatnonzero(own < _LOW)
             if len(short):
-                # Encoding ran backwards within a step's words as well, but put lanes in order.
+                # Within a step, words are in the order of their lanes.
                 own[short] = (own[short] << np.uint64(32)) | words[at : at + len(short)]
                 at += len(short)
             x[: len(own)] = own
-        return self.ids[out]
+        return self.ids[out], x
 
     def decode(self, block: bytes) -> np.ndarray:
         n, lanes, crc, points, words = self._open(block)
-        ids = self._decode(n, lanes, points[0], -(-n // lanes), words)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        ids, states = self._decode(n, lanes, points[0], -(-n // lanes), words)
+        # A whole block ends in the states that its encoding started from.
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc or (states != _LOW).any():
             raise ValueError("checksum of a block of token ids doesn't match")
         return ids
 
