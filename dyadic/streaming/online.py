@@ -37,7 +37,7 @@ class State:
         return pred
 
     def pack(self) -> list[float]:
-        return [*self.lam.ravel(), *self.eta, *self.beta, *self.floor, float(self.batch), float(self.seen)]
+        return [float(x) for x in (*self.lam.ravel(), *self.eta, *self.beta, *self.floor, self.batch, self.seen)]
 
     @classmethod
     def unpack(cls, v: list[float], k: int) -> State:
