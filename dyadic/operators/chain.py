@@ -1,0 +1,166 @@
+"""The factor model of `factor` as one sampling chain in one task, for data of a checked, bounded size.
+
+A chain visits every effect hundreds of times for each EM step; on data that fits a task, vectorised
+sweeps in memory take milliseconds where a distributed sweep takes a job for each effect. Beyond the bound, `fit`
+hands over to the distributed sweeps.
+"""
+
+from __future__ import annotations
+
+from dataclasses import asdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from . import factor
+
+#: Rows up to which one task holds the chain (some 100 bytes each).
+MOST_ROWS = 5_000_000
+
+
+class Chain:
+    """Observations as codes, factors as arrays; the order of a sweep is alpha, beta, gamma, u, v, w."""
+
+    def __init__(self, pdf: pd.DataFrame, setting: factor.Setting, effects: list[str], keys: dict[str, list[str]]):
+        self.s, self.rng = setting, np.random.default_rng(setting.seed)
+        # One order of rows whatever the partitioning.
+        pdf = pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
+        self.y, self.effects, self.code, self.ids = pdf["y"].to_numpy(float), effects, {}, {}
+        for name in effects:
+            group = pdf.groupby(keys[name], sort=True, dropna=False)
+            self.code[name] = group.ngroup().to_numpy()
+            self.ids[name] = group.first().reset_index()[keys[name]]
+        k = setting.n_factors
+        self.f = {n: np.zeros(len(self.ids[n])) if not factor.EFFECTS[n][1] else (n == "w") + 0.3 * self.rng.standard_normal((len(self.ids[n]), k)) for n in effects}
+        self.var = {n: 1.0 for n in effects}
+        self.b, self.var_y = float(self.y.mean()), max(float(self.y.var()), 1e-6)
+        self.vectors = [n for n in effects if factor.EFFECTS[n][1]]
+        self.mains = [n for n in effects if n not in self.vectors]
+        self.own = {n: np.bincount(self.code[n], minlength=len(self.ids[n])) for n in effects}
+
+    def product(self, without: str | None = None) -> np.ndarray:
+        out = 1.0
+        for n in self.vectors:
+            if n != without:
+                out = out * self.f[n][self.code[n]]
+        return out
+
+    def main_sum(self) -> np.ndarray:
+        out = np.full(len(self.y), self.b)
+        for n in self.mains:
+            out += self.f[n][self.code[n]]
+        return out
+
+    def sweep(self) -> np.ndarray:
+        """Draw every effect once; the new scores."""
+        main = self.main_sum()
+        inter = self.product().sum(1) if len(self.vectors) > 1 else 0.0
+        for n in self.mains:
+            c = self.code[n]
+            rest = self.y - (main - self.f[n][c]) - inter
+            v = 1 / (self.own[n] / self.var_y + 1 / self.var[n])
+            new = v * np.bincount(c, rest, len(v)) / self.var_y + np.sqrt(v) * self.rng.standard_normal(len(v))
+            main += (new - self.f[n])[c]
+            self.f[n] = new
+        rest, k = self.y - main, self.s.n_factors
+        for n in self.vectors if len(self.vectors) > 1 else []:
+            c, x = self.code[n], self.product(n)
+            size = len(self.ids[n])
+            lam = np.empty((size, k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    lam[:, i, j] = lam[:, j, i] = np.bincount(c, x[:, i] * x[:, j], size) / self.var_y
+            lam[:, range(k), range(k)] += 1 / self.var[n]
+            low = np.linalg.cholesky(lam)
+            right = np.stack([np.bincount(c, rest * x[:, i], size) for i in range(k)], 1) / self.var_y
+            mean = np.linalg.solve(lam, right[..., None])[..., 0]
+            noise = np.linalg.solve(np.transpose(low, (0, 2, 1)), self.rng.standard_normal((size, k, 1)))[..., 0]
+            self.f[n] = mean + noise
+        return main + (self.product().sum(1) if len(self.vectors) > 1 else 0.0)
+
+    def iterate(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """An E-step by sampling and an M-step: posterior means and variances of all effects."""
+        first = {n: 0.0 for n in self.effects}
+        second = {n: 0.0 for n in self.effects}
+        score, square = 0.0, 0.0
+        for t in range(self.s.burn_in + self.s.samples):
+            new = self.sweep()
+            if t >= self.s.burn_in:
+                score, square = score + new, square + new * new
+                for n in self.effects:
+                    first[n], second[n] = first[n] + self.f[n], second[n] + self.f[n] ** 2
+        m = max(self.s.samples, 1)
+        score, spread = score / m, square / m - (score / m) ** 2
+        out = {}
+        for n in self.effects:
+            mean = first[n] / m
+            out[n] = mean, np.maximum(second[n] / m - mean**2, 0) * m / max(m - 1, 1)
+            if n not in ("u", "w"):
+                self.var[n] = max(float((second[n] / m).mean()), 1e-6)
+        e = self.y - (score - self.b)
+        self.b = float(e.mean())
+        self.var_y = max(float(e.var() + spread.mean()), 1e-6)
+        return out
+
+
+def _rows(chain: Chain, means: dict, history: list[tuple], keys: dict[str, list[str]]) -> pd.DataFrame:
+    rows = [("history", [str(i)], [loss], [0.0]) for i, loss in history]
+    rows.append(("params", [], [chain.b, chain.var_y], []))
+    rows += [("var", [n], [chain.var[n]], []) for n in chain.effects]
+    for n, (mean, var) in means.items():
+        ids = chain.ids[n].astype(str).to_numpy().tolist()
+        rows += [(n, i, np.atleast_1d(a).tolist(), np.atleast_1d(b).tolist()) for i, a, b in zip(ids, mean, var)]
+    return pd.DataFrame(rows, columns=["effect", "ids", "mean", "var"])
+
+
+def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None, iterations: int = 10, most_rows: int = MOST_ROWS) -> factor.Model:
+    """EM by sampling. setting.samples must be positive; logistic models, self-interactions and larger data are handed to factor.fit."""
+    n = train.limit(most_rows + 1).count()
+    effects = factor.present(train, setting)
+    if n > most_rows or setting.is_logistic or not setting.samples or ("v" in effects and "u" not in effects):
+        return factor.fit(train, setting, test, iterations)
+    keys = {e: factor.keys_of(e, train) for e in effects}
+    columns = sorted({c for v in keys.values() for c in v})
+
+    def run(batches):
+        pdf = pd.concat(list(batches))
+        if not len(pdf):
+            return
+        chain, history, means = Chain(pdf, setting, effects, keys), [], {}
+        for it in range(iterations):
+            means = chain.iterate()
+            fitted = np.full(len(chain.y), chain.b)
+            for e in chain.mains:
+                fitted += means[e][0][chain.code[e]]
+            if len(chain.vectors) > 1:
+                product = 1.0
+                for e in chain.vectors:
+                    product = product * means[e][0][chain.code[e]]
+                fitted += product.sum(1)
+            history.append((it + 1, float(np.sqrt(np.mean((chain.y - fitted) ** 2)))))
+        yield _rows(chain, means, history, keys)
+
+    out = factor.cut(train.select(*columns, "y").coalesce(1).mapInPandas(run, "effect string, ids array<string>, mean array<double>, var array<double>"))
+    kinds = dict(train.dtypes)
+    heads = {(r["effect"], tuple(r["ids"])): r["mean"] for r in out.where("effect in ('history', 'params', 'var')").collect()}
+    b, var_y = heads[("params", ())]
+    params = factor.Params(b=b, var_y=var_y)
+    for (kind, ids), value in heads.items():
+        if kind == "var":
+            setattr(params, f"var_{ids[0]}", value[0])
+    model = factor.Model(setting, params)
+    model.history = sorted(({"iteration": int(i[0]), "train_loss": v[0]} for (k, i), v in heads.items() if k == "history"), key=lambda r: r["iteration"])
+    for e in effects:
+        own = out.where(out.effect == e)
+        ids = [own["ids"][k].cast(kinds[c]).alias(c) for k, c in enumerate(keys[e])]
+        vector = factor.EFFECTS[e][1]
+        model.factors[e] = own.select(*ids, (own["mean"] if vector else own["mean"][0]).alias("mean"), (own["var"] if vector else own["var"][0]).alias("var"))
+    if test is not None and model.history:
+        model.history[-1]["test_loss"] = factor.loss(test, model)["loss"]
+    return model
+
+
+def settings_table(models: dict[str, factor.Model]) -> list[dict]:
+    """One row for each fitted setting, for a report."""
+    return [{**asdict(m.setting), **(m.history[-1] if m.history else {})} for m in models.values()]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import betabinom as B
+from ..operators import chain as K
 from ..operators import cube as U
 from ..operators import factor as X
 from ..operators import graph as G
@@ -96,6 +97,14 @@ def bst_fit(spark: Spark, d: str) -> DataFrame:
     return spark.createDataFrame([(r["iteration"], float(r["train_loss"])) for r in model.history], "iteration int, train_loss double")
 
 
+@query()
+def bst_chain(spark: Spark, d: str) -> DataFrame:
+    """Sampling EM in memory on one nation's customers, whose rows fit a task."""
+    c = read(spark, d, "customer").where("c_nationkey = 1").select(F.col("c_custkey").alias("src_id"))
+    model = K.fit(obs(spark, d).join(c, "src_id", "left_semi"), X.Setting(n_factors=2, samples=20, burn_in=5), iterations=2)
+    return spark.createDataFrame([(r["iteration"], float(r["train_loss"])) for r in model.history], "iteration int, train_loss double")
+
+
 @query()
 def bst_sampled(spark: Spark, d: str) -> DataFrame:
     model = X.fit(obs(spark, d), X.Setting(n_factors=0, samples=2, burn_in=1), iterations=1)

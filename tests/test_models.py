@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadic.operators import betabinom as B
+from dyadic.operators import chain as K
 from dyadic.operators import factor as X
 from dyadic.operators import graph as G
 from dyadic.operators import logistic as L
@@ -134,6 +135,17 @@ def test_factor_model_recovers_structure(spark):
     assert np.isfinite(X.complete_loglik(train, full))
 
 
+def test_chain_recovers_the_truth(spark):
+    """The settings of the stored runs: 203 x 203 nodes, about 10,000 rows, noise variance 0.1; stored test error 0.378 with two factors, 1.33 with one."""
+    data = sim.dyadic(spark, 10_003, seed=1).cache()
+    train, test = data.where("id % 4 > 0"), data.where("id % 4 = 0")
+    two = K.fit(train, X.Setting(n_factors=2, samples=100, burn_in=20), test, iterations=8)
+    one = K.fit(train, X.Setting(n_factors=1, samples=50, burn_in=10), test, iterations=4)
+    assert two.history[-1]["test_loss"] < 0.45 and one.history[-1]["test_loss"] > 1.0
+    assert abs(two.params.var_y - 0.1) < 0.02 and abs(two.params.var_alpha - 0.5) < 0.15
+    assert K.fit(train.limit(300), X.Setting(n_factors=0, samples=2), iterations=1, most_rows=100).history  # handed over
+
+
 def test_sampling_does_not_depend_on_partitioning(spark):
     data = sim.dyadic(spark, 600, nodes=12, contexts=(2, 2, 2), factors=1).select("src_id", "dst_id", "y")
     setting = X.Setting(n_factors=2, samples=2, burn_in=1, seed=5)
