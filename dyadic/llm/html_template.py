@@ -133,9 +133,10 @@ def parse(page: str) -> Page:
         path = f"{path}/{name}" + "".join(f".{w}" for w in sorted(words))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         head = name == "header" or ("header" in words and not words & ARTICLE_WORDS)
-        own = name in ("html", "body", "article", "main")
         apart = apart or name in APART or hidden or (head and not article) or attrs.get("role", "") in NOT_ARTICLE_ROLES
-        apart = apart or bool(words & NOT_ARTICLE) and not (own and name != "article")
+        # The whole page and the article itself may say what they contain; an article of comments only says that.
+        named = bool(words & NOT_ARTICLE) and not (name in ("html", "body", "main") or name == "article" and words & ARTICLE_WORDS)
+        apart = apart or named
         out.tokens.append(_hash(path))
         entry = (
             name, path, apart, article or name == "article", main or name == "main" or attrs.get("role") == "main",

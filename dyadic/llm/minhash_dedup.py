@@ -310,6 +310,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "fp")).alias("root")
     )
     classes = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # As a table of its own, so that the join may split the rows of a large class.
+    classes, _ = written(classes, "classes")
     return rooted.join(classes, "root", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),

@@ -1,7 +1,52 @@
-"""SQL for the training-data queries that SQL can express."""
+"""SQL for the training-data queries that SQL can express on whole tables.
+
+The others (signatures of trained or drawn models, token ids, page parsing, sharding by hashes)
+are tested against brute force.
+"""
 
 from __future__ import annotations
 
+from . import lm_score, minhash_dedup, rule_ledger
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1 = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(CASE WHEN len(w) < {minhash_dedup.WORDS} THEN w ELSE w[i : i + {minhash_dedup.WORDS - 1}] END, ' ') AS g
+ FROM d, unnest(range(1, greatest(len(w) - {minhash_dedup.WORDS - 2}, 2))) t(i) WHERE len(w) > 0),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY 1, 2), z AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE m * 5 >= 4 * (a.n + b.n - m)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY 1)
+SELECT k.doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles FROM k LEFT JOIN z USING (doc_id)"""
+
+OP3 = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM d, unnest(range(1, len(w) + 1)) u(i)),
+n AS (SELECT count(*) AS total FROM t), l AS (SELECT doc_id, count(*) AS own FROM t GROUP BY 1),
+u AS (SELECT a, count(*) AS n FROM t GROUP BY 1), du AS (SELECT doc_id, a, count(*) AS n FROM t GROUP BY 1, 2),
+g AS (SELECT b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2), dg AS (SELECT doc_id, b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT t.doc_id, t.b, total - own AS rest, u.n - du.n AS c1, coalesce(g.n - dg.n, 0) AS c2, coalesce(v.n - dv.n, 0) AS c0
+ FROM t JOIN u ON u.a = t.a JOIN du ON du.doc_id = t.doc_id AND du.a = t.a LEFT JOIN g ON g.b = t.b AND g.a = t.a LEFT JOIN dg ON dg.doc_id = t.doc_id AND dg.b = t.b AND dg.a = t.a
+ LEFT JOIN u v ON v.a = t.b LEFT JOIN du dv ON dv.doc_id = t.doc_id AND dv.a = t.b JOIN l ON l.doc_id = t.doc_id, n),
+s AS (SELECT doc_id, CASE WHEN b IS NOT NULL AND c2 > 0 THEN ln(c2 / c0) ELSE ln(CASE WHEN b IS NULL THEN 1.0 ELSE {lm_score.BACKOFF} END * CASE WHEN c1 > 0 THEN c1 / rest ELSE 1 / (rest + 1.0) END) END AS v,
+ CASE WHEN (b IS NOT NULL AND c2 <= 0) OR (b IS NULL AND c1 <= 0) THEN 1 ELSE 0 END AS off FROM c)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(sum(off), 0) AS BIGINT) AS n_backed_off, round(sum(v), 4) AS log_score, round(sum(v) / len(w), 6) AS mean_log_score
+ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w"""
+
+OP8 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + {rule_ledger.WINDOW - 1}], ' ') AS s FROM d, unnest(range(1, len(w) - {rule_ledger.WINDOW - 2})) t(i)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, {rule_ledger.WINDOW}) t(j) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+ CAST(length(regexp_replace(array_to_string(w, ''), '\P{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals, CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_exclamations,
+ CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word FROM d LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
+ + CASE WHEN word_chars < 3 * n_words OR word_chars > 10 * n_words THEN 8 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END
+ + CASE WHEN 100 * n_capitals > 30 * word_chars THEN 32 ELSE 0 END + CASE WHEN 100 * n_exclamations > 20 * n_words THEN 64 ELSE 0 END
+ + CASE WHEN n_words >= 50 AND 100 * n_distinct < 10 * n_words THEN 128 ELSE 0 END + CASE WHEN longest_word > 1000 THEN 256 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+SELECT *, (fail_bits & {rule_ledger.mask("v1")}) <> 0 AS base_failed, (fail_bits & {rule_ledger.mask("v1") | rule_ledger.mask(rule_ledger.POLICY)}) = 0 AS kept FROM b"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_dedup": OP1, "op3_lm_score": OP3, "op8_rule_ledger": OP8}

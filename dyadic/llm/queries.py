@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html_template, lm_score, minhash_dedup, quality_rules, rans, rule_ledger, secrets, sharding, viterbi
 from .common import read
@@ -17,7 +18,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(read(spark, sf_dir, "documents"))
+    out = lm_score.score(read(spark, sf_dir, "documents"))
+    # Sums of logarithms differ in their last digits with the order of the terms.
+    return out.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_log_score", F.round("mean_log_score", 6))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

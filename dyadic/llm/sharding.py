@@ -45,6 +45,8 @@ def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, grou
             .where("parts > 1")
             .select(group, F.col("best.shard").alias("to"), "total")
         )
+        # As a table of its own, so that the join may split the rows of a large group.
+        wish, wish_path = written(wish, "wishes")
         asked = now.join(wish, group, "left").withColumn("moves", F.coalesce(F.col("to") != F.col("shard"), F.lit(False)))
         asked, asked_path = written(asked, "shards")
         flow = asked.select(F.explode(F.array(F.struct(F.col("shard").alias("at"), F.lit(1).alias("is"), F.col("moves").cast("int").alias("out"), F.lit(0).alias("into")), F.struct(F.coalesce("to", "shard").alias("at"), F.lit(0).alias("is"), F.lit(0).alias("out"), F.col("moves").cast("int").alias("into")))).alias("f"))
@@ -54,7 +56,7 @@ def propagated(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, grou
         key = F.when(F.col("total") > even * WHOLE, F.concat_ws(":", group, F.col("doc_id").cast("string"))).otherwise(F.col(group))
         moved = F.when(F.col("moves") & (_share(key, k) < limit), F.col("to")).otherwise(F.col("shard"))
         new, new_path = written(asked.withColumn("shard", moved).drop("to", "total", "moves"), "shards")
-        remove(now.sparkSession, path, asked_path)
+        remove(now.sparkSession, path, asked_path, wish_path)
         now, path = new, new_path
         if not any(r["into"] for r in sums):
             break
