@@ -25,12 +25,16 @@ class Chain:
     def __init__(self, pdf: pd.DataFrame, setting: factor.Setting, effects: list[str], keys: dict[str, list[str]]):
         self.s, self.rng = setting, np.random.default_rng(setting.seed)
         # One order of rows whatever the partitioning.
-        pdf = pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
+        pdf = pdf.sort_values([c for c in pdf.columns if not c.startswith("x_")]).reset_index(drop=True)
+        self.x, self.coef = {}, {}
         self.y, self.effects, self.code, self.ids = pdf["y"].to_numpy(float), effects, {}, {}
         for name in effects:
             group = pdf.groupby(keys[name], sort=True, dropna=False)
             self.code[name] = group.ngroup().to_numpy()
             self.ids[name] = group.first().reset_index()[keys[name]]
+            if f"x_{name}" in pdf:
+                self.x[name] = np.stack(group[f"x_{name}"].first().to_numpy())
+                self.coef[name] = np.zeros((self.x[name].shape[1], setting.n_factors if factor.EFFECTS[name][1] else 1))
         k = setting.n_factors
         self.f = {n: np.zeros(len(self.ids[n])) if not factor.EFFECTS[n][1] else (n == "w") + 0.3 * self.rng.standard_normal((len(self.ids[n]), k)) for n in effects}
         self.var = {n: 1.0 for n in effects}
@@ -39,6 +43,12 @@ class Chain:
         self.mains = [n for n in effects if n not in self.vectors]
         self.own = {n: np.bincount(self.code[n], minlength=len(self.ids[n])) for n in effects}
 
+    def prior(self, name: str) -> np.ndarray | float:
+        if name not in self.x:
+            return 0.0
+        out = self.x[name] @ self.coef[name]
+        return out if factor.EFFECTS[name][1] else out[:, 0]
+
     def product(self, without: str | None = None) -> np.ndarray:
         out = 1.0
         for n in self.vectors:
@@ -60,7 +70,7 @@ class Chain:
             c = self.code[n]
             rest = self.y - (main - self.f[n][c]) - inter
             v = 1 / (self.own[n] / self.var_y + 1 / self.var[n])
-            new = v * np.bincount(c, rest, len(v)) / self.var_y + np.sqrt(v) * self.rng.standard_normal(len(v))
+            new = v * (np.bincount(c, rest, len(v)) / self.var_y + self.prior(n) / self.var[n]) + np.sqrt(v) * self.rng.standard_normal(len(v))
             main += (new - self.f[n])[c]
             self.f[n] = new
         rest, k = self.y - main, self.s.n_factors
@@ -73,7 +83,7 @@ class Chain:
                     lam[:, i, j] = lam[:, j, i] = np.bincount(c, x[:, i] * x[:, j], size) / self.var_y
             lam[:, range(k), range(k)] += 1 / self.var[n]
             low = np.linalg.cholesky(lam)
-            right = np.stack([np.bincount(c, rest * x[:, i], size) for i in range(k)], 1) / self.var_y
+            right = np.stack([np.bincount(c, rest * x[:, i], size) for i in range(k)], 1) / self.var_y + self.prior(n) / self.var[n]
             mean = np.linalg.solve(lam, right[..., None])[..., 0]
             noise = np.linalg.solve(np.transpose(low, (0, 2, 1)), self.rng.standard_normal((size, k, 1)))[..., 0]
             self.f[n] = mean + noise
@@ -96,8 +106,11 @@ class Chain:
         for n in self.effects:
             mean = first[n] / m
             out[n] = mean, np.maximum(second[n] / m - mean**2, 0) * m / max(m - 1, 1)
+            if n in self.x:
+                x, target = self.x[n], mean if mean.ndim > 1 else mean[:, None]
+                self.coef[n] = np.linalg.solve(x.T @ x + 1e-6 * np.eye(x.shape[1]), x.T @ target)
             if n not in ("u", "w"):
-                self.var[n] = max(float((second[n] / m).mean()), 1e-6)
+                self.var[n] = max(float((second[n] / m - mean**2 + (mean - self.prior(n)) ** 2).mean()), 1e-6)
         e = self.y - (score - self.b)
         self.b = float(e.mean())
         self.var_y = max(float(e.var() + spread.mean()), 1e-6)
@@ -108,18 +121,19 @@ def _rows(chain: Chain, means: dict, history: list[tuple], keys: dict[str, list[
     rows = [("history", [str(i)], [loss], [0.0]) for i, loss in history]
     rows.append(("params", [], [chain.b, chain.var_y], []))
     rows += [("var", [n], [chain.var[n]], []) for n in chain.effects]
+    rows += [("coef", [n, str(i)], row.tolist(), []) for n, c in chain.coef.items() for i, row in enumerate(c)]
     for n, (mean, var) in means.items():
         ids = chain.ids[n].astype(str).to_numpy().tolist()
         rows += [(n, i, np.atleast_1d(a).tolist(), np.atleast_1d(b).tolist()) for i, a, b in zip(ids, mean, var)]
     return pd.DataFrame(rows, columns=["effect", "ids", "mean", "var"])
 
 
-def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None, iterations: int = 10, most_rows: int = MOST_ROWS) -> factor.Model:
-    """EM by sampling. setting.samples must be positive; logistic models, self-interactions and larger data are handed to factor.fit."""
+def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None, iterations: int = 10, most_rows: int = MOST_ROWS, features: dict[str, DataFrame] | None = None) -> factor.Model:
+    """EM by sampling. setting.samples must be positive; features as in factor.fit, for every entity of the data; logistic models, self-interactions and larger data are handed to factor.fit."""
     n = train.limit(most_rows + 1).count()
     effects = factor.present(train, setting)
     if n > most_rows or setting.is_logistic or not setting.samples or ("v" in effects and "u" not in effects):
-        return factor.fit(train, setting, test, iterations)
+        return factor.fit(train, setting, test, iterations, features)
     keys = {e: factor.keys_of(e, train) for e in effects}
     columns = sorted({c for v in keys.values() for c in v})
 
@@ -141,15 +155,22 @@ def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None
             history.append((it + 1, float(np.sqrt(np.mean((chain.y - fitted) ** 2)))))
         yield _rows(chain, means, history, keys)
 
-    out = factor.cut(train.select(*columns, "y").coalesce(1).mapInPandas(run, "effect string, ids array<string>, mean array<double>, var array<double>"))
+    rows = train.select(*columns, "y")
+    for e, table in (features or {}).items():
+        if e in effects:
+            rows = rows.join(table.select(*keys[e], table["x"].alias(f"x_{e}")), keys[e])
+    out = factor.cut(rows.coalesce(1).mapInPandas(run, "effect string, ids array<string>, mean array<double>, var array<double>"))
     kinds = dict(train.dtypes)
-    heads = {(r["effect"], tuple(r["ids"])): r["mean"] for r in out.where("effect in ('history', 'params', 'var')").collect()}
+    heads = {(r["effect"], tuple(r["ids"])): r["mean"] for r in out.where("effect in ('history', 'params', 'var', 'coef')").collect()}
     b, var_y = heads[("params", ())]
     params = factor.Params(b=b, var_y=var_y)
     for (kind, ids), value in heads.items():
         if kind == "var":
             setattr(params, f"var_{ids[0]}", value[0])
     model = factor.Model(setting, params)
+    for (kind, ids), value in sorted(heads.items(), key=lambda r: (r[0][0], r[0][1][:1], int(r[0][1][1]) if r[0][0] == "coef" else 0)):
+        if kind == "coef":
+            model.coefficients.setdefault(ids[0], []).append(list(value))
     model.history = sorted(({"iteration": int(i[0]), "train_loss": v[0]} for (k, i), v in heads.items() if k == "history"), key=lambda r: r["iteration"])
     for e in effects:
         own = out.where(out.effect == e)
@@ -157,7 +178,7 @@ def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None
         vector = factor.EFFECTS[e][1]
         model.factors[e] = own.select(*ids, (own["mean"] if vector else own["mean"][0]).alias("mean"), (own["var"] if vector else own["var"][0]).alias("var"))
     if test is not None and model.history:
-        model.history[-1]["test_loss"] = factor.loss(test, model)["loss"]
+        model.history[-1]["test_loss"] = factor.loss(test, factor.with_priors(model, features or {}))["loss"]
     return model
 
 

@@ -146,6 +146,20 @@ def test_chain_recovers_the_truth(spark):
     assert K.fit(train.limit(300), X.Setting(n_factors=0, samples=2), iterations=1, most_rows=100).history  # handed over
 
 
+def test_regression_priors_serve_new_entities(spark):
+    """Source effects are 2 x1 - x2 plus noise; sources that only the test has get them from their features."""
+    c = F.col
+    sources = spark.range(1, 61).select(c("id").cast("int").alias("src_id"), F.array(F.lit(1.0), sim.normal(0, "x1", c("id")), sim.normal(0, "x2", c("id"))).alias("x"))
+    rows = spark.range(2400).select(c("id"), sim.pick(1, "s", 60, c("id")).alias("src_id"), sim.pick(1, "d", 20, c("id")).alias("dst_id")).join(sources, "src_id")
+    y = 2 * c("x")[1] - c("x")[2] + 0.2 * sim.normal(2, "a", c("src_id")) + 0.3 * sim.normal(2, "e", c("id"))
+    rows = rows.withColumn("y", y).drop("x").cache()
+    train, test = rows.where("src_id <= 45"), rows.where("src_id > 45").drop("id")
+    for fit in (lambda s: K.fit(train.drop("id"), s, iterations=3, features={"alpha": sources}), lambda s: X.fit(train.drop("id"), X.Setting(n_factors=0), iterations=2, features={"alpha": sources})):
+        model = fit(X.Setting(n_factors=0, samples=30, burn_in=5))
+        assert np.allclose(np.ravel(model.coefficients["alpha"])[1:], [2, -1], atol=0.25)
+        assert X.loss(test, X.with_priors(model, {"alpha": sources}))["rmse"] < 0.6 < X.loss(test, model)["rmse"]
+
+
 def test_sampling_does_not_depend_on_partitioning(spark):
     data = sim.dyadic(spark, 600, nodes=12, contexts=(2, 2, 2), factors=1).select("src_id", "dst_id", "y")
     setting = X.Setting(n_factors=2, samples=2, burn_in=1, seed=5)
