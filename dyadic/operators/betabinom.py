@@ -240,3 +240,27 @@ def tuned(train: DataFrame, tune: DataFrame, pop: DataFrame, pop_up: DataFrame,
         rows.append({"var_logit": vm, "var_log": vs, "loglik": heldout_loglik(wide, params, ["p_node"]).agg(F.avg("loglik")).first()[0]})
     best = max(rows, key=lambda r: r["loglik"])
     return (best["var_logit"], best["var_log"]), rows
+
+
+def save_fit(params: DataFrame, summary: list[dict], path: str) -> None:
+    """Parameters of the chosen fit as a table, and a row for each grid point added to the summary."""
+    params.write.mode("overwrite").parquet(f"{path}/model")
+    rows = [(float(r["var_logit"]), float(r["var_log"]), float(r["loglik"])) for r in summary]
+    params.sparkSession.createDataFrame(rows, "var_logit double, var_log double, loglik double").write.mode("append").parquet(f"{path}/summary")
+
+
+def size_of_moments(mean: Column, var_of_mean: Column) -> Column:
+    """alpha + beta of the Beta distribution with these moments."""
+    return F.try_divide(mean * (1 - mean), var_of_mean) - 1
+
+
+def cube_moments(base: DataFrame, dims: dict[str, DataFrame], x: str = "n_pos", n: str = "n_trials") -> DataFrame:
+    """Moment estimates of every cell of a cube over tree dimensions: base rows are summed by their own cells first, and the sums are merged upwards."""
+    from functools import reduce
+
+    keys = list(dims)
+    cx, cn = F.col(x).cast("double"), F.col(n).cast("double")
+    sums = base.where(F.col(n) > 0).groupBy(*keys).agg(*moment_sums(cx, cn, cn))
+    wide = reduce(lambda df, k: df.join(dims[k].select(F.col("node").alias(k), F.col("ancestor").alias(f"__{k}")), k), keys, sums)
+    merged = wide.groupBy(*(F.col(f"__{k}").alias(k) for k in keys)).agg(*(F.sum(c).alias(c) for c in sums.columns if c.startswith("m_")))
+    return moment_estimates(merged).select(*keys, F.col("m_N").cast("long").alias("N"), "mean", "size")

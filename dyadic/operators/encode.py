@@ -2,7 +2,8 @@
 
 Ids are numbered from 1 in binary order of their values. A global number without a global sort in
 one task: values are range-partitioned and numbered within partitions, and partition offsets come from a
-count of rows per partition (one row each).
+count of rows per partition (one row each). The numbered partitions are written before they are counted, so that
+counts and numbers come from one and the same partitioning, whatever is recomputed later.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx", start: int = 1) -> DataFrame:
     """df with a gapless number in the given order (which should be total)."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
+    placed = cut(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("__part", F.spark_partition_id())

@@ -7,11 +7,12 @@ each (application, item) are sums over users that the shuffle combines, and only
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import cut
@@ -192,3 +193,30 @@ def predict(rows: DataFrame, found: DataFrame, model: MultiApp) -> DataFrame:
     out = rows.join(loads, ["app", "item"], "left").join(found.select("user", "app", "z"), ["user", "app"], "left")
     slope = F.aggregate(F.zip_with(F.slice("load", 2, 1000), "z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return out.withColumn("pred", F.col("load")[0] + F.coalesce(slope, F.lit(0.0))).drop("load", "z")
+
+
+def save(spark: SparkSession, model: MultiApp, path: str, mode: str = "overwrite") -> None:
+    """One JSON text; a model is as large as its applications' items."""
+    apps = {n: {"loadings": {i: v.tolist() for i, v in a.loadings.items()}, "noise": a.noise, "a": a.a.tolist(), "var_z": a.var_z} for n, a in model.apps.items()}
+    text = json.dumps({"apps": apps, "n_global": model.n_global, "var_u": model.var_u, "history": model.history})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def load(spark: SparkSession, path: str) -> MultiApp:
+    found = json.loads(spark.read.text(path).first()[0])
+    apps = {n: App({i: np.array(v) for i, v in a["loadings"].items()}, a["noise"], np.array(a["a"]), a["var_z"]) for n, a in found["apps"].items()}
+    return MultiApp(apps, found["n_global"], found["var_u"], found["history"])
+
+
+def check(rows: DataFrame, model: MultiApp) -> DataFrame:
+    """(app, item) pairs of rows that the model doesn't know."""
+    known = [(a, i) for a, app in model.apps.items() for i in app.loadings]
+    return rows.select("app", "item").distinct().join(rows.sparkSession.createDataFrame(known, "app string, item string"), ["app", "item"], "left_anti")
+
+
+def observed_loglik(rows: DataFrame, found: DataFrame, model: MultiApp) -> float:
+    """Log-likelihood of responses given the factors' posterior means."""
+    noise = [(a, i, float(v)) for a, app in model.apps.items() for i, v in app.noise.items()]
+    table = rows.sparkSession.createDataFrame(noise, "app string, item string, s2 double")
+    e = predict(rows, found, model).join(table, ["app", "item"])
+    return e.agg(F.sum(-0.5 * ((F.col("y") - F.col("pred")) ** 2 / F.col("s2") + F.log(2 * np.pi * F.col("s2"))))).first()[0]

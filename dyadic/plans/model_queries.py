@@ -273,6 +273,28 @@ def dag_moments(spark: Spark, d: str) -> DataFrame:
     return cells.select("p_node", "t_node", "N", rounded("mean").alias("mean"), F.when(F.col("status") == 0, 0).otherwise(1).alias("enough"))
 
 
+@query(f"""WITH {BINOM}, {POP}, {_UP}, {TRE}, {_TUP}, s AS (SELECT p_node, t_node, {_ME} FROM (SELECT u.ancestor AS p_node, v.ancestor AS t_node, n_trials::DOUBLE AS w, n_trials::DOUBLE AS t, n_pos / n_trials AS p
+ FROM binom JOIN up u ON u.node = p_node JOIN tup v ON v.node = t_node) GROUP BY 1, 2)
+ SELECT p_node, t_node, CAST(n AS BIGINT) AS N, round(wp / w, 6) + 0.0 AS mean FROM s""")
+def cube_moments(spark: Spark, d: str) -> DataFrame:
+    dims = {"p_node": G.closure(pop_dag(spark, d)), "t_node": G.closure(tre_tree(spark, d))}
+    return B.cube_moments(binom(spark, d), dims).select("p_node", "t_node", "N", rounded("mean").alias("mean"))
+
+
+@query()
+def topic_factors(spark: Spark, d: str) -> DataFrame:
+    """Ratings of documents by customers, simulated as hashes of pairs, explained by topics of their texts."""
+    docs = corpus(spark, d)
+    rows = obs(spark, d).select(F.col("src_id").alias("user"), (F.col("dst_id") % 200).alias("item"), (F.col("y") / 10).alias("y"))
+    fitted = P.fit_topic_factors(rows, docs.where("item < 200"), 2, iterations=1, sweeps=1)
+    return P.predict(rows.select("user", "item").distinct(), fitted)
+
+
+@query()
+def matrix_factorisation(spark: Spark, d: str) -> DataFrame:
+    return X.least_squares_factors(obs(spark, d), 2, iterations=2).userFactors
+
+
 @query()
 def betabinom_mode(spark: Spark, d: str) -> DataFrame:
     return B.fit_cells(binom(spark, d), ["p_node"])

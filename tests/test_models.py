@@ -191,13 +191,17 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
         X.load(spark, f"{tmp_path}/nowhere")
 
 
-def test_multiapp_em_never_loses_likelihood(spark):
+def test_multiapp_em_never_loses_likelihood(spark, tmp_path):
     rows = sim.multi_app(spark, 60, {"p": 4, "q": 3}).cache()
     model = A.fit(rows, 2, 2, iterations=4)
     assert all(b >= a - 1e-6 for a, b in zip(model.history, model.history[1:]))
     pred = A.predict(rows, A.factors(rows, model), model)
     err = pred.agg(F.avg((F.col("y") - F.col("pred")) ** 2), F.var_pop("y")).first()
     assert err[0] < 0.7 * err[1]
+    A.save(spark, model, f"{tmp_path}/apps")
+    back = A.load(spark, f"{tmp_path}/apps")
+    assert A.check(rows, back).isEmpty() and back.history == model.history
+    assert np.isfinite(A.observed_loglik(rows, A.factors(rows, back), back))
 
 
 def test_multiapp_posterior_equals_dense():
@@ -267,6 +271,7 @@ def test_topic_factors(spark):
     corpus = sim.topic_corpus(spark, 20, 30, 2, 30)
     obs = spark.range(800).select(sim.pick(0, "u", 15, F.col("id")).alias("user"), sim.pick(0, "i", 20, F.col("id")).alias("item"), sim.normal(0, "y", F.col("id")).alias("y"))
     out = P.fit_topic_factors(obs, corpus, 2, iterations=1, sweeps=1)
+    assert P.predict(obs.select("user", "item").distinct(), out).where("pred is null").isEmpty()
     assert out["tastes"].count() == 15 and P.uncovered_items(obs, corpus).isEmpty()
     shares = P.cold_start_shares(corpus, P.phi(P.counters(out["topics"])["topic_term"], 30, 0.1), spark.createDataFrame([(1, 0.5), (2, 0.5)], "topic int, p double"))
     assert abs(shares.groupBy("item").agg(F.sum("share").alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]) < 1e-9

@@ -165,3 +165,12 @@ def test_random_helpers(spark):
 def test_timestamps(spark):
     r = spark.range(1).select(C.format_timestamp(F.lit(0)).alias("a"), C.parse_timestamp(F.lit("1969-12-31 16:00:00")).alias("b"), C.parse_timestamp(F.lit("nonsense")).alias("c")).first()
     assert (r.a, r.b, r.c) == ("1969-12-31 16:00:00", 0, None)
+
+
+def test_reports(spark):
+    from dyadic.operators.report import as_text, timed
+
+    df = spark.createDataFrame([("a", 1.5), ("bb", None)], "k string, v double")
+    assert as_text(df).splitlines() == [" k    v", " a  1.5", "bb     "]
+    assert as_text(df, latex=True).splitlines()[1] == "a & 1.5 \\\\"
+    assert timed(lambda: 3, 2)[0] == 3
