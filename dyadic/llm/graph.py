@@ -12,16 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, str]:
     """Large: link each larger neighbour of u to the least of u and its neighbours. Small: link u and its lesser neighbours to the least of these."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    # As a table of its own, so that the join may split the neighbours of a large hub.
+    least, path = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "least")
     linked = both.join(least, "u")
     if small:
         out = linked.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
     else:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return out.where(F.col("u") > F.col("v")).distinct()
+    return out.where(F.col("u") > F.col("v")).distinct(), path
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
@@ -35,9 +36,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame,
     )
     state = _state(now)
     while True:
-        new, new_path = written(_star(_star(now, small=False), small=True), "edges")
+        large, least_path = _star(now, small=False)
+        large, large_path = written(large, "edges")
+        small, small_path = _star(large, small=True)
+        new, new_path = written(small, "edges")
         new_state = _state(new)
-        remove(spark, path)
+        remove(spark, path, least_path, large_path, small_path)
         now, path = new, new_path
         if new_state == state:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root")), path
