@@ -42,9 +42,9 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
  CAST(length(regexp_replace(array_to_string(w, ''), '\P{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals, CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_exclamations,
  CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word FROM d LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
- + CASE WHEN word_chars < 3 * n_words OR word_chars > 10 * n_words THEN 8 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END
+ + CASE WHEN word_chars < 3 * n_words OR word_chars > 10 * n_words THEN 8 ELSE 0 END + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END
  + CASE WHEN 100 * n_capitals > 30 * word_chars THEN 32 ELSE 0 END + CASE WHEN 100 * n_exclamations > 20 * n_words THEN 64 ELSE 0 END
- + CASE WHEN n_words >= 50 AND 100 * n_distinct < 10 * n_words THEN 128 ELSE 0 END + CASE WHEN longest_word > 1000 THEN 256 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+ + CASE WHEN 100 * n_distinct < CASE WHEN n_words < 100 THEN 30 ELSE 10 END * n_words THEN 128 ELSE 0 END + CASE WHEN longest_word > 1000 THEN 256 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT *, (fail_bits & {rule_ledger.mask("v1")}) <> 0 AS base_failed, (fail_bits & {rule_ledger.mask("v1") | rule_ledger.mask(rule_ledger.POLICY)}) = 0 AS kept FROM b"""
 
 

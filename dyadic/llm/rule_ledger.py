@@ -27,10 +27,11 @@ RULES = {
     "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"],
     "symbols": lambda m: 100 * m["n_symbols"] > 10 * m["n_words"],
     "word_length": lambda m: (m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 10 * m["n_words"]),
-    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+    "repeated_lines": lambda m: (m["n_dup_lines"] >= 3) & (100 * m["n_dup_lines"] > 30 * m["n_lines"]),
     "capitals": lambda m: 100 * m["n_capitals"] > 30 * m["word_chars"],
     "exclamations": lambda m: 100 * m["n_exclamations"] > 20 * m["n_words"],
-    "few_distinct": lambda m: (m["n_words"] >= 50) & (100 * m["n_distinct"] < 10 * m["n_words"]),
+    # Long texts repeat their words more, so short ones are held to a higher share.
+    "few_distinct": lambda m: 100 * m["n_distinct"] < F.when(m["n_words"] < 100, 30).otherwise(10) * m["n_words"],
     "long_word": lambda m: m["longest_word"] > 1000,
 }
 #: Rules of each version of the policy.
