@@ -266,3 +266,21 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return id_text(docs, id_col, text_col).select("doc_id", F.col("text")).mapInArrow(
         run, "doc_id long, ids array<int>, n_ids long, n_byte_ids long, decoded_chars long, exact boolean"
     )
+
+
+def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """rows with the texts of their ids; null ids give a null text, ids outside the vocabulary are an error."""
+    names = rows.columns
+    at = names.index(ids_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col)
+    keep = [k for k, c in enumerate(names) if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
+
+        _, own = shared(model or public_tokenizers.path(MODEL))
+        for batch in batches:
+            texts = [None if x is None else own(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*(names[k] for k in keep), text_col])
+
+    return rows.mapInArrow(run, f"{schema}, `{text_col}` string")

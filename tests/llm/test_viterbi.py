@@ -56,3 +56,5 @@ def test_round_trip(make, words):
         assert rows[k].n_ids == len(rows[k].ids)
         assert (rows[k].n_ids == 0) == (not t)
     assert V.encode_decode(make([])).collect() == []
+    back = V.decode(V.encode_decode(make(texts)).select("doc_id", "ids")).collect()
+    assert all(r.text == (texts[r.doc_id] or "") for r in back if V.MARK not in (texts[r.doc_id] or ""))
