@@ -6,7 +6,7 @@ are tested against brute force.
 
 from __future__ import annotations
 
-from . import lm_score, minhash_dedup, rule_ledger
+from . import decontaminate, lm_score, minhash_dedup, rule_ledger
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -47,6 +47,34 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 *
  + CASE WHEN 100 * n_distinct < CASE WHEN n_words < 100 THEN 30 ELSE 10 END * n_words THEN 128 ELSE 0 END + CASE WHEN longest_word > 1000 THEN 256 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT *, (fail_bits & {rule_ledger.mask("v1")}) <> 0 AS base_failed, (fail_bits & {rule_ledger.mask("v1") | rule_ledger.mask(rule_ledger.POLICY)}) = 0 AS kept FROM b"""
 
+_OUTER = r"\x00-\x24\x26-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+
+def _core(word: str) -> str:
+    """A word in lower case without outer ASCII punctuation (a last % stays), one character at least."""
+    return f"lower(regexp_extract(regexp_extract({word}, '^((?s:.+?))[{_OUTER}]*$', 1), '^[{_OUTER}%]*((?s:.+))$', 1))"
+
+
+_LISTED = ", ".join(f"'{w}'" for w in decontaminate.NUMBERS)
+_UNITS = ", ".join(f"'{w}'" for w in decontaminate.UNITS)
+
+OP7 = rf"""WITH src AS (SELECT 'd' AS k, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT k, id, {_WORDS} AS w FROM src), t AS (SELECT k, id, i, w[i] AS raw, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM w, unnest(range(1, len(w) + 1)) u(i)),
+c AS (SELECT *, {_core("raw")} AS core, CASE WHEN prev IS NOT NULL THEN {_core("prev")} END AS before FROM t),
+n AS (SELECT *, regexp_matches(core, '^[0-9]') OR core IN ({_LISTED}) AS num, coalesce(regexp_matches(before, '^[0-9]') OR before IN ({_LISTED}), false) AS after_num FROM c),
+y AS (SELECT *, CASE WHEN num THEN '<num>' WHEN after_num AND core IN ({_UNITS}) THEN '<unit>'
+ WHEN prev IS NOT NULL AND NOT regexp_matches(prev, '[.!?:]$') AND regexp_matches(regexp_extract(regexp_extract(raw, '^((?s:.+?))[{_OUTER}]*$', 1), '^[{_OUTER}%]*((?s:.+))$', 1), '^[A-ZÀ-Þ]') THEN '<name>' END AS kind FROM n),
+l AS (SELECT k, id, list(coalesce(kind, core) ORDER BY i) AS tk, list(CASE WHEN kind IS NOT NULL THEN kind || core END ORDER BY i) AS sl, count(*) AS n FROM y GROUP BY 1, 2),
+b AS (SELECT id AS item_id, i, least(n, {decontaminate.WIDTH}) AS width, n - least(n, {decontaminate.WIDTH}) + 1 AS windows, array_to_string(tk[i : i + least(n, {decontaminate.WIDTH}) - 1], ' ') AS key, sl[i : i + least(n, {decontaminate.WIDTH}) - 1] AS s
+ FROM l, unnest(range(1, n - least(n, {decontaminate.WIDTH}) + 2)) u(i) WHERE k = 'b' AND n >= {decontaminate.SHORTEST}),
+d AS (SELECT id AS doc_id, i, width, array_to_string(tk[i : i + width - 1], ' ') AS key, sl[i : i + width - 1] AS s FROM l, (SELECT DISTINCT width FROM b), unnest(range(1, n - width + 2)) u(i) WHERE k = 'd'),
+m AS (SELECT doc_id, item_id, d.i - b.i AS offs, b.i AS pos, windows, b.s AS bs, d.s AS ds FROM d JOIN b USING (key, width) WHERE 2 * len(list_filter(b.s, lambda x: x IS NULL)) >= width),
+p AS (SELECT doc_id, item_id, offs, bs[j] AS x, ds[j] AS y FROM m, unnest(range(1, len(bs) + 1)) u(j) WHERE bs[j] IS NOT NULL GROUP BY ALL),
+q AS (SELECT doc_id, item_id, offs, count(*) AS pairs, count(DISTINCT x) AS xs, count(DISTINCT y) AS ys, bool_and(x = y) AS same FROM p GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, item_id, offs, count(DISTINCT pos) AS matched, max(windows) AS windows FROM m GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, bool_or(coalesce(same, true)) AS verbatim FROM g LEFT JOIN q USING (doc_id, item_id, offs)
+ WHERE coalesce(pairs = xs AND pairs = ys, true) AND (matched >= {decontaminate.SHARE} * windows OR matched >= {decontaminate.ENOUGH}) GROUP BY 1, 2"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op3_lm_score": OP3, "op8_rule_ledger": OP8}
+    return {"op1_minhash_dedup": OP1, "op3_lm_score": OP3, "op7_decontaminate": OP7, "op8_rule_ledger": OP8}
