@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import closure, levels, validate_tree
+from .graph import closure, validate_tree
 
 #: Measures that a cube may compute: name -> aggregate over the base rows' columns. Extended by `register`.
 MEASURES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "var": F.var_samp}
@@ -22,7 +22,9 @@ def register(name: str, aggregate: Callable[[Column], Column]) -> None:
 def dimension(tree: DataFrame, node: str = "node_id", parent: str = "parent_id", leaves_at_zero: bool = True) -> DataFrame:
     """(node, ancestor, level): ancestors-or-self with the ancestor's level, the leaves at level 0 (or the root)."""
     validate_tree(tree, node, parent)
-    up, depth = closure(tree, node, parent), levels(tree, node, parent)
+    up = closure(tree, node, parent)
+    # In a tree, a node's level is the number of its ancestors.
+    depth = up.groupBy("node").agg((F.count("*") - 1).cast("int").alias("level"))
     inner = tree.select(F.col(parent).alias("node")).where("node is not null").distinct().withColumn("inner", F.lit(True))
     top = depth.agg(F.max("level").alias("top"))
     depth = depth.join(inner, "node", "left").crossJoin(F.broadcast(top))

@@ -127,14 +127,11 @@ def leaves(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -
 
 
 def levels(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """(node, level): the length of the longest path from a root."""
-    up = closure(edges, node, parent)
-    step = edges.where(f"{parent} is not null").select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    roots = step.select(F.col("parent").alias("node")).distinct().join(step.select("node").distinct(), "node", "left_anti")
-    now = roots.withColumn("level", F.lit(0))
-    depth = up.groupBy("node").count().agg(F.max("count")).first()[0] or 1
+    """(node, level): the length of the longest path from a root; one round for each level, in which nodes move below their parents."""
+    step = cut(edges.where(f"{parent} is not null").select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct())
+    now = step.select(F.col("parent").alias("node")).distinct().join(step.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0))
     done = now
-    for k in range(1, depth):
+    for k in range(1, 1 << 16):
         now = cut(step.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct().withColumn("level", F.lit(k)))
         if now.isEmpty():
             break
