@@ -131,12 +131,12 @@ def levels(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -
     step = cut(edges.where(f"{parent} is not null").select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct())
     now = step.select(F.col("parent").alias("node")).distinct().join(step.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0))
     done = now
-    for k in range(1, 1 << 16):
+    for k in range(1, step.count() + 2):
         now = cut(step.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct().withColumn("level", F.lit(k)))
         if now.isEmpty():
-            break
+            return done.groupBy("node").agg(F.max("level").alias("level"))
         done = done.unionByName(now)
-    return done.groupBy("node").agg(F.max("level").alias("level"))
+    raise ValueError("the graph has a cycle")
 
 
 def rollup(obs: DataFrame, up: DataFrame, node: str = "p_node", keys: list[str] | None = None, measures: list[str] | None = None, trials: str = "n_trials") -> DataFrame:

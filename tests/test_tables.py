@@ -119,6 +119,8 @@ def test_dags_with_two_parents(spark):
     assert {(r.node, r.level) for r in G.levels(dag).collect()} == {("r", 0), ("a", 1), ("b", 1), ("c", 2)}
     with pytest.raises(ValueError):
         G.validate_tree(dag)
+    with pytest.raises(ValueError):
+        G.levels(spark.createDataFrame([("a", "r"), ("b", "a"), ("a", "b")], "node_id string, parent_id string"))
 
 
 def test_cube_parents_are_sums_of_children(spark):
