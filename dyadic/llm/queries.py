@@ -49,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viterbi.encode_decode(read(spark, sf_dir, "documents"))
+    return viterbi.encode_decode(read(spark, sf_dir, "documents"), also_merges=True)
 
 
 def queries() -> dict:

@@ -9,7 +9,8 @@ in the library's unigram search; the tests hold ids against it on the same piece
 
 The model file given here was trained as BPE, and merge order isn't a maximum of summed scores: ids are
 the best-scoring segmentation under the file's piece scores, which decodes to the same text but
-isn't always what the library's BPE mode gives (see the README for the measured share).
+isn't always what the library's BPE mode gives (see the README for the measured share). `also_merges`
+adds exactly the latter: the same batches of words and hash probes, with merges in place of the search.
 
 Cases: null and empty texts have no ids and decode to an empty text. A text with the space mark itself (U+2581) decodes with spaces
 in its place and is marked as not exact. Repeated rows give repeated results. An empty table gives
@@ -94,8 +95,10 @@ class Model:
 
 
 class Encoder:
-    def __init__(self, model: Model):
-        self.model = model
+    """merges: segment by the merge order of a BPE model instead of the best sum of scores."""
+
+    def __init__(self, model: Model, merges: bool = False):
+        self.model, self.merges = model, merges
         usable = [k for k, t in enumerate(model.kinds) if t in (_NORMAL, _USER)]
         if any(MARK in model.pieces[k].lstrip(MARK) for k in usable):
             raise ValueError("pieces that cross words are not supported")
@@ -130,23 +133,30 @@ class Encoder:
 
     def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words (ranges of UTF-8 bytes, with spaces), joined, and how many each has."""
-        words = [data[s:e].tobytes().decode().replace(" ", MARK) for s, e in zip(start, end)]
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        out: list = [None] * len(words)
-        for length, places in by_length.items():
-            most = max(1, (1 << 20) // (length + 1))
-            for first in range(0, len(places), most):
-                part = places[first : first + most]
-                for k, ids in zip(part, self._search([words[k] for k in part], length)):
-                    out[k] = ids
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
-
-    def _search(self, words: list[str], length: int) -> list[np.ndarray]:
-        """Best segmentations of words of one length."""
-        n = len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+        raw = ragged(data, start, end - start)
+        chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.where(chars == 0x20, np.uint32(ord(MARK)), chars)
+        # Characters before each byte that starts one.
+        heads = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        bounds = heads[np.r_[0, np.cumsum(end - start)]]
+        length = np.diff(bounds)
+        rows, ids, counts = [], [], []
+        for size in np.unique(length):
+            own = np.flatnonzero(length == size)
+            most = max(1, (1 << 20) // (int(size) + 1))
+            for first in range(0, len(own), most):
+                part = own[first : first + most]
+                found = (self._merged if self.merges else self._search)(chars[bounds[part][:, None] + np.arange(size)])
+                rows.append(part)
+                ids.append(found[0])
+                counts.append(found[1])
+        order = np.argsort(np.concatenate(rows))
+        n = np.concatenate(counts)
+        return ragged(np.concatenate(ids), (np.cumsum(n) - n)[order], n[order]), n[order]
+
+    def _search(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best segmentations of words of one length, a row of characters each."""
+        n, length = chars.shape
         best = np.full((length + 1, n), -np.inf, np.float32)
         best[0] = 0
         back = np.zeros((length + 1, n), np.int32)
@@ -172,10 +182,55 @@ class Encoder:
                         total = best[end - 1] + self.unknown_score
                         better = ~single & (total > best[end])
                         best[end, better], back[end, better], piece[end, better] = total[better], 1, -1
-        return self._walk(words, back, piece, length)
-
-    def _walk(self, words: list[str], back: np.ndarray, piece: np.ndarray, length: int) -> list[np.ndarray]:
-        n = len(words)
+        return self._walk(chars, back, piece)
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the keys, or -1."""
+        out = np.full(h.shape, -1)
+        maybe = np.nonzero(self.table[self._slot(h)])
+        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == h[maybe], at, -1)
+        return out
+
+    def _pairs(self, sums, powers, rows, start, middle, end, length: int) -> np.ndarray:
+        """Score of the piece from start to end, -inf where there is none or the middle is no start of a second piece."""
+        at = self._found(sums[rows, end] - sums[rows, start] * powers[end - start])
+        return np.where((at >= 0) & (middle < length) & (end - start <= self.longest), self.score[at], -np.inf)
+
+    def _merged(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations by merges: all words of a length merge their best pair of neighbours (the first of equals) until none has one."""
+        n, length = chars.shape
+        sums = np.zeros((n, length + 1), np.uint64)
+        powers = np.zeros(length + 1, np.uint64)
+        powers[: min(self.longest, length) + 1] = self.powers[: min(self.longest, length) + 1]
+        # Starts of the pieces of each word, then the word's end.
+        starts = np.tile(np.arange(length + 1), (n, 1))
+        with np.errstate(over="ignore"):
+            for k in range(length):
+                sums[:, k + 1] = sums[:, k] * np.uint64(_BASE) + (chars[:, k].astype(np.uint64) + np.uint64(1))
+            every = np.arange(n)[:, None]
+            # Scores of all pairs of neighbours; a merge changes the two pairs that it touches.
+            score = self._pairs(sums, powers, every, starts[:, :-2], starts[:, 1:-1], starts[:, 2:], length)
+            rows = np.arange(n)
+            while len(rows) and length > 1:
+                best = score[rows].argmax(1)
+                rows, best = rows[has := score[rows, best] > -np.inf], best[has]
+                behind = np.arange(length) > best[:, None]
+                starts[rows, :-1] = np.where(behind, starts[rows, 1:], starts[rows, :-1])
+                score[rows, :-1] = np.where(behind[:, : length - 2], score[rows, 1:], score[rows, :-1])
+                score[rows, -1] = -np.inf
+                for k in (best - 1, best):
+                    ok = (k >= 0) & (k < length - 1)
+                    r, c = rows[ok], k[ok]
+                    score[r, c] = self._pairs(sums, powers, r, starts[r, c], starts[r, c + 1], starts[r, c + 2], length)
+            row, place = np.nonzero(starts[:, :-1] < length)
+            first, last = starts[row, place], starts[row, place + 1]
+            at = self._found(sums[row, last] - sums[row, first] * powers[last - first])
+        ids = np.where(at >= 0, self.of[at], -1)
+        return self._with_bytes(chars, row, ids, first)
+
+    def _walk(self, chars: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, length = chars.shape
         at, rows, steps = np.full(n, length), np.arange(n), []
         while len(rows):
             steps.append((rows, piece[at[rows], rows], at[rows] - 1))
@@ -183,14 +238,19 @@ class Encoder:
             rows = rows[at[rows] > 0]
         rows, ids, places = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
         order = np.argsort(rows, kind="stable")
-        rows, ids, places = rows[order], ids[order], places[order]
-        parts = np.split(ids, np.searchsorted(rows, np.arange(1, n)))
-        for k in np.unique(rows[ids < 0]):
-            own, where = [], places[rows == k]
-            for i, place in zip(parts[k], where):
-                own += [i] if i >= 0 else self.byte_ids[list(words[k][place].encode("utf-8", "surrogatepass"))].tolist()
-            parts[k] = np.array(own, np.int32)
-        return parts
+        return self._with_bytes(chars, rows[order], ids[order], places[order])
+
+    def _with_bytes(self, chars: np.ndarray, rows: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by word and each word's number of them; a character without a piece (-1) becomes its bytes."""
+        unknown = np.flatnonzero(ids < 0)
+        if not len(unknown):
+            return ids, np.bincount(rows, minlength=len(chars))
+        coded = [chr(c).encode("utf-8", "surrogatepass") for c in chars[rows[unknown], places[unknown]]]
+        width = np.ones(len(ids), np.int64)
+        width[unknown] = [len(c) for c in coded]
+        out = np.repeat(ids, width)
+        out[np.repeat(ids < 0, width)] = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
+        return out, np.bincount(rows, width, len(chars)).astype(np.int64)
 
     def slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that data holds, joined, and each text's number of them."""
@@ -227,24 +287,32 @@ class Decoder:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_made: dict[str, tuple[Encoder, Decoder]] = {}
+_made: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
-def shared(path: str) -> tuple[Encoder, Decoder]:
+def shared(path: str, merges: bool = False) -> tuple[Encoder, Decoder]:
     """One coder for all tasks that a Python worker runs, so that what it remembers serves them all."""
-    if path not in _made:
+    if (path, merges) not in _made:
         model = Model.load(path)
-        _made[path] = Encoder(model), Decoder(model)
-    return _made[path]
+        _made[path, merges] = Encoder(model, merges), Decoder(model)
+    return _made[path, merges]
+
+
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+
 
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, also_merges: bool = False) -> DataFrame:
+    """doc_id, ids, n_ids, n_byte_ids, decoded_chars, exact (the ids decode to the text): one row for each row of docs.
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """doc_id, ids, n_ids, n_byte_ids, decoded_chars, exact (the ids decode to the text): one row for each row of docs."""
+    also_merges adds merge_ids: what the model's merge order gives, as the library's BPE mode does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode, decode = shared(model or public_tokenizers.path(MODEL))
+        path = model or public_tokenizers.path(MODEL)
+        encode, decode = shared(path)
         loaded = encode.model
         byte = loaded.kinds == _BYTE
         for batch in batches:
@@ -254,17 +322,17 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ends = np.cumsum(n)
                 decoded = [decode(x) for x in np.split(ids, ends[:-1])]
                 bytes_before = np.r_[0, np.cumsum(byte[ids])]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+                more = [_lists(*shared(path, merges=True)[0].slice(data, bounds))] if also_merges else []
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), lists, pa.array(n), pa.array(bytes_before[ends] - bytes_before[ends - n]),
-                        pa.array([len(d) for d in decoded], pa.int64()), pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_()),
+                        part.column(0), _lists(ids, n), pa.array(n), pa.array(bytes_before[ends] - bytes_before[ends - n]),
+                        pa.array([len(d) for d in decoded], pa.int64()), pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_()), *more,
                     ],
-                    ["doc_id", "ids", "n_ids", "n_byte_ids", "decoded_chars", "exact"],
+                    ["doc_id", "ids", "n_ids", "n_byte_ids", "decoded_chars", "exact", *["merge_ids"] * len(more)],
                 )
 
     return id_text(docs, id_col, text_col).select("doc_id", F.col("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, n_ids long, n_byte_ids long, decoded_chars long, exact boolean"
+        run, "doc_id long, ids array<int>, n_ids long, n_byte_ids long, decoded_chars long, exact boolean" + ", merge_ids array<int>" * also_merges
     )
 
 

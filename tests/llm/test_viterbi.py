@@ -58,3 +58,12 @@ def test_round_trip(make, words):
     assert V.encode_decode(make([])).collect() == []
     back = V.decode(V.encode_decode(make(texts)).select("doc_id", "ids")).collect()
     assert all(r.text == (texts[r.doc_id] or "") for r in back if V.MARK not in (texts[r.doc_id] or ""))
+
+
+def test_merges_equal_the_library(spark, make, words):
+    with open(public_tokenizers.path(V.MODEL), "rb") as f:
+        library = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+    texts = [" ".join(words[k : k + 25]) for k in range(0, 300, 25)] + ["The theory of theandtion, there!", "naïve größer\n日本 😀x  two   three", "aaaaaaaaaaaaaaaaaaaaaaaa", *ODD]
+    rows = {r.doc_id: r for r in V.encode_decode(make(texts), also_merges=True).collect()}
+    for k, t in enumerate(texts):
+        assert rows[k].merge_ids == library.encode(t or ""), repr(t)[:40]
