@@ -35,7 +35,7 @@ from .common import id_text, text_slices, written
 
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a block (a longer text is a block alone), and n-gram entries in a bucket.
-BLOCK, BUCKET = 8 << 20, 2_000_000
+BLOCK, BUCKET = 4 << 20, 2_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
