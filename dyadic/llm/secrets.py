@@ -10,7 +10,8 @@ of the alphabet (ALPHABET squared at most).
 Native: DataFrame functions only, all within a document's own row: no shuffle. A text is scanned
 once for each kind, and only texts with a match build spans.
 
-Positions are code points; end is exclusive. Matches of a kind are leftmost and don't overlap.
+Positions are code points; end is exclusive. Matches of a kind are leftmost and don't overlap. A text's
+spans are appended one by one, so its time grows with the square of its matches, not of its length.
 A method span that overlaps a base span is left out.
 
 Cases: null and empty texts have no span. Repeated rows give repeated results; an empty table
