@@ -43,6 +43,8 @@ from .graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of ROWS registers; a pair of similarity 0.8 shares no band with a probability of 0.0002.
 BANDS, ROWS = 16, 4
+#: Bytes of text that a worker signs at once.
+SLICE = 1 << 19
 #: Rows and shingles of a block of a candidate group.
 BLOCK_ROWS, BLOCK_ENTRIES = 512, 256_000
 
@@ -161,7 +163,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, bounds in text_slices(batch):
+            for rows, data, bounds in text_slices(batch, most=SLICE):
                 texts = rows.num_rows
                 h, doc = shingles(data, bounds)
                 n = np.bincount(doc, minlength=texts)
@@ -182,7 +184,7 @@ def _shingled(docs: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(in_filter(wanted.value, mix(ids.astype(np.int64).view(np.uint64)))))
-            for rows, data, bounds in text_slices(batch):
+            for rows, data, bounds in text_slices(batch, most=SLICE):
                 texts = rows.num_rows
                 h, doc = shingles(data, bounds)
                 fps = _binary16(_fingerprints(h, doc, texts), np.bincount(doc, minlength=texts) == 0)
