@@ -2,7 +2,8 @@
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of
 documents: quality rules, near-duplicate removal and decontamination drop rows, the secret scan
-replaces secrets in the text (and n_chars with it). The last one returns token ids.
+replaces secrets in the text (and n_chars with it). The last one returns token ids: the
+best-scoring ones and, as merge_ids, what the model's merge order gives.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return viterbi.encode_decode(docs)
+    return viterbi.encode_decode(docs, also_merges=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

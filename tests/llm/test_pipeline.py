@@ -4,7 +4,9 @@ import random
 import sys
 from pathlib import Path
 
+import public_tokenizers
 import pytest
+import sentencepiece
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -12,6 +14,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_decontaminate import ITEM  # noqa: E402
 from test_minhash_dedup import brute as classes  # noqa: E402
 
+from dyadic.llm.viterbi import MODEL  # noqa: E402
+
 
 def test_stages(spark, words, tmp_path):
     rng = random.Random(9)
@@ -42,3 +46,13 @@ def test_stages(spark, words, tmp_path):
     assert all(r.exact for r in final.values())
     assert final[secret].decoded_chars == len(texts[secret]) - len("token = abcdefghij0123456789") + len("[SECRET]")
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == without
+
+
+def test_merge_ids_of_the_last_stage_equal_the_library(spark, words, tmp_path):
+    with open(public_tokenizers.path(MODEL), "rb") as f:
+        library = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choice(words) for _ in range(30)) for k in range(8)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.merge_ids for r in rows} == {k: library.encode(t) for k, t in texts.items()}
