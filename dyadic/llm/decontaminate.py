@@ -4,8 +4,10 @@ Words become template tokens: numbers, names (capitals inside a sentence) and un
 turn into typed placeholders, other words into their lower-case form without outer punctuation.
 Windows of eight tokens are hash-joined between documents and benchmark items. Matches of a
 document and an item are lined up by their offset; along one offset every benchmark slot value
-must map to one document value and back. An item leaks if one consistent offset matches half of
-its windows, or 20 of them.
+must map to one document value (two of them may get the same). An item leaks if one consistent offset matches half of
+its windows, or 20 of them. Texts with runs of one placeholder type ("Mary Ann") are also compared with each run
+as one slot, so that a parameter may change its number of words; counts are of these windows only where
+words one by one don't suffice.
 
 Plan: a filter of fixed size over the benchmark's windows (a bit array, however large the benchmark is) runs beside the tokenizer,
 so documents emit only windows that may match; the exact join follows, so a filter that fills up
@@ -102,34 +104,57 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def forms(token: np.ndarray, slot: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """form of each text, token, slot, first, and the texts' rows: words one by one (form 1, or 3 without runs of a placeholder), then texts with runs with each run as one slot (2)."""
+    length = np.diff(first)
+    again = np.zeros(len(token), bool)
+    again[1:] = (slot[1:] != 0) & (slot[:-1] != 0) & (token[1:] == token[:-1])
+    again[first[:-1][length > 0]] = False
+    runs = np.diff(np.r_[0, np.cumsum(again)][first])
+    yield np.where(runs > 0, 1, 3), token, slot, first, np.arange(len(length))
+    rows = np.flatnonzero(runs)
+    if not len(rows):
+        return
+    own = np.repeat(runs > 0, length)
+    token, slot, again = token[own], slot[own], again[own]
+    begin = np.flatnonzero(~again)
+    place = np.arange(len(token)) - np.repeat(begin, np.diff(np.r_[begin, len(token)]))
+    # A slot's value alone, or joined with those that follow it.
+    with np.errstate(over="ignore"):
+        joined = np.add.reduceat(np.where(place > 0, mix(slot + place.astype(np.uint64)), slot), begin)
+    yield np.full(len(rows), 2), token[begin], joined, np.r_[0, np.cumsum((length - runs)[rows])], rows
+
+
 def windowed(rows: DataFrame, widths: list[int], own_width: bool = False, wanted=None) -> DataFrame:
-    """id, key, at, slots, n (windows of the text of that width): template windows; with own_width only those of the width that an item uses."""
+    """id, form, key, at, slots, n (windows of the text of that width): template windows; with own_width only those of the width that an item uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = wanted.value if wanted is not None else None
         for batch in batches:
             for part, data, bounds in text_slices(batch):
                 token, slot, w = tokens(data, bounds)
-                ids, length, doc = part.column(0), np.diff(w.first), w.doc
-                for width in widths:
-                    key, at = textvec.windows(token, w.first, width)
-                    with np.errstate(over="ignore"):
-                        key = mix(key + np.uint64(width))
-                    good = np.ones(len(key), bool) if filt is None else in_filter(filt, key)
-                    if own_width:
-                        good &= np.minimum(length[doc[at]], WIDTH) == width
-                    key, at = key[good], at[good]
-                    slots = slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint64)
-                    literal = (slots == 0).sum(1) * 2 >= width
-                    key, at, slots = key[literal], at[literal], slots[literal]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots.view(np.int64).ravel()))
-                    d = doc[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(d)), pa.array(key.view(np.int64)), pa.array(at - w.first[d]), lists, pa.array(length[d] - width + 1)],
-                        ["id", "key", "at", "slots", "n"],
-                    )
-
-    return rows.mapInArrow(run, "id long, key long, at long, slots array<long>, n long")
+                for form, token, slot, start, texts in forms(token, slot, w.first):
+                    ids, length = part.column(0).take(pa.array(texts)), np.diff(start)
+                    doc = np.repeat(np.arange(len(length)), length)
+                    for width in widths:
+                        key, at = textvec.windows(token, start, width)
+                        with np.errstate(over="ignore"):
+                            key = mix(key + np.uint64(width))
+                        good = np.ones(len(key), bool) if filt is None else in_filter(filt, key)
+                        if own_width:
+                            good &= np.minimum(length[doc[at]], WIDTH) == width
+                        key, at = key[good], at[good]
+                        slots = slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint64)
+                        literal = (slots == 0).sum(1) * 2 >= width
+                        key, at, slots = key[literal], at[literal], slots[literal]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots.view(np.int64).ravel()))
+                        d = doc[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(d)), pa.array(form[d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(at - start[d]), lists, pa.array(length[d] - width + 1)],
+                            ["id", "form", "key", "at", "slots", "n"],
+                        )
+
+    return rows.mapInArrow(run, "id long, form int, key long, at long, slots array<long>, n long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -139,23 +164,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     docs = id_text(docs, id_col, text_col).where("doc_id is not null")
     widths = list(range(SHORTEST, WIDTH + 1))
     theirs = windowed(items, widths, own_width=True).select(
-        "key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("windows"), F.size("slots").alias("width")
+        "key", F.col("id").alias("item_id"), F.col("form").alias("item_form"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("windows"), F.size("slots").alias("width")
     )
     used = sorted(r[0] for r in theirs.select("width").distinct().collect())  # five widths at most
     if not used:
         used = [WIDTH]
     wanted = spark.sparkContext.broadcast(key_filter(theirs, "key"))
-    ours = windowed(docs, used, wanted=wanted).select(F.col("id").alias("doc_id"), "key", "at", "slots")
+    ours = windowed(docs, used, wanted=wanted).select(F.col("id").alias("doc_id"), "form", "key", "at", "slots")
     pair = F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda p: p["b"] != 0)
     lined = (
         ours.join(theirs, "key")
-        .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"))
+        .withColumn("form", F.col("form").bitwiseAND(F.col("item_form")))
+        .where("form > 0")
+        .groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("offset"))
         .agg(F.count_distinct("item_at").alias("matched"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     )
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    caught = lined.where(one("b") & one("d") & ((F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= ENOUGH)))
+    one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
+    caught = lined.where(one & ((F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= ENOUGH)))
     same = ~F.exists("pairs", lambda p: p["b"] != p["d"])
-    return caught.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max(same).alias("verbatim"))
+    best = lambda x: F.coalesce(F.max(F.when(F.col("form") != 2, x)), F.max(x))
+    return caught.groupBy("doc_id", "item_id").agg(best(F.col("matched")).alias("matched"), best(F.col("windows")).alias("windows"), best(same).alias("verbatim"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

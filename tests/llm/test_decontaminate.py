@@ -47,3 +47,17 @@ def test_empty_tables_and_repeats(make, bench):
     assert D.leaks(make([]), bench).collect() == []
     assert D.leaks(make([ITEM]), bench.limit(0)).collect() == []
     assert len(D.leaks(make([ITEM, ITEM], [3, 3]), bench).collect()) == 1
+
+
+def test_two_parameters_with_the_same_new_value(make, bench):
+    text = ITEM.replace("12", "45").replace("30", "45")
+    assert caught(make, bench, [text]) == [(0, 1, False)]
+
+
+def test_parameters_of_another_number_of_words(make, bench, spark, words):
+    several = [ITEM.replace("Peter", "Mary Ann"), ITEM.replace("Peter", "Mary Ann").replace("Anna bought", "Eva Maria Roth bought").replace("while Anna", "while Eva Maria Roth").replace("7", "7 thousand")]
+    broken = several[1].replace("while Eva Maria Roth", "while Eva Roth")
+    filler = " ".join(words[:80]) + ". "
+    assert caught(make, bench, [filler + several[0], several[1], broken]) == [(0, 1, False), (1, 1, False)]
+    longer = spark.createDataFrame([(1, several[1], 9, "x")], SCHEMA)
+    assert caught(make, longer, [ITEM, several[1], several[0]]) == [(0, 1, False), (1, 1, True), (2, 1, False)]
