@@ -5,7 +5,8 @@ turn into typed placeholders, other words into their lower-case form without out
 Windows of eight tokens are hash-joined between documents and benchmark items. Matches of a
 document and an item are lined up by their offset; along one offset every benchmark slot value
 must map to one document value (two of them may get the same). An item leaks if one consistent offset matches half of
-its windows, or 20 of them. Texts with runs of one placeholder type ("Mary Ann") are also compared with each run
+its windows, or 20 of them. Windows with fewer than half literals are matched with their exact slot values, so that
+copies match them and other lists don't; as new parameters can't match them, half of an item's other windows is enough too. Texts with runs of one placeholder type ("Mary Ann") are also compared with each run
 as one slot, so that a parameter may change its number of words; counts are of these windows only where
 words one by one don't suffice.
 
@@ -126,7 +127,7 @@ def forms(token: np.ndarray, slot: np.ndarray, first: np.ndarray) -> Iterator[tu
 
 
 def windowed(rows: DataFrame, widths: list[int], own_width: bool = False, wanted=None) -> DataFrame:
-    """id, form, key, at, slots, n (windows of the text of that width): template windows; with own_width only those of the width that an item uses."""
+    """id, form, key, exact (dense in placeholders, so that the key holds their values), at, slots, n, n_open (windows of the text of that width, and those not exact): template windows; with own_width only those of the width that an item uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = wanted.value if wanted is not None else None
@@ -136,25 +137,31 @@ def windowed(rows: DataFrame, widths: list[int], own_width: bool = False, wanted
                 for form, token, slot, start, texts in forms(token, slot, w.first):
                     ids, length = part.column(0).take(pa.array(texts)), np.diff(start)
                     doc = np.repeat(np.arange(len(length)), length)
+                    literals = np.r_[0, np.cumsum(slot == 0)]
                     for width in widths:
                         key, at = textvec.windows(token, start, width)
                         with np.errstate(over="ignore"):
                             key = mix(key + np.uint64(width))
+                            exact = (literals[at + width] - literals[at]) * 2 < width
+                            for k in range(width if exact.any() else 0):
+                                key[exact] = mix(key[exact] * np.uint64(0xD1342543DE82EF95) + slot[at[exact] + k])
+                        n_open = np.bincount(doc[at], ~exact, len(length)).astype(np.int64)
                         good = np.ones(len(key), bool) if filt is None else in_filter(filt, key)
                         if own_width:
                             good &= np.minimum(length[doc[at]], WIDTH) == width
-                        key, at = key[good], at[good]
+                        key, at, exact = key[good], at[good], exact[good]
                         slots = slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint64)
-                        literal = (slots == 0).sum(1) * 2 >= width
-                        key, at, slots = key[literal], at[literal], slots[literal]
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots.view(np.int64).ravel()))
                         d = doc[at]
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(d)), pa.array(form[d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(at - start[d]), lists, pa.array(length[d] - width + 1)],
-                            ["id", "form", "key", "at", "slots", "n"],
-                        )
+                            [
+                                ids.take(pa.array(d)), pa.array(form[d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(exact),
+                                pa.array(at - start[d]), lists, pa.array(length[d] - width + 1), pa.array(n_open[d]),
+                            ],
+                            ["id", "form", "key", "exact", "at", "slots", "n", "n_open"],
+                        )
 
-    return rows.mapInArrow(run, "id long, form int, key long, at long, slots array<long>, n long")
+    return rows.mapInArrow(run, "id long, form int, key long, exact boolean, at long, slots array<long>, n long, n_open long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -164,8 +171,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     docs = id_text(docs, id_col, text_col).where("doc_id is not null")
     widths = list(range(SHORTEST, WIDTH + 1))
     theirs = windowed(items, widths, own_width=True).select(
-        "key", F.col("id").alias("item_id"), F.col("form").alias("item_form"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("windows"), F.size("slots").alias("width")
-    )
+        "key", "exact", F.col("id").alias("item_id"), F.col("form").alias("item_form"), F.col("at").alias("item_at"),
+        F.col("slots").alias("item_slots"), F.col("n").alias("windows"), "n_open", F.size("slots").alias("width"),
+    )
     used = sorted(r[0] for r in theirs.select("width").distinct().collect())  # five widths at most
     if not used:
         used = [WIDTH]
@@ -177,10 +185,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         .withColumn("form", F.col("form").bitwiseAND(F.col("item_form")))
         .where("form > 0")
         .groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("offset"))
-        .agg(F.count_distinct("item_at").alias("matched"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
-    )
+        .agg(
+            F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(~F.col("exact"), F.col("item_at"))).alias("open"),
+            F.max("windows").alias("windows"), F.max("n_open").alias("n_open"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), pair)))).alias("pairs"),
+        )
+    )
     one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
-    caught = lined.where(one & ((F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= ENOUGH)))
+    enough = (F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= ENOUGH) | ((F.col("open") > 0) & (F.col("open") >= SHARE * F.col("n_open")))
+    caught = lined.where(one & enough)
     same = ~F.exists("pairs", lambda p: p["b"] != p["d"])
     best = lambda x: F.coalesce(F.max(F.when(F.col("form") != 2, x)), F.max(x))
     return caught.groupBy("doc_id", "item_id").agg(best(F.col("matched")).alias("matched"), best(F.col("windows")).alias("windows"), best(same).alias("verbatim"))

@@ -61,3 +61,15 @@ def test_parameters_of_another_number_of_words(make, bench, spark, words):
     assert caught(make, bench, [filler + several[0], several[1], broken]) == [(0, 1, False), (1, 1, False)]
     longer = spark.createDataFrame([(1, several[1], 9, "x")], SCHEMA)
     assert caught(make, longer, [ITEM, several[1], several[0]]) == [(0, 1, False), (1, 1, True), (2, 1, False)]
+
+
+def test_items_dense_in_placeholders(make, spark, words):
+    table = "The list says Anna 12 kg Peter 30 kg Olga 7 kg Maria 45 kg Paul 8 kg Eva 19 kg which makes this heap of goods"
+    short = "add 3 4 5 6 7"
+    bench = spark.createDataFrame([(1, table, 9, "x"), (2, short, 9, "x")], SCHEMA)
+    filler = " ".join(words[:80]) + ". "
+    changed = table.replace("Anna 12", "Tim 61").replace("Eva 19", "Uwe 77")
+    other = "Some say Anna 11 kg Peter 31 kg Olga 6 kg Maria 44 kg Paul 9 kg Eva 18 kg and no more than that"
+    texts = [filler + table + ". " + filler, filler + changed, other, filler + short, "add 3 4 5 6 8"]
+    assert caught(make, bench, texts) == [(0, 1, True), (1, 1, False), (3, 2, True)]
+    assert [tuple(r) for r in D.leaks(make([ITEM]), spark.createDataFrame([(1, ITEM, 9, "x")], SCHEMA)).select("matched", "windows").collect()] == [(20, 20)]
