@@ -9,6 +9,7 @@ is valid if its tokens stand in the class's order; valid classes are nested, lar
 and one that crosses the bounds of another is dropped. What the template doesn't hold is slots; the
 text of slots is the page's data, from which the article's blocks are taken by their place:
 within article or main if there are any, outside of menus, forms, notices, adverts and comments.
+Text within article or main stays even where the template holds it, since a host's pages may be copies of one article.
 
 Cases: null or empty html gives an empty text. Hosts with few pages, and urls that are null or
 have no host, have no template and rely on place alone. Repeated rows give repeated results. An empty table gives none.
@@ -82,17 +83,23 @@ def _hash(x: str) -> int:
 
 
 def parse(page: str) -> Page:
-    out, stack, at, block = Page(), [], 0, 0
+    out, stack, at, block, gap = Page(), [], 0, 0, -1
     # Each open element: name, path, apart, article, main, content, linked.
     top = ("", "", False, False, False, False, False)
 
     def text(s: str) -> None:
-        if s and not s.isspace():
+        nonlocal gap
+        plain = s if s.isspace() else entities.unescape(s)
+        if clean := " ".join(plain.split()):
             name, path, *flags = stack[-1] if stack else top
-            clean = " ".join(entities.unescape(s).split())
-            if clean:
-                out.tokens.append(_hash(f"{path}\0{clean}"))
-                out.runs.append(Run(len(out.tokens) - 1, entities.unescape(s), block, path, *flags))
+            out.tokens.append(_hash(f"{path}\0{clean}"))
+            out.runs.append(Run(len(out.tokens) - 1, " " * (gap == block) + plain, block, path, *flags))
+            gap = -1
+        elif plain:
+            # White space alone parts the runs on both sides; either may be left out later.
+            gap = block
+            if out.runs and out.runs[-1].block == block:
+                out.runs[-1].text += " "
 
     raw_until = None
     for m in _TOKEN.finditer(page):
@@ -191,8 +198,8 @@ def article(page: str, template: dict[int, list[int]] | None = None) -> str:
     whole: dict[int, bool] = {}
     for r in chosen:
         blocks.setdefault(r.block, []).append(r.text)
-        whole[r.block] = whole.get(r.block, True) and r.token in fixed
-    # A block all of whose text is part of the host's template is no slot.
+        whole[r.block] = whole.get(r.block, True) and r.token in fixed and not (r.article or r.main)
+    # A block all of whose text is part of the host's template is no slot, but for marked articles.
     texts = (" ".join("".join(parts).split()) for k, parts in blocks.items() if not whole[k])
     return "\n\n".join(t for t in texts if t)
 

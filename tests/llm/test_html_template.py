@@ -47,3 +47,18 @@ def test_classes_are_ordered_and_nested():
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("between", [" ", "\n", "&nbsp;", " <!-- x --> ", "<span hidden>x</span> ", " <span hidden>x</span>"])
+def test_white_space_between_inline_tags(between):
+    assert H.article(f"<article><p><b>Hello</b>{between}<i>world</i></p>{between}<p><a>a</a><a>b</a></article>") == "Hello world\n\nab"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_copies_of_one_article_stay(spark, words, tag):
+    body = " ".join(words[:30])
+    other = [" ".join(words[k : k + 30]) for k in (40, 80)]
+    page = "<html><body><div>Welcome to our site</div><{0}><h1>Title</h1><p>{1}</p></{0}><div>All rights reserved</div></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format(tag, t), "h", "t") for k, t in enumerate([body] * 10 + other)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: f"Title\n\n{t}" for k, t in enumerate([body] * 10 + other)}
