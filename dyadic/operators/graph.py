@@ -104,12 +104,12 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, eps: float = 1e-10) -> tuple
 # --- trees and DAGs ------------------------------------------------------------------------------
 
 
-def closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id", include_self: bool = True, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor): ancestors of every node, itself included unless told otherwise. Paths double in each round, so rounds grow with the log of the depth."""
+def closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id", include_self: bool = True) -> DataFrame:
+    """(node, ancestor): ancestors of every node, itself included unless told otherwise. Paths double in each round until none is new, so rounds grow with the log of the depth."""
     step = edges.where(f"{parent} is not null").select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).distinct()
     reach = cut(step)
     n = reach.count()
-    for _ in range(max_depth.bit_length()):
+    while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
         reach = cut(reach.unionByName(further).distinct())
         if (m := reach.count()) == n:

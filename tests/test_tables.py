@@ -176,3 +176,11 @@ def test_reports(spark):
     assert as_text(df).splitlines() == [" k    v", " a  1.5", "bb     "]
     assert as_text(df, latex=True).splitlines()[1] == "a & 1.5 \\\\"
     assert timed(lambda: 3, 2)[0] == 3
+
+
+def test_closure_of_a_deep_tree(spark):
+    n = 200
+    edges = spark.range(1, n + 1).select(F.col("id").alias("node_id"), (F.col("id") - 1).alias("parent_id"))
+    up = G.closure(edges)
+    assert up.count() == (n + 1) * (n + 2) // 2
+    assert up.where(f"node = {n} and ancestor = 0").count() == 1
