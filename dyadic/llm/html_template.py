@@ -1,18 +1,24 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags with their paths, and its text runs with theirs. Over the pages of a
-host, tokens with the same occurrence vector (so many times on each page) form an equivalence
-class. Vectors are never gathered: a token's vector is a XOR of hashes of (page, count), so
-classes come from two grouped aggregations, and a host with a third of all pages is reduced before
-it is shuffled. Classes that are large and frequent make the host's template. On a page, a class
-is valid if its tokens stand in the class's order; valid classes are nested, largest first,
-and one that crosses the bounds of another is dropped. What the template doesn't hold is slots; the
-text of slots is the page's data, from which the article's blocks are taken by their place:
-within article or main if there are any, outside of menus, forms, notices, adverts and comments.
-Text within article or main stays even where the template holds it, since a host's pages may be copies of one article.
-
-Cases: null or empty html gives an empty text. Hosts with few pages, and urls that are null or
-have no host, have no template and rely on place alone. Repeated rows give repeated results. An empty table gives none.
+Tokens of a page are its tags with their paths, and its text runs with theirs. Over the distinct
+contents of a host, tokens with the same occurrence vector (so many times on each page) form an
+equivalence class. Vectors are never gathered: a token's vector is a XOR of hashes of (content,
+count), so classes come from grouped aggregations, and pages with the same text count once, however
+often rows or mirrors repeat them. Classes that SHARE of a host's contents hold make its template.
+Tags nest by construction; runs of text belong to the template if their class has tags too, if
+EVIDENCE contents at least hold it and if its tokens stand in the class's order on the page.
+
+What the template doesn't hold is slots. Which slots are data is decided for the whole host, from
+what its pages put there: names of elements and words of their classes are only a prior. A kind of
+mark (article, main, content) counts if it covers MARKED of the host's running text, so teasers in
+article tags don't; an element whose name says that it holds no article counts all the same if it
+holds most of the marked text; text that the template holds, and blocks of links, are no data where no
+mark counts. Within a mark that counts no text goes because others have it too: pages may be copies of
+one article or share paragraphs. Without a template (`article(page, None)`) a page is one slot: all its text.
+
+Cases: null or empty html gives an empty text. A page whose url is null or has no host is a host of
+its own. Repeated rows give repeated results, ties none. An empty table gives none. Other columns
+are never read. Long, deeply nested and broken pages take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -28,10 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
-#: A template class: least pages, least share of the host's pages, least tokens.
-LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 8, 0.8, 3
+#: Least share of a host's contents that a template token is on (so a template is bounded: 100 times an average page's tokens).
+SHARE = 0.01
+#: Contents that must agree before a text is the template's; two can't tell a template from a quotation.
+EVIDENCE = 3
+#: Least share of a host's running text that a kind of mark covers; least share of it that a form holds which is no form but the page.
+MARKED, WHOLE = 0.25, 0.9
 
 # Names of elements and words of class, id and role.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "xmp", "noembed", "noframes"}
@@ -52,48 +62,83 @@ NOT_ARTICLE = set(
 NOT_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 ARTICLE_WORDS = {"article", "post", "entry", "content", "main", "story"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What an element's name, words and attributes say about it: no article, perhaps none, a form; a mark of each kind; a link.
+APART_BIT, PERHAPS, FORM, ARTICLE, MAIN, CONTENT, LINK = 1, 2, 4, 8, 16, 32, 64
+KINDS = (ARTICLE, MAIN, CONTENT)
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ENDS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
+_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
+_closes: dict[str, re.Pattern] = {}
+_tags: dict[str, tuple[str, str, int, frozenset]] = {}
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 @dataclass
 class Run:
-    """A run of text in one block: its place among the page's tokens and where it stands."""
+    """A run of text: its place among the page's tokens, its node and its block; size counts its characters without outer white space."""
 
+    place: int
     token: int
     text: str
+    size: int
     block: int
-    path: str
-    apart: bool
-    article: bool
-    main: bool
-    content: bool
-    linked: bool
+    node: int
 
 
 @dataclass
 class Page:
-    tokens: list[int] = field(default_factory=list)  # hashes of tags with paths and of text runs, in page order
+    """Nodes are elements in page order; -1 is the page itself. bits: of the node and all that it stands in."""
+
+    tokens: list[int] = field(default_factory=list)  # of tags and text runs, in page order
+    node_token: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    own: list[int] = field(default_factory=list)
+    bits: list[int] = field(default_factory=list)
+    place: list[int] = field(default_factory=list)
     runs: list[Run] = field(default_factory=list)
 
 
-def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _told(raw: str) -> tuple[str, str, int, frozenset]:
+    """Name of an opening tag, what its token adds to its parent's, its bits, and its words; remembered, since tags repeat."""
+    if (known := _tags.get(raw)) is not None:
+        return known
+    name = _NAME.match(raw)[0]
+    rest, name = raw[len(name) :], name.lower()
+    attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(rest)} if rest.strip() else {}
+    words = frozenset(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    role = attrs.get("role", "").lower()
+    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    bits = ARTICLE * (name == "article") | MAIN * (name == "main" or role == "main") | LINK * (name == "a")
+    bits |= CONTENT * (bool(words & ARTICLE_WORDS) and name not in ("html", "body"))
+    bits |= FORM * (name == "form") | APART_BIT * ((name in APART and name != "form") or hidden or role in NOT_ARTICLE_ROLES)
+    # The whole page and the article itself may say what they contain; an article of comments only says that.
+    bits |= PERHAPS * (bool(words & NOT_ARTICLE) and not (name in ("html", "body", "main") or name == "article" and words & ARTICLE_WORDS))
+    path = "/" + name + "".join(f".{w}" for w in sorted(words)) + "!" * hidden + (f"@{role}" if role in NOT_ARTICLE_ROLES or role == "main" else "")
+    if len(_tags) > 50_000:
+        _tags.clear()
+    _tags[raw] = name, path, bits, words
+    return _tags[raw]
 
 
 def parse(page: str) -> Page:
-    out, stack, at, block, gap = Page(), [], 0, 0, -1
-    # Each open element: name, path, apart, article, main, content, linked.
-    top = ("", "", False, False, False, False, False)
+    """Nodes and runs of a page, in one pass over it."""
+    out, stack, open_names, block, gap = Page(), [], Counter(), 0, -1
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    quotes = True  # whether quotes may hide a >; not any more, once a tag wouldn't end because of them
 
     def text(s: str) -> None:
         nonlocal gap
         plain = s if s.isspace() else entities.unescape(s)
         if clean := " ".join(plain.split()):
-            name, path, *flags = stack[-1] if stack else top
-            out.tokens.append(_hash(f"{path}\0{clean}"))
-            out.runs.append(Run(len(out.tokens) - 1, " " * (gap == block) + plain, block, path, *flags))
+            node = stack[-1][1] if stack else -1
+            out.tokens.append(_hash(f"{out.node_token[node] if node >= 0 else 0:x}\0{clean}"))
+            out.runs.append(Run(len(out.tokens) - 1, out.tokens[-1], " " * (gap == block) + plain, len(clean), block, node))
             gap = -1
         elif plain:
             # White space alone parts the runs on both sides; either may be left out later.
@@ -101,110 +146,235 @@ def parse(page: str) -> Page:
             if out.runs and out.runs[-1].block == block:
                 out.runs[-1].text += " "
 
-    raw_until = None
-    for m in _TOKEN.finditer(page):
-        if raw_until is not None and (m.start() < at or not m[2] or m[1] != "/" or m[2].lower() != raw_until):
-            continue
-        if raw_until is not None:
-            raw_until, at = None, m.end()
+    def pop(name: str) -> None:
+        while True:
+            top = stack.pop()[0]
+            open_names[top] -= 1
+            if top == name:
+                return
+
+    def tag_end(at: int) -> int:
+        nonlocal quotes
+        first = at
+        while quotes and (m := _ENDS.search(page, at)):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if page[m.start() - 1] == "=" or page[m.start() - 1].isspace():
+                at = page.index(m[0], at) + 1 if last_quote[m[0]] >= at else at
+        quotes = False
+        return page.find(">", first)
+
+    begin = at = 0
+    while (lt := page.find("<", at)) >= 0:
+        at = lt + 1
+        mark = page[at : at + 1]
+        if mark in ("!", "?"):
+            end = page.find("-->", lt + 4) if page.startswith("!--", at) else page.find(">", at)
+            if end < 0 and not page.startswith("!--", at):
+                continue
+            text(page[begin:lt])
+            begin = at = len(page) if end < 0 else end + (3 if page.startswith("!--", lt + 1) else 1)
             continue
-        if m.start() < at:
+        closing = mark == "/"
+        m = _NAME.match(page, at + closing)
+        if not m:
             continue
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        end = page.find(">", m.end()) if closing else tag_end(m.end())
+        if end < 0:
             continue
-        name = m[2].lower()
+        text(page[begin:lt])
+        begin = at = end + 1
+        if closing:
+            name = m[0].lower()
+        else:
+            raw = page[lt + 1 : end]
+            name, path, bits, words = _told(raw)
         if name in BLOCKS:
             block += 1
         elif name in CELLS and out.runs and out.runs[-1].block == block:
             out.runs[-1].text += " "
-        if m[1]:
-            if name in (e[0] for e in stack):
-                while stack.pop()[0] != name:
-                    pass
+        if closing:
+            if open_names[name]:
+                pop(name)
             continue
-        attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3].strip() else {}
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-                raw_until, at = (name, close.start()) if close else (name, len(page))
+            if not raw.endswith("/"):
+                if name not in _closes:
+                    _closes[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+                close = _closes[name].search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                begin = at = len(page) if end < 0 else end + 1
             continue
-        if name in CLOSES_P and any(e[0] == "p" for e in stack):
-            while stack.pop()[0] != "p":
-                pass
+        if name in CLOSES_P and open_names["p"]:
+            pop("p")
         if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-        _, path, apart, article, main, content, linked = stack[-1] if stack else top
-        words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-        path = f"{path}/{name}" + "".join(f".{w}" for w in sorted(words))
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        head = name == "header" or ("header" in words and not words & ARTICLE_WORDS)
-        apart = apart or name in APART or hidden or (head and not article) or attrs.get("role", "") in NOT_ARTICLE_ROLES
-        # The whole page and the article itself may say what they contain; an article of comments only says that.
-        named = bool(words & NOT_ARTICLE) and not (name in ("html", "body", "main") or name == "article" and words & ARTICLE_WORDS)
-        apart = apart or named
-        out.tokens.append(_hash(path))
-        entry = (
-            name, path, apart, article or name == "article", main or name == "main" or attrs.get("role") == "main",
-            content or bool(words & ARTICLE_WORDS and name not in ("html", "body")), linked or name == "a",
-        )
+            pop("li")
+        node = stack[-1][1] if stack else -1
+        inside = out.bits[node] if node >= 0 else 0
+        if (name == "header" or ("header" in words and not words & ARTICLE_WORDS)) and not inside & ARTICLE:
+            bits |= APART_BIT
+        token = _hash(f"{out.node_token[node] if node >= 0 else 0:x}{path}")
+        out.tokens.append(token)
+        out.place.append(len(out.tokens) - 1)
+        out.node_token.append(token)
+        out.parent.append(node)
+        out.own.append(bits)
+        out.bits.append(inside | bits)
         if name not in VOID:
-            stack.append(entry)
-    if raw_until is None:
-        text(page[at:])
+            stack.append((name, len(out.parent) - 1))
+            open_names[name] += 1
+    text(page[begin:])
     return out
 
 
-def template_tokens(page: Page, template: dict[int, list[int]]) -> set[int]:
-    """Places of the page's tokens that belong to valid, nested classes of the template (class -> its tokens in order)."""
-    where: dict[int, list[int]] = {}
+# --- evidence -----------------------------------------------------------------------------------
+
+#: Tokens that carry a host's sums: all running text, and that of each kind.
+_TOTAL = _hash("\0total")
+_OF_KIND = {k: _hash(f"\0kind{k}") for k in KINDS}
+_SEEN = "array<struct<token:long,vec:long,at:long,chars:long,marked:long,bits:int>>"
+_NAMES = ["token", "vec", "at", "chars", "marked", "bits"]
+TEXT_BIT = 128
+
+
+def evidence(page: Page) -> tuple[int, list[tuple]]:
+    """A hash of the page's text, and for each of its tokens: token, vec (a hash of content and count), at (its first place), chars and marked (characters
+    of running text in it, and of those within article or main), bits."""
+    content = _hash("\n".join(r.text.strip() for r in page.runs))
+    chars, marked = [0] * len(page.parent), [0] * len(page.parent)
+    sums, all_marked = {_TOTAL: 0} | {t: 0 for t in _OF_KIND.values()}, 0
+    for r in page.runs:
+        bits = page.bits[r.node] if r.node >= 0 else 0
+        if bits & (LINK | APART_BIT):
+            continue
+        sums[_TOTAL] += r.size
+        for kind, token in _OF_KIND.items():
+            sums[token] += r.size * bool(bits & kind)
+        all_marked += r.size * bool(bits & (ARTICLE | MAIN))
+        if r.node >= 0:
+            chars[r.node] += r.size
+            marked[r.node] += r.size * bool(bits & (ARTICLE | MAIN))
+    for k in range(len(page.parent) - 1, -1, -1):
+        if (up := page.parent[k]) >= 0:
+            chars[up] += chars[k]
+            marked[up] += marked[k]
+    found: dict[int, list[int]] = {}  # token -> count, place, chars, marked, bits
+    for k, token in enumerate(page.node_token):
+        own = found.setdefault(token, [0, page.place[k], 0, 0, page.own[k]])
+        own[0] += 1
+        own[2] += chars[k]
+        own[3] += marked[k]
+    for r in page.runs:
+        apart = bool(page.bits[r.node] & (APART_BIT | PERHAPS | LINK)) if r.node >= 0 else False
+        own = found.setdefault(r.token, [0, r.place, 0 if apart else r.size, 0, TEXT_BIT])
+        own[0] += 1
+    rows = [(t, _hash(f"{content}\0{n}"), at, c, m, bits) for t, (n, at, c, m, bits) in found.items()]
+    return content, rows + [(t, content, -1, n, all_marked * (t == _TOTAL), 0) for t, n in sums.items()]
+
+
+@dataclass
+class Template:
+    """known: tag tokens of the template. kept: those that hold the article whatever their names say. kinds: bits of the
+    marks that count. classes: tokens in order, of classes with text."""
+
+    known: set[int]
+    kept: set[int]
+    kinds: int
+    classes: list[list[int]]
+
+
+def conclude(rows: Iterable[tuple]) -> Template:
+    """The template of a host from its tokens: token, contents that have it, vec, at (mean place), chars, marked, bits (chars and marked are sums over contents)."""
+    by = {r[0]: r for r in rows}
+    contents, total, marked = by[_TOTAL][1], by[_TOTAL][4], by[_TOTAL][5]
+    # A form that holds the page's text is the page; so does an element hold the article that holds most of what is marked.
+    kept = {t for t, _, _, _, c, m, bits in by.values() if bits & (PERHAPS | FORM) and ((m * 2 >= marked > 0) or (bits & FORM and c >= WHOLE * total > 0))}
+    kinds = sum(k for k, t in _OF_KIND.items() if by[t][4] >= MARKED * total)
+    for t in (_TOTAL, *_OF_KIND.values()):
+        del by[t]
+    classes: dict[tuple[int, int], list[tuple]] = {}
+    for r in by.values():
+        classes.setdefault((r[1], r[2]), []).append(r)
+    fixed = [sorted(c, key=lambda r: (r[3], r[0])) for (n, _), c in classes.items() if n >= EVIDENCE and any(r[6] & TEXT_BIT for r in c) and any(not r[6] & TEXT_BIT for r in c)]
+    # Text that outweighs the rest is what copies share, no template.
+    if sum(r[4] for c in fixed for r in c if r[6] & TEXT_BIT) * 2 > total:
+        fixed = []
+    return Template({t for t, *_, bits in by.values() if not bits & TEXT_BIT}, kept, kinds, [[r[0] for r in c] for c in fixed])
+
+
+def alone(page: Page) -> Template:
+    """The template of a host with one page."""
+    return conclude((t, 1, vec, at, chars, marked, bits) for t, vec, at, chars, marked, bits in evidence(page)[1])
+
+
+# --- slots --------------------------------------------------------------------------------------
+
+
+def template_places(page: Page, classes: list[list[int]]) -> set[int]:
+    """Places of the page's tokens that belong to valid, nested classes (each its tokens in order), largest first."""
+    where: dict[int, list[int]] = {t: [] for c in classes for t in c}
     for k, t in enumerate(page.tokens):
-        where.setdefault(t, []).append(k)
-    spans, taken = [], set()
-    for tokens in sorted(template.values(), key=lambda x: (-len(x), x)):
-        places = [where.get(t, []) for t in tokens]
+        if t in where:
+            where[t].append(k)
+    taken: set[int] = set()
+    inside = [0] * len(page.tokens)  # the innermost accepted span that each place lies in
+    spans = 0
+    for tokens in sorted(classes, key=lambda c: (-len(c), c)):
+        places = [where[t] for t in tokens]
         times = {len(p) for p in places}
         if len(times) != 1 or not times.pop():
             continue
         rounds = list(zip(*places))
         flat = [k for one in rounds for k in one]
-        if flat != sorted(flat):
-            continue
-        own = [(one[0], one[-1]) for one in rounds]
-        if any(a < c <= b < d or c < a <= d < b for a, b in own for c, d in spans):
+        # Spans are nested or apart if both ends lie in the same innermost span.
+        if any(a > b for a, b in zip(flat, flat[1:])) or any(inside[one[0]] != inside[one[-1]] for one in rounds):
             continue
-        spans += own
+        for one in rounds:
+            spans += 1
+            around = inside[one[0]]
+            for k in range(one[0], one[-1] + 1):
+                if inside[k] == around:
+                    inside[k] = spans
         taken.update(flat)
     return taken
 
 
-def article(page: str, template: dict[int, list[int]] | None = None) -> str:
-    parsed = parse(page)
-    fixed = template_tokens(parsed, template) if template else set()
-    runs = [r for r in parsed.runs if not r.apart]
-    for kind in ("article", "main", "content"):
-        if chosen := [r for r in runs if getattr(r, kind)]:
-            break
-    else:
-        chosen = [r for r in runs if r.token not in fixed]
-        share: Counter = Counter()
-        total: Counter = Counter()
-        for r in chosen:
-            total[r.block] += len(r.text)
-            share[r.block] += len(r.text) * r.linked
-        chosen = [r for r in chosen if share[r.block] * 2 <= total[r.block]]
+def article(page: str | Page, template: Template | None) -> str:
+    """The text of the page's data slots; without a template the whole page is one slot."""
+    page = parse(page) if isinstance(page, str) else page
+    chosen = page.runs
+    if template is not None:
+        # Bits of the template's elements that each node stands in: no article, and marks that count.
+        bits, known = [0] * len(page.parent), template.known
+        for k, token in enumerate(page.node_token):
+            own, up = page.own[k] if token in known else 0, page.parent[k]
+            if token in template.kept:
+                own &= ~(PERHAPS | FORM)
+            bits[k] = own | (bits[up] if up >= 0 else 0)
+        state = lambda r: bits[r.node] if r.node >= 0 else 0
+        runs = [r for r in page.runs if not state(r) & (APART_BIT | PERHAPS | FORM)]
+        for kind in KINDS:
+            if template.kinds & kind and (chosen := [r for r in runs if state(r) & kind]):
+                break
+        else:
+            kind, chosen = 0, runs
+        if kind in (0, CONTENT):
+            fixed = template_places(page, template.classes) if template.classes else set()
+            chosen = [r for r in chosen if r.place not in fixed]
+        if not kind:
+            share: Counter = Counter()
+            for r in chosen:
+                share[r.block] += r.size if state(r) & LINK else -r.size
+            chosen = [r for r in chosen if share[r.block] <= 0]
     blocks: dict[int, list[str]] = {}
-    whole: dict[int, bool] = {}
     for r in chosen:
         blocks.setdefault(r.block, []).append(r.text)
-        whole[r.block] = whole.get(r.block, True) and r.token in fixed and not (r.article or r.main)
-    # A block all of whose text is part of the host's template is no slot, but for marked articles.
-    texts = (" ".join("".join(parts).split()) for k, parts in blocks.items() if not whole[k])
+    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
-_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
+# --- plan ---------------------------------------------------------------------------------------
 
 
 def _host(url: str | None) -> int | None:
@@ -212,47 +382,72 @@ def _host(url: str | None) -> int | None:
     return _hash(m[1].lower()) if m else None
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, vec (a hash of page and count), at (mean place of the token on the page)."""
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, content, tokens: one row for each page that has a host."""
+    fields = [pa.field(n, pa.int32() if n == "bits" else pa.int64()) for n in _NAMES]
     for batch in batches:
         for first in range(0, batch.num_rows, 200):
-            rows = batch.slice(first, 200).to_pydict()
-            out: list[list] = [[], [], [], []]
-            for page_id, url, page in zip(rows["page_id"], rows["url"], rows["html"]):
-                if (host := _host(url)) is None or not page:
+            rows = batch.slice(first, 200)
+            hosts, contents, cuts, cols = [], [], [0], [[] for _ in fields]
+            for url, page in zip(rows.column(0), rows.column(1)):
+                if (host := _host(url.as_py())) is None or not (page := page.as_py()):
                     continue
-                tokens = parse(page).tokens
-                count, place = Counter(tokens), {}
-                for k, t in enumerate(tokens):
-                    place.setdefault(t, k)
-                salt = f"{page_id}\0{url}\0"
-                for t, n in count.items():
-                    for col, x in zip(out, (host, t, _hash(f"{salt}{n}"), place[t])):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["host", "token", "vec", "at"])
+                content, own = evidence(parse(page))
+                hosts.append(host)
+                contents.append(content)
+                for c, x in zip(cols, zip(*own)):
+                    c.extend(x)
+                cuts.append(len(cols[0]))
+            tokens = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], fields=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tokens)], ["host", "content", "tokens"])
+
+
+_TEMPLATE = "host long, known array<long>, kept array<long>, kinds int, classes array<array<long>>"
+
+
+def _concluded(group: pa.Table) -> pa.Table:
+    rows = group.to_pydict()
+    t = conclude(zip(*(rows[c] for c in ("token", "pages", "vec", "at", "chars", "marked", "bits"))))
+    longs = pa.list_(pa.int64())
+    return pa.table(
+        {
+            "host": pa.array(rows["host"][:1], pa.int64()), "known": pa.array([sorted(t.known)], longs), "kept": pa.array([sorted(t.kept)], longs),
+            "kinds": pa.array([t.kinds], pa.int32()), "classes": pa.array([t.classes], pa.list_(longs)),
+        }
+    )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, classes: for each host an array of (vec, tokens in order). A host's template is bounded by the tokens that most of its pages share."""
-    seen = pages.select("page_id", "url", "html").mapInArrow(_occurrences, "host long, token long, vec long, at long")
-    tokens = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor("vec").alias("vec"), F.avg("at").alias("at")).where(F.col("pages") >= LEAST_PAGES)
-    tokens, _ = written(tokens, "tokens")
-    # Every page has the root tag, so the most frequent token counts a host's pages with any tag.
-    hosts = tokens.groupBy("host").agg(F.max("pages").alias("all"))
-    frequent = tokens.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all"))
-    classes = frequent.groupBy("host", "vec").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    return classes.groupBy("host").agg(F.collect_list(F.struct("vec", "tokens")).alias("classes"))
+    """host and its template. Rows of one content count once; a host's tokens meet in one task only after SHARE has bounded them."""
+    seen = pages.select("url", "html").mapInArrow(_evidence, f"host long, content long, tokens {_SEEN}")
+    once = seen.dropDuplicates(["host", "content"])
+    tokens = once.select("host", F.inline("tokens")).groupBy("host", "token").agg(
+        F.count("*").alias("pages"), F.bit_xor("vec").alias("vec"), F.avg("at").alias("at"), F.sum("chars").alias("chars"), F.sum("marked").alias("marked"), F.first("bits").alias("bits")
+    )
+    tokens, path = written(tokens.where((F.col("pages") >= EVIDENCE) | (F.col("bits") != TEXT_BIT)), "tokens")
+    contents = tokens.where(F.col("token") == _TOTAL).select("host", F.col("pages").alias("contents"))
+    found, _ = written(tokens.join(contents, "host").where(F.col("pages") >= SHARE * F.col("contents")).drop("contents").groupBy("host").applyInArrow(_concluded, _TEMPLATE), "templates")
+    remove(pages.sparkSession, path)
+    return found
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[int, Template] = {}
     for batch in batches:
         for first in range(0, batch.num_rows, 100):
             part = batch.slice(first, 100)
-            rows = part.to_pydict()
-            texts = [article(page or "", {c["vec"]: c["tokens"] for c in classes or ()}) for page, classes in zip(rows["html"], rows["classes"])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
-            )
+            host, kinds = part.column(3).to_pylist(), part.column(6)
+            texts = []
+            for k, html in enumerate(part.column(2)):
+                page = parse(html.as_py() or "")
+                if not kinds[k].is_valid:
+                    template = alone(page)
+                elif (template := known.get(host[k])) is None:
+                    if len(known) > 2000:
+                        known.clear()
+                    template = known[host[k]] = Template(set(part.column(4)[k].as_py()), set(part.column(5)[k].as_py()), kinds[k].as_py(), part.column(7)[k].as_py())
+                texts.append(article(page, template))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +459,7 @@ def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found, _ = written(templates(pages), "templates")  # as a table, its size is known when the join is planned
+    found = templates(pages)  # as a table, its size is known when the join is planned
     hosted = pages.mapInArrow(_with_host, "page_id long, url string, html string, host long")
-    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "classes")
+    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "host", "known", "kept", "kinds", "classes")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
