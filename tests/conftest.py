@@ -23,6 +23,3 @@ def spark(tmp_path_factory):
     out.sparkContext.setLogLevel("ERROR")
     yield out
     out.stop()
-
-
-DATA = "/root/testdata/sf0.001"
