@@ -103,7 +103,7 @@ def measurements(text: Column) -> Column:
 
 def ledger_column(text: Column, policy: str = POLICY) -> Column:
     """Measurements, fail_bits, base_failed and kept of a text, as one struct evaluated once."""
-    fields = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclamations", "n_distinct", "longest_word"]
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations", "n_distinct", "longest_word"]
 
     def judged(m: Column) -> Column:
         bits = F.lit(0).cast("long")
@@ -119,8 +119,11 @@ def passes(fail_bits: Column, policy: str) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: str = POLICY) -> DataFrame:
+    """doc_id, the base measurements, base_failed, kept, then the other measurements and fail_bits."""
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), ledger_column(F.col(text_col), policy).alias("l"))
-    return made.select("doc_id", "l.*").withColumn("base_failed", ~F.col("base_ok")).drop("base_ok")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rest = ["n_lines", "n_capitals", "n_exclamations", "n_distinct", "longest_word", "fail_bits"]
+    return made.select("doc_id", *(f"l.{c}" for c in base), (~F.col("l.base_ok")).alias("base_failed"), "l.kept", *(f"l.{c}" for c in rest))
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:

@@ -7,15 +7,17 @@ random strings and one of ordinary identifiers, reaches a threshold. Both models
 character transitions counted from labelled samples; what leaves Spark is one ratio for each pair
 of the alphabet (ALPHABET squared at most).
 
-Native: DataFrame functions only, all within a document's own row: no shuffle. A text is scanned
-once for each kind, and only texts with a match build spans.
+Native: DataFrame functions only, all within a document's own row: no shuffle. A text is searched
+once for each kind; where that finds a match, two or three more scans take matches and gaps.
+Positions are running sums of their lengths, so time is in proportion to a text's length, times the
+logarithm of its matches, also for a token of megabytes. Only `redacted` cuts the text once for each match.
 
-Positions are code points; end is exclusive. Matches of a kind are leftmost and don't overlap. A text's
-spans are appended one by one, so its time grows with the square of its matches, not of its length.
+Positions are code points; end is exclusive. Matches of a kind are leftmost and don't overlap.
 A method span that overlaps a base span is left out.
 
-Cases: null and empty texts have no span. Repeated rows give repeated results; an empty table
-gives none. Other columns are never read, and `redacted` keeps them.
+Cases: null and empty texts have no span. Spans of several kinds may start at one place (a tie); they come in the
+order of KINDS. Repeated rows give repeated results; an empty table gives none. Other columns are never
+read, and `redacted` keeps them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 # Fixed values of the base kinds, in their order.
 KINDS = ["assign", "access", "hex", "markov"]
@@ -97,8 +99,7 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio over the pairs of characters of a token of ALPHABET."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
-    place = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    places = F.transform(F.sequence(F.lit(1), F.length(token)), place)
+    places = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
     total = let(
         places,
         lambda p: F.aggregate(
@@ -111,22 +112,29 @@ def ratio(token: Column, model: list[float]) -> Column:
 def _spans(text: Column, pattern: str, kind: str, found: Column, good) -> Column:
     """Array of (start, rank, end, kind) of a kind's matches for which good(match, value) holds."""
     # The end of the text is a match as well (without a hit): else each place behind the last hit would be tried to the end.
-    whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
+    whole = F.lit(rf"(?s).*?(?:({pattern})|\z)")
     take = lambda k: F.regexp_extract_all(text, whole, F.lit(k))
-    has_value = kind == "assign"
-    parts = F.arrays_zip(take(1).alias("gap"), take(2).alias("hit"), take(3 if has_value else 2).alias("value"))
-    span = lambda s, hit: F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (s + F.length(hit)).alias("end"), F.lit(kind).alias("kind"))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
+    ends = running(F.transform(take(0), F.length), lambda a, b: a + b)
+    parts = F.arrays_zip(ends.alias("end"), take(1).alias("hit"), take(2 if kind == "assign" else 1).alias("value"))
+    hits = F.filter(parts, lambda x: (x["hit"] != "") & good(x["hit"], x["value"]))
+    span = lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+    return F.when(found, F.transform(hits, span)).otherwise(none)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        return F.struct(
-            (start + F.length(x["hit"])).alias("at"),
-            F.when((x["hit"] != "") & good(x["hit"], x["value"]), F.concat(a["out"], F.array(span(start, x["hit"])))).otherwise(a["out"]).alias("out"),
-        )
 
-    made = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(found, made).otherwise(none)
+def _apart(own: Column, base: Column) -> Column:
+    """Those of the method's spans that overlap no base span: the furthest end of base spans that start before or with it, and the nearest start of
+    those that start later, tell."""
+    is_base = lambda x: x["rank"] < KINDS.index("markov")
+
+    def judged(both: Column) -> Column:
+        far = running(F.transform(both, lambda x: F.when(is_base(x), x["end"])), F.greatest)
+        near = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]))), F.least))
+        rows = F.arrays_zip(both.alias("s"), far.alias("far"), near.alias("near"))
+        alone = F.filter(rows, lambda r: ~is_base(r["s"]) & (F.coalesce(r["far"], F.lit(0)) <= r["s"]["start"]) & (F.coalesce(r["near"], r["s"]["end"]) >= r["s"]["end"]))
+        return F.transform(alone, lambda r: r["s"])
+
+    return F.when((F.size(own) == 0) | (F.size(base) == 0), own).otherwise(let(F.sort_array(F.concat(base, own)), judged))
 
 
 def base_spans(text: Column) -> Column:
@@ -145,8 +153,8 @@ def all_spans(text: Column, model: list[float]) -> Column:
     def of(t: Column) -> Column:
         likely = lambda hit, value: hit.rlike("[A-Za-z]") & (ratio(hit, model) >= THRESHOLD)
         own = _spans(t, _TOKEN, "markov", t.rlike(_TOKEN), likely)
-        apart = lambda base: F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return let(base_spans(t), lambda base: F.struct(base.alias("base"), F.sort_array(F.concat(base, apart(base))).alias("all")))
+        both = lambda p: F.struct(p["base"].alias("base"), F.sort_array(F.concat(p["base"], _apart(p["own"], p["base"]))).alias("all"))
+        return let(F.struct(base_spans(t).alias("base"), own.alias("own")), both)
 
     return let(text, of)
 
@@ -156,11 +164,12 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     model = model or train(default_samples(docs.sparkSession))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), all_spans(F.col(text_col), model).alias("s"))
     count = lambda kind: F.size(F.filter(F.col("s.all"), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("s.base")), 256).alias("base_sha256"), _joined(F.col("s.all")).alias("spans"))
+    *base, own = map(count, KINDS)
+    return found.select("doc_id", *base, F.sha2(_joined(F.col("s.base")), 256).alias("base_sha256"), _joined(F.col("s.all")).alias("spans"), own)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -169,13 +178,13 @@ def redacted(docs: DataFrame, text_col: str = "text", model: list[float] | None
     text = F.col(text_col)
 
     def cut(spans: Column) -> Column:
-        def step(a: Column, s: Column) -> Column:
-            gap = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-            more = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"])
-            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
-
-        rest = lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text)))
-        done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-        return F.when(F.size(spans) == 0, text).otherwise(done)
+        def of_ends(upto: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+            gap = lambda s, i: F.concat(F.substr(text, before(i) + 1, s["start"] - before(i)), F.lit(mark))
+            kept = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), gap(s, i)).otherwise(F.lit("")))
+            return F.concat(F.array_join(kept, ""), F.substr(text, F.array_max(upto) + 1, F.length(text)))
+
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return F.when(F.size(spans) == 0, text).otherwise(let(ends, of_ends))
 
     return docs.withColumn(text_col, let(all_spans(text, model)["all"], cut))

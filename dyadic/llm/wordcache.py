@@ -1,4 +1,4 @@
-"""Ids of repeated chunks of text, found by their hashes in flat numpy arrays."""
+"""Ids of repeated chunks of text, found by their hashes in flat numpy arrays and compared byte by byte."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import textvec
+
 #: Bits of the number of slots; a slot holds the chunk that was put there last.
-SLOTS = 20
+SLOTS = 19
+#: Bytes of a chunk that a slot holds, in words of eight; longer chunks are encoded each time.
+WORDS = 4
 #: Ids that a cache stores before it starts anew, so memory stays bounded.
 STORED = 6_000_000
 
@@ -20,36 +24,61 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.arange(len(shift)) + shift]
 
 
+def _distinct(h: np.ndarray, bytes_: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct chunk, and for each row its chunk among these; rows of one hash with other bytes stand alone."""
+    _, first, place = np.unique(h, return_index=True, return_inverse=True)
+    odd = np.flatnonzero((size != size[first[place]]) | (bytes_ != bytes_[first[place]]).any(1))
+    if len(odd):
+        place[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+    return first, place
+
+
 class ChunkCache:
     """encode(data, start, end): distinct ranges of bytes -> their ids, joined, and how many each has."""
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype=np.uint32):
         self.encode = encode
-        self.keys = np.zeros(1 << SLOTS, np.uint64)
-        self.start = np.zeros(1 << SLOTS, np.int64)
-        self.length = np.zeros(1 << SLOTS, np.int64)
+        self.bytes = np.zeros((1 << SLOTS, WORDS), np.uint64)
+        self.size = np.zeros(1 << SLOTS, np.int32)  # in bytes; 0 in empty slots
+        self.start = np.zeros(1 << SLOTS, np.int32)
+        self.length = np.zeros(1 << SLOTS, np.int32)
         self.flat = np.zeros(1 << 20, dtype)
         self.used = 0
 
     def ids(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks (ranges of data with hashes h) in order, and each chunk's number of them."""
+        """All ids of the chunks (ranges of data with hashes h, none empty) in order, and each chunk's number of them."""
+        size = end - start
+        view = textvec.eights(data)
+        own = np.zeros((len(h), WORDS), np.uint64)
+        own[:, 0] = textvec.piece(view, start, size, 0)
+        for k in range(1, WORDS):
+            more = np.flatnonzero(size > 8 * k)
+            own[more, k] = textvec.piece(view, start[more], size[more], 8 * k)
         slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        at, length = self.start[slot], self.length[slot]
-        missed = np.flatnonzero(self.keys[slot] != h)
+        at, length = self.start[slot].astype(np.int64), self.length[slot].astype(np.int64)
+        known = (self.size[slot] == size) & (size <= 8 * WORDS)
+        for k in range(WORDS):
+            known &= self.bytes[slot, k] == own[:, k]
+        missed = np.flatnonzero(~known)
         if len(missed):
-            new, first, place = np.unique(h[missed], return_index=True, return_inverse=True)
-            one = missed[first]
+            short = missed[size[missed] <= 8 * WORDS]
+            long = missed[size[missed] > 8 * WORDS]
+            first, place = _distinct(h[short], own[short], size[short])
+            one = np.concatenate([short[first], long])
             ids, n = self.encode(data, start[one], end[one])
             base = self._store(ids)
             begin = base + np.cumsum(n) - n
-            at[missed], length[missed] = begin[place], n[place]
+            at[short], length[short] = begin[place], n[place]
+            at[long], length[long] = begin[len(first) :], n[len(first) :]
             out = ragged(self.flat, at, length)
             if self.used > STORED:
-                self.keys[:] = 0
+                self.size[:] = 0
                 self.used = 0
+                self.flat = self.flat[:STORED].copy()
             else:
-                slot = (new >> np.uint64(64 - SLOTS)).astype(np.int64)
-                self.keys[slot], self.start[slot], self.length[slot] = new, begin, n
+                put, new = slot[short[first]], short[first]
+                self.bytes[put], self.size[put], self.start[put], self.length[put] = own[new], size[new], begin[: len(first)], n[: len(first)]
             return out, length
         return ragged(self.flat, at, length), length
 

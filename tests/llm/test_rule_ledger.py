@@ -51,3 +51,7 @@ def test_kept_documents_keep_their_columns(make, words):
 def test_native_plan(make):
     plan = R.ledger(make(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_contract_columns(make):
+    assert R.ledger(make([])).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from fixtures_llm import ODD
@@ -60,3 +62,65 @@ def test_redaction(make, model):
     assert out.columns == docs.columns
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a [SECRET] b", "clean", None, "[SECRET]"]
     assert S.scan(make([]), model=model).collect() == []
+
+
+def markov(text, model):
+    """Brute force: tokens scored one by one, those that touch a base span left out."""
+    text, out = text or "", []
+    base = [tuple(map(int, x.split(":")[1:])) for x in spans(text)]
+    for m in re.finditer(S._TOKEN, text):
+        places = [S.ALPHABET.index(c) for c in m[0]]
+        mean = sum(float(f"{model[a * len(S.ALPHABET) + b]:.6g}") for a, b in zip(places, places[1:])) / (len(places) - 1)
+        if re.search("[A-Za-z]", m[0]) and mean >= S.THRESHOLD and not any(a < m.end() and m.start() < b for a, b in base):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_against_brute_force(make, model):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    pieces = [lambda: key(rng.randint(15, 40)), lambda: "token=" + key(12), lambda: hexes(36), lambda: "AKIA" + key(20).upper(), lambda: "user_name_list_2020_index", lambda: "é word", lambda: key(10) + "+/=" + hexes(33)]
+    texts = TEXTS + [rng.choice(["", " "]).join(rng.choice(pieces)() + rng.choice(["", " ", "é"]) for _ in range(rng.randint(1, 12))) for _ in range(160)]
+    rows = {r.doc_id: r for r in S.scan(make(texts), model=model).collect()}
+    total = 0
+    for k, t in enumerate(texts):
+        own = [x for x in rows[k].spans.split(",") if x.startswith("markov")]
+        assert own == markov(t, model), t[:80]
+        assert [x for x in rows[k].spans.split(",") if x and x not in own] == spans(t)
+        total += len(own)
+    assert total > 50
+
+
+def test_precision_and_recall_on_other_samples(spark, model):
+    """Samples that training hasn't seen: random strings of other encodings, identifiers of other words."""
+    rng = random.Random(12)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"]
+    other = "water garden window summer history market village music river mountain school family kitchen library science weather travel health football library bridge station".split()
+    strings = ["".join(rng.choice(a) for _ in range(32)) for a in alphabets for _ in range(250)]
+    names = [rng.choice(["_", "-", "/"]).join(rng.choice(other) for _ in range(4)) + str(rng.randint(1, 2030)) for _ in range(1000)]
+    df = spark.createDataFrame([(t, k) for k, ts in enumerate((names, strings)) for t in ts], "t string, label int")
+    got = df.select("label", (S.ratio(df.t, model) >= S.THRESHOLD).alias("hit")).groupBy("label", "hit").count().collect()
+    n = {(r.label, r.hit): r["count"] for r in got}
+    hits, wrong = n.get((1, True), 0), n.get((0, True), 0)
+    assert hits / 1000 > 0.95 and hits / (hits + wrong) > 0.95, n
+
+
+def test_long_tokens_and_many_matches(spark, make, model):
+    rng = random.Random(6)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    texts = ["data:" + token, "token=abcdefgh1 " * 30_000, "q" * 1_000_000, "x " * 500_000]
+    began = time.time()
+    rows = {r.doc_id: r for r in S.scan(make(texts), model=model).collect()}
+    assert time.time() - began < 60
+    assert rows[0].spans == "markov:5:1000005" and rows[1].n_assign == 30_000 and rows[2].spans == rows[3].spans == ""
+    assert rows[1].base_sha256 == hashlib.sha256(",".join(spans(texts[1])).encode()).hexdigest()
+
+
+def test_contract_columns(make, model):
+    assert S.scan(make([]), model=model).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
+def test_native_plan(make, model):
+    plan = S.scan(make(["a"]), model=model)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
