@@ -1,4 +1,9 @@
-"""Connected components by alternating large and small stars; every step is a grouped minimum and a join."""
+"""Connected components by contraction: in each round every vertex joins the least of itself and its neighbours, and edges move to those.
+
+Vertices should be hashes: the least neighbour is then a random one, and rounds grow with the logarithm of the number of
+vertices, whatever the shape. A round is a grouped minimum and two joins; the graph shrinks from round to
+round. Both sides of a join are written tables, so that the join may split the neighbours of a large hub.
+"""
 
 from __future__ import annotations
 
@@ -8,41 +13,26 @@ from pyspark.sql import functions as F
 from .common import remove, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, str]:
-    """Large: link each larger neighbour of u to the least of u and its neighbours. Small: link u and its lesser neighbours to the least of these."""
-    both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # As a table of its own, so that the join may split the neighbours of a large hub.
-    least, path = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "least")
-    linked = both.join(least, "u")
-    if small:
-        out = linked.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
-    else:
-        out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return out.where(F.col("u") > F.col("v")).distinct(), path
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
-    """(v, root): the least vertex of each component, for every vertex of an edge that isn't a root itself; and its table's path.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, list[str]]:
+    """(v, root): one vertex of each component, for every vertex of an edge that isn't this one itself; and the tables that the result reads.
 
     Null ends and loops are left out. Without edges the result is empty.
     """
     spark = edges.sparkSession
-    now, path = written(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
-    state = _state(now)
-    while True:
-        large, least_path = _star(now, small=False)
-        large, large_path = written(large, "edges")
-        small, small_path = _star(large, small=True)
-        new, new_path = written(small, "edges")
-        new_state = _state(new)
-        remove(spark, path, least_path, large_path, small_path)
-        now, path = new, new_path
-        if new_state == state:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root")), path
-        state = new_state
+    now, path = written(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
+    found, paths = now.select("v", F.col("u").alias("root")).limit(0), [path]
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least, least_path = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "least")
+        moved = now.join(least.withColumnRenamed("to", "a"), "u").join(least.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
+        next_edges, next_path = written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        # Those that stand for others so far are vertices of the round, or in no edge any more.
+        stepped = found.join(least.select(F.col("u").alias("root"), "to"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+        found = stepped.unionByName(least.where("u <> to").select(F.col("u").alias("v"), F.col("to").alias("root")))
+        remove(spark, *paths[:1])
+        now, paths = next_edges, [next_path, *paths[1:], least_path]
+    if len(paths) > 1:
+        found, path = written(found, "roots")
+        remove(spark, *paths)
+        paths = [path]
+    return found, paths

@@ -22,7 +22,9 @@ exists anywhere, no link between different texts is lost, and nothing is capped.
 
 Cases: null or empty texts have no shingle and form a class of their own; so do rows with a null
 doc_id, whose class_id is null. Repeated rows give repeated results. An empty table gives none.
-The class id is the least doc_id of the class.
+The class id is the least doc_id of the class; where ids repeat with other texts, several classes may have the same, and class_key
+tells them apart. Very long texts take time and memory in proportion to their length. Other columns are
+never read, and `without_near_duplicates` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import id_text, in_filter, key_filter, mix, remove, text_slices, written
+from .common import in_filter, key_filter, mix, remove, text_slices, written
 from .graph import components
 
 #: Words of a shingle, and the least similarity of a link.
@@ -159,7 +161,7 @@ def _binary16(rows: np.ndarray, null: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a mixed doc_id for the filter), fp (16 bytes; null without shingles), n (shingles), bands."""
+    """doc_id, text_hash (as given), fp (16 bytes; null without shingles), fk (its first 8 as an integer), n (shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +172,13 @@ def signed(docs: DataFrame) -> DataFrame:
                 b = bands(signatures(*counted(h, doc), texts, BANDS * ROWS), ROWS)
                 flat = pa.array(b.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * BANDS), flat)
+                fps = _fingerprints(h, doc, texts)
+                key = pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), _binary16(_fingerprints(h, doc, texts), n == 0), pa.array(n), lists], ["doc_id", "fp", "n", "bands"]
+                    [rows.column(0), rows.column(2), _binary16(fps, n == 0), key, pa.array(n), lists], ["doc_id", "text_hash", "fp", "fk", "n", "bands"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, fp binary, fk long, n long, bands array<long>")
 
 
 def _shingled(docs: DataFrame, wanted) -> DataFrame:
@@ -275,7 +279,7 @@ def _verified(packed: DataFrame) -> DataFrame:
     """Links of (comp, fp, n, hashes, counts): within each candidate group, exactly."""
     sizes = packed.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_ENTRIES)).cast("int")
-    total = sizes.agg(F.sum("rows"), F.sum("entries")).first()
+    total = packed.agg(F.count("*"), F.sum("n")).first()
     bundles = max(1, (total[0] or 0) // (BLOCK_ROWS // 2) + 1, (total[1] or 0) // (BLOCK_ENTRIES // 2) + 1)
     dealt = packed.join(sizes.select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -286,21 +290,21 @@ def _verified(packed: DataFrame) -> DataFrame:
     return wide.groupBy("task").applyInArrow(_links, "a binary, b binary")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size (rows of the class), n_shingles: one row for each row of docs."""
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n, root (the fingerprint that stands for the row's class; null for rows that are a class of their own): one row for each row of docs."""
     spark = docs.sparkSession
-    docs = id_text(docs, id_col, text_col)
     rows, _ = written(signed(docs), "signatures")
     known = rows.where("fp is not null and doc_id is not null")
-    reps = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = reps.select("fp", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min("fp").alias("hub")).where("k > 1").select("bucket", "hub")
-    stars = members.join(shared, "bucket").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    groups, groups_path = components(stars)
-    groups = groups.select(F.col("v").alias("fp"), F.col("root").alias("comp"))
-    groups = groups.unionByName(groups.select(F.col("comp").alias("fp"), "comp").distinct())
-    compared, compared_path = written(groups.join(reps.select("fp", "n", "doc_id"), "fp").select("fp", "doc_id", "n", "comp"), "compared")
-    remove(spark, groups_path)
+    # Candidates are told apart by half a fingerprint: a false meeting costs a comparison, no result.
+    members = known.select("fk", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("fk").alias("hub"), F.max("fk").alias("last")).where("hub < last").select("bucket", "hub")
+    stars = members.join(shared, "bucket").where("fk <> hub").select(F.col("fk").alias("a"), F.col("hub").alias("b"))
+    groups, groups_paths = components(stars)
+    groups = groups.select(F.col("v").alias("fk"), F.col("root").alias("comp"))
+    groups = groups.unionByName(groups.select(F.col("comp").alias("fk"), "comp").distinct())
+    compared = known.join(groups, "fk").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("comp").alias("comp"))
+    compared, compared_path = written(compared, "compared")
+    remove(spark, *groups_paths)
     wanted = spark.sparkContext.broadcast(key_filter(compared.select("fp", "doc_id").mapInArrow(_mixed_ids, "key long"), "key"))
     packed = _shingled(docs, wanted).join(compared.select("fp", "n", "comp"), "fp").dropDuplicates(["fp"])
     packed, packed_path = written(packed, "shingles")
@@ -308,9 +312,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     remove(spark, compared_path, packed_path)
     roots, _ = components(edges)
     remove(spark, edges_path)
-    rooted = rows.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select(
-        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "fp")).alias("root")
+    return rows.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select(
+        "doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "fp")).alias("root")
     )
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size (rows of the class), n_shingles, class_key (tells classes apart whose least doc_ids are equal because ids repeat;
+    null for rows that are a class of their own): one row for each row of docs."""
+    rooted = _rooted(_keyed(docs, id_col, text_col))
     classes = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     # As a table of its own, so that the join may split the rows of a large class.
     classes, _ = written(classes, "classes")
@@ -319,6 +333,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.col("n").alias("n_shingles"),
+        F.lower(F.hex("root")).alias("class_key"),
     )
 
 
@@ -329,12 +344,20 @@ def _mixed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the least doc_id of each class; of rows that repeat this doc_id, one."""
-    classes = near_duplicate_classes(docs, id_col, text_col)
-    dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, docs[id_col].cast("long") == F.col("__dropped"), "left_anti")
-    twice = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(F.col(id_col).alias("__twice"))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col] == F.col("__twice"), "left_anti").unionByName(again)
+    """docs with one row of each class: that of the least doc_id, and of texts that repeat this id, that of the least hash; of rows equal in both, one."""
+    rooted, _ = written(_rooted(_keyed(docs, id_col, text_col)).where("root is not null"), "rooted")
+    counts = rooted.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    keeps, _ = written(counts.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep")), "keeps")
+    judged = counts.join(keeps, "root").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("keep"))
+    judged, _ = written(judged.where("not stays or rows > 1").select("doc_id", "text_hash", "stays"), "judged")
+    # Names that no column of docs has, whatever these are.
+    tag = "__" + "_".join(["dedup", *docs.columns])
+    marked = docs.withColumn(tag, F.xxhash64(F.col(text_col).cast("string")))
+    key = lambda rows: rows.select(F.col("doc_id").alias(f"{tag}i"), F.col("text_hash").alias(f"{tag}h"))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(f"`{tag}i`")) & (F.col(f"`{tag}`") == F.col(f"`{tag}h`"))
+    kept = marked.join(key(judged.where("not stays")), same, "left_anti")
+    twice = key(judged.where("stays"))
+    if not twice.isEmpty():
+        again = kept.join(twice, same, "left_semi").dropDuplicates([id_col, tag])
+        kept = kept.join(twice, same, "left_anti").unionByName(again)
+    return kept.drop(tag)

@@ -84,3 +84,56 @@ def test_one_document_of_each_class_stays(make):
 def test_empty_table(make):
     assert M.near_duplicate_classes(make([])).collect() == []
     assert M.without_near_duplicates(make([])).collect() == []
+
+
+def test_repeated_ids_lose_no_text(spark, make):
+    """Ids that repeat with other texts: only near duplicates go, whatever their ids, also with names that the operator might use."""
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r", "g h i j k l", "g h i j k l"]
+    docs = make(texts, [1, 1, 2, 2, 1, None]).withColumnRenamed("key", "__dropped").withColumnRenamed("slot", "text_hash").withColumnRenamed("shard", "root")
+    kept = M.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, texts[1]), (1, texts[0]), (1, texts[1]), (2, texts[3])]
+    classes = M.near_duplicate_classes(docs).collect()
+    assert sorted((r.class_id or 0, r.class_size) for r in classes) == [(0, 1), (1, 2), (1, 2), (1, 2), (1, 2), (2, 1)]
+    assert len({r.class_key for r in classes if r.class_id == 1}) == 2
+
+
+def test_components_of_chains_and_stars(spark):
+    from dyadic.llm.graph import components
+
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 600)
+    edges = list(zip(names[:200], names[1:200])) + [(names[200], x) for x in names[201:400]] + [(rng.choice(names[400:]), rng.choice(names[400:])) for _ in range(120)]
+    edges += edges[:5] + [(names[0], names[0]), (names[0], None)]
+    found, _ = components(spark.createDataFrame(edges, "a long, b long"))
+    parent = {x: x for x in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        if y is not None:
+            parent[root(x)] = root(y)
+    got = {r.v: r.root for r in found.collect()}
+    seen = {x for e in edges for x in e if x is not None and e[0] != e[1] and e[1] is not None}
+    mine = {x: got.get(x, x) for x in seen}
+    assert set(got) <= seen
+    groups = lambda f: {frozenset(x for x in seen if f(x) == r) for r in {f(x) for x in seen}}
+    assert groups(mine.get) == groups(root)
+
+
+def test_thue_morse_words_differ():
+    """Words on which every polynomial hash modulo 2^64 agrees."""
+    from dyadic.llm import textvec
+
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    for n in (8, 16, 32, 64, 1024, 4096):
+        data = np.frombuffer(a[:n] + b[:n], np.uint8)
+        h = textvec.hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+        again = textvec.hashes(np.frombuffer(b"xyz" + a[:n], np.uint8), np.array([3]), np.array([3 + n]))
+        assert again[0] == h[0]
