@@ -14,7 +14,7 @@ from .common import remove, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, list[str]]:
-    """(v, root): one vertex of each component, for every vertex of an edge that isn't this one itself; and the tables that the result reads.
+    """(v, root): the least vertex of each component, for every vertex of an edge that isn't this one itself; and the tables that the result reads.
 
     Null ends and loops are left out. Without edges the result is empty.
     """
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame,
         remove(spark, *paths[:1])
         now, paths = next_edges, [next_path, *paths[1:], least_path]
     if len(paths) > 1:
-        found, path = written(found, "roots")
+        # A vertex that others had joined may have joined a further one, and did so again in the next round.
+        found, path = written(found.distinct(), "roots")
         remove(spark, *paths)
         paths = [path]
     return found, paths

@@ -45,7 +45,9 @@ def test_classes_equal_brute_force(make, words):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy))
     texts += ODD
-    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(make(texts)).collect()}
+    rows = M.near_duplicate_classes(make(texts)).collect()
+    got = {r.doc_id: r.class_id for r in rows}
+    assert len(rows) == len(texts)
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -59,7 +61,9 @@ def test_blocks_find_what_one_block_finds(make, words, monkeypatch):
             copy[rng.randrange(80)] = rng.choice(words)
         texts.append(" ".join(copy))
     monkeypatch.setattr(M, "BLOCK_ROWS", 7)
-    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(make(texts)).collect()}
+    rows = M.near_duplicate_classes(make(texts)).collect()
+    got = {r.doc_id: r.class_id for r in rows}
+    assert len(rows) == len(texts)
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -116,7 +120,9 @@ def test_components_of_chains_and_stars(spark):
     for x, y in edges:
         if y is not None:
             parent[root(x)] = root(y)
-    got = {r.v: r.root for r in found.collect()}
+    rows = found.collect()
+    got = {r.v: r.root for r in rows}
+    assert len(rows) == len(got) and all(r.root < r.v for r in rows)
     seen = {x for e in edges for x in e if x is not None and e[0] != e[1] and e[1] is not None}
     mine = {x: got.get(x, x) for x in seen}
     assert set(got) <= seen
