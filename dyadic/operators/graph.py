@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a written table in the shared folder that spark.checkpoint.dir names, or in a local one where it is unset."""
+    """df with its lineage cut: a written table in the shared folder that spark.checkpoint.dir names; where that is unset, one of this machine, if the master is local."""
     import tempfile
 
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="dyadic-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/dyadic/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and that nothing reads any more; others stay."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # --- walks ---------------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Localized factors over several applications: a user's global factor ties the applications' local ones together. Exact EM.
 
 x (features) and y (responses) of user i in application k are linear in a local factor z_ik, which is
-linear in the user's global factor u_i. A user's few vectors are one small group; statistics for
-each (application, item) are sums over users that the shuffle combines, and only they reach the driver.
+linear in the user's global factor u_i. Loadings are a table with a row for each (application, item). A user's data enter
+only through sums for each (user, application), which the shuffle combines; users are then solved in stacked
+numpy, and statistics for (application, item) are grouped sums again. What reaches the driver is one small
+matrix for each application.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, forget
+from .simulate import normal
 
 
 @dataclass
 class App:
-    loadings: dict[str, np.ndarray]  # item or feature -> (1 + local): bias and loading
-    noise: dict[str, float]
     a: np.ndarray  # local x global
     var_z: float = 1.0
 
@@ -29,194 +30,241 @@ class App:
 @dataclass
 class MultiApp:
     apps: dict[str, App]
+    loadings: DataFrame | None  # app, item, load (bias, then loading), noise
     n_global: int
     var_u: float = 1.0
     history: list[float] = field(default_factory=list)
 
+    @property
+    def most_local(self) -> int:
+        return max((len(a.a) for a in self.apps.values()), default=0)
+
+
+def _by_app(values: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("app")]
+
 
 def initial(rows: DataFrame, n_global: int, n_local: dict[str, int] | int, seed: int = 0) -> MultiApp:
     """rows (user, app, item, y): biases are means, loadings small random numbers that depend on (seed, app, item)."""
-    import xxhash
+    names = [r["app"] for r in rows.select("app").distinct().orderBy("app").collect()]
+    local = {n: n_local if isinstance(n_local, int) else n_local[n] for n in names}
+    if not names:
+        return MultiApp({}, rows.selectExpr("app", "item", "array(y) AS load", "y AS noise").limit(0), n_global)
+    random = [0.1 * normal(seed, f"loading{k}", F.col("app"), F.col("item")) for k in range(max(local.values()))]
+    load = F.slice(F.array("mean", *random), F.lit(1), _by_app(local) + 1)
+    stats = rows.groupBy("app", "item").agg(F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
+    loadings = cut(stats.select("app", "item", load.alias("load"), F.greatest(F.when(F.col("var") > 0, F.col("var")).otherwise(1.0), F.lit(1e-3)).alias("noise")))
+    return MultiApp({n: App(np.eye(k, n_global)) for n, k in local.items()}, loadings, n_global)
 
-    apps: dict[str, App] = {}
-    for app, item, mean, var in rows.groupBy("app", "item").agg(F.avg("y"), F.var_pop("y")).orderBy("app", "item").collect():
-        k = n_local if isinstance(n_local, int) else n_local[app]
-        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}|{app}|{item}"))
-        own = apps.setdefault(app, App({}, {}, np.eye(k, n_global)))
-        own.loadings[item] = np.r_[mean, 0.1 * rng.standard_normal(k)]
-        own.noise[item] = max(float(var or 1.0), 1e-3)
-    return MultiApp(apps, n_global)
 
+# --- users --------------------------------------------------------------------------------------
 
-def posterior(model: MultiApp, data: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], keep_empty: bool = False):
-    """Moments of u and of each z given one user's data (app -> values less biases, noise, loadings): messages up to u and down again."""
+
+def posterior(model: MultiApp, data: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple:
+    """Posteriors of many users at once. data: app -> (precision n x k x k, linear term n x k, has data n) of the local factor's likelihood.
+
+    u and its variance; for each app z, its variance and its covariance with u (meaningful where there are data); and what the
+    marginal log-likelihood has beside the data's own constant.
+    """
     g = model.n_global
-    info, total = np.eye(g) / model.var_u, np.zeros(g)
+    n = len(next(iter(data.values()))[2])
+    info, total, value = np.tile(np.eye(g) / model.var_u, (n, 1, 1)), np.zeros((n, g)), np.zeros(n)
     parts = {}
-    for name, app in model.apps.items():
-        if name not in data and not keep_empty:
-            continue
-        k = len(app.a)
-        sigma = model.var_u * app.a @ app.a.T + app.var_z * np.eye(k)
-        inv = np.linalg.inv(sigma)
-        h = model.var_u * app.a.T @ inv
-        r = model.var_u * np.eye(g) - model.var_u**2 * app.a.T @ inv @ app.a
-        d, noise, c = data.get(name, (np.zeros(0), np.ones(0), np.zeros((0, k))))
-        gamma = np.linalg.inv(inv + (c.T / noise) @ c)
-        z = gamma @ (c.T / noise) @ d
-        big = h @ gamma @ h.T + r
-        big_inv = np.linalg.inv(big)
-        info += big_inv - np.eye(g) / model.var_u
-        total += big_inv @ h @ z
-        parts[name] = (h, gamma, z, big, big_inv)
+    for name, (p, h, has) in data.items():
+        a, v = model.apps[name].a, model.apps[name].var_z
+        k = len(a)
+        # Given u, z has mean A u and variance v; with the data its variance is w and its mean w (A u / v + h).
+        w = np.linalg.inv(np.eye(k) / v + p)
+        slope = w @ a / v
+        info += has[:, None, None] * (a.T @ (np.eye(k) / v - w / v**2) @ a)
+        wh = np.einsum("nij,nj->ni", w, h)
+        total += has[:, None] * (wh @ a / v)
+        value += has * 0.5 * (np.einsum("ni,ni->n", h, wh) - np.linalg.slogdet(np.eye(k) + v * p)[1])
+        parts[name] = (w, wh, slope)
     var_u = np.linalg.inv(info)
-    u = var_u @ total
-    out = {}
-    for name, (h, gamma, z, big, big_inv) in parts.items():
-        j = gamma @ h.T @ big_inv
-        out[name] = (z + j @ (u - h @ z), gamma + j @ (var_u - big) @ j.T, j @ var_u)
-    return u, var_u, out
-
-
-def loglik(model: MultiApp, data: dict) -> float:
-    """Log-likelihood of one user's data with all factors integrated out, from the dense covariance."""
-    d, c, noise = [], [], []
-    for name, (x, s2, load) in data.items():
-        d.append(x)
-        noise.append(s2)
-        c.append((name, load))
-    cov = np.diag(np.concatenate(noise))
-    spots = np.r_[0, np.cumsum([len(x) for x in d])]
-    for i, (n1, c1) in enumerate(c):
-        for j, (n2, c2) in enumerate(c):
-            a1, a2 = model.apps[n1], model.apps[n2]
-            block = model.var_u * a1.a @ a2.a.T + (a1.var_z * np.eye(len(a1.a)) if n1 == n2 else 0)
-            cov[spots[i] : spots[i + 1], spots[j] : spots[j + 1]] += c1 @ block @ c2.T
-    x = np.concatenate(d)
-    return float(-0.5 * (np.linalg.slogdet(cov)[1] + x @ np.linalg.solve(cov, x) + len(x) * np.log(2 * np.pi)))
-
-
-def _user_data(pdf: pd.DataFrame, model: MultiApp) -> dict:
-    out = {}
-    for app, rows in pdf.groupby("app"):
-        own = model.apps[app]
-        load = np.stack([own.loadings[i] for i in rows["item"]])
-        out[app] = (rows["y"].to_numpy() - load[:, 0], np.array([own.noise[i] for i in rows["item"]]), load[:, 1:])
-    return out
-
-
-def _statistics(model: MultiApp):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = _user_data(pdf, model)
-        u, var_u, local = posterior(model, data)
-        out = [("", "", 0, 0, float(u @ u + np.trace(var_u)), 1.0, loglik(model, data))]
-        for app, rows in pdf.groupby("app"):
-            z, var_z, cov = local[app]
-            z1 = np.r_[1.0, z]
-            zz = np.outer(z1, z1)
-            zz[1:, 1:] += var_z
-            for item, y in zip(rows["item"], rows["y"]):
-                out += [(app, item, i, j, zz[i, j], 0.0, 0.0) for i in range(len(z1)) for j in range(i, len(z1))]
-                out += [(app, item, i, -1, z1[i] * y, 0.0, 0.0) for i in range(len(z1))]
-                out.append((app, item, -1, -1, y * y, 1.0, 0.0))
-            uu, zu = np.outer(u, u) + var_u, np.outer(z, u) + cov
-            g = len(u)
-            out += [(app, None, i, j, uu[i, j], 0.0, 0.0) for i in range(g) for j in range(i, g)]
-            out += [(app, None, 1000 + i, j, zu[i, j], 0.0, 0.0) for i in range(len(z)) for j in range(g)]
-            out.append((app, None, -1, -1, float(z @ z + np.trace(var_z)), float(len(z)), 0.0))
-        return pd.DataFrame(out, columns=["app", "item", "i", "j", "value", "n", "loglik"])
-
-    return run
+    u = np.einsum("nij,nj->ni", var_u, total)
+    value += 0.5 * (np.einsum("ni,ni->n", total, u) - np.linalg.slogdet(info)[1] - g * np.log(model.var_u))
+    local = {}
+    for name, (w, wh, slope) in parts.items():
+        cov = slope @ var_u
+        local[name] = (wh + np.einsum("nij,nj->ni", slope, u), w + cov @ np.transpose(slope, (0, 2, 1)), cov)
+    return u, var_u, local, value
+
+
+def _messages(rows: DataFrame, model: MultiApp) -> DataFrame:
+    """user, parts: for each application of the user the precision (upper triangle), linear term and constant of its data."""
+    k = model.most_local
+    c = lambda i: F.coalesce(F.get("load", F.lit(i + 1)), F.lit(0.0))
+    d = F.col("y") - F.col("load")[0]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.join(model.loadings, ["app", "item"]).groupBy("user", "app").agg(
+        *(F.sum(c(i) * c(j) / F.col("noise")).alias(f"p{i}_{j}") for i, j in pairs), *(F.sum(c(i) * d / F.col("noise")).alias(f"h{i}") for i in range(k)),
+        F.sum(-0.5 * (d * d / F.col("noise") + F.log(2 * np.pi * F.col("noise")))).alias("base"),
+    )
+    part = F.struct("app", F.array(*(f"p{i}_{j}" for i, j in pairs)).alias("p"), F.array(*(f"h{i}" for i in range(k))).alias("h"), "base")
+    return sums.groupBy("user").agg(F.collect_list(part).alias("parts"))
+
+
+_MOMENTS = "app string, u array<double>, uu array<double>, z array<double>, zz array<double>, zu array<double>, z2 double, loglik double, lead boolean"
+
+
+def moments(rows: DataFrame, model: MultiApp) -> DataFrame:
+    """One row for each (user, application) with data: u, z, and second moments uu, zz (of 1 and z, upper triangles), zu and z2.
+    Of a user's rows one leads and has the user's marginal log-likelihood."""
+    most, (up0, up1), names = model.most_local, np.triu_indices(model.most_local), list(model.apps)
+    apps = MultiApp(model.apps, None, model.n_global, model.var_u)  # without the table, which tasks can't use
+    kind = dict(rows.dtypes)["user"]
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            if not n:
+                continue
+            flat = [(i, p) for i, parts in enumerate(pdf["parts"]) for p in parts]
+            user = np.array([i for i, _ in flat])
+            app = np.array([names.index(p["app"]) for _, p in flat])
+            base = np.bincount(user, [p["base"] for _, p in flat], n)
+            upper = np.array([p["p"] for _, p in flat]).reshape(len(flat), -1)
+            linear = np.array([p["h"] for _, p in flat]).reshape(len(flat), -1)
+            data = {}
+            for a, name in enumerate(names):
+                k, own = len(apps.apps[name].a), np.flatnonzero(app == a)
+                full = np.zeros((n, most, most))
+                full[user[own][:, None], up0, up1] = upper[own]
+                full[user[own][:, None], up1, up0] = upper[own]
+                h = np.zeros((n, most))
+                h[user[own]] = linear[own]
+                has = np.zeros(n)
+                has[user[own]] = 1
+                data[name] = (full[:, :k, :k], h[:, :k], has)
+            u, var_u, local, value = posterior(apps, data)
+            g0, g1 = np.triu_indices(apps.n_global)
+            uu = (u[:, :, None] * u[:, None, :] + var_u)[:, g0, g1]
+            leads = np.r_[True, user[1:] != user[:-1]]
+            out: dict[str, list] = {c: [] for c in ("z", "zz", "zu", "z2")}
+            for i, a in zip(user, app):
+                z, var_z, cov = (x[i] for x in local[names[a]])
+                z1 = np.r_[1.0, z]
+                zz = np.outer(z1, z1)
+                zz[1:, 1:] += var_z
+                out["z"].append(z)
+                out["zz"].append(zz[np.triu_indices(len(z1))])
+                out["zu"].append((np.outer(z, u[i]) + cov).ravel())
+                out["z2"].append(z @ z + np.trace(var_z))
+            yield pd.DataFrame(
+                {
+                    "user": pdf["user"].to_numpy()[user], "app": [names[a] for a in app], "u": list(u[user]), "uu": list(uu[user]), **out,
+                    "loglik": np.where(leads, (value + base)[user], 0.0), "lead": leads,
+                }
+            )
+
+    return _messages(rows, model).mapInPandas(run, f"user {kind}, {_MOMENTS}")
+
+
+# --- EM -----------------------------------------------------------------------------------------
+
+
+def item_statistics(rows: DataFrame, moments: DataFrame, most_local: int) -> DataFrame:
+    """(app, item, n, yy, zz, yz): sums over a model's rows of y^2, of second moments of 1 and z (upper triangle), and of y times 1 and z."""
+    size = (most_local + 1) * (most_local + 2) // 2
+    one_z = lambda i: F.lit(1.0) if i == 0 else F.get("z", F.lit(i - 1))
+    sums = rows.join(moments.select("user", "app", "z", "zz"), ["user", "app"]).groupBy("app", "item").agg(
+        F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+        *(F.sum(F.get("zz", F.lit(i))).alias(f"zz{i}") for i in range(size)), *(F.sum(F.col("y") * one_z(i)).alias(f"yz{i}") for i in range(most_local + 1)),
+    )
+    # Slots beyond an application's own factors have no values.
+    kept = lambda prefix, m: F.filter(F.array(*(f"{prefix}{i}" for i in range(m))), lambda x: x.isNotNull()).alias(prefix)
+    return sums.select("app", "item", "n", "yy", kept("zz", size), kept("yz", most_local + 1))
+
+
+def _solved(stats: DataFrame, ridge: float) -> DataFrame:
+    """app, item, load, noise: regressions of y on 1 and z, stacked for each number of factors."""
+    kind = dict(stats.dtypes)["item"]
+
+    def run(batches):
+        for pdf in batches:
+            for size, own in pdf.groupby(pdf["yz"].map(len)):
+                xx = np.zeros((len(own), size, size))
+                up0, up1 = np.triu_indices(size)
+                xx[:, up0, up1] = xx[:, up1, up0] = np.stack(own["zz"].to_numpy())
+                xy = np.stack(own["yz"].to_numpy())
+                b = np.linalg.solve(xx + ridge * np.eye(size), xy[:, :, None])[:, :, 0]
+                rest = np.einsum("ni,nij,nj->n", b, xx, b) - 2 * np.einsum("ni,ni->n", b, xy) + own["yy"].to_numpy()
+                yield pd.DataFrame({"app": own["app"].to_numpy(), "item": own["item"].to_numpy(), "load": list(b), "noise": np.maximum(rest / own["n"].to_numpy(), 1e-6)})
+
+    return stats.mapInPandas(run, f"app string, item {kind}, load array<double>, noise double")
 
 
 def em_step(rows: DataFrame, model: MultiApp, ridge: float = 0.0, fix_var_u: bool = True) -> MultiApp:
     """One exact EM step; history gets the marginal log-likelihood before it."""
-    stats = rows.groupBy("user").applyInPandas(_statistics(model), "app string, item string, i int, j int, value double, n double, loglik double")
-    sums = stats.groupBy("app", "item", "i", "j").agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.sum("loglik").alias("loglik")).collect()
-    table: dict = {}
+    g, k = model.n_global, model.most_local
+    found = cut(moments(rows, model))
+    slots = lambda column, m: [F.sum(F.get(column, F.lit(i))).alias(f"{column}{i}") for i in range(m)]
+    u2 = sum((F.get("uu", F.lit(i * g - i * (i - 1) // 2)) for i in range(g)), F.lit(0.0))
+    lead = lambda c: F.sum(F.when(F.col("lead"), c).otherwise(0.0))
+    sums = found.groupBy("app").agg(
+        F.count("*").alias("n"), F.sum("z2").alias("z2"), F.sum("loglik").alias("loglik"), lead(u2).alias("u2"), lead(F.lit(1.0)).alias("users"),
+        *slots("uu", g * (g + 1) // 2), *slots("zu", k * g),
+    ).collect()
+    apps = dict(model.apps)
     for r in sums:
-        table.setdefault((r["app"], r["item"]), {})[r["i"], r["j"]] = (r["value"], r["n"], r["loglik"])
-    users = table.pop(("", ""))[0, 0]
-    new = MultiApp({}, model.n_global, model.var_u if fix_var_u else users[0] / (users[1] * model.n_global), [*model.history, users[2]])
-    for name, app in model.apps.items():
-        k, g = app.a.shape
-        loadings, noise = dict(app.loadings), dict(app.noise)
-        for item in app.loadings:
-            if (cells := table.get((name, item))) is None:
-                continue
-            xx = np.zeros((k + 1, k + 1))
-            for i in range(k + 1):
-                for j in range(i, k + 1):
-                    xx[i, j] = xx[j, i] = cells[i, j][0]
-            xy = np.array([cells[i, -1][0] for i in range(k + 1)])
-            b = np.linalg.solve(xx + ridge * np.eye(k + 1), xy)
-            y2, n, _ = cells[-1, -1]
-            loadings[item], noise[item] = b, max((b @ xx @ b - 2 * b @ xy + y2) / n, 1e-6)
-        a, var_z = app.a, app.var_z
-        if (cells := table.get((name, None))) is not None:
-            uu = np.zeros((g, g))
-            for i in range(g):
-                for j in range(i, g):
-                    uu[i, j] = uu[j, i] = cells[i, j][0]
-            zu = np.array([[cells[1000 + i, j][0] for j in range(g)] for i in range(k)])
-            a = np.linalg.solve(uu + ridge * np.eye(g), zu.T).T
-            z2, n, _ = cells[-1, -1]
-            var_z = max((z2 - 2 * np.sum(a * zu) + np.sum((a @ uu) * a)) / n, 1e-6)
-        new.apps[name] = App(loadings, noise, a, var_z)
-    return new
+        k = len(apps[r["app"]].a)
+        uu = np.zeros((g, g))
+        up0, up1 = np.triu_indices(g)
+        uu[up0, up1] = uu[up1, up0] = [r[f"uu{i}"] for i in range(len(up0))]
+        zu = np.array([r[f"zu{i}"] for i in range(k * g)]).reshape(k, g)
+        a = np.linalg.solve(uu + ridge * np.eye(g), zu.T).T
+        apps[r["app"]] = App(a, max((r["z2"] - 2 * np.sum(a * zu) + np.sum((a @ uu) * a)) / (r["n"] * k), 1e-6))
+    new = _solved(item_statistics(rows, found, model.most_local), ridge)
+    known = model.loadings.join(new.select("app", "item", F.col("load").alias("l"), F.col("noise").alias("s")), ["app", "item"], "left")
+    loadings = cut(known.select("app", "item", F.coalesce("l", "load").alias("load"), F.coalesce("s", "noise").alias("noise")))
+    forget(found)
+    var_u = model.var_u if fix_var_u else sum(r["u2"] for r in sums) / (sum(r["users"] for r in sums) * g)
+    return MultiApp(apps, loadings, g, var_u, [*model.history, sum(r["loglik"] for r in sums)])
 
 
 def fit(rows: DataFrame, n_global: int, n_local: dict[str, int] | int, iterations: int = 5, ridge: float = 0.0, seed: int = 0) -> MultiApp:
-    rows = cut(rows.select("user", "app", "item", F.col("y").cast("double").alias("y")).repartition("user"))
+    rows = cut(rows.select("user", "app", "item", F.col("y").cast("double").alias("y")))
     model = initial(rows, n_global, n_local, seed)
     for _ in range(iterations):
-        model = em_step(rows, model, ridge)
+        last, model = model, em_step(rows, model, ridge)
+        forget(last.loadings)
+    forget(rows)
     return model
 
 
 def factors(rows: DataFrame, model: MultiApp) -> DataFrame:
     """(user, u, app, z): posterior means, one row for each application that a user has data in."""
-    kind = dict(rows.dtypes)["user"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, _, local = posterior(model, _user_data(pdf, model))
-        return pd.DataFrame([(pdf["user"].iat[0], u, app, z) for app, (z, _, _) in local.items()], columns=["user", "u", "app", "z"])
-
-    return rows.groupBy("user").applyInPandas(run, f"user {kind}, u array<double>, app string, z array<double>")
+    return moments(rows, model).select("user", "u", "app", "z")
 
 
 def predict(rows: DataFrame, found: DataFrame, model: MultiApp) -> DataFrame:
     """rows (user, app, item) with pred; users without factors get the bias."""
-    spark = rows.sparkSession
-    table = [(a, i, [float(x) for x in v]) for a, app in model.apps.items() for i, v in app.loadings.items()]
-    loads = spark.createDataFrame(table, "app string, item string, load array<double>")
-    out = rows.join(loads, ["app", "item"], "left").join(found.select("user", "app", "z"), ["user", "app"], "left")
-    slope = F.aggregate(F.zip_with(F.slice("load", 2, 1000), "z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return out.withColumn("pred", F.col("load")[0] + F.coalesce(slope, F.lit(0.0))).drop("load", "z")
+    out = rows.join(model.loadings.select("app", "item", F.col("load").alias("__l")), ["app", "item"], "left").join(found.select("user", "app", F.col("z").alias("__z")), ["user", "app"], "left")
+    slope = F.aggregate(F.zip_with(F.expr("slice(__l, 2, size(__l))"), "__z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return out.withColumn("pred", F.col("__l")[0] + F.coalesce(slope, F.lit(0.0))).drop("__l", "__z")
 
 
 def save(spark: SparkSession, model: MultiApp, path: str, mode: str = "overwrite") -> None:
-    """One JSON text; a model is as large as its applications' items."""
-    apps = {n: {"loadings": {i: v.tolist() for i, v in a.loadings.items()}, "noise": a.noise, "a": a.a.tolist(), "var_z": a.var_z} for n, a in model.apps.items()}
+    """Loadings as a table, the rest as one JSON text of the size of its applications' matrices."""
+    model.loadings.write.mode(mode).parquet(f"{path}/loadings")
+    apps = {n: {"a": a.a.tolist(), "var_z": a.var_z} for n, a in model.apps.items()}
     text = json.dumps({"apps": apps, "n_global": model.n_global, "var_u": model.var_u, "history": model.history})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/model")
 
 
 def load(spark: SparkSession, path: str) -> MultiApp:
-    found = json.loads(spark.read.text(path).first()[0])
-    apps = {n: App({i: np.array(v) for i, v in a["loadings"].items()}, a["noise"], np.array(a["a"]), a["var_z"]) for n, a in found["apps"].items()}
-    return MultiApp(apps, found["n_global"], found["var_u"], found["history"])
+    found = json.loads(spark.read.text(f"{path}/model").first()[0])
+    apps = {n: App(np.array(a["a"]), a["var_z"]) for n, a in found["apps"].items()}
+    return MultiApp(apps, spark.read.parquet(f"{path}/loadings"), found["n_global"], found["var_u"], found["history"])
 
 
 def check(rows: DataFrame, model: MultiApp) -> DataFrame:
     """(app, item) pairs of rows that the model doesn't know."""
-    known = [(a, i) for a, app in model.apps.items() for i in app.loadings]
-    return rows.select("app", "item").distinct().join(rows.sparkSession.createDataFrame(known, "app string, item string"), ["app", "item"], "left_anti")
+    return rows.select("app", "item").distinct().join(model.loadings, ["app", "item"], "left_anti")
 
 
 def observed_loglik(rows: DataFrame, found: DataFrame, model: MultiApp) -> float:
     """Log-likelihood of responses given the factors' posterior means."""
-    noise = [(a, i, float(v)) for a, app in model.apps.items() for i, v in app.noise.items()]
-    table = rows.sparkSession.createDataFrame(noise, "app string, item string, s2 double")
-    e = predict(rows, found, model).join(table, ["app", "item"])
+    e = predict(rows, found, model).join(model.loadings.select("app", "item", F.col("noise").alias("s2")), ["app", "item"])
     return e.agg(F.sum(-0.5 * ((F.col("y") - F.col("pred")) ** 2 / F.col("s2") + F.log(2 * np.pi * F.col("s2"))))).first()[0]

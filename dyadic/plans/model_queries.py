@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -359,13 +360,34 @@ def lda_fit(spark: Spark, d: str) -> DataFrame:
 # --- multi-application and online models ---------------------------------------------------------
 
 
+def _app_rows(spark: Spark, d: str) -> DataFrame:
+    return obs(spark, d).select(F.col("src_id").alias("user"), F.col("ctx_id").alias("app"), F.col("src_context").alias("item"), "y").groupBy("user", "app", "item").agg(F.avg("y").alias("y"))
+
+
 @query()
 def multiapp_em(spark: Spark, d: str) -> DataFrame:
-    rows = obs(spark, d).select(F.col("src_id").alias("user"), F.col("ctx_id").alias("app"), F.col("src_context").alias("item"), "y").groupBy("user", "app", "item").agg(F.avg("y").alias("y"))
-    model = A.fit(rows, 1, 1, iterations=2)
+    model = A.fit(_app_rows(spark, d), 1, 1, iterations=2)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.history)], "iteration int, loglik double")
 
 
+# With one global and one local factor, all matrices are numbers.
+@query(f"""WITH {OBS}, rows AS (SELECT src_id AS u, ctx_id AS app, src_context AS item, avg(y) AS y FROM obs GROUP BY 1, 2, 3),
+ loads AS (SELECT app, item, avg(y) AS b, 0.5 + 0.25 * (ascii(item) % 3) AS c, var_pop(y) AS s2 FROM rows GROUP BY 1, 2),
+ e AS (SELECT u, app, 1 / (1 / 0.8 + sum(c * c / s2)) AS w, sum(c * (y - b) / s2) AS h FROM rows JOIN loads USING (app, item) GROUP BY 1, 2),
+ g AS (SELECT u, 1 / (1 / 1.5 + sum(1 / 0.8 - w / 0.64)) AS var, sum(w * h / 0.8) AS t FROM e GROUP BY 1),
+ z AS (SELECT u, app, w * (t * var / 0.8 + h) AS z, w + w * w / 0.64 * var AS v FROM e JOIN g USING (u))
+ SELECT app, item, count(*) AS n, round(sum(y * y), 3) + 0.0 AS yy, round(sum(z), 4) + 0.0 AS z, round(sum(z * z + v), 4) + 0.0 AS zz, round(sum(y), 4) + 0.0 AS y, round(sum(y * z), 4) + 0.0 AS yz
+ FROM rows JOIN z USING (u, app) GROUP BY 1, 2""")
+def multiapp_statistics(spark: Spark, d: str) -> DataFrame:
+    """The E-step of a given model: what each application's item needs for its regression."""
+    rows = _app_rows(spark, d)
+    loads = rows.groupBy("app", "item").agg(F.array(F.avg("y"), F.lit(0.5) + 0.25 * (F.ascii("item") % 3)).alias("load"), F.var_pop("y").alias("noise"))
+    model = A.MultiApp({n: A.App(np.eye(1), 0.8) for n in ("F", "O")}, loads, 1, 1.5)
+    out = A.item_statistics(rows, A.moments(rows, model), 1)
+    named = {"yy": "yy", "zz[1]": "z", "zz[2]": "zz", "yz[0]": "y", "yz[1]": "yz"}
+    return out.select("app", "item", "n", *(rounded(F.expr(c), 3 if n == "yy" else 4).alias(n) for c, n in named.items()))
+
+
 @query()
 def online_regression(spark: Spark, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", "ts", "event_id", F.array(F.lit(1.0), F.length("event_type").cast("double")).alias("x"), F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -206,10 +206,20 @@ def test_multiapp_em_never_loses_likelihood(spark, tmp_path):
 
 def test_multiapp_posterior_equals_dense():
     rng = np.random.default_rng(1)
-    apps = {n: A.App({}, {}, rng.standard_normal((k, 2)), 0.7) for n, k in (("p", 2), ("q", 3))}
-    model = A.MultiApp(apps, 2, 1.3)
-    data = {n: (rng.standard_normal(m), rng.random(m) + 0.2, rng.standard_normal((m, len(apps[n].a)))) for n, m in (("p", 4), ("q", 2))}
-    u, var_u, local = A.posterior(model, data)
+    apps = {n: A.App(rng.standard_normal((k, 2)), 0.7) for n, k in (("p", 2), ("q", 3))}
+    model = A.MultiApp(apps, None, 2, 1.3)
+    # Two users: one with data in both applications, one in the first alone.
+    users = [{n: (rng.standard_normal(m), rng.random(m) + 0.2, rng.standard_normal((m, len(apps[n].a)))) for n, m in sizes} for sizes in ((("p", 4), ("q", 2)), (("p", 3),))]
+    data = {}
+    for n, app in apps.items():
+        k = len(app.a)
+        p, h, has = np.zeros((2, k, k)), np.zeros((2, k)), np.zeros(2)
+        for i, own in enumerate(users):
+            if n in own:
+                d, noise, c = own[n]
+                p[i], h[i], has[i] = (c.T / noise) @ c, (c.T / noise) @ d, 1
+        data[n] = (p, h, has)
+    u, var_u, local, value = A.posterior(model, data)
     # Stack u, z_p, z_q.
     prior = np.zeros((7, 7))
     prior[:2, :2] = 1.3 * np.eye(2)
@@ -219,13 +229,21 @@ def test_multiapp_posterior_equals_dense():
         prior[s, :2] = prior[:2, s].T
         for m, t in spots.items():
             prior[s, t] = 1.3 * apps[n].a @ apps[m].a.T + (0.7 * np.eye(len(apps[n].a)) if n == m else 0)
-    design = np.zeros((6, 7))
-    design[:4, spots["p"]], design[4:, spots["q"]] = data["p"][2], data["q"][2]
-    mean, cov = gaussian_posterior(prior, design, np.r_[data["p"][0], data["q"][0]], np.r_[data["p"][1], data["q"][1]])
-    assert np.allclose(u, mean[:2]) and np.allclose(var_u, cov[:2, :2])
-    for n, s in spots.items():
-        z, var_z, c = local[n]
-        assert np.allclose(z, mean[s]) and np.allclose(var_z, cov[s, s]) and np.allclose(c, cov[s, :2])
+    for i, own in enumerate(users):
+        d, noise = (np.concatenate([own[n][k] for n in own]) for k in (0, 1))
+        design, at = np.zeros((len(d), 7)), 0
+        for n, (_, _, c) in own.items():
+            design[at : at + len(c), spots[n]] = c
+            at += len(c)
+        mean, cov = gaussian_posterior(prior, design, d, noise)
+        assert np.allclose(u[i], mean[:2]) and np.allclose(var_u[i], cov[:2, :2])
+        for n in own:
+            z, var_z, c = (x[i] for x in local[n])
+            s = spots[n]
+            assert np.allclose(z, mean[s]) and np.allclose(var_z, cov[s, s]) and np.allclose(c, cov[s, :2])
+        total = design @ prior @ design.T + np.diag(noise)
+        loglik = -0.5 * (np.linalg.slogdet(total)[1] + d @ np.linalg.solve(total, d) + len(d) * np.log(2 * np.pi))
+        assert np.isclose(value[i] - 0.5 * np.sum(d * d / noise + np.log(2 * np.pi * noise)), loglik)
 
 
 def test_adaptive_rejection_draws_from_its_density():
