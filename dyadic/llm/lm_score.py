@@ -66,26 +66,32 @@ def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[tuple
     return out, w
 
 
-def _distinct(grams: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ascending distinct hashes of all orders with their counts, and for each order its places among them."""
-    keys, place, n = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True, return_counts=True)
-    cut = np.cumsum([len(k) for k, _ in grams])[:-1]
-    return keys, n, np.split(place, cut)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order of hashes; where a new hash starts in this order; the distinct ones, ascending."""
+    order = textvec.ascending(keys)
+    ordered = keys[order]
+    new = textvec.starts_of_runs(ordered)
+    return order, new, ordered[new]
+
+
+def _lengths(new: np.ndarray) -> np.ndarray:
+    """Lengths of the runs that start where `new` says."""
+    return np.diff(np.flatnonzero(np.r_[new, True]))
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_ids, sizes, text (compressed): whole documents packed together where they were read."""
+    """block, doc_ids, sizes, words (their number), text (compressed): whole documents packed together where they were read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, part, ids, sizes, texts = 0, TaskContext.get().partitionId(), [], [], []
+        seq, part, ids, sizes, words, texts = 0, TaskContext.get().partitionId(), [], [], 0, []
 
         def block() -> pa.RecordBatch:
-            nonlocal seq, ids, sizes, texts
+            nonlocal seq, ids, sizes, words, texts
             text = b"".join(texts)
-            row = [(part << 32) + seq, ids, sizes, zstandard.ZstdCompressor(1).compress(text)]
-            seq, ids, sizes, texts = seq + 1, [], [], []
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["block", "doc_ids", "sizes", "text"])
+            row = [(part << 32) + seq, ids, sizes, words, zstandard.ZstdCompressor(1).compress(text)]
+            seq, ids, sizes, words, texts = seq + 1, [], [], 0, []
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["block", "doc_ids", "sizes", "words", "text"])
 
         held = 0
         for batch in batches:
@@ -95,12 +101,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     held = 0
                 ids += rows.column(0).to_pylist()
                 sizes += np.diff(bounds).tolist()
+                words += len(textvec.words(data, bounds).start)
                 texts.append(data.tobytes())
                 held += len(data)
         if texts:
             yield block()
 
-    return docs.mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, text binary")
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, words long, text binary")
 
 
 def _opened(sizes, text) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +126,8 @@ def _entries(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 data, bounds = _opened(batch.column(1)[k], batch.column(2)[k])
-                keys, n, _ = _distinct(_grams(data, bounds, order)[0])
-                cuts = _cuts(keys, buckets)
+                _, new, keys = _distinct(np.concatenate([k for k, _ in _grams(data, bounds, order)[0]]))
+                n, cuts = _lengths(new), _cuts(keys, buckets)
                 rows = [(b, keys[i:j], n[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,9 +145,10 @@ def _answered(group: pa.Table) -> pa.Table:
     if not group.num_rows:
         return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "sums": pa.array([], pa.binary())})
     keys = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in group.column("keys")]
-    n = np.concatenate([_unpack(x.as_py()).astype(np.float64) for x in group.column("n")])
-    known, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(place, n, len(known)).astype(np.uint64)[place]
+    n = np.concatenate([_unpack(x.as_py()).astype(np.int64) for x in group.column("n")])
+    order, new, _ = _distinct(np.concatenate(keys))
+    sums = np.empty(len(n), np.uint64)
+    sums[order] = np.repeat(np.add.reduceat(n[order], np.flatnonzero(new)), _lengths(new)).astype(np.uint64)
     parts = np.split(sums, np.cumsum([len(k) for k in keys])[:-1])
     return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "sums": pa.array([_pack(_small(p)) for p in parts], pa.binary())})
 
@@ -149,12 +157,11 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     """doc_id, n_words, n_backed_off (words scored below the full order), log_score (sum), mean_log_score: one row for each row of docs."""
     spark = docs.sparkSession
     blocks, _ = written(_blocks(id_text(docs, id_col, text_col)), "blocks")
-    total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    # About one word in six bytes, and as many entries of each order.
-    buckets = max(1, math.ceil(total / 6 * order / BUCKET))
+    words = blocks.agg(F.sum("words")).first()[0] or 0
+    # A word has one entry of each order at most.
+    buckets = max(1, math.ceil(words * order / BUCKET))
     asked = _entries(blocks, order, buckets).repartition(buckets, "bucket")
     answers, _ = written(asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket int, sums binary"), "counts")
-    words = _word_count(blocks)
     gathered = answers.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "sums"))), lambda x: x["sums"]).alias("sums"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,30 +179,24 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     return joined.mapInArrow(run, "doc_id long, n_words long, n_backed_off long, log_score double, mean_log_score double")
 
 
-def _word_count(blocks: DataFrame) -> int:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(textvec.words(*_opened(batch.column(0)[k], batch.column(1)[k])).start) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
-
-    return blocks.select("sizes", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def _scores(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray, total: int, order: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams, w = _grams(data, bounds, order)
     docs, doc = len(bounds) - 1, w.doc
     words = np.diff(w.first)
     if not len(w.start):
         return words, np.zeros(docs, np.int64), np.zeros(docs)
-    _, _, places = _distinct(grams)
     rest = (total - words)[doc] if leave_out else np.full(len(doc), total)
+    at_doc = np.concatenate([doc[at] for _, at in grams])
+    by, new, _ = _distinct(np.concatenate([k for k, _ in grams]))
+    found = np.repeat(sums.astype(np.int64), _lengths(new))
+    if leave_out:
+        # Equal n-grams stand in the order of their documents, so a document's own are a run.
+        own = _lengths(new | textvec.starts_of_runs(at_doc[by]))
+        found -= np.repeat(own, own)
+    back = np.empty(len(by), np.int64)
+    back[by] = found
     counts = []  # by order, for the n-gram that starts at each word; 0 where there is none
-    for (_, at), place in zip(grams, places):
-        n = sums[place].astype(np.int64)
-        if leave_out:
-            own = doc[at] * np.int64(len(sums)) + place
-            _, back, times = np.unique(own, return_inverse=True, return_counts=True)
-            n = n - times[back]
+    for n, (_, at) in zip(np.split(back, np.cumsum([len(k) for k, _ in grams])[:-1]), grams):
         full = np.zeros(len(doc), np.int64)
         full[at] = n
         counts.append(full)

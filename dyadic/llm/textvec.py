@@ -72,6 +72,22 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """Stable argsort of 64-bit hashes: high bits and places are sorted as one integer, many times faster than an argsort; where low bits decide, that takes over."""
+    bits = np.uint64(max(1, int(len(keys) - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    found = keys[order]
+    return np.argsort(keys, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
+def starts_of_runs(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of ascending values differs from the one before."""
+    out = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=out[1:])
+    return out
+
+
 def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each window of `width` words that lies in one text, and the index of its first word."""
     at = np.arange(len(h) - width + 1 if len(h) >= width else 0)
