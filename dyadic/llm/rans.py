@@ -104,7 +104,7 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         # A chunk that starts without white space can't follow another one; nor can anything follow a chunk of white space alone.
         joined = _WHITE[data[start]] & ~_WHITE[data[end - 1]]
         n = np.zeros(len(start), np.int64)
@@ -113,7 +113,7 @@ class Encoder:
         cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size), "right")
         n[joined] = np.diff(np.r_[0, cut])
         if joined.all():
-            return ids, n
+            return [(ids, n)]
         parts, at = [], 0
         for k in range(len(start)):
             if joined[k]:
@@ -122,7 +122,7 @@ class Encoder:
             else:
                 parts.append(self._ids(data[start[k] : end[k]].tobytes().decode()))
                 n[k] = len(parts[-1])
-        return np.concatenate(parts), n
+        return [(np.concatenate(parts), n)]
 
     def _added_in(self, data: np.ndarray) -> np.ndarray:
         """Places where an added token starts."""
@@ -146,7 +146,7 @@ class Encoder:
             keep = ~odd[np.searchsorted(bounds, start, "right") - 1]
             start, end = start[keep], end[keep]
             first = np.searchsorted(start, bounds)
-        ids, n = self.cache.ids(textvec.hashes(data, start, end), data, start, end) if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, n = self.cache.ids(textvec.hashes(data, start, end), data, start, end)[0] if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         ends = np.r_[0, np.cumsum(n)][first]
         if not len(rare):
             return ids, np.diff(ends)

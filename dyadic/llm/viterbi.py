@@ -1,10 +1,9 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 A text becomes words (runs of the space mark and what follows them, which no piece crosses). Words
-that aren't known yet are put together by length, and all words of a length advance together: at
-each end, each piece length is tried at once for all of them; a substring's hash (from prefix
-sums) probes the sorted piece keys, and a vectorised maximum keeps the best score and the
-backpointer. Ties go to the longer last piece, sums are 32-bit floats, and characters without a piece fall back to bytes, as
+that aren't known yet are put together by length, and all words of a length advance together: hashes of all their
+substrings (from prefix sums) probe the sorted piece keys at once, and at each end a vectorised
+maximum over the piece lengths keeps the best score and the backpointer. Ties go to the longer last piece, sums are 32-bit floats, and characters without a piece fall back to bytes, as
 in the library's unigram search; the tests hold ids against it on the same pieces.
 
 The model file given here was trained as BPE, and merge order isn't a maximum of summed scores: ids are
@@ -19,6 +18,7 @@ none. Other columns are never read.
 
 from __future__ import annotations
 
+import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,10 +36,16 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 _BASE = 0x9E3779B97F4A7C15
-#: Bits of hashes that a table answers before keys are searched, and their multiplier.
-_BITS, _SPREAD = 20, np.uint64(0xD6E8FEB86659FD93)
-#: Characters of text that are encoded together, so that lengths have many words.
+#: First bits of keys by which a table tells where their range of sorted keys starts, and the multiplier that spreads keys.
+_BITS, _SPREAD = 18, np.uint64(0xD6E8FEB86659FD93)
+#: Ways to segment: by the best sum of scores, or by the merge order of a BPE model.
+BEST, MERGED = "best", "merged"
+#: Substrings of words that are probed at once.
+PROBED = 1 << 20
+#: Bytes of text that are encoded together, so that lengths have many words.
 TOGETHER = 3 << 20
+#: Characters of a word beyond which it is segmented by itself: words of one length are then too few to advance together.
+LONG = 96
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,30 +101,33 @@ class Model:
 
 
 class Encoder:
-    """merges: segment by the merge order of a BPE model instead of the best sum of scores."""
+    """Segments texts in one or more ways at once."""
 
-    def __init__(self, model: Model, merges: bool = False):
-        self.model, self.merges = model, merges
+    def __init__(self, model: Model, ways: tuple[str, ...] = (BEST,)):
+        self.model, self.ways = model, ways
         usable = [k for k, t in enumerate(model.kinds) if t in (_NORMAL, _USER)]
         if any(MARK in model.pieces[k].lstrip(MARK) for k in usable):
             raise ValueError("pieces that cross words are not supported")
         self.longest = max(len(model.pieces[k]) for k in usable)
         with np.errstate(over="ignore"):
             self.powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.longest, _BASE, np.uint64)])
-        keys = np.array([self._key(model.pieces[k]) for k in usable], np.uint64)
+            keys = np.array([self._key(model.pieces[k]) for k in usable], np.uint64) * _SPREAD
         order = np.argsort(keys)
         self.keys, self.of = keys[order], np.array(usable)[order]
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.crowded = int(np.diff(self.first).max())
         score = model.scores.copy()
         user = model.kinds == _USER
         score[user] = [len(p) * model.scores[usable].max() - 0.1 for p, u in zip(model.pieces, user) if u]
-        self.score = score[self.of]
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[self._slot(self.keys)] = True
+        # With one more for place -1, where no piece was found.
+        self.score = np.r_[score[self.of], np.float32(-np.inf)].astype(np.float32)
+        self.of = np.r_[self.of, -1]
+        self.known = {model.pieces[k]: (float(s), k) for s, k in zip(score[usable], usable)}
         self.unknown_score = np.float32(model.scores[usable].min() - 10)
         self.byte_ids = np.full(256, int(np.flatnonzero(model.kinds == _UNKNOWN)[0]))
         for k in np.flatnonzero(model.kinds == _BYTE):
             self.byte_ids[int(model.pieces[k][3:5], 16)] = k
-        self.cache = ChunkCache(self.encode_words, np.int32)
+        self.cache = ChunkCache(self.encode_words, len(ways), np.int32)
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -127,12 +136,8 @@ class Encoder:
             h = (h * _BASE + ord(c) + 1) & ((1 << 64) - 1)
         return h
 
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h * _SPREAD >> np.uint64(64 - _BITS)).astype(np.int64)
-
-    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words (ranges of UTF-8 bytes, with spaces), joined, and how many each has."""
+    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each way, ids of distinct words (ranges of UTF-8 bytes, with spaces), joined, and how many each has."""
         raw = ragged(data, start, end - start)
         chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         chars = np.where(chars == 0x20, np.uint32(ord(MARK)), chars)
@@ -140,105 +145,182 @@ class Encoder:
         heads = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
         bounds = heads[np.r_[0, np.cumsum(end - start)]]
         length = np.diff(bounds)
-        rows, ids, counts = [], [], []
-        for size in np.unique(length):
-            own = np.flatnonzero(length == size)
-            most = max(1, (1 << 20) // (int(size) + 1))
-            for first in range(0, len(own), most):
-                part = own[first : first + most]
-                found = (self._merged if self.merges else self._search)(chars[bounds[part][:, None] + np.arange(size)])
+        rows: list = []
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.ways]
+        by_length = np.argsort(length, kind="stable")
+        sizes, cuts = np.unique(length[by_length], return_index=True)
+        for size, own in zip(sizes.tolist(), np.split(by_length, cuts[1:])):
+            if size > LONG:
+                for k in own:
+                    rows.append([k])
+                    for out, way in zip(found, self.ways):
+                        out.append((self._search_long if way == BEST else self._merged_long)(chars[bounds[k] : bounds[k + 1]]))
+                continue
+            most = max(1, PROBED // (size * min(size, self.longest)))
+            for part in np.split(own, range(most, len(own), most)):
                 rows.append(part)
-                ids.append(found[0])
-                counts.append(found[1])
+                words = chars[bounds[part][:, None] + np.arange(size)]
+                pieces = self._pieces(words)
+                for out, way in zip(found, self.ways):
+                    out.append((self._search if way == BEST else self._merged)(words, pieces))
         order = np.argsort(np.concatenate(rows))
-        n = np.concatenate(counts)
-        return ragged(np.concatenate(ids), (np.cumsum(n) - n)[order], n[order]), n[order]
-
-    def _search(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best segmentations of words of one length, a row of characters each."""
-        n, length = chars.shape
-        best = np.full((length + 1, n), -np.inf, np.float32)
-        best[0] = 0
-        back = np.zeros((length + 1, n), np.int32)
-        piece = np.full((length + 1, n), -1, np.int32)
-        with np.errstate(over="ignore", invalid="ignore"):
-            sums = np.zeros((length + 1, n), np.uint64)
-            for k in range(length):
-                sums[k + 1] = sums[k] * np.uint64(_BASE) + (chars[:, k].astype(np.uint64) + np.uint64(1))
-            for end in range(1, length + 1):
-                for size in range(min(self.longest, end), 0, -1):
-                    h = sums[end] - sums[end - size] * self.powers[size]
-                    maybe = np.flatnonzero(self.table[self._slot(h)])
-                    at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-                    known = self.keys[at] == h[maybe]
-                    rows, at = maybe[known], at[known]
-                    total = best[end - size, rows] + self.score[at]
-                    better = total > best[end, rows]
-                    rows = rows[better]
-                    best[end, rows], back[end, rows], piece[end, rows] = total[better], size, self.of[at[better]]
-                    if size == 1:
-                        single = np.zeros(n, bool)
-                        single[maybe[known]] = True
-                        total = best[end - 1] + self.unknown_score
-                        better = ~single & (total > best[end])
-                        best[end, better], back[end, better], piece[end, better] = total[better], 1, -1
-        return self._walk(chars, back, piece)
+        done = []
+        for out in found:
+            ids, n = (np.concatenate(x) for x in zip(*out))
+            done.append((ragged(ids, (np.cumsum(n) - n)[order], n[order]), n[order]))
+        return done
 
     def _found(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash among the keys, or -1."""
-        out = np.full(h.shape, -1)
-        maybe = np.nonzero(self.table[self._slot(h)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == h[maybe], at, -1)
+        """Place of each hash among the keys, or -1: its first bits say in which range of the sorted keys it would be."""
+        with np.errstate(over="ignore"):
+            h = h * _SPREAD
+        part = (h >> np.uint64(64 - _BITS)).astype(np.int32)
+        first, last = self.first[part], self.first[part + 1]
+        out = np.full(h.shape, -1, np.int32)
+        for k in range(self.crowded):
+            maybe = np.nonzero(first + k < last)
+            at = first[maybe] + k
+            hit = self.keys[at] == h[maybe]
+            out[tuple(x[hit] for x in maybe)] = at[hit]
         return out
 
-    def _pairs(self, sums, powers, rows, start, middle, end, length: int) -> np.ndarray:
-        """Score of the piece from start to end, -inf where there is none or the middle is no start of a second piece."""
-        at = self._found(sums[rows, end] - sums[rows, start] * powers[end - start])
-        return np.where((at >= 0) & (middle < length) & (end - start <= self.longest), self.score[at], -np.inf)
-
-    def _merged(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segmentations by merges: all words of a length merge their best pair of neighbours (the first of equals) until none has one."""
-        n, length = chars.shape
-        sums = np.zeros((n, length + 1), np.uint64)
-        powers = np.zeros(length + 1, np.uint64)
-        powers[: min(self.longest, length) + 1] = self.powers[: min(self.longest, length) + 1]
-        # Starts of the pieces of each word, then the word's end.
-        starts = np.tile(np.arange(length + 1), (n, 1))
+    def _pieces(self, words: np.ndarray) -> np.ndarray:
+        """Place among the keys of each word's substrings, or -1: [length - 1, start, word]."""
+        n, length = words.shape
+        sums = np.zeros((length + 1, n), np.uint64)
+        out = np.full((min(self.longest, length), length, n), -1, np.int32)
         with np.errstate(over="ignore"):
             for k in range(length):
-                sums[:, k + 1] = sums[:, k] * np.uint64(_BASE) + (chars[:, k].astype(np.uint64) + np.uint64(1))
-            every = np.arange(n)[:, None]
-            # Scores of all pairs of neighbours; a merge changes the two pairs that it touches.
-            score = self._pairs(sums, powers, every, starts[:, :-2], starts[:, 1:-1], starts[:, 2:], length)
-            rows = np.arange(n)
-            while len(rows) and length > 1:
-                best = score[rows].argmax(1)
-                rows, best = rows[has := score[rows, best] > -np.inf], best[has]
-                behind = np.arange(length) > best[:, None]
-                starts[rows, :-1] = np.where(behind, starts[rows, 1:], starts[rows, :-1])
-                score[rows, :-1] = np.where(behind[:, : length - 2], score[rows, 1:], score[rows, :-1])
-                score[rows, -1] = -np.inf
-                for k in (best - 1, best):
-                    ok = (k >= 0) & (k < length - 1)
-                    r, c = rows[ok], k[ok]
-                    score[r, c] = self._pairs(sums, powers, r, starts[r, c], starts[r, c + 1], starts[r, c + 2], length)
-            row, place = np.nonzero(starts[:, :-1] < length)
-            first, last = starts[row, place], starts[row, place + 1]
-            at = self._found(sums[row, last] - sums[row, first] * powers[last - first])
-        ids = np.where(at >= 0, self.of[at], -1)
-        return self._with_bytes(chars, row, ids, first)
-
-    def _walk(self, chars: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, length = chars.shape
-        at, rows, steps = np.full(n, length), np.arange(n), []
+                sums[k + 1] = sums[k] * np.uint64(_BASE) + (words[:, k].astype(np.uint64) + np.uint64(1))
+            for size in range(1, len(out) + 1):
+                out[size - 1, : length - size + 1] = self._found(sums[size:] - sums[:-size] * self.powers[size])
+        return out
+
+    def _search(self, words: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best segmentations of words of one length, a row of characters each."""
+        n, length = words.shape
+        best = np.full((length + 1, n), -np.inf, np.float32)
+        best[0] = 0
+        back = np.zeros((length + 1, n), np.int32)
+        piece = np.full((length + 1, n), -1, np.int32)
+        every = np.arange(n)
+        for end in range(1, length + 1):
+            sizes = np.arange(min(len(pieces), end), 0, -1)  # the longest first, as ties go to it
+            at = pieces[sizes - 1, end - sizes]
+            total = best[end - sizes] + self.score[at]
+            top = total.argmax(0)
+            score, chosen = total[top, every], at[top, every]
+            unknown = best[end - 1] + self.unknown_score
+            alone = (at[-1] < 0) & (unknown > score)
+            best[end] = np.where(alone, unknown, score)
+            back[end] = np.where(alone, 1, sizes[top])
+            piece[end] = np.where(alone, -1, self.of[chosen])
+        at, rows, steps = np.full(n, length), every, []
         while len(rows):
             steps.append((rows, piece[at[rows], rows], at[rows] - 1))
             at[rows] -= back[at[rows], rows]
             rows = rows[at[rows] > 0]
         rows, ids, places = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
         order = np.argsort(rows, kind="stable")
-        return self._with_bytes(chars, rows[order], ids[order], places[order])
+        return self._with_bytes(words, rows[order], ids[order], places[order])
+
+    def _merged(self, words: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations by merges: all words of a length merge their best pair of neighbours (the first of equals) until none has one."""
+        n, length = words.shape
+        most = len(pieces)
+
+        def pairs(rows, start, middle, end) -> np.ndarray:
+            """Score of the piece from start to end, -inf where there is none or the middle is no start of a second piece."""
+            size = end - start
+            at = pieces[np.minimum(size, most) - 1, np.minimum(start, length - 1), rows]
+            return np.where((middle < length) & (size <= most) & (size > 0), self.score[at], np.float32(-np.inf))
+
+        # Starts of the pieces of each word, then the word's end; and scores of all pairs of neighbours: a merge changes the two pairs that it touches.
+        starts = np.tile(np.arange(length + 1), (n, 1))
+        score = pairs(np.arange(n)[:, None], starts[:, :-2], starts[:, 1:-1], starts[:, 2:])
+        rows = np.arange(n)
+        while len(rows) and length > 1:
+            best = score[rows].argmax(1)
+            rows, best = rows[has := score[rows, best] > -np.inf], best[has]
+            behind = np.arange(length) > best[:, None]
+            starts[rows, :-1] = np.where(behind, starts[rows, 1:], starts[rows, :-1])
+            score[rows, :-1] = np.where(behind[:, : length - 2], score[rows, 1:], score[rows, :-1])
+            score[rows, -1] = -np.inf
+            for k in (best - 1, best):
+                ok = (k >= 0) & (k < length - 1)
+                r, c = rows[ok], k[ok]
+                score[r, c] = pairs(r, starts[r, c], starts[r, c + 1], starts[r, c + 2])
+        row, place = np.nonzero(starts[:, :-1] < length)
+        first, last = starts[row, place], starts[row, place + 1]
+        return self._with_bytes(words, row, self.of[pieces[last - first - 1, first, row]], first)
+
+    def _search_long(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same search for one long word: all places are probed at once for each piece length, then one pass goes over the pieces found."""
+        length = len(chars)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(length + 1, np.uint64)
+            for k in range(0, length):
+                sums[k + 1] = sums[k] * np.uint64(_BASE) + (chars[k].astype(np.uint64) + np.uint64(1))
+            ends, sizes, places = [], [], []
+            for size in range(min(self.longest, length), 0, -1):
+                at = self._found(sums[size:] - sums[:-size] * self.powers[size])
+                hit = np.flatnonzero(at >= 0)
+                ends.append(hit + size)
+                sizes.append(np.full(len(hit), size))
+                places.append(at[hit])
+        ends, sizes, places = (np.concatenate(x) for x in (ends, sizes, places))
+        by = np.argsort(ends, kind="stable")  # the longest first, as ties go to it
+        first = np.searchsorted(ends[by], np.arange(length + 2)).tolist()
+        sizes, scores, pieces = sizes[by].tolist(), list(self.score[places[by]]), self.of[places[by]].tolist()
+        best, back, piece = [np.float32(0)] + [np.float32(-np.inf)] * length, [0] * (length + 1), [-1] * (length + 1)
+        for end in range(1, length + 1):
+            top, single = np.float32(-np.inf), False
+            for k in range(first[end], first[end + 1]):
+                total = best[end - sizes[k]] + scores[k]
+                single = sizes[k] == 1
+                if total > top:
+                    top, back[end], piece[end] = total, sizes[k], pieces[k]
+            if not single and (total := best[end - 1] + self.unknown_score) > top:
+                top, back[end], piece[end] = total, 1, -1
+            best[end] = top
+        ids, at, end = [], [], length
+        while end:
+            ids.append(piece[end])
+            at.append(end - 1)
+            end -= back[end]
+        return self._with_bytes(chars[None], np.zeros(len(ids), np.int64), np.array(ids[::-1]), np.array(at[::-1]))
+
+    def _merged_long(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges for one long word, with a heap of its pairs."""
+        text, length, known = chars.tobytes().decode("utf-32-le", "surrogatepass"), len(chars), self.known
+        after, before = list(range(1, length + 1)), list(range(-1, length - 1))  # the next piece's start (length at the end), and the last one's
+        heap: list[tuple[float, int, int, int]] = []
+
+        def push(first: int) -> None:
+            if first >= 0 and (middle := after[first]) < length:
+                end = after[middle]
+                if end - first <= self.longest and (own := known.get(text[first:end])):
+                    heapq.heappush(heap, (-own[0], first, middle, end))
+
+        for k in range(length - 1):
+            push(k)
+        while heap:
+            _, first, middle, end = heapq.heappop(heap)
+            # Pieces that have changed since are no pair any more.
+            if after[first] != middle or middle >= length or after[middle] != end:
+                continue
+            after[first], after[middle] = end, -1
+            if end < length:
+                before[end] = first
+            push(first)
+            push(before[first])
+        ids, at, first = [], [], 0
+        while first < length:
+            own = known.get(text[first : after[first]])
+            ids.append(own[1] if own else -1)
+            at.append(first)
+            first = after[first]
+        return self._with_bytes(chars[None], np.zeros(len(ids), np.int64), np.array(ids), np.array(at))
 
     def _with_bytes(self, chars: np.ndarray, rows: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids by word and each word's number of them; a character without a piece (-1) becomes its bytes."""
@@ -252,8 +334,8 @@ class Encoder:
         out[np.repeat(ids < 0, width)] = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
         return out, np.bincount(rows, width, len(chars)).astype(np.int64)
 
-    def slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts that data holds, joined, and each text's number of them."""
+    def _split(self, data: np.ndarray, bounds: np.ndarray) -> tuple:
+        """Words of the texts that data holds: their hashes, the bytes and each one's bounds in them, and the first word of each text (with the end)."""
         if self.model.dummy_prefix:
             full = np.diff(bounds) > 0
             data = np.insert(data, bounds[:-1][full], 0x20)
@@ -264,14 +346,19 @@ class Encoder:
         cut[1:-1] |= space[1:] & ~space[:-1]
         start = np.flatnonzero(cut[:-1])
         end = np.r_[start[1:], len(data)].astype(np.int64)
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
-        ids, n = self.cache.ids(textvec.hashes(data, start, end), data, start, end)
-        return ids, np.diff(np.r_[0, np.cumsum(n)][np.searchsorted(start, bounds)])
+        return textvec.hashes(data, start, end), data, start, end, np.searchsorted(start, bounds)
+
+    def slice(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each way, ids of the texts that data holds, joined, and each text's number of them."""
+        if not len(data):
+            return [(np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)) for _ in self.ways]
+        *words, first = self._split(data, bounds)
+        return [(ids, np.diff(np.r_[0, np.cumsum(n)][first])) for ids, n in self.cache.ids(*words)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in the first way, joined, and each text's number of them."""
         own = [t.encode() for t in texts]
-        return self.slice(np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64))
+        return self.slice(np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64))[0]
 
 
 class Decoder:
@@ -286,16 +373,39 @@ class Decoder:
         text = ragged(self.flat, self.start[ids], self.length[ids]).tobytes().decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def many(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of many texts, given where each one's ids end; and their bounds in them."""
+        size = self.length[ids]
+        data = ragged(self.flat, self.start[ids], size)
+        bounds = np.r_[0, np.r_[0, np.cumsum(size)][ends]]
+        if self.dummy_prefix:
+            first = bounds[:-1][np.diff(bounds) > 0]
+            gone = np.zeros(len(data) + 1, np.int64)
+            gone[first[data[first] == 0x20]] = 1
+            data = data[gone[:-1] == 0]
+            bounds = bounds - np.r_[0, np.cumsum(gone)][bounds]
+        return data, bounds
+
+
+def _equal(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> np.ndarray:
+    """Whether each text of a is that of b, byte by byte."""
+    out = np.diff(a_bounds) == np.diff(b_bounds)
+    if out.all():
+        return np.diff(np.r_[0, np.cumsum(a != b)][a_bounds]) == 0
+    for k in np.flatnonzero(out):
+        out[k] = (a[a_bounds[k] : a_bounds[k + 1]] == b[b_bounds[k] : b_bounds[k + 1]]).all()
+    return out
+
 
 _made: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
-def shared(path: str, merges: bool = False) -> tuple[Encoder, Decoder]:
+def shared(path: str, ways: tuple[str, ...] = (BEST,)) -> tuple[Encoder, Decoder]:
     """One coder for all tasks that a Python worker runs, so that what it remembers serves them all."""
-    if (path, merges) not in _made:
+    if (path, ways) not in _made:
         model = Model.load(path)
-        _made[path, merges] = Encoder(model, merges), Decoder(model)
-    return _made[path, merges]
+        _made[path, ways] = Encoder(model, ways), Decoder(model)
+    return _made[path, ways]
 
 
 def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -312,21 +422,21 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import public_tokenizers
 
         path = model or public_tokenizers.path(MODEL)
-        encode, decode = shared(path)
+        encode, decode = shared(path, (BEST, MERGED) if also_merges else (BEST,))
         loaded = encode.model
         byte = loaded.kinds == _BYTE
         for batch in batches:
             for part, data, bounds in text_slices(batch, most=TOGETHER):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, n = encode.slice(data, bounds)
+                (ids, n), *others = encode.slice(data, bounds)
                 ends = np.cumsum(n)
-                decoded = [decode(x) for x in np.split(ids, ends[:-1])]
+                decoded, cut = decode.many(ids, ends)
+                heads = np.r_[0, np.cumsum((decoded & 0xC0) != 0x80)]
                 bytes_before = np.r_[0, np.cumsum(byte[ids])]
-                more = [_lists(*shared(path, merges=True)[0].slice(data, bounds))] if also_merges else []
+                more = [_lists(*x) for x in others]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), _lists(ids, n), pa.array(n), pa.array(bytes_before[ends] - bytes_before[ends - n]),
-                        pa.array([len(d) for d in decoded], pa.int64()), pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_()), *more,
+                        pa.array(np.diff(heads[cut])), pa.array(_equal(decoded, cut, data, bounds)), *more,
                     ],
                     ["doc_id", "ids", "n_ids", "n_byte_ids", "decoded_chars", "exact", *["merge_ids"] * len(more)],
                 )

@@ -1,3 +1,6 @@
+import random
+import time
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -67,3 +70,39 @@ def test_merges_equal_the_library(spark, make, words):
     rows = {r.doc_id: r for r in V.encode_decode(make(texts), also_merges=True).collect()}
     for k, t in enumerate(texts):
         assert rows[k].merge_ids == library.encode(t or ""), repr(t)[:40]
+
+
+def test_long_words_like_short_ones(words, monkeypatch):
+    """Words segmented by themselves give what words that advance together give, for both ways; a word of 200,000 characters takes seconds."""
+    rng = random.Random(2)
+    model = V.Model.load(public_tokenizers.path(V.MODEL))
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["日本語の文" * 30, "a" * 300, "xé😀" * 50, "q", "的" * 97]
+    for way in (V.BEST, V.MERGED):
+        monkeypatch.setattr(V, "LONG", 10**9)
+        expected = V.Encoder(model, (way,))(texts)
+        monkeypatch.setattr(V, "LONG", 0)
+        got = V.Encoder(model, (way,))(texts)
+        assert got[0].tolist() == expected[0].tolist() and got[1].tolist() == expected[1].tolist()
+        monkeypatch.undo()
+        encode = V.Encoder(model, (way,))
+        for long in ("".join(rng.choice(words) for _ in range(33_000))[:200_000], "日本語の文" * 40_000, "a" * 200_000):
+            began = time.time()
+            encode([long])
+            assert time.time() - began < 15
+
+
+def test_chunks_of_one_hash_are_told_apart():
+    """The cache compares bytes, so even equal hashes never give another chunk's ids."""
+    import numpy as np
+
+    from dyadic.llm.wordcache import ChunkCache
+
+    encode = lambda data, start, end: [(np.concatenate([data[a:b] for a, b in zip(start, end)]).astype(np.uint32), end - start)]
+    cache = ChunkCache(encode)
+    chunks = [b"one", b"two", b"one", b"a much longer chunk than the first", b"x" * 40, b"one "]
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    end = np.cumsum([len(c) for c in chunks])
+    start = end - [len(c) for c in chunks]
+    for _ in range(3):
+        ids, n = cache.ids(np.zeros(len(chunks), np.uint64), data, start, end)[0]
+        assert ids.astype(np.uint8).tobytes() == data.tobytes() and n.tolist() == [len(c) for c in chunks]
