@@ -15,8 +15,11 @@ so documents emit only windows that may match; the exact join follows, so a filt
 costs rows, not results. Slots are compared only for matched windows.
 
 Cases: null and empty texts have no windows. Items of four to seven tokens are one window of their
-length; shorter ones never match. Rows with a null id are left out. Repeated rows count once. Empty
-tables give no rows. Other columns are never read.
+length; shorter ones match only documents that consist of their very words, as two words are in any text.
+Rows with a null id are left out. Repeated rows count once; rows that repeat an id with another text are documents
+(or items) of their own, and `without_leaks` drops only those that leak. Ties between offsets: the best one counts. Very long texts and words take
+time in proportion to their length. Empty tables give no rows. `leaks` reads no other columns, and `without_leaks` keeps
+them whatever their names.
 """
 
 from __future__ import annotations
@@ -80,11 +83,9 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     w = textvec.words(data, bounds)
     if not len(w.start):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), w
-    start, end = w.start.copy(), w.end.copy()
-    while (peel := (end - start > 1) & _OUTER[data[end - 1]] & (data[end - 1] != ord("%"))).any():
-        end[peel] -= 1
-    while (peel := (end - start > 1) & _OUTER[data[start]]).any():
-        start[peel] += 1
+    # Outer characters go, but for a last % and one character at least.
+    end = _before(np.flatnonzero(~_OUTER[data] | (data == ord("%"))), w.start, w.end, w.start) + 1
+    start = _after(np.flatnonzero(~_OUTER[data]), w.start, end, end - 1)
     core = textvec.hashes(_lower(data), start, end)
     number = _DIGIT[data[start]] | _among(core, _NUMBER_HASHES)
     first = np.zeros(len(start), bool)
@@ -101,6 +102,20 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(kind > 0, kind, core), np.where(kind > 0, mix(core ^ kind), np.uint64(0)), w
 
 
+def _before(places: np.ndarray, start: np.ndarray, end: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The last of ascending places in each range, or what `none` says."""
+    at = np.searchsorted(places, end) - 1
+    found = places[np.maximum(at, 0)] if len(places) else none
+    return np.where((at >= 0) & (found >= start), found, none)
+
+
+def _after(places: np.ndarray, start: np.ndarray, end: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The first of ascending places in each range, or what `none` says."""
+    at = np.searchsorted(places, start)
+    found = places[np.minimum(at, len(places) - 1)] if len(places) else none
+    return np.where((at < len(places)) & (found < end), found, none)
+
+
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
@@ -127,7 +142,7 @@ def forms(token: np.ndarray, slot: np.ndarray, first: np.ndarray) -> Iterator[tu
 
 
 def windowed(rows: DataFrame, widths: list[int], own_width: bool = False, wanted=None) -> DataFrame:
-    """id, form, key, exact (dense in placeholders, so that the key holds their values), at, slots, n, n_open (windows of the text of that width, and those not exact): template windows; with own_width only those of the width that an item uses."""
+    """id, row (a hash of the text), form, key, exact (dense in placeholders or short, so that the key holds their values), at, slots, n, n_open (windows of the text of that width, and those not exact): template windows; with own_width only those of the width that an item uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = wanted.value if wanted is not None else None
@@ -135,56 +150,57 @@ def windowed(rows: DataFrame, widths: list[int], own_width: bool = False, wanted
             for part, data, bounds in text_slices(batch):
                 token, slot, w = tokens(data, bounds)
                 for form, token, slot, start, texts in forms(token, slot, w.first):
-                    ids, length = part.column(0).take(pa.array(texts)), np.diff(start)
+                    ids, hashes, length = part.column(0).take(pa.array(texts)), part.column(2).take(pa.array(texts)), np.diff(start)
                     doc = np.repeat(np.arange(len(length)), length)
                     literals = np.r_[0, np.cumsum(slot == 0)]
                     for width in widths:
                         key, at = textvec.windows(token, start, width)
                         with np.errstate(over="ignore"):
                             key = mix(key + np.uint64(width))
-                            exact = (literals[at + width] - literals[at]) * 2 < width
+                            exact = ((literals[at + width] - literals[at]) * 2 < width) | (width < SHORTEST)
                             for k in range(width if exact.any() else 0):
                                 key[exact] = mix(key[exact] * np.uint64(0xD1342543DE82EF95) + slot[at[exact] + k])
                         n_open = np.bincount(doc[at], ~exact, len(length)).astype(np.int64)
                         good = np.ones(len(key), bool) if filt is None else in_filter(filt, key)
                         if own_width:
                             good &= np.minimum(length[doc[at]], WIDTH) == width
+                        elif width < SHORTEST:
+                            good &= length[doc[at]] == width
                         key, at, exact = key[good], at[good], exact[good]
                         slots = slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint64)
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots.view(np.int64).ravel()))
                         d = doc[at]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                ids.take(pa.array(d)), pa.array(form[d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(exact),
+                                ids.take(pa.array(d)), hashes.take(pa.array(d)), pa.array(form[d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(exact),
                                 pa.array(at - start[d]), lists, pa.array(length[d] - width + 1), pa.array(n_open[d]),
                             ],
-                            ["id", "form", "key", "exact", "at", "slots", "n", "n_open"],
+                            ["id", "row", "form", "key", "exact", "at", "slots", "n", "n_open"],
                         )
 
-    return rows.mapInArrow(run, "id long, form int, key long, exact boolean, at long, slots array<long>, n long, n_open long")
+    return rows.mapInArrow(run, "id long, row long, form int, key long, exact boolean, at long, slots array<long>, n long, n_open long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched (windows), windows (of the item), verbatim: a row for each document and item that leaks into it."""
+def _caught(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """doc_id, row (hash of the text), item_id, form, matched, windows, same: a row for each document, item and consistent offset that leaks."""
     spark = docs.sparkSession
-    items = id_text(benchmark, item_col, item_text).where("doc_id is not null")
-    docs = id_text(docs, id_col, text_col).where("doc_id is not null")
-    widths = list(range(SHORTEST, WIDTH + 1))
-    theirs = windowed(items, widths, own_width=True).select(
-        "key", "exact", F.col("id").alias("item_id"), F.col("form").alias("item_form"), F.col("at").alias("item_at"),
+    keyed = lambda rows: rows.where("doc_id is not null").withColumn("row", F.xxhash64("text"))
+    items, docs = keyed(id_text(benchmark, item_col, item_text)), keyed(id_text(docs, id_col, text_col))
+    theirs = windowed(items, list(range(1, WIDTH + 1)), own_width=True).select(
+        "key", "exact", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("form").alias("item_form"), F.col("at").alias("item_at"),
         F.col("slots").alias("item_slots"), F.col("n").alias("windows"), "n_open", F.size("slots").alias("width"),
     )
-    used = sorted(r[0] for r in theirs.select("width").distinct().collect())  # five widths at most
+    used = sorted(r[0] for r in theirs.select("width").distinct().collect())  # eight widths at most
     if not used:
         used = [WIDTH]
     wanted = spark.sparkContext.broadcast(key_filter(theirs, "key"))
-    ours = windowed(docs, used, wanted=wanted).select(F.col("id").alias("doc_id"), "form", "key", "at", "slots")
+    ours = windowed(docs, used, wanted=wanted).select(F.col("id").alias("doc_id"), "row", "form", "key", "at", "slots")
     pair = F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda p: p["b"] != 0)
     lined = (
         ours.join(theirs, "key")
         .withColumn("form", F.col("form").bitwiseAND(F.col("item_form")))
         .where("form > 0")
-        .groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("offset"))
+        .groupBy("doc_id", "row", "item_id", "item_row", "form", (F.col("at") - F.col("item_at")).alias("offset"))
         .agg(
             F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(~F.col("exact"), F.col("item_at"))).alias("open"),
             F.max("windows").alias("windows"), F.max("n_open").alias("n_open"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), pair)))).alias("pairs"),
@@ -192,13 +208,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
     enough = (F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= ENOUGH) | ((F.col("open") > 0) & (F.col("open") >= SHARE * F.col("n_open")))
-    caught = lined.where(one & enough)
-    same = ~F.exists("pairs", lambda p: p["b"] != p["d"])
+    return lined.where(one & enough).withColumn("same", ~F.exists("pairs", lambda p: p["b"] != p["d"]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, matched (windows), windows (of the item), verbatim: a row for each document and item that leaks into it."""
     best = lambda x: F.coalesce(F.max(F.when(F.col("form") != 2, x)), F.max(x))
-    return caught.groupBy("doc_id", "item_id").agg(best(F.col("matched")).alias("matched"), best(F.col("windows")).alias("windows"), best(same).alias("verbatim"))
+    caught = _caught(docs, benchmark, id_col, text_col, item_col, item_text)
+    return caught.groupBy("doc_id", "item_id").agg(best(F.col("matched")).alias("matched"), best(F.col("windows")).alias("windows"), best(F.col("same")).alias("verbatim"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id leaks; rows with a null id stay."""
-    caught = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leaking")).distinct()
-    return docs.join(caught, docs[id_col].cast("long") == F.col("__leaking"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that leak (by id and text); rows with a null id stay."""
+    # Names that no column of docs has, whatever these are.
+    tag = "__" + "_".join(["leak", *docs.columns])
+    caught = _caught(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("doc_id").alias(f"{tag}i"), F.col("row").alias(f"{tag}h")).distinct()
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(f"`{tag}i`")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(f"`{tag}h`"))
+    return docs.join(caught, same, "left_anti")

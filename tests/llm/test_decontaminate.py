@@ -73,3 +73,47 @@ def test_items_dense_in_placeholders(make, spark, words):
     texts = [filler + table + ". " + filler, filler + changed, other, filler + short, "add 3 4 5 6 8"]
     assert caught(make, bench, texts) == [(0, 1, True), (1, 1, False), (3, 2, True)]
     assert [tuple(r) for r in D.leaks(make([ITEM]), spark.createDataFrame([(1, ITEM, 9, "x")], SCHEMA)).select("matched", "windows").collect()] == [(20, 20)]
+
+
+def test_repeated_ids_with_other_texts(spark, make, bench, words):
+    """Windows of two rows with one id are never put together, and only the row that leaks goes."""
+    w = ITEM.split()
+    halves = [" ".join(w[:14]) + " " + " ".join(words[:40]), " ".join(words[40:80]) + " " + " ".join(w[14:])]
+    docs = make([halves[0], halves[1], ITEM, "clean text of its own"], [5, 5, 6, 6]).withColumnRenamed("key", "__leaking")
+    assert [(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()] == [(6, 1)]
+    kept = D.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted([*halves, "clean text of its own"])
+    twice = spark.createDataFrame([(1, " ".join(w[:14])), (1, " ".join(w[14:]))], "item_id long, text string")
+    assert len(D.leaks(make([ITEM]), twice).collect()) == 1
+
+
+def test_short_items_match_whole_documents(make, bench):
+    texts = ["short one", "Short one!", "a short one in a text", "short two"]
+    assert [r[0] for r in caught(make, bench, texts)] == [0, 1]
+
+
+def test_outer_characters_one_by_one():
+    import random
+
+    import numpy as np
+
+    from dyadic.llm import textvec
+
+    def core(word):
+        word = word.encode()
+        start, end = 0, len(word)
+        while end - start > 1 and D._OUTER[word[end - 1]] and word[end - 1] != ord("%"):
+            end -= 1
+        while end - start > 1 and D._OUTER[word[start]]:
+            start += 1
+        return word[start:end]
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab(!%\"' .") for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["(" * 200_000 + " " + ")" * 200_000]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    token, _, w = D.tokens(data, bounds)
+    cores = [core(x) for t in texts for x in t.split()]
+    flat = np.frombuffer(b"".join(cores), np.uint8)
+    end = np.cumsum([len(c) for c in cores])
+    assert (token == textvec.hashes(flat, end - [len(c) for c in cores], end)).all()
