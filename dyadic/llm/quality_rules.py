@@ -5,12 +5,12 @@ conjunctive rule. A logistic regression with an L1 penalty weighs the rules (and
 what is left is compiled into Spark column expressions over the same statistics, so scoring is a
 projection: no Python, no shuffle. Only statistics enter a score, never labels, lang, source or id.
 
-The fit reads SAMPLE labelled rows at most (those with the least hashes of their ids) outside the
+The fit reads SAMPLE labelled documents at most (those with the least hashes of their ids) outside the
 held-out fold, which is crc32(doc_id as text) mod 4 = 2.
 
 Cases: null and empty texts have zero statistics and are scored as such. Rows with a null doc_id
 are scored and not held out. Labels that are null, repeated or of documents that don't exist are
-ignored (the least of repeated labels counts). Without labels of both kinds every score is the share of label 1,
+ignored (the least of repeated labels counts; a document that repeats an id counts once, with its least statistics). Without labels of both kinds every score is the share of label 1,
 or 0.5. An empty table gives no rows.
 """
 
@@ -181,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
-    # The sample is bounded, so it can be sent to every executor.
+    # The sample is bounded, so it can be sent to every executor. Where documents repeat an id, the row with the least statistics stands for it.
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(usable), "label_id")
-    rows = rows.select("label", statistics(F.col("text")).alias("s")).select("label", "s.*").limit(2 * sample).toPandas()
+    rows = rows.select("label_id", "label", statistics(F.col("text")).alias("s")).groupBy("label_id").agg(F.min("label").alias("label"), F.min("s").alias("s")).select("label", "s.*").toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(np.float64)
     return fit(rows[:, 1:], rows[:, 0])
 
