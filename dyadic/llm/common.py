@@ -21,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a new folder."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a new folder of this machine, if the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="dyadic-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

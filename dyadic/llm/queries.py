@@ -10,7 +10,7 @@ from .common import read
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicate_classes(read(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicate_classes(read(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
