@@ -1,11 +1,11 @@
 """Token ids in blocks coded by a static range asymmetric numeral system (rANS).
 
 Frequencies: one table, shared by all blocks, is counted over the whole corpus and scaled to
-2^SCALE; it has a row for each id of the vocabulary at most. A block holds whole documents, about BLOCK ids, as
+2^SCALE (more, if the ids need it); it has a row for each id of the vocabulary at most. A block holds whole documents, about BLOCK ids, as
 `lanes` interleaved coders: id k belongs to lane k mod lanes, and all lanes advance together as
 numpy vectors. A coder's state is 64 bits wide and gives off 32-bit words. A block
 starts with its lengths, states and a checksum of its ids, and every STEP ids a checkpoint keeps
-the word position and the states, so that a block can be decoded from several places at once.
+the word position and the states, so that the sections between checkpoints are decoded side by side.
 
 File format: `<path>/table` (id, frequency) and `<path>/blocks`, one row a block: part and seq (in
 this order, documents ascend by doc_id), doc_ids, lengths, before (ids of the part that precede) and
@@ -191,7 +191,9 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             yield block()
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash of the text parts rows without an id, and rows that repeat one.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ordered = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return ordered.mapInArrow(run, _RAW)
 
 
@@ -220,11 +222,11 @@ def token_counts(blocks: DataFrame) -> DataFrame:
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Counts scaled to a sum of 2^scale, with one at least for each that isn't zero."""
+    """Counts scaled to a sum of 2^scale, with one at least for each that isn't zero; a larger power of two where there are more than 2^(scale - 2) ids."""
     if not (total := int(counts.sum())):
         return counts.astype(np.int64)
+    scale = max(scale, int((counts > 0).sum() - 1).bit_length() + 2)
     out = np.where(counts > 0, np.maximum(1, counts.astype(float) * (1 << scale) / total).astype(np.int64), 0)
-    assert (out > 0).sum() <= 1 << scale, "more ids than the scale has room for"
     rest = (1 << scale) - int(out.sum())
     for k in np.argsort(-out, kind="stable"):
         if rest == 0:
@@ -236,10 +238,10 @@ def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 
 class Coder:
-    """ids: ascending, each with its frequency; frequencies sum to 2^scale."""
+    """ids: ascending, each with its frequency; frequencies sum to a power of two."""
 
-    def __init__(self, ids: np.ndarray, freq: np.ndarray, scale: int = SCALE):
-        self.ids, self.scale = ids.astype(np.uint32), np.uint64(scale)
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.scale = ids.astype(np.uint32), np.uint64(max(int(freq.sum()) - 1, 0).bit_length())
         self.freq = freq.astype(np.uint64)
         self.low = np.r_[0, np.cumsum(freq)[:-1]].astype(np.uint64) if len(freq) else freq.astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(ids), dtype=np.uint32), freq)
@@ -316,9 +318,29 @@ class Coder:
             x[: len(own)] = own
         return self.ids[out], x
 
+    def _sections(self, lanes: int, points: list, words: np.ndarray) -> np.ndarray:
+        """Ids of all sections but the last, which have the same number of steps: they advance together."""
+        steps = points[1][0]
+        x = np.stack([p[2] for p in points[:-1]])
+        at = np.array([p[1] for p in points[:-1]])[:, None]
+        out = np.empty((len(x), steps, lanes), np.uint32)
+        mask = np.uint64((1 << int(self.scale)) - 1)
+        for k in range(steps):
+            slot = x & mask
+            out[:, k] = s = self.symbol[slot.astype(np.int64)]
+            x = self.freq[s] * (x >> self.scale) + slot - self.low[s]
+            short = x < _LOW
+            # Within a step of a section, words are in the order of its lanes.
+            rank = np.cumsum(short, axis=1)
+            x[short] = (x[short] << np.uint64(32)) | words[(at + rank - 1)[short]]
+            at = at + rank[:, -1:]
+        return self.ids[out.ravel()]
+
     def decode(self, block: bytes) -> np.ndarray:
         n, lanes, crc, points, words = self._open(block)
-        ids, states = self._decode(n, lanes, points[0], -(-n // lanes), words)
+        ids, states = self._decode(n, lanes, points[-1], -(-n // lanes), words)
+        if len(points) > 1:
+            ids = np.concatenate([self._sections(lanes, points, words), ids])
         # A whole block ends in the states that its encoding started from.
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc or (states != _LOW).any():
             raise ValueError("checksum of a block of token ids doesn't match")

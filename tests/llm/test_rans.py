@@ -69,3 +69,20 @@ def test_empty_table(make):
 def test_null_ids_come_first(make):
     rows = R.round_trip(make(["b", "a"], [None, 1])).collect()
     assert {r.doc_id: r.start for r in rows} == {None: 0, 1: 2}
+
+
+def test_more_ids_than_the_usual_scale():
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(np.arange(1 << 19, dtype=np.uint32))
+    coder = R.Coder(np.arange(1 << 19), R.frequencies(np.ones(1 << 19, np.int64)))
+    assert int(coder.scale) == 21 and (coder.decode(coder.encode(ids)) == ids).all()
+
+
+def test_repeated_ids_and_rows(make, tokenizer):
+    """Rows of one id follow each other in a fixed order, and all of them are there."""
+    texts = ["one two", "three", "one two", None, "four five six"]
+    runs = [R.round_trip(make(texts, [7, 7, 7, 7, 3]).repartition(k)).collect() for k in (1, 3)]
+    rows = [sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) for rows in runs]
+    assert rows[0] == rows[1] and rows[0][0][:2] == (3, 0)
+    assert sorted(r[2] for r in rows[0]) == sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    assert [r[1] for r in rows[0]] == [sum(x[2] for x in rows[0][:k]) for k in range(5)]
