@@ -107,5 +107,9 @@ def let(value: Column, body) -> Column:
 
 def running(values: Column, join) -> Column:
     """Running join (sum, greatest, ...; null is neutral) over an array, by doubling: n log n steps, where appending one by one would take n squared."""
-    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda s: s < F.size(values))
-    return F.aggregate(steps, values, lambda a, s: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - s)), x, F.get(a, i - s))))
+
+    def doubled(v: Column) -> Column:
+        steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda s: s < F.size(v))
+        return F.aggregate(steps, v, lambda a, s: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - s)), x, F.get(a, i - s))))
+
+    return let(values, doubled)

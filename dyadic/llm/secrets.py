@@ -116,8 +116,9 @@ def _spans(text: Column, pattern: str, kind: str, found: Column, good) -> Column
     take = lambda k: F.regexp_extract_all(text, whole, F.lit(k))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
     ends = running(F.transform(take(0), F.length), lambda a, b: a + b)
-    parts = F.arrays_zip(ends.alias("end"), take(1).alias("hit"), take(2 if kind == "assign" else 1).alias("value"))
-    hits = F.filter(parts, lambda x: (x["hit"] != "") & good(x["hit"], x["value"]))
+    value = [take(2).alias("value")] if kind == "assign" else []
+    parts = F.arrays_zip(ends.alias("end"), take(1).alias("hit"), *value)
+    hits = F.filter(parts, lambda x: (x["hit"] != "") & good(x["hit"], x["value"] if value else None))
     span = lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     return F.when(found, F.transform(hits, span)).otherwise(none)
 
