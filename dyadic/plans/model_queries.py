@@ -282,15 +282,38 @@ def cube_moments(spark: Spark, d: str) -> DataFrame:
     return B.cube_moments(binom(spark, d), dims).select("p_node", "t_node", "N", rounded("mean").alias("mean"))
 
 
+def _document_ratings(spark: Spark, d: str) -> DataFrame:
+    """Ratings of all documents: parts stand for documents in turn."""
+    n = read(spark, d, "documents").agg(F.count("*").alias("docs"))
+    return obs(spark, d).crossJoin(F.broadcast(n)).select(F.col("src_id").alias("user"), (F.col("dst_id") % F.col("docs")).alias("item"), (F.col("y") / 10).alias("y"))
+
+
 @query()
 def topic_factors(spark: Spark, d: str) -> DataFrame:
-    """Ratings of documents by customers, simulated as hashes of pairs, explained by topics of their texts."""
-    docs = corpus(spark, d)
-    rows = obs(spark, d).select(F.col("src_id").alias("user"), (F.col("dst_id") % 200).alias("item"), (F.col("y") / 10).alias("y"))
-    fitted = P.fit_topic_factors(rows, docs.where("item < 200"), 2, iterations=1, sweeps=1)
+    """Ratings of documents by customers, explained by topics of their texts, which the ratings shape."""
+    rows = _document_ratings(spark, d)
+    fitted = P.fit_topic_factors(rows, corpus(spark, d), 2, iterations=1, samples=1, burn_in=0)
     return P.predict(rows.select("user", "item").distinct(), fitted)
 
 
+@query(f"""WITH {OBS}, {CORPUS}, r AS (SELECT src_id AS u, dst_id % (SELECT count(*) FROM documents) AS item, y / 10 - 2.5 AS o, (src_id % 5) / 4.0 AS s1, (src_id % 3) / 2.0 AS s2 FROM obs),
+ g AS (SELECT item, sum(s1 * s1) / 2 AS c11, sum(s1 * s2) / 2 AS c12, sum(s2 * s2) / 2 AS c22, sum(o * s1) / 2 AS o1, sum(o * s2) / 2 AS o2 FROM r GROUP BY 1),
+ z AS (SELECT item, term, weight, CASE WHEN length(term) % 2 = 0 THEN weight ELSE 0 END AS w1, CASE WHEN length(term) % 2 = 1 THEN weight ELSE 0 END AS w2 FROM corpus),
+ kt AS (SELECT term, sum(w1) AS t1, sum(w2) AS t2 FROM z GROUP BY 1), k AS (SELECT sum(w1) AS k1, sum(w2) AS k2, count(DISTINCT term) AS v FROM z), j AS (SELECT item, sum(w1) AS j1, sum(w2) AS j2, sum(weight) AS n FROM z GROUP BY 1),
+ a AS (SELECT z.item, z.term, weight / n AS h, t1 - w1 AS t1, t2 - w2 AS t2, k1 - w1 AS k1, k2 - w2 AS k2, j1 - w1 AS j1, j2 - w2 AS j2, n, v, coalesce(c11, 0) AS c11, coalesce(c12, 0) AS c12, coalesce(c22, 0) AS c22, coalesce(o1, 0) AS o1, coalesce(o2, 0) AS o2
+  FROM z JOIN kt USING (term) JOIN j ON j.item = z.item LEFT JOIN g ON g.item = z.item, k)
+ SELECT item, term, 1 AS topic, round(ln(t1 + 0.1) - ln(k1 + v * 0.1) + ln(j1 + 0.2) + h * o1 - h * (c11 * j1 + c12 * j2) / n - h * h * c11 / 2, 6) + 0.0 AS logit FROM a
+ UNION ALL SELECT item, term, 2, round(ln(t2 + 0.1) - ln(k2 + v * 0.1) + ln(j2 + 0.2) + h * o2 - h * (c12 * j1 + c22 * j2) / n - h * h * c22 / 2, 6) + 0.0 FROM a""")
+def topic_conditional(spark: Spark, d: str) -> DataFrame:
+    """Log weights of both topics of every term of every document, given ratings: what a sampler draws from."""
+    docs = corpus(spark, d)
+    rows = _document_ratings(spark, d).withColumn("o", F.col("y") - 2.5)
+    tastes = rows.select("user").distinct().select("user", F.array((F.col("user") % 5) / 4.0, (F.col("user") % 3) / 2.0).alias("s"))
+    state = docs.withColumn("topic", (F.length("term") % 2 + 1).cast("int"))
+    out = P.conditional(state, docs.select("term").distinct().count(), 2, 0.1, 0.2, P.rating_terms(rows, tastes, 2, 2.0))
+    return round_all(out)
+
+
 @query()
 def matrix_factorisation(spark: Spark, d: str) -> DataFrame:
     return X.least_squares_factors(obs(spark, d), 2, iterations=2).userFactors

@@ -285,13 +285,58 @@ def test_topics_are_recovered(spark):
     assert share > 0.7
 
 
+def test_topic_draws_follow_their_conditional(spark):
+    """Frequencies of many draws of one term's topic against the weights that SQL columns give, with ratings."""
+    rng = np.random.default_rng(4)
+    state = spark.createDataFrame([(1, "a", 2.0, 1), (2, "a", 1.0, 2), (2, "b", 3.0, 1), (2, "c", 1.0, 3), (3, "c", 2.0, 3)], "item int, term string, weight double, topic int")
+    half = rng.standard_normal((3, 3))
+    xx, xo = half @ half.T, rng.standard_normal(3) * 2
+    up = np.triu_indices(3)
+    ratings = spark.createDataFrame([(1, xx[up].tolist(), xo.tolist())], "item int, xx array<double>, xo array<double>")
+    logits = {r.topic: r.logit for r in P.conditional(state, 3, 3, 0.3, 0.2, ratings).where("item = 1").collect()}
+    p = np.exp(np.array([logits[k] for k in (1, 2, 3)]))
+    n = 20_000
+    z = np.zeros(n, np.int64)
+    # Item 1 has one term, so n copies of it are n draws.
+    P.draw_topics(np.arange(n + 1), np.full(n, 2.0), z, np.tile([2.0, 1.0, 0.0], (n, 1)), np.array([5.0, 1.0, 3.0]), 3, 0.3, 0.2, np.arange(n).astype(np.uint64), np.tile(xx, (n, 1, 1)), np.tile(xo, (n, 1)))
+    assert np.abs(np.bincount(z, minlength=3) / n - p / p.sum()).max() < 0.015
+
+
+def test_topic_sweep_like_one_item_at_a_time(spark):
+    """Items that advance together get what each gets alone."""
+    rng = np.random.default_rng(5)
+    length = np.array([4, 0, 7, 1, 3])
+    first = np.r_[0, np.cumsum(length)]
+    n, k = first[-1], 3
+    w, z, kt, nk, key = rng.integers(1, 4, n).astype(float), rng.integers(0, k, n), rng.random((n, k)) * 9, np.array([30.0, 40, 50]), rng.integers(0, 2**63, 5).astype(np.uint64)
+    half = rng.standard_normal((5, k, k))
+    xx, xo = half @ half.transpose(0, 2, 1), rng.standard_normal((5, k))
+    together = z.copy()
+    P.draw_topics(first, w, together, kt, nk, 10, 0.1, 0.1, key, xx, xo)
+    for j in range(5):
+        s = slice(first[j], first[j + 1])
+        own = z[s].copy()
+        P.draw_topics(np.array([0, length[j]]), w[s], own, kt[s], nk, 10, 0.1, 0.1, key[j : j + 1], xx[j : j + 1], xo[j : j + 1])
+        assert (own == together[s]).all()
+
+
 def test_topic_factors(spark):
-    corpus = sim.topic_corpus(spark, 20, 30, 2, 30)
-    obs = spark.range(800).select(sim.pick(0, "u", 15, F.col("id")).alias("user"), sim.pick(0, "i", 20, F.col("id")).alias("item"), sim.normal(0, "y", F.col("id")).alias("y"))
-    out = P.fit_topic_factors(obs, corpus, 2, iterations=1, sweeps=1)
-    assert P.predict(obs.select("user", "item").distinct(), out).where("pred is null").isEmpty()
-    assert out["tastes"].count() == 15 and P.uncovered_items(obs, corpus).isEmpty()
-    shares = P.cold_start_shares(corpus, P.phi(P.counters(out["topics"])["topic_term"], 30, 0.1), spark.createDataFrame([(1, 0.5), (2, 0.5)], "topic int, p double"))
+    """Ratings that follow topics: the fit predicts held-out ratings, and those of items that have text alone."""
+    corpus = sim.topic_corpus(spark, 30, 40, 2, 40).cache()
+    rows = spark.range(1500).select("id", sim.pick(0, "u", 20, F.col("id")).alias("user"), sim.pick(0, "i", 30, F.col("id")).alias("item"))
+    like = F.when((F.col("item") % 2) == (F.col("user") % 2), 2.0).otherwise(-2.0)
+    rows = rows.withColumn("y", like + 0.3 * sim.normal(0, "y", F.col("id")))
+    train, test = rows.where("item < 26 and id % 5 <> 0").select("user", "item", "y").cache(), rows.where("item < 26 and id % 5 = 0")
+    out = P.fit_topic_factors(train, corpus.where("item < 26"), 2, iterations=2, samples=2, burn_in=2, grid=[0.05, 0.1, 0.5])
+    error = lambda df: df.agg(F.avg((F.col("y") - F.col("pred")) ** 2)).first()[0]
+    assert error(P.predict(test, out)) < 1.0 and len(out.history) == 2 and out.history[1]["loglik"] > out.history[0]["loglik"]
+    assert P.predict(train.select("user", "item").distinct(), out).where("pred is null").isEmpty()
+    assert out.tastes.count() == 20 and P.uncovered_items(train, corpus).isEmpty()
+    new = rows.where("item >= 26").select("user", "item", "y")
+    found = P.predict_samples(new, train, corpus, out, samples=3, burn_in=2)
+    assert found.columns == ["user", "item", "y", "pred"] or set(found.columns) == {"user", "item", "y", "pred"}
+    assert error(found) < 0.5 * new.agg(F.var_pop("y")).first()[0]
+    shares = P.cold_start_shares(corpus, P.phi(P.counters(out.last.topics)["topic_term"], 40, 0.1), spark.createDataFrame([(1, 0.5), (2, 0.5)], "topic int, p double"))
     assert abs(shares.groupBy("item").agg(F.sum("share").alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]) < 1e-9
 
 
