@@ -138,9 +138,13 @@ def newton(start: np.ndarray, terms: Callable, steps: int, search: bool, limit:
     return theta, False
 
 
-def posterior_mode(x: np.ndarray, n: np.ndarray, prior_mean: float | None = None, prior_size: float | None = None, var_logit: float = 1.0, var_log: float = 1.0, start: tuple[float, float] | None = None) -> tuple[float, float, float, bool]:
-    """(mean, size, log-likelihood without prior, converged); without a prior the maximum-likelihood estimate. Starts: moments and prior, first plain, then with a line search."""
-    tx, ty, tn = tails(x), tails(n - x), tails(n)
+def posterior_mode(x: np.ndarray, n: np.ndarray, prior_mean: float | None = None, prior_size: float | None = None, var_logit: float = 1.0, var_log: float = 1.0, start: tuple[float, float] | None = None, weight: np.ndarray | None = None) -> tuple[float, float, float, bool]:
+    """(mean, size, log-likelihood without prior, converged); without a prior the maximum-likelihood estimate."""
+    return mode_of_tails(tails(x, weight), tails(n - x, weight), tails(n, weight), prior_mean, prior_size, var_logit, var_log, start)
+
+
+def mode_of_tails(tx: np.ndarray, ty: np.ndarray, tn: np.ndarray, prior_mean: float | None = None, prior_size: float | None = None, var_logit: float = 1.0, var_log: float = 1.0, start: tuple[float, float] | None = None) -> tuple[float, float, float, bool]:
+    """The same from tail counts of x, n - x and n, which are all that the likelihood needs. Starts: moments and prior, first plain, then with a line search."""
     prior = None
     starts = []
     if start is not None:
@@ -148,7 +152,7 @@ def posterior_mode(x: np.ndarray, n: np.ndarray, prior_mean: float | None = None
     if prior_mean is not None and prior_size is not None:
         prior = ((np.log(prior_mean / (1 - prior_mean)), np.log(prior_size)), (var_logit, var_log))
         starts.append((prior_mean, prior_size))
-    share = float(np.clip(x.sum() / max(n.sum(), 1), 1e-6, 1 - 1e-6))
+    share = float(np.clip(tx.sum() / max(tn.sum(), 1), 1e-6, 1 - 1e-6))
     starts = starts or [(share, 10.0)]
     terms = lambda t: loglik_terms(t, tx, ty, tn, prior)
     best, best_value, ok = None, -np.inf, False
@@ -168,23 +172,45 @@ def posterior_mode(x: np.ndarray, n: np.ndarray, prior_mean: float | None = None
     return float(mean), size, float(loglik_terms(best, tx, ty, tn, None)[0]), ok
 
 
+def histograms(obs: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., kind, v, k): how often each group has a value v of x (kind 0), n - x (1) and n (2). A group is bounded by the largest number of trials, whatever its rows."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(v).cast("long").alias("v")) for k, v in enumerate(("n_pos", "__rest", "n_trials"))))
+    rows = obs.where("n_trials > 0").withColumn("__rest", F.col("n_trials") - F.col("n_pos"))
+    return rows.select(*by, F.inline(kinds)).groupBy(*by, "kind", "v").agg(F.count("*").alias("k"))
+
+
+def _tails_of(group: pd.DataFrame) -> list[np.ndarray]:
+    return [tails(own["v"].to_numpy(), own["k"].to_numpy()) for own in (group[group["kind"] == k] for k in range(3))]
+
+
 def fit_cells(obs: DataFrame, by: list[str], priors: DataFrame | None = None, var_logit: float = 1.0, var_log: float = 1.0) -> DataFrame:
-    """(by..., mean, size, loglik, ok): a mode for each group. Rows are first counted by (n_pos, n_trials), which bounds a group by its distinct pairs."""
-    counted = obs.where("n_trials > 0").groupBy(*by, "n_pos", "n_trials").agg(F.count("*").alias("k"))
+    """(by..., mean, size, loglik, ok): a mode for each group, from the histograms of its values."""
+    counted = histograms(obs, by)
     if priors is not None:
         counted = counted.join(priors.select(*by, "prior_mean", "prior_size"), by, "left")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        k = group["k"].to_numpy()
-        x, n = np.repeat(group["n_pos"].to_numpy(), k), np.repeat(group["n_trials"].to_numpy(), k)
         prior = (group["prior_mean"].iat[0], group["prior_size"].iat[0]) if "prior_mean" in group and pd.notna(group["prior_mean"].iat[0]) else (None, None)
-        mean, size, value, ok = posterior_mode(x, n, *prior, var_logit, var_log)
+        mean, size, value, ok = mode_of_tails(*_tails_of(group), *prior, var_logit, var_log)
         return pd.DataFrame({**{c: [group[c].iat[0]] for c in by}, "mean": [mean], "size": [size], "loglik": [value], "ok": [ok]})
 
     return counted.groupBy(*by).applyInPandas(run, f"{schema}, mean double, size double, loglik double, ok boolean")
 
 
+def likelihood_terms(obs: DataFrame, by: list[str], mean: float, size: float) -> DataFrame:
+    """(by..., loglik, d_mean, d_size): log-likelihood without binomial coefficients at one point, and its gradient in logit mean and log size."""
+    counted = histograms(obs, by)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
+    theta = np.array([np.log(mean / (1 - mean)), np.log(size)])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        value, grad, _ = loglik_terms(theta, *_tails_of(group), None)
+        return pd.DataFrame({**{c: [group[c].iat[0]] for c in by}, "loglik": [value], "d_mean": [grad[0]], "d_size": [grad[1]]})
+
+    return counted.groupBy(*by).applyInPandas(run, f"{schema}, loglik double, d_mean double, d_size double")
+
+
 def dag_posterior_modes(obs: DataFrame, pop: DataFrame, pop_up: DataFrame, root_mean: float, root_size: float, var_logit: float, var_log: float, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
     """(p_node, mean, size, loglik, ok) from the root down: a node's prior is its parent with the best likelihood of the node's data.
 
@@ -238,6 +264,8 @@ def tuned(train: DataFrame, tune: DataFrame, pop: DataFrame, pop_up: DataFrame,
     for vm, vs in product(var_logits, var_logs):
         params = dag_posterior_modes(train, pop, pop_up, *root, vm, vs)
         rows.append({"var_logit": vm, "var_log": vs, "loglik": heldout_loglik(wide, params, ["p_node"]).agg(F.avg("loglik")).first()[0]})
+    train.unpersist()
+    tune.unpersist()
     best = max(rows, key=lambda r: r["loglik"])
     return (best["var_logit"], best["var_log"]), rows
 

@@ -1,8 +1,8 @@
 """The factor model of `factor` as one sampling chain in one task, for data of a checked, bounded size.
 
 A chain visits every effect hundreds of times for each EM step; on data that fits a task, vectorised
-sweeps in memory take milliseconds where a distributed sweep takes a job for each effect. Beyond the bound, `fit`
-hands over to the distributed sweeps.
+sweeps in memory take milliseconds where a distributed sweep takes a job for each effect. Data beyond the bound and models
+that a chain can't hold are an error: the caller chooses the distributed sweeps (`factor.fit`) by name.
 """
 
 from __future__ import annotations
@@ -129,11 +129,12 @@ def _rows(chain: Chain, means: dict, history: list[tuple], keys: dict[str, list[
 
 
 def fit(train: DataFrame, setting: factor.Setting, test: DataFrame | None = None, iterations: int = 10, most_rows: int = MOST_ROWS, features: dict[str, DataFrame] | None = None) -> factor.Model:
-    """EM by sampling. setting.samples must be positive; features as in factor.fit, for every entity of the data; logistic models, self-interactions and larger data are handed to factor.fit."""
-    n = train.limit(most_rows + 1).count()
+    """EM by sampling. setting.samples must be positive; features as in factor.fit, for every entity of the data; no logistic models and self-interactions."""
     effects = factor.present(train, setting)
-    if n > most_rows or setting.is_logistic or not setting.samples or ("v" in effects and "u" not in effects):
-        return factor.fit(train, setting, test, iterations, features)
+    if setting.is_logistic or not setting.samples or ("v" in effects and "u" not in effects):
+        raise ValueError("a chain needs samples and has no logistic models and self-interactions; factor.fit has")
+    if train.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows: use factor.fit")
     keys = {e: factor.keys_of(e, train) for e in effects}
     columns = sorted({c for v in keys.values() for c in v})
 

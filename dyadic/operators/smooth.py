@@ -113,31 +113,39 @@ def main_effect(obs: DataFrame, by: str, o: str, var: str | float, prior: Column
     return sums.select(by, (v * (F.col("s") + prior / prior_var)).alias("mean"), v.alias("var"))
 
 
-def tree_posterior(tree: DataFrame, data: DataFrame, step_var: float, root_mean: float, root_var: float, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """(node, mean, var) on a tree: a child is its parent plus noise of step_var, data (node, obs, var) sit on any node.
+def tree_posterior(tree: DataFrame, data: DataFrame, step_var: float | list[float], root_mean: float, root_var: float, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """(node, mean, var, cov) on a tree: a child is its parent plus noise of step_var (or of step_var[depth - 1]), data (node, obs, var) sit on any node; cov is the
+    posterior covariance with the parent, null at the root.
 
     Messages go up level by level and come down again; a level is a join and a grouped sum.
     """
-    from .graph import cut
+    from .graph import cut, forget
 
     depth = levels(tree, node, parent).withColumnRenamed("level", "depth")
     edges = tree.where(f"{parent} is not null").select(F.col(node).alias("node"), F.col(parent).alias("parent"))
     own = data.groupBy("node").agg(F.sum(1 / F.col("var")).alias("p"), F.sum(F.col("obs") / F.col("var")).alias("s"))
     state = cut(depth.join(edges, "node", "left").join(own, "node", "left").fillna(0.0, ["p", "s"]))
     deepest = state.agg(F.max("depth")).first()[0] or 0
+    steps = [float(v) for v in step_var] if isinstance(step_var, (list, tuple)) else [float(step_var)] * deepest
+    if len(steps) < deepest:
+        raise ValueError(f"{deepest} levels below the root need as many variances")
     for d in range(deepest, 0, -1):
         # Information of a child, seen through the step's noise.
-        up = state.where(F.col("depth") == d).select(F.col("parent").alias("node"), (F.col("p") / (1 + step_var * F.col("p"))).alias("mp"), (F.col("s") / (1 + step_var * F.col("p"))).alias("ms"))
+        q = steps[d - 1]
+        up = state.where(F.col("depth") == d).select(F.col("parent").alias("node"), (F.col("p") / (1 + q * F.col("p"))).alias("mp"), (F.col("s") / (1 + q * F.col("p"))).alias("ms"))
         up = up.groupBy("node").agg(F.sum("mp").alias("mp"), F.sum("ms").alias("ms"))
-        state = cut(state.join(up, "node", "left").withColumn("p", F.col("p") + F.coalesce("mp", F.lit(0.0))).withColumn("s", F.col("s") + F.coalesce("ms", F.lit(0.0))).drop("mp", "ms"))
+        last, state = state, cut(state.join(up, "node", "left").withColumn("p", F.col("p") + F.coalesce("mp", F.lit(0.0))).withColumn("s", F.col("s") + F.coalesce("ms", F.lit(0.0))).drop("mp", "ms"))
+        forget(last)
     v = 1 / (1 / root_var + F.col("p"))
-    done = cut(state.where("depth = 0").select("node", (v * (root_mean / root_var + F.col("s"))).alias("mean"), v.alias("var")))
+    done = cut(state.where("depth = 0").select("node", (v * (root_mean / root_var + F.col("s"))).alias("mean"), v.alias("var"), F.lit(None).cast("double").alias("cov")))
     out = done
     for d in range(1, deepest + 1):
+        q = steps[d - 1]
         above = done.select(F.col("node").alias("parent"), F.col("mean").alias("pm"), F.col("var").alias("pv"))
-        gain = 1 / (1 / step_var + F.col("p"))
-        mean = gain * (F.col("s") + F.col("pm") / step_var)
-        slope = gain / step_var
-        done = cut(state.where(F.col("depth") == d).join(above, "parent").select("node", mean.alias("mean"), (gain + slope * slope * F.col("pv")).alias("var")))
+        gain = 1 / (1 / q + F.col("p"))
+        slope = gain / q
+        done = cut(
+            state.where(F.col("depth") == d).join(above, "parent").select("node", (gain * (F.col("s") + F.col("pm") / q)).alias("mean"), (gain + slope * slope * F.col("pv")).alias("var"), (slope * F.col("pv")).alias("cov"))
+        )
         out = out.unionByName(done)
     return out

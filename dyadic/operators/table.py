@@ -261,10 +261,15 @@ def differences(x: DataFrame, y: DataFrame, keys: list[str], tolerance: float) -
 # --- splits --------------------------------------------------------------------------------------
 
 
+def portable_hash(seed: int, column: str) -> Column:
+    """The first 32 bits of an MD5 digest, which other engines compute alike."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(column).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def split_within_items(df: DataFrame, item: str, key: str, share: float, seed: int = 0, category: str | None = None) -> DataFrame:
     """df with `train`: the first ceil(n share) rows (or categories) of each item in hash order."""
     unit = category or key
-    order = [F.xxhash64(F.lit(seed), F.col(unit)), F.col(unit)]
+    order = [portable_hash(seed, unit), F.col(unit)]
     rank = (F.dense_rank() if category else F.row_number()).over(Window.partitionBy(item).orderBy(*order))
     ranked_rows = df.withColumn("__r", rank)
     total = F.max("__r").over(Window.partitionBy(item))
@@ -273,7 +278,7 @@ def split_within_items(df: DataFrame, item: str, key: str, share: float, seed: i
 
 def split_items(df: DataFrame, item: str, share: float, seed: int = 0) -> DataFrame:
     """df with `train`: ceil(items share) whole items."""
-    items = df.select(item).distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.col(item)))
+    items = df.select(item).distinct().withColumn("__h", portable_hash(seed, item))
     n = items.count()
     placed = numbered(items, ["__h", item], "__r").select(item, (F.col("__r") <= F.ceil(F.lit(n * share))).alias("train"))
     return df.join(placed, item)
@@ -281,16 +286,16 @@ def split_items(df: DataFrame, item: str, share: float, seed: int = 0) -> DataFr
 
 def bernoulli_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """df with `train`, from a hash of the key, so that it doesn't change with partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("train", u < share)
+    return df.withColumn("train", portable_hash(seed, key) / float(1 << 32) < share)
 
 
 def cold_start_split(df: DataFrame, user: str, item: str, key: str, users: int, items: int, rows: int, seed: int = 0) -> DataFrame:
     """df with `test`: all rows of some users and items, topped up to a number of rows."""
-    pick = lambda c, n: df.select(c).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(c)), c).limit(n).withColumn("__hit", F.lit(1))
+    pick = lambda c, n: df.select(c).distinct().orderBy(portable_hash(seed, c), c).limit(n).withColumn("__hit", F.lit(1))
     cold_users = pick(user, users).withColumnRenamed("__hit", "__u")
     cold_items = pick(item, items).withColumnRenamed("__hit", "__i")
-    out = df.join(F.broadcast(cold_users), user, "left").join(F.broadcast(cold_items), item, "left").withColumn("__cold", F.coalesce("__u", "__i").isNotNull())
+    out = df.join(cold_users, user, "left").join(cold_items, item, "left").withColumn("__cold", F.coalesce("__u", "__i").isNotNull())
     need = max(rows - out.where("__cold").count(), 0)
-    more = out.where("not __cold").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key).limit(need).select(key, F.lit(True).alias("__more"))
+    rest = numbered(out.where("not __cold").select(key, portable_hash(seed + 1, key).alias("__h")), ["__h", key], "__r")
+    more = rest.where(F.col("__r") <= need).select(key, F.lit(True).alias("__more")).distinct()  # rows of one key go together
     return out.join(more, key, "left").withColumn("test", F.col("__cold") | F.coalesce("__more", F.lit(False))).drop("__u", "__i", "__cold", "__more")

@@ -13,6 +13,7 @@ from ..operators import factor as X
 from ..operators import graph as G
 from ..operators import logistic as L
 from ..operators import multiapp as A
+from ..operators import simulate as sim
 from ..operators import smooth as S
 from ..operators import topics as P
 from ..streaming import online
@@ -98,12 +99,21 @@ def bst_fit(spark: Spark, d: str) -> DataFrame:
     return spark.createDataFrame([(r["iteration"], float(r["train_loss"])) for r in model.history], "iteration int, train_loss double")
 
 
+def _stored_run(spark: Spark, factors: int) -> DataFrame:
+    """The data and sampler settings of the reference's stored runs: 203 x 203 nodes, 10,003 rows, a quarter of them for the test, 10 iterations of 20 + 200 sweeps."""
+    rows = sim.dyadic(spark, 10_003, seed=1)
+    model = K.fit(rows.where("id % 4 > 0"), X.Setting(n_factors=factors, samples=200, burn_in=20), rows.where("id % 4 = 0"), iterations=10)
+    return spark.createDataFrame([(r["iteration"], float(r["train_loss"]), float(r["test_loss"]) if "test_loss" in r else None) for r in model.history], "iteration int, train_loss double, test_loss double")
+
+
 @query()
 def bst_chain(spark: Spark, d: str) -> DataFrame:
-    """Sampling EM in memory on one nation's customers, whose rows fit a task."""
-    c = read(spark, d, "customer").where("c_nationkey = 1").select(F.col("c_custkey").alias("src_id"))
-    model = K.fit(obs(spark, d).join(c, "src_id", "left_semi"), X.Setting(n_factors=2, samples=20, burn_in=5), iterations=2)
-    return spark.createDataFrame([(r["iteration"], float(r["train_loss"])) for r in model.history], "iteration int, train_loss double")
+    return _stored_run(spark, 1)
+
+
+@query()
+def bst_chain_2(spark: Spark, d: str) -> DataFrame:
+    return _stored_run(spark, 2)
 
 
 @query()
@@ -179,9 +189,10 @@ def hier_cube(spark: Spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH {POP}, {TRE}, p AS (SELECT node_id AS n FROM pop UNION SELECT 'root'), t AS (SELECT node_id AS n FROM tre UNION SELECT 'all')
- SELECT count(*) AS n FROM (SELECT 1 FROM pop, t UNION ALL SELECT 1 FROM p, tre)""")
+ SELECT node_id AS p_node, t.n AS t_node, parent_id AS p_up, t.n AS t_up FROM pop, t UNION ALL SELECT p.n, node_id, p.n, parent_id FROM p, tre""")
 def cube_dag(spark: Spark, d: str) -> DataFrame:
-    return U.cube_dag([pop_dag(spark, d), tre_tree(spark, d)]).agg(F.count("*").alias("n"))
+    edges = U.cube_dag([pop_dag(spark, d), tre_tree(spark, d)])
+    return edges.select(*(F.col(c)[k].alias(n) for c, names in (("cell", ("p_node", "t_node")), ("parent_cell", ("p_up", "t_up"))) for k, n in enumerate(names)))
 
 
 @query(f"""WITH {BINOM}, {POP}, {_UP}, {TRE}, {_TUP}, c AS (SELECT u.ancestor AS p_node, v.ancestor AS t_node FROM binom JOIN up u ON u.node = p_node JOIN tup v ON v.node = t_node GROUP BY 1, 2 HAVING sum(n_trials) >= 200),
@@ -233,12 +244,19 @@ def pre_aggregation(spark: Spark, d: str) -> DataFrame:
     return round_all(S.pre_aggregated(data, ["l_suppkey", "l_returnflag"]))
 
 
-@query()
+# Root, regions, nations: one level after the other, up and down again.
+@query(f"""WITH {POP}, own AS (SELECT 'n' || c_nationkey AS node, count(*) / 9.0 AS p, sum(c_acctbal / 1000) / 9.0 AS s FROM customer GROUP BY 1),
+ n AS (SELECT node_id AS node, parent_id AS up, coalesce(p, 0) AS p, coalesce(s, 0) AS s FROM pop LEFT JOIN own ON node = node_id WHERE parent_id <> 'root'),
+ r AS (SELECT node_id AS node, coalesce(sum(p / (1 + 0.5 * p)), 0) AS p, coalesce(sum(s / (1 + 0.5 * p)), 0) AS s FROM pop LEFT JOIN n ON up = node_id WHERE parent_id = 'root' GROUP BY 1),
+ t AS (SELECT 1 / (1 / 10.0 + sum(p / (1 + 2.0 * p))) AS v, sum(s / (1 + 2.0 * p)) AS s FROM r),
+ t1 AS (SELECT 'root' AS node, v * s AS mean, v AS var FROM t),
+ r1 AS (SELECT r.node, (r.s + t1.mean / 2.0) / (0.5 + r.p) AS mean, 1 / (0.5 + r.p) + (0.5 / (0.5 + r.p)) ** 2 * t1.var AS var, 0.5 / (0.5 + r.p) * t1.var AS cov FROM r, t1),
+ n1 AS (SELECT n.node, (n.s + r1.mean / 0.5) / (2 + n.p) AS mean, 1 / (2 + n.p) + (2 / (2 + n.p)) ** 2 * r1.var AS var, 2 / (2 + n.p) * r1.var AS cov FROM n JOIN r1 ON r1.node = up)
+ SELECT node, round(mean, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS var, round(cov, 6) + 0.0 AS cov FROM (SELECT node, mean, var, NULL AS cov FROM t1 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM n1)""")
 def tree_smoother(spark: Spark, d: str) -> DataFrame:
-    tree = pop_dag(spark, d)
     c = read(spark, d, "customer")
     data = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("node"), (F.col("c_acctbal") / 1000).alias("obs"), F.lit(9.0).alias("var"))
-    return round_all(S.tree_posterior(tree, data, 1.0, 0.0, 10.0))
+    return round_all(S.tree_posterior(pop_dag(spark, d), data, [2.0, 0.5], 0.0, 10.0))
 
 
 _ME = """CAST(count(*) AS DOUBLE) AS n, sum(w) AS w, sum(w * w) AS ww, sum(w * p) AS wp, sum(w * p * p) AS wpp, sum(w / t) AS wn, sum(w * w / t) AS wwn"""
@@ -324,6 +342,16 @@ def betabinom_mode(spark: Spark, d: str) -> DataFrame:
     return B.fit_cells(binom(spark, d), ["p_node"])
 
 
+@query(f"""WITH {BINOM}, a AS (SELECT p_node, sum(ln(5.0 + j)) AS v, sum(1 / (5.0 + j)) AS g FROM binom, unnest(range(0, n_pos)) t(j) GROUP BY 1),
+ b AS (SELECT p_node, sum(ln(15.0 + j)) AS v, sum(1 / (15.0 + j)) AS g FROM binom, unnest(range(0, n_trials - n_pos)) t(j) GROUP BY 1),
+ c AS (SELECT p_node, sum(ln(20.0 + j)) AS v, sum(1 / (20.0 + j)) AS g FROM binom, unnest(range(0, n_trials)) t(j) GROUP BY 1)
+ SELECT p_node, round(coalesce(a.v, 0) + coalesce(b.v, 0) - c.v, 4) + 0.0 AS loglik, round(20.0 * (coalesce(a.g, 0) - coalesce(b.g, 0)) * 0.1875, 4) + 0.0 AS d_mean,
+  round((0.25 * coalesce(a.g, 0) + 0.75 * coalesce(b.g, 0) - c.g) * 20.0, 4) + 0.0 AS d_size FROM c LEFT JOIN a USING (p_node) LEFT JOIN b USING (p_node)""")
+def betabinom_terms(spark: Spark, d: str) -> DataFrame:
+    """Log-likelihood and gradient of each cell at mean 0.25 and size 20."""
+    return round_all(B.likelihood_terms(binom(spark, d), ["p_node"], 0.25, 20.0), 4)
+
+
 @query()
 def betabinom_dag_mode(spark: Spark, d: str) -> DataFrame:
     return B.dag_posterior_modes(binom(spark, d).select("p_node", "n_pos", "n_trials"), pop_dag(spark, d), G.closure(pop_dag(spark, d)), 0.25, 20.0, 1.0, 1.0)
@@ -411,10 +439,16 @@ def multiapp_statistics(spark: Spark, d: str) -> DataFrame:
     return out.select("app", "item", "n", *(rounded(F.expr(c), 3 if n == "yy" else 4).alias(n) for c, n in named.items()))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, CAST(length(event_type) AS DOUBLE) AS x, coalesce(value, 0) AS y, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 + 1 AS INTEGER) AS batch FROM events),
+ s AS (SELECT user_id, batch, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM e GROUP BY 1, 2),
+ st AS (SELECT user_id, batch, 1 + n AS a, sx AS b, 1 + sxx AS c, sy AS g, sxy AS h, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM s WHERE batch = 1
+  UNION ALL SELECT s.user_id, s.batch, a * k + n, b * k + sx, c * k + sxx, g * k + sy, h * k + sxy, (c * g - b * h) / (a * c - b * b), (a * h - b * g) / (a * c - b * b)
+   FROM (SELECT *, CASE WHEN a * 0.9 >= 1 AND c * 0.9 >= 1 THEN 0.9 ELSE 1.0 END AS k FROM st) t JOIN s ON s.user_id = t.user_id AND s.batch = t.batch + 1)
+ SELECT e.user_id, ts, event_id, batch, y + 0.0 AS y, round(b0 + b1 * x, 5) + 0.0 AS pred FROM e JOIN st USING (user_id, batch)""")
 def online_regression(spark: Spark, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", "ts", "event_id", F.array(F.lit(1.0), F.length("event_type").cast("double")).alias("x"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return online.predict_batches(e, "user_id", ["ts", "event_id"], "x", "value", 5, 4, [0.0, 0.0], 1.0, discount=0.9)
+    out = online.predict_batches(e, "user_id", ["ts", "event_id"], "x", "value", 5, None, [0.0, 0.0], 1.0, discount=0.9)
+    return out.withColumn("pred", rounded("pred", 5)).withColumn("y", F.col("y") + 0.0)
 
 
 @query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")

@@ -394,24 +394,33 @@ def strat_split(spark: Spark, d: str) -> DataFrame:
     return o.select("o_orderkey", (F.col("r") <= F.ceil(F.lit(0.7) * F.col("n"))).alias("train"))
 
 
-@query("SELECT o_custkey, CAST(ceil(0.7 * count(*)) AS BIGINT) AS train_rows FROM orders GROUP BY 1")
-def item_split_sizes(spark: Spark, d: str) -> DataFrame:
-    s = T.split_within_items(read(spark, d, "orders"), "o_custkey", "o_orderkey", 0.7)
-    return s.groupBy("o_custkey").agg(F.sum(F.col("train").cast("long")).alias("train_rows"))
+def _md5(column: str, seed: int = 0) -> str:
+    """SQL of table.portable_hash."""
+    return f"CAST('0x' || substr(md5('{seed}|' || {column}), 1, 8) AS BIGINT)"
 
 
-@query("SELECT CAST(ceil(0.8 * count(DISTINCT o_custkey)) AS BIGINT) AS items FROM orders")
-def group_split_sizes(spark: Spark, d: str) -> DataFrame:
-    return T.split_items(read(spark, d, "orders"), "o_custkey", 0.8).where("train").agg(F.count_distinct("o_custkey").alias("items"))
+@query(f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {_md5('o_orderkey')}, o_orderkey) <= ceil(0.7 * count(*) OVER (PARTITION BY o_custkey)) AS train FROM orders")
+def item_split(spark: Spark, d: str) -> DataFrame:
+    return T.split_within_items(read(spark, d, "orders"), "o_custkey", "o_orderkey", 0.7).select("o_orderkey", "train")
 
 
-@query()
+@query(f"""WITH c AS (SELECT o_custkey, row_number() OVER (ORDER BY {_md5('o_custkey')}, o_custkey) <= ceil(0.8 * count(*) OVER ()) AS train FROM (SELECT DISTINCT o_custkey FROM orders))
+ SELECT o_orderkey, train FROM orders JOIN c USING (o_custkey)""")
+def group_split(spark: Spark, d: str) -> DataFrame:
+    return T.split_items(read(spark, d, "orders"), "o_custkey", 0.8).select("o_orderkey", "train")
+
+
+@query(f"""WITH {OBS}, u AS (SELECT DISTINCT src_id FROM obs ORDER BY {_md5('src_id')}, src_id LIMIT 20), i AS (SELECT DISTINCT dst_id FROM obs ORDER BY {_md5('dst_id')}, dst_id LIMIT 20),
+ c AS (SELECT row_id, src_id IN (SELECT src_id FROM u) OR dst_id IN (SELECT dst_id FROM i) AS cold FROM obs),
+ k AS (SELECT greatest((SELECT count(*) FROM obs) // 4 - count(*), 0) AS need FROM c WHERE cold),
+ m AS (SELECT row_id, row_number() OVER (ORDER BY {_md5('row_id', 1)}, row_id) <= need AS more FROM c, k WHERE NOT cold)
+ SELECT row_id, cold OR row_id IN (SELECT row_id FROM m WHERE more) AS test FROM c""")
 def cold_start_split(spark: Spark, d: str) -> DataFrame:
     rows = obs(spark, d)
     return T.cold_start_split(rows, "src_id", "dst_id", "row_id", 20, 20, rows.count() // 4).select("row_id", "test")
 
 
-@query()
+@query(f"SELECT o_orderkey, {_md5('o_orderkey')} / 4294967296.0 < 0.75 AS train FROM orders")
 def bernoulli_split(spark: Spark, d: str) -> DataFrame:
     return T.bernoulli_split(read(spark, d, "orders"), "o_orderkey", 0.75).select("o_orderkey", "train")
 

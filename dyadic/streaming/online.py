@@ -48,22 +48,35 @@ class State:
         return out
 
 
-def predict_batches(obs: DataFrame, item: str, order: list[str], features: str, y: str, per_batch: int, batches: int, prior_mean: list[float], prior_var: float, discount: float = 1.0, offset: str | None = None) -> DataFrame:
-    """(item, order..., batch, y, pred); rows beyond the last batch go. An item's kept rows are batches x per_batch at most."""
-    rows = batched(obs, item, order, per_batch, batches).select(item, *order, "batch", F.col(features).alias("x"), F.col(y).cast("double").alias("y"), (F.col(offset) if offset else F.lit(0.0)).alias("o"))
+def predict_batches(obs: DataFrame, item: str, order: list[str], features: str, y: str, per_batch: int, batches: int | None, prior_mean: list[float], prior_var: float, discount: float = 1.0, offset: str | None = None) -> DataFrame:
+    """(item, order..., batch, y, pred); rows beyond the last batch go, without `batches` (None) none does.
+
+    A batch enters only through its sums x x' and x (y - offset), so what follows one another for an item is one small row a batch; rows
+    then meet the coefficients of their batch in a join.
+    """
+    k, whole = len(prior_mean), batches if batches is not None else (1 << 31) // per_batch - 1
+    rows = batched(obs, item, order, per_batch, whole).select(item, *order, "batch", F.col(features).alias("x"), F.col(y).cast("double").alias("y"), (F.col(offset) if offset else F.lit(0.0)).alias("o"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    x = lambda i: F.col("x")[i]
+    sums = rows.groupBy(item, "batch").agg(*(F.sum(x(i) * x(j)).alias(f"l{i}_{j}") for i, j in pairs), *(F.sum(x(i) * (F.col("y") - F.col("o"))).alias(f"e{i}") for i in range(k)))
     kinds = dict(rows.dtypes)
-    prior, precision = np.array(prior_mean, float), np.eye(len(prior_mean)) / prior_var
+    prior, precision, upper = np.array(prior_mean, float), np.eye(k) / prior_var, np.triu_indices(k)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, preds = State(prior, precision), []
-        for b, part in pdf.groupby("batch", sort=True):
+        pdf = pdf.sort_values("batch")
+        state, betas = State(prior, precision), []
+        own, right = pdf[[f"l{i}_{j}" for i, j in pairs]].to_numpy(float), pdf[[f"e{i}" for i in range(k)]].to_numpy(float)
+        for b, tri, eta in zip(pdf["batch"], own, right):
             state.enter(int(b), discount)
-            preds.append(state.step(np.stack(part["x"].to_numpy()), part["y"].to_numpy(), part["o"].to_numpy()))
-        return pdf[[item, *order, "batch", "y"]].assign(pred=np.concatenate(preds))
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (item, *order, "batch", "y"))
-    return rows.groupBy(item).applyInPandas(run, f"{schema}, pred double")
+            betas.append(state.beta.copy())
+            lam = np.zeros((k, k))
+            lam[upper] = lam.T[upper] = tri
+            state.lam, state.eta = state.lam + lam, state.eta + eta
+        return pd.DataFrame({item: pdf[item].to_numpy(), "batch": pdf["batch"].to_numpy(), "beta": betas})
+
+    found = sums.groupBy(item).applyInPandas(run, f"{item} {kinds[item]}, batch {kinds['batch']}, beta array<double>")
+    pred = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.col("o")
+    return rows.join(found, [item, "batch"]).select(item, *order, "batch", "y", pred.alias("pred"))
 
 
 def predict_stream(stream: DataFrame, item: str, order: str, features: str, y: str, per_batch: int, prior_mean: list[float], prior_var: float, discount: float = 1.0) -> DataFrame:

@@ -143,7 +143,8 @@ def test_chain_recovers_the_truth(spark):
     one = K.fit(train, X.Setting(n_factors=1, samples=50, burn_in=10), test, iterations=4)
     assert two.history[-1]["test_loss"] < 0.45 and one.history[-1]["test_loss"] > 1.0
     assert abs(two.params.var_y - 0.1) < 0.02 and abs(two.params.var_alpha - 0.5) < 0.15
-    assert K.fit(train.limit(300), X.Setting(n_factors=0, samples=2), iterations=1, most_rows=100).history  # handed over
+    with pytest.raises(ValueError, match="factor.fit"):
+        K.fit(train.limit(300), X.Setting(n_factors=0, samples=2), iterations=1, most_rows=100)
 
 
 def test_regression_priors_serve_new_entities(spark):
