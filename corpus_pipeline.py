@@ -4,6 +4,11 @@ Every stage works on all rows that its predecessor kept. All but the last return
 documents: quality rules, near-duplicate removal and decontamination drop rows, the secret scan
 replaces secrets in the text (and n_chars with it). The last one returns token ids: the
 best-scoring ones and, as merge_ids, what the model's merge order gives.
+
+Cases: null and empty texts go in the first stage; rows with a null doc_id are never near duplicates or leaks and stay. Rows that
+repeat an id with other texts are documents of their own; of equal rows one stays. Ties between near duplicates go to the least id,
+then the least hash of the text. Very long texts pass whole. Other columns are kept until the last stage, whatever their names. An empty
+table gives none. A stage's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.llm import decontaminate, minhash_dedup, rule_ledger, secrets, viterbi
-from dyadic.llm.common import read, scratch_path
+from dyadic.llm.common import read, remove, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +56,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        remove(spark, *last)
+        docs, last = spark.read.parquet(path), [path]
     return docs
