@@ -211,8 +211,26 @@ def likelihood_terms(obs: DataFrame, by: list[str], mean: float, size: float) ->
     return counted.groupBy(*by).applyInPandas(run, f"{schema}, loglik double, d_mean double, d_size double")
 
 
-def dag_posterior_modes(obs: DataFrame, pop: DataFrame, pop_up: DataFrame, root_mean: float, root_size: float, var_logit: float, var_log: float, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """(p_node, mean, size, loglik, ok) from the root down: a node's prior is its parent with the best likelihood of the node's data.
+def likeliest_parent(own: DataFrame, parents: DataFrame) -> DataFrame:
+    """A prior setter: the parameters of the parent under which the node's data are likeliest."""
+    value = betabinom_loglik(F.col("n_pos").cast("double"), F.col("n_trials").cast("double"), F.col("pm"), F.col("ps"), choose=False)
+    fit = own.join(parents, "p_node").groupBy("p_node", "up", "pm", "ps").agg(F.sum(value).alias("v"))
+    return fit.groupBy("p_node").agg(F.max_by(F.struct("pm", "ps"), F.struct("v", "up")).alias("b")).select("p_node", F.col("b.pm").alias("prior_mean"), F.col("b.ps").alias("prior_size"))
+
+
+def average_parent(own: DataFrame, parents: DataFrame) -> DataFrame:
+    """A prior setter: the mean of the parents' means and the geometric mean of their sizes."""
+    return parents.groupBy("p_node").agg(F.avg("pm").alias("prior_mean"), F.exp(F.avg(F.log("ps"))).alias("prior_size"))
+
+
+#: Sets priors: a level's data (p_node, n_pos, n_trials) and its nodes' fitted parents (p_node, up, pm, ps) -> (p_node, prior_mean, prior_size).
+PriorSetter = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def dag_posterior_modes(
+    obs: DataFrame, pop: DataFrame, pop_up: DataFrame, root_mean: float, root_size: float, var_logit: float, var_log: float, node: str = "node_id", parent: str = "parent_id", set_priors: PriorSetter = likeliest_parent
+) -> DataFrame:
+    """(p_node, mean, size, loglik, ok) from the root down: a node's prior comes from its parents by `set_priors`.
 
     Levels follow one another; the cells of a level are independent groups.
     """
@@ -228,9 +246,7 @@ def dag_posterior_modes(obs: DataFrame, pop: DataFrame, pop_up: DataFrame, root_
         else:
             up = pop.where(f"{parent} is not null").select(F.col(node).alias("p_node"), F.col(parent).alias("up"))
             cand = up.join(nodes, "p_node", "left_semi").join(out.where("ok").select(F.col("p_node").alias("up"), F.col("mean").alias("pm"), F.col("size").alias("ps")), "up")
-            value = betabinom_loglik(F.col("n_pos").cast("double"), F.col("n_trials").cast("double"), F.col("pm"), F.col("ps"), choose=False)
-            fit = own.join(cand, "p_node").groupBy("p_node", "up", "pm", "ps").agg(F.sum(value).alias("v"))
-            priors = fit.groupBy("p_node").agg(F.max_by(F.struct("pm", "ps"), F.struct("v", "up")).alias("b")).select("p_node", F.col("b.pm").alias("prior_mean"), F.col("b.ps").alias("prior_size"))
+            priors = set_priors(own, cand.select("p_node", "up", "pm", "ps"))
         done = cut(fit_cells(own, ["p_node"], priors, var_logit, var_log))
         out = done if out is None else out.unionByName(done)
     return out

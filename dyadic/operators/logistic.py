@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, forget
 
 
 def adaptive_rejection(logf: Callable[[float], tuple[float, float]], start: list[float], rng: np.random.Generator, low: float = -np.inf, high: float = np.inf, most: int = 200) -> float:
@@ -60,18 +60,18 @@ def adaptive_rejection(logf: Callable[[float], tuple[float, float]], start: list
     return float(xs[int(np.argmax(hs))])
 
 
-def logistic_terms(y: np.ndarray, offset: np.ndarray, x: np.ndarray, mean: float, var: float) -> Callable[[float], tuple[float, float]]:
-    """Log posterior of a coefficient t with scores offset + x t and a Gaussian prior, and its slope."""
+def logistic_terms(y: np.ndarray, offset: np.ndarray, x: np.ndarray, mean: float, var: float, n: np.ndarray | float = 1.0) -> Callable[[float], tuple[float, float]]:
+    """Log posterior of a coefficient t with scores offset + x t and a Gaussian prior, and its slope; n: how often each row occurs."""
 
     def f(t: float) -> tuple[float, float]:
         s = offset + x * t
         p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
-        return float((y * s - np.logaddexp(0, s)).sum() - (t - mean) ** 2 / (2 * var)), float((x * (y - p)).sum() - (t - mean) / var)
+        return float((n * (y * s - np.logaddexp(0, s))).sum() - (t - mean) ** 2 / (2 * var)), float((n * x * (y - p)).sum() - (t - mean) / var)
 
     return f
 
 
-def spline_terms(y: np.ndarray, offset: np.ndarray, x: np.ndarray, mean: float, var: float, a: float) -> Callable[[float], tuple[float, float]]:
+def spline_terms(y: np.ndarray, offset: np.ndarray, x: np.ndarray, mean: float, var: float, a: float, n: np.ndarray | float = 1.0) -> Callable[[float], tuple[float, float]]:
     """The same with the two-sided link whose value at 0 is a (1/2 is the logistic one with doubled scores)."""
 
     def prob(s: np.ndarray) -> np.ndarray:
@@ -80,19 +80,19 @@ def spline_terms(y: np.ndarray, offset: np.ndarray, x: np.ndarray, mean: float,
 
     def value(t: float) -> float:
         p = np.clip(prob(offset + x * t), 1e-12, 1 - 1e-12)
-        return float((y * np.log(p) + (1 - y) * np.log1p(-p)).sum() - (t - mean) ** 2 / (2 * var))
+        return float((n * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum() - (t - mean) ** 2 / (2 * var))
 
     return lambda t: (value(t), (value(t + 1e-5) - value(t - 1e-5)) / 2e-5)
 
 
-def bayes_logistic(x: np.ndarray, y: np.ndarray, prior_mean: np.ndarray, prior_var: np.ndarray, samples: int = 200, burn_in: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mean and variance of coefficients by Gibbs sampling, each coefficient by adaptive rejection."""
+def bayes_logistic(x: np.ndarray, y: np.ndarray, prior_mean: np.ndarray, prior_var: np.ndarray, samples: int = 200, burn_in: int = 50, seed: int = 0, n: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean and variance of coefficients by Gibbs sampling, each coefficient by adaptive rejection; n: how often each row occurs."""
     rng, b, draws = np.random.default_rng(seed), prior_mean.astype(float).copy(), []
     score = x @ b
     for t in range(burn_in + samples):
         for k in range(x.shape[1]):
             rest = score - x[:, k] * b[k]
-            new = adaptive_rejection(logistic_terms(y, rest, x[:, k], prior_mean[k], prior_var[k]), [b[k] - 1, b[k], b[k] + 1], rng)
+            new = adaptive_rejection(logistic_terms(y, rest, x[:, k], prior_mean[k], prior_var[k], n), [b[k] - 1, b[k], b[k] + 1], rng)
             score, b[k] = rest + x[:, k] * new, new
         if t >= burn_in:
             draws.append(b.copy())
@@ -105,25 +105,29 @@ def regression_by_group(df: DataFrame, by: list[str], features: str, y: str, pri
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["k"].to_numpy()
-        x, t = np.repeat(np.stack(pdf[features].to_numpy()), n, 0).astype(float), np.repeat(pdf[y].to_numpy(), n).astype(float)
+        x, t = np.stack(pdf[features].to_numpy()).astype(float), pdf[y].to_numpy().astype(float)
         seed = xxhash.xxh32_intdigest("|".join(str(pdf[c].iat[0]) for c in by))
-        mean, var = bayes_logistic(x, t, np.zeros(x.shape[1]), np.full(x.shape[1], prior_var), samples, burn_in, seed)
+        mean, var = bayes_logistic(x, t, np.zeros(x.shape[1]), np.full(x.shape[1], prior_var), samples, burn_in, seed, pdf["k"].to_numpy().astype(float))
         return pd.DataFrame({**{c: [pdf[c].iat[0]] for c in by}, "mean": [mean], "var": [var]})
 
     return counted.groupBy(*by).applyInPandas(run, f"{schema}, mean array<double>, var array<double>")
 
 
-def effects_step(obs: DataFrame, by: str, offset: str, old: DataFrame, var: float, seed: int, sweep: int, multiplier: str | None = None) -> DataFrame:
-    """(by, value): a draw for each entity from its log-concave conditional; obs has y (0 or 1) and an offset. Entities without data keep their value in `old`."""
+def effects_step(obs: DataFrame, by: str, offset: str, old: DataFrame, var: float, seed: int, sweep: int | str, multiplier: str | None = None, knot: float | None = None) -> DataFrame:
+    """(by, value): a draw for each entity from its log-concave conditional; obs has y (0 or 1) and an offset. Entities without data keep their value in `old`.
+
+    knot: the value at 0 of the two-sided link, instead of the logistic one. An entity's distinct rows are one group; for entities without a bound on them,
+    `factor.fit` with is_logistic and samples draws from the same posterior through sums.
+    """
     rows = obs.select(by, "y", F.col(offset).alias("o"), (F.col(multiplier) if multiplier else F.lit(1.0)).alias("m")).groupBy(by, "y", "o", "m").agg(F.count("*").alias("k"))
     kind = dict(obs.dtypes)[by]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf["k"].to_numpy()
-        y, o, m = (np.repeat(pdf[c].to_numpy().astype(float), k) for c in ("y", "o", "m"))
+        pdf = pdf.sort_values(["y", "o", "m"])
+        y, o, m, k = (pdf[c].to_numpy().astype(float) for c in ("y", "o", "m", "k"))
+        terms = logistic_terms(y, o, m, 0.0, var, k) if knot is None else spline_terms(y, o, m, 0.0, var, knot, k)
         rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}|{sweep}|{by}|{pdf[by].iat[0]}"))
-        return pd.DataFrame({by: [pdf[by].iat[0]], "value": [adaptive_rejection(logistic_terms(y, o, m, 0.0, var), [-1.0, 0.0, 1.0], rng)]})
+        return pd.DataFrame({by: [pdf[by].iat[0]], "value": [adaptive_rejection(terms, [-1.0, 0.0, 1.0], rng)]})
 
     new = rows.groupBy(by).applyInPandas(run, f"{by} {kind}, value double")
     return old.join(new.withColumnRenamed("value", "__new"), by, "left").select(by, F.coalesce("__new", "value").alias("value"))
@@ -151,6 +155,56 @@ def fit_effects(obs: DataFrame, samples: int = 10, burn_in: int = 5, var: float
     return mean("src_id"), mean("dst_id"), b
 
 
+def fit_factors(obs: DataFrame, n_factors: int, samples: int = 10, burn_in: int = 5, var: float = 1.0, seed: int = 0, knot: float | None = None) -> tuple[dict[str, DataFrame], float]:
+    """Means over draws of alpha, beta (id, value) and u, v (id, value, an array) of y ~ link(b + alpha + beta + <u, v>), and b: every coordinate of every effect is drawn by
+    adaptive rejection in turn, its multiplier being the other end's coordinate."""
+    from ..functions.columns import dot
+
+    p = obs.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    b = float(np.log(p / (1 - p))) if knot is None else 0.0
+    ends = {"src_id": ("alpha", "u"), "dst_id": ("beta", "v")}
+    start = lambda by: F.array(*(((F.pmod(F.xxhash64(F.lit(seed), F.lit(by), F.lit(k), by), F.lit(1 << 20)) / float(1 << 20)) - 0.5 for k in range(n_factors))))
+    state: dict[str, DataFrame] = {}
+    for by, (main, vector) in ends.items():
+        ids = obs.select(by).distinct()
+        state[main] = cut(ids.withColumn("value", F.lit(0.0)))
+        state[vector] = cut(ids.withColumn("value", start(by)))
+    sums: dict[str, DataFrame] = {}
+
+    def scored() -> DataFrame:
+        out = obs
+        for by, names in ends.items():
+            for n in names:
+                out = out.join(state[n].withColumnRenamed("value", n), by)
+        return out.withColumn("score", b + F.col("alpha") + F.col("beta") + dot(F.col("u"), F.col("v")))
+
+    def put(name: str, new: DataFrame) -> None:
+        old, state[name] = state[name], cut(new)
+        forget(old)
+
+    for t in range(burn_in + samples):
+        for by, (main, vector) in ends.items():
+            other = "v" if vector == "u" else "u"
+            put(main, effects_step(scored().withColumn("o", F.col("score") - F.col(main)), by, "o", state[main], var, seed, f"{t}|{main}", knot=knot))
+            for k in range(n_factors):
+                rows = scored().withColumn("m", F.col(other)[k]).withColumn("o", F.col("score") - F.col(vector)[k] * F.col(other)[k])
+                own = state[vector].select(by, F.col("value")[k].alias("value"))
+                new = effects_step(rows, by, "o", own, var, seed, f"{t}|{vector}{k}", "m", knot).withColumnRenamed("value", "__new")
+                put(vector, state[vector].join(new, by).select(by, F.transform("value", lambda x, i: F.when(i == k, F.col("__new")).otherwise(x)).alias("value")))  # noqa: B023
+        if t >= burn_in:
+            for by, names in ends.items():
+                for n in names:
+                    one = state[n].withColumn("value", F.array("value") if n in ("alpha", "beta") else F.col("value"))
+                    if n not in sums:
+                        sums[n] = cut(one)
+                        continue
+                    old = sums[n]
+                    sums[n] = cut(old.join(one.withColumnRenamed("value", "__v"), by).select(by, F.zip_with("value", "__v", lambda x, y: x + y).alias("value")))
+                    forget(old)
+    mean = {n: s.withColumn("value", F.transform("value", lambda x: x / samples)) for n, s in sums.items()}
+    return {n: s.withColumn("value", F.col("value")[0]) if n in ("alpha", "beta") else s for n, s in mean.items()}, b
+
+
 def spline_knot(scored: DataFrame, y: str, score: str, low: float = 0.001, high: float = 0.8, steps: int = 20) -> float:
     """The link's value at 0 with the best likelihood, by golden section; a probe is one aggregate."""
     from ..functions.columns import spline_link

@@ -332,9 +332,26 @@ def topic_conditional(spark: Spark, d: str) -> DataFrame:
     return round_all(out)
 
 
-@query()
+# One half-step of rank 1 from a given start.
+@query(f"""WITH {OBS}, r AS (SELECT src_id, y, 1 + row_id % 3 AS w, 1 + (dst_id % 7) / 10.0 AS v FROM obs)
+ SELECT src_id, round(sum(w * v * y) / (sum(w * v * v) + 0.1 * count(*)), 6) + 0.0 AS u FROM r GROUP BY 1""")
 def matrix_factorisation(spark: Spark, d: str) -> DataFrame:
-    return X.least_squares_factors(obs(spark, d), 2, iterations=2).userFactors
+    rows = obs(spark, d).withColumn("weight", 1.0 + F.col("row_id") % 3)
+    start = rows.select("dst_id").distinct().withColumn("mean", F.array(1 + (F.col("dst_id") % 7) / 10.0))
+    return X.half_step(rows, "src_id", "dst_id", start, 1, 0.1).select("src_id", rounded(F.col("mean")[0]).alias("u"))
+
+
+@query()
+def matrix_factors(spark: Spark, d: str) -> DataFrame:
+    return X.least_squares_factors(obs(spark, d).withColumn("weight", 1.0 + F.col("row_id") % 3), 2, iterations=2, weight="weight")[0]
+
+
+@query()
+def logistic_sampled(spark: Spark, d: str) -> DataFrame:
+    """A logistic factor model by sampling: weights, effects and factors in turn."""
+    rows = obs(spark, d).select("src_id", "dst_id", "row_id", (F.col("y") > 25).cast("double").alias("y"))
+    model = X.fit(rows, X.Setting(n_factors=1, is_logistic=True, samples=1, burn_in=1), iterations=1)
+    return X.predict(rows, model).select("row_id", "pred")
 
 
 @query()

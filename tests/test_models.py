@@ -49,20 +49,22 @@ def test_tree_posterior_equals_dense(spark):
     parents = {"a": "r", "b": "r", "c": "a", "d": "a", "e": "b"}
     tree = spark.createDataFrame(list(parents.items()), "node_id string, parent_id string")
     data = [("c", 1.0, 0.5), ("c", 2.0, 0.7), ("d", -1.0, 1.0), ("b", 0.4, 2.0), ("e", 3.0, 0.2)]
-    got = {r.node: (r.mean, r.var) for r in S.tree_posterior(tree, spark.createDataFrame(data, "node string, obs double, var double"), 0.8, 0.5, 3.0).collect()}
+    rows = S.tree_posterior(tree, spark.createDataFrame(data, "node string, obs double, var double"), [0.8, 0.3], 0.5, 3.0).collect()
+    got, with_parent = {r.node: (r.mean, r.var) for r in rows}, {r.node: r.cov for r in rows}
     names = ["r", "a", "b", "c", "d", "e"]
     up = np.zeros((6, 6))
     for k, n in enumerate(names):
         while n != "r":
             up[k, names.index(n)] = 1
             n = parents[n]
-    prior = 3.0 + 0.8 * up @ up.T
+    prior = 3.0 + up @ np.diag([0, 0.8, 0.8, 0.3, 0.3, 0.3]) @ up.T
     design = np.zeros((len(data), 6))
     for k, (n, _, _) in enumerate(data):
         design[k, names.index(n)] = 1
     mean, cov = gaussian_posterior(prior, design, np.array([x for _, x, _ in data]) - 0.5, np.array([v for _, _, v in data]))
     for k, n in enumerate(names):
         assert np.allclose(got[n], (mean[k] + 0.5, cov[k, k]))
+        assert with_parent[n] is None if n == "r" else np.isclose(with_parent[n], cov[k, names.index(parents[n])])
 
 
 def test_two_level_fit_improves_and_beats_cell_means(spark):
@@ -375,3 +377,101 @@ def test_online_regression_batch_and_stream(spark, tmp_path):
     q.stop()
     got = spark.table("online_out").orderBy("item", "seq").collect()
     assert np.allclose([r.pred for r in got], [r.pred for r in batch])
+
+
+def test_weights_of_logistic_rows_follow_their_distribution(spark):
+    for c in (0.0, 1.5, -6.0):
+        w = spark.range(40_000).select(X.polya_gamma(F.lit(c), F.lit(1), F.col("id")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+        mean = 0.25 if c == 0 else math.tanh(c / 2) / (2 * c)
+        var = 1 / 24 if c == 0 else (math.sinh(abs(c)) - abs(c)) / (4 * abs(c) ** 3 * math.cosh(c / 2) ** 2)
+        assert w[0] == pytest.approx(mean, rel=0.02) and w[1] == pytest.approx(var, rel=0.08)
+
+
+def _labels(spark, rows=3000, nodes=15):
+    data = spark.range(rows).select("id", sim.pick(3, "s", nodes, F.col("id")).alias("src_id"), sim.pick(3, "d", nodes, F.col("id")).alias("dst_id"))
+    own = lambda name, by: sim.normal(3, name, F.col(by))
+    score = 0.8 * own("a", "src_id") + 0.8 * own("b", "dst_id") + 1.5 * own("u", "src_id") * own("v", "dst_id")
+    return data.withColumn("truth", 1 / (1 + F.exp(-score))).withColumn("y", (sim.uniform(3, "y", F.col("id")) < F.col("truth")).cast("double")).cache()
+
+
+def test_logistic_factors_by_sampling(spark):
+    data = _labels(spark)
+    train, test = data.where("id % 5 > 0").select("src_id", "dst_id", "y"), data.where("id % 5 = 0").select("src_id", "dst_id", "y")
+    model = X.fit(train, X.Setting(n_factors=2, is_logistic=True, samples=5, burn_in=5), test, iterations=1)
+    effects = X.fit(train, X.Setting(n_factors=0, is_logistic=True, samples=3, burn_in=2), test, iterations=1)
+    assert model.history[-1]["test_loss"] < effects.history[-1]["test_loss"] < math.log(2)
+
+
+@pytest.mark.parametrize("knot", [None, 0.5])
+def test_logistic_factors_by_adaptive_rejection(spark, knot):
+    data = _labels(spark, 500, 6)
+    found, b = L.fit_factors(data.select("src_id", "dst_id", "y"), 1, samples=2, burn_in=1, knot=knot)
+    rows = data
+    for name, by in (("alpha", "src_id"), ("u", "src_id"), ("beta", "dst_id"), ("v", "dst_id")):
+        rows = rows.join(found[name].withColumnRenamed("value", name), by)
+    p = 1 / (1 + F.exp(-(b + F.col("alpha") + F.col("beta") + F.col("u")[0] * F.col("v")[0])))
+    assert rows.agg(F.corr(p, "truth")).first()[0] > 0.5
+
+
+def test_counted_rows_weigh_as_repeated_ones():
+    rng = np.random.default_rng(3)
+    x, y, n = rng.standard_normal((6, 2)), np.array([0, 1, 1, 0, 1, 0.0]), np.array([3, 1, 2, 5, 4, 1])
+    a = L.bayes_logistic(x, y, np.zeros(2), np.full(2, 4.0), 40, 5, n=n.astype(float))
+    b = L.bayes_logistic(np.repeat(x, n, 0), np.repeat(y, n), np.zeros(2), np.full(2, 4.0), 40, 5)
+    assert np.allclose(a[0], b[0], atol=0.02)
+    k, t = rng.integers(0, 9, 30), rng.integers(9, 30, 30)
+    w = rng.integers(1, 5, 30)
+    assert np.allclose(B.posterior_mode(k, t, weight=w)[:3], B.posterior_mode(np.repeat(k, w), np.repeat(t, w))[:3])
+
+
+def test_weighted_factorisation_reaches_a_stationary_point(spark):
+    data = sim.dyadic(spark, 500, nodes=10, factors=1).select("src_id", "dst_id", "y").withColumn("w", 1.0 + F.col("src_id") % 3)
+    u, v = X.least_squares_factors(data, 2, 0.3, iterations=6, weight="w")
+    pu = {r.src_id: np.array(r["mean"]) for r in u.collect()}
+    pv = {r.dst_id: np.array(r["mean"]) for r in v.collect()}
+    rows = data.collect()
+    grad = {j: np.zeros(2) for j in pv}
+    for r in rows:
+        e = r.y - pu[r.src_id] @ pv[r.dst_id]
+        grad[r.dst_id] += -r.w * e * pu[r.src_id] + 0.3 * pv[r.dst_id]
+    assert max(np.abs(g).max() for g in grad.values()) < 1e-6
+    loss = lambda a, b: sum(r.w * (r.y - a[r.src_id] @ b[r.dst_id]) ** 2 + 0.3 * (a[r.src_id] @ a[r.src_id] + b[r.dst_id] @ b[r.dst_id]) for r in rows)
+    zero = {k: np.zeros(2) for k in (*pu, *pv)}
+    assert loss(pu, pv) < loss(zero, zero)
+
+
+def test_prior_setters(spark, tmp_path):
+    pop = spark.createDataFrame([("x", "root"), ("y", "root"), ("c", "x"), ("c", "y")], "node_id string, parent_id string")
+    obs = spark.createDataFrame([("x", 30, 100)] * 30 + [("y", 60, 100)] * 30 + [("c", 3, 10)] * 2, "p_node string, n_pos long, n_trials long")
+    up = G.closure(pop)
+    likely, average = ({r.p_node: r for r in B.dag_posterior_modes(obs, pop, up, 0.4, 20.0, 0.01, 0.01, set_priors=s).collect()} for s in (B.likeliest_parent, B.average_parent))
+    # The likelier parent is x; the average lies between x and y.
+    assert likely["c"]["mean"] < average["c"]["mean"] and abs(likely["c"]["mean"] - likely["x"]["mean"]) < 0.02
+    params = spark.createDataFrame([tuple(r) for r in likely.values()], "p_node string, mean double, size double, loglik double, ok boolean")
+    B.save_fit(params, [{"var_logit": 1, "var_log": 2, "loglik": -3}], str(tmp_path))
+    B.save_fit(params, [{"var_logit": 2, "var_log": 2, "loglik": -2}], str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/model").count() == 4 and spark.read.parquet(f"{tmp_path}/summary").count() == 2
+    size = spark.range(1).select(B.size_of_moments(F.lit(0.25), F.lit(0.25 * 0.75 / 21)).alias("s")).first().s
+    assert size == pytest.approx(20)
+
+
+def test_kendall_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(rng.integers(0, 6)), float(rng.integers(0, 5))) for g in range(4) for _ in range([1, 2, 17, 60][g])] + [(2, None, 1.0)]
+    got = {r.g: r.tau for r in kendall_of(spark.createDataFrame(rows, "g int, x double, y double")).collect()}
+    for g in range(1, 4):
+        own = [(x, y) for k, x, y in rows if k == g and x is not None]
+        pairs = [np.sign(a[0] - b[0]) * np.sign(a[1] - b[1]) for i, a in enumerate(own) for b in own[:i]]
+        assert got[g] == pytest.approx(sum(pairs) / len(pairs))
+    assert 0 not in got
+
+
+def kendall_of(df):
+    from dyadic.operators import metrics
+
+    return metrics.kendall(df, "x", "y", "g")
+
+
+def test_variational_topics(spark):
+    model, rows = P.variational_lda(sim.topic_corpus(spark, 12, 20, 2, 30), 2, iterations=2)
+    assert model.topicsMatrix().numCols == 2 and rows.count() == 12

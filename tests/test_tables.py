@@ -184,3 +184,26 @@ def test_closure_of_a_deep_tree(spark):
     up = G.closure(edges)
     assert up.count() == (n + 1) * (n + 2) // 2
     assert up.where(f"node = {n} and ancestor = 0").count() == 1
+
+
+def test_lines_without_ids_are_numbered_across_splits(spark, tmp_path):
+    lines = [f"{k}.5\t{k * 2}" for k in range(5000)]
+    (tmp_path / "dense").mkdir()
+    (tmp_path / "dense" / "a.txt").write_text("\n".join(lines[:3000]) + "\n")
+    (tmp_path / "dense" / "b.txt").write_text("\n".join(lines[3000:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        rows = src.dense_features(spark, f"{tmp_path}/dense", None, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.id: r.x for r in rows} == {k + 1: [k + 0.5, 2.0 * k] for k in range(5000)}
+
+
+def test_samples_and_partitioned_tables(spark, tmp_path):
+    df = spark.range(100).select((F.col("id") % 4).alias("g"), "id")
+    one, two = ({tuple(r) for r in T.sampled(df.repartition(k), ["g"], 3, "id").collect()} for k in (1, 5))
+    assert one == two and len(one) == 12
+    src.partitioned(df, f"{tmp_path}/parts", ["g"])
+    assert spark.read.parquet(f"{tmp_path}/parts").where("g = 1").count() == 25
+    assert {p.name for p in tmp_path.glob("parts/g=*")} == {f"g={k}" for k in range(4)}
