@@ -92,7 +92,7 @@ def posterior(model: MultiApp, data: dict[str, tuple[np.ndarray, np.ndarray, np.
 
 
 def _messages(rows: DataFrame, model: MultiApp) -> DataFrame:
-    """user, parts: for each application of the user the precision (upper triangle), linear term and constant of its data."""
+    """(user, app, p, h, base): the precision (upper triangle), linear term and constant of the likelihood of a user's data in an application."""
     k = model.most_local
     c = lambda i: F.coalesce(F.get("load", F.lit(i + 1)), F.lit(0.0))
     d = F.col("y") - F.col("load")[0]
@@ -101,19 +101,23 @@ def _messages(rows: DataFrame, model: MultiApp) -> DataFrame:
         *(F.sum(c(i) * c(j) / F.col("noise")).alias(f"p{i}_{j}") for i, j in pairs), *(F.sum(c(i) * d / F.col("noise")).alias(f"h{i}") for i in range(k)),
         F.sum(-0.5 * (d * d / F.col("noise") + F.log(2 * np.pi * F.col("noise")))).alias("base"),
     )
-    part = F.struct("app", F.array(*(f"p{i}_{j}" for i, j in pairs)).alias("p"), F.array(*(f"h{i}" for i in range(k))).alias("h"), "base")
-    return sums.groupBy("user").agg(F.collect_list(part).alias("parts"))
+    return sums.select("user", "app", F.array(*(f"p{i}_{j}" for i, j in pairs)).alias("p"), F.array(*(f"h{i}" for i in range(k))).alias("h"), "base")
 
 
 _MOMENTS = "app string, u array<double>, uu array<double>, z array<double>, zz array<double>, zu array<double>, z2 double, loglik double, lead boolean"
 
 
 def moments(rows: DataFrame, model: MultiApp) -> DataFrame:
-    """One row for each (user, application) with data: u, z, and second moments uu, zz (of 1 and z, upper triangles), zu and z2.
+    return moments_of(_messages(rows, model), model)
+
+
+def moments_of(sums: DataFrame, model: MultiApp) -> DataFrame:
+    """One row for each (user, app, p, h, base), app being a string: u, z, and second moments uu, zz (of 1 and z, upper triangles), zu and z2.
     Of a user's rows one leads and has the user's marginal log-likelihood."""
+    parts = sums.groupBy("user").agg(F.collect_list(F.struct("app", "p", "h", "base")).alias("parts"))
     most, (up0, up1), names = model.most_local, np.triu_indices(model.most_local), list(model.apps)
     apps = MultiApp(model.apps, None, model.n_global, model.var_u)  # without the table, which tasks can't use
-    kind = dict(rows.dtypes)["user"]
+    kind = dict(sums.dtypes)["user"]
 
     def run(batches):
         for pdf in batches:
@@ -158,7 +162,17 @@ def moments(rows: DataFrame, model: MultiApp) -> DataFrame:
                 }
             )
 
-    return _messages(rows, model).mapInPandas(run, f"user {kind}, {_MOMENTS}")
+    return parts.mapInPandas(run, f"user {kind}, {_MOMENTS}")
+
+
+def two_level_vectors(obs: DataFrame, entity: str, context: str, regressor: str, loading: dict[str, float], var_local: dict[str, float], var_global: float, k: int) -> DataFrame:
+    """(user, u, app, z, ...) as `moments_of` gives them: posteriors of an entity's global vector u and of its vector z = loading u + noise in each context, from
+    a two-way interaction: residuals r = <z, x> with noise s2, x being the other end's vector."""
+    from .factor import gram_sums
+
+    sums = gram_sums(obs.select(F.col(entity).alias("user"), F.col(context).cast("string").alias("app"), F.col(regressor).alias("x"), "r", "s2"), ["user", "app"], "x", k)
+    apps = {str(c): App(q * np.eye(k), var_local[c]) for c, q in loading.items()}
+    return moments_of(sums.select("user", "app", F.col("xx").alias("p"), F.col("xo").alias("h"), F.lit(0.0).alias("base")), MultiApp(apps, None, k, var_global))
 
 
 # --- EM -----------------------------------------------------------------------------------------

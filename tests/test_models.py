@@ -475,3 +475,28 @@ def kendall_of(df):
 def test_variational_topics(spark):
     model, rows = P.variational_lda(sim.topic_corpus(spark, 12, 20, 2, 30), 2, iterations=2)
     assert model.topicsMatrix().numCols == 2 and rows.count() == 12
+
+
+def test_two_level_vectors_equal_dense(spark):
+    """One entity with data in two of three contexts against the posterior of the stacked vectors."""
+    rng = np.random.default_rng(9)
+    loading, local = {"a": 1.0, "b": -0.5, "c": 2.0}, {"a": 0.3, "b": 0.6, "c": 0.2}
+    data = [(7, c, rng.standard_normal(2).tolist(), float(rng.standard_normal()), 0.5) for c in "aabbb"]
+    rows = A.two_level_vectors(spark.createDataFrame(data, "e int, c string, x array<double>, r double, s2 double"), "e", "c", "x", loading, local, 1.5, 2).collect()
+    spots = {"a": slice(2, 4), "b": slice(4, 6)}
+    prior = np.zeros((6, 6))
+    prior[:2, :2] = 1.5 * np.eye(2)
+    for n, s in spots.items():
+        prior[s, :2] = prior[:2, s] = 1.5 * loading[n] * np.eye(2)
+        for m, t in spots.items():
+            prior[s, t] = (1.5 * loading[n] * loading[m] + (local[n] if n == m else 0)) * np.eye(2)
+    design = np.zeros((5, 6))
+    for i, (_, c, x, _, _) in enumerate(data):
+        design[i, spots[c]] = x
+    mean, cov = gaussian_posterior(prior, design, np.array([r[3] for r in data]), np.full(5, 0.5))
+    assert {r.app for r in rows} == {"a", "b"}
+    for r in rows:
+        z = mean[spots[r.app]]
+        zz = np.outer(np.r_[1, z], np.r_[1, z])
+        zz[1:, 1:] += cov[spots[r.app], spots[r.app]]
+        assert np.allclose(r.u, mean[:2]) and np.allclose(r.z, z) and np.allclose(r.zz, zz[np.triu_indices(3)])
