@@ -500,3 +500,18 @@ def test_two_level_vectors_equal_dense(spark):
         zz = np.outer(np.r_[1, z], np.r_[1, z])
         zz[1:, 1:] += cov[spots[r.app], spots[r.app]]
         assert np.allclose(r.u, mean[:2]) and np.allclose(r.z, z) and np.allclose(r.zz, zz[np.triu_indices(3)])
+
+
+def test_topic_tastes_follow_user_features(spark):
+    """Tastes are a function of users' features: the regressions find it, and users that only have features are predicted."""
+    corpus = sim.topic_corpus(spark, 20, 40, 2, 40).cache()
+    users = spark.range(1, 41).select(F.col("id").cast("int").alias("user"), F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)).alias("x")).cache()
+    rows = spark.range(2400).select("id", sim.pick(0, "u", 40, F.col("id")).alias("user"), sim.pick(0, "i", 20, F.col("id")).alias("item"))
+    y = F.when((F.col("item") % 2) == (F.col("user") % 2), 2.0).otherwise(-2.0) + 0.3 * sim.normal(0, "y", F.col("id"))
+    rows = rows.withColumn("y", y).cache()
+    train, new = rows.where("user <= 30").select("user", "item", "y"), rows.where("user > 30").select("user", "item", "y")
+    features = {"user": users}
+    model = P.fit_topic_factors(train, corpus, 2, iterations=2, samples=2, burn_in=2, features=features)
+    error = lambda df: df.agg(F.avg((F.col("y") - F.col("pred")) ** 2)).first()[0]
+    assert len(model.params.user_coefficients) == 2 and len(model.params.user_coefficients[0]) == 3
+    assert error(P.predict(new, model, features=features)) < 0.5 * error(P.predict(new, model))
