@@ -41,9 +41,9 @@ _BITS, _SPREAD = 18, np.uint64(0xD6E8FEB86659FD93)
 #: Ways to segment: by the best sum of scores, or by the merge order of a BPE model.
 BEST, MERGED = "best", "merged"
 #: Substrings of words that are probed at once.
-PROBED = 1 << 20
+PROBED = 1 << 19
 #: Bytes of text that are encoded together, so that lengths have many words.
-TOGETHER = 3 << 20
+TOGETHER = 3 << 19
 #: Characters of a word beyond which it is segmented by itself: words of one length are then too few to advance together.
 LONG = 96
 
