@@ -114,15 +114,16 @@ class Encoder:
         n[joined] = np.diff(np.r_[0, cut])
         if joined.all():
             return [(ids, n)]
-        parts, at = [], 0
-        for k in range(len(start)):
-            if joined[k]:
-                parts.append(ids[at : at + n[k]])
-                at += n[k]
-            else:
-                parts.append(self._ids(data[start[k] : end[k]].tobytes().decode()))
-                n[k] = len(parts[-1])
-        return [(np.concatenate(parts), n)]
+        apart = np.flatnonzero(~joined)
+        found = self.tokenizer.encode_batch_fast([data[start[k] : end[k]].tobytes().decode() for k in apart], add_special_tokens=False)
+        own = [e.ids for e in found]
+        n[apart] = [len(x) for x in own]
+        flat = np.concatenate([ids, np.fromiter((i for x in own for i in x), np.uint32)])
+        # Joined chunks stand first, then those that were encoded apart.
+        order = np.r_[np.flatnonzero(joined), apart]
+        begin = np.empty(len(n), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return [(ragged(flat, begin, n), n)]
 
     def _added_in(self, data: np.ndarray) -> np.ndarray:
         """Places where an added token starts."""
