@@ -47,17 +47,18 @@ _OTHER = (_b < 128) & ~_LETTER & ~_WHITE
 _CONTROL = np.isin(_b, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F])
 
 
+#: Bytes that rare white space, or what only looks like it, starts with.
+_SUSPECT = _CONTROL | np.isin(_b, [0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+
 def _rare(data: np.ndarray) -> np.ndarray:
     """Places of white space other than space, line feed, carriage return and tab (and of some characters that only look like it)."""
-    rare = _CONTROL[data]
-    if len(data) > 2 and (data >= 0x80).any():
-        a, b, c = data[:-2], data[1:-1], data[2:]
-        odd = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | (b == 0x81))
-        odd |= ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB))
-        rare[:-2] |= odd
-    if len(data) > 1:
-        rare[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-    return np.flatnonzero(rare)
+    at = np.flatnonzero(_SUSPECT[data])
+    a, b, c = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    rare = _CONTROL[a] | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+    rare |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | (b == 0x81))
+    rare |= ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB))
+    return at[rare]
 
 
 def _chunks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -67,7 +68,9 @@ def _chunks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(data) > 1:
         white = _WHITE[data]
         letter = _LETTER[data]
-        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        # Second bytes of Latin-1 letters, but for the signs of multiplication and division.
+        at = np.flatnonzero(data[:-1] == 0xC3) + 1
+        letter[at[(data[at] != 0x97) & (data[at] != 0xB7)]] = True
         cut[1:-1] |= (white[1:] & ~white[:-1]) | (letter[:-1] & _OTHER[data[1:]])
     return np.flatnonzero(cut[:-1])
 
