@@ -6,7 +6,7 @@ are tested against brute force.
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, minhash_dedup, rule_ledger
+from . import decontaminate, lm_score, minhash_dedup, rule_ledger, vector_codes
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -76,5 +76,33 @@ SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, bool_o
  WHERE coalesce(pairs = xs AND pairs = ys, true) AND (matched >= {decontaminate.SHARE} * windows OR matched >= {decontaminate.ENOUGH}) GROUP BY 1, 2"""
 
 
+OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (SELECT doc_id, text, w, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+
+def _op13() -> str:
+    """Every distance in plain SQL: all parts against all entries of their codebook, in two rounds and once more."""
+    parts, entries, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+    near = lambda book: (
+        f"SELECT r, part, min_by(e, d * {entries} + e) AS e, min(d) AS d, any_value(x) AS x FROM (SELECT p.r, p.part, b.e, p.x, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {book} b USING (part)) GROUP BY 1, 2"
+    )
+    moved = lambda near_, book: (
+        f"SELECT b.part, b.e, CASE WHEN s.x IS NULL THEN b.x ELSE s.x END AS x FROM {book} b LEFT JOIN (SELECT part, e, list(CAST(floor(t / n) AS BIGINT) ORDER BY j) AS x FROM (SELECT part, e, j, sum(x[j]) AS t, count(*) AS n FROM {near_}, (SELECT unnest(range(1, len(x) + 1)) AS j FROM (SELECT x FROM {near_} LIMIT 1)) GROUP BY 1, 2, 3) GROUP BY 1, 2) s USING (part, e)"
+    )
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, unnest(range({parts})) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x FROM p WHERE r <= {entries}), n0 AS MATERIALIZED ({near("b0")}), b1 AS MATERIALIZED ({moved("n0", "b0")}),
+n1 AS MATERIALIZED ({near("b1")}), b2 AS MATERIALIZED ({moved("n1", "b1")}), n2 AS MATERIALIZED ({near("b2")}),
+c AS (SELECT r, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op3_lm_score": OP3, "op7_decontaminate": OP7, "op8_rule_ledger": OP8}
+    return {"op1_minhash_dedup": OP1, "op3_lm_score": OP3, "op7_decontaminate": OP7, "op8_rule_ledger": OP8, "op12_fill_middle": OP12, "op13_vector_codes": _op13()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_template, lm_score, minhash_dedup, quality_rules, rans, rule_ledger, secrets, sharding, viterbi
+from . import decontaminate, fill_middle, html_template, lm_score, minhash_dedup, quality_rules, rans, rule_ledger, secrets, sharding, vector_codes, viterbi
 from .common import read
 
 
@@ -52,5 +52,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode_decode(read(spark, sf_dir, "documents"), also_merges=True)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_minhash_dedup, op2_secret_scan, op3_lm_score, op4_quality_rules, op5_rans_tokens, op6_html_template, op7_decontaminate, op8_rule_ledger, op9_sharding, op10_sentencepiece,
+    op12_fill_middle, op13_vector_codes,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_lm_score, op4_quality_rules, op5_rans_tokens, op6_html_template, op7_decontaminate, op8_rule_ledger, op9_sharding, op10_sentencepiece)}
+    return {f.__name__: f for f in _ALL}
