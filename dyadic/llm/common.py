@@ -49,6 +49,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a written table for each partition of a sort over it.
+SORTED = 1 << 27
+
+
+def sort_parts(spark: SparkSession, path: str, each: int = SORTED) -> int:
+    """Partitions for a range sort of a written table: the session's number, or more if its files hold more than `each` bytes a partition."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that other columns' names never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
