@@ -4,17 +4,20 @@ Tokens of a page are its tags with their paths, and its text runs with theirs. O
 contents of a host, tokens with the same occurrence vector (so many times on each page) form an
 equivalence class. Vectors are never gathered: a token's vector is a XOR of hashes of (content,
 count), so classes come from grouped aggregations, and pages with the same text count once, however
-often rows or mirrors repeat them. Classes that SHARE of a host's contents hold make its template.
-Tags nest by construction; runs of text belong to the template if their class has tags too, if
-EVIDENCE contents at least hold it and if its tokens stand in the class's order on the page.
-
-What the template doesn't hold is slots. Which slots are data is decided for the whole host, from
-what its pages put there: names of elements and words of their classes are only a prior. A kind of
-mark (article, main, content) counts if it covers MARKED of the host's running text, so teasers in
-article tags don't; an element whose name says that it holds no article counts all the same if it
-holds most of the marked text; text that the template holds, and blocks of links, are no data where no
-mark counts. Within a mark that counts no text goes because others have it too: pages may be copies of
-one article or share paragraphs. Without a template (`article(page, None)`) a page is one slot: all its text.
+often rows or mirrors repeat them. Tags nest by construction; runs of text belong to the template if their class
+has tags too, if EVIDENCE contents and a SHARE of them at least hold it and if its tokens stand in the
+class's order on the page. Paths are those of names alone, so ids and classes that change from page to page
+change no token but their own element's, and that one only by the words that say something about articles.
+
+What the template doesn't hold is slots. What names of elements and words of their classes say counts on
+their own page, whatever other pages a host has; the host's pages that have the same thing may overrule it.
+A kind of mark (article, main, content) counts if it covers MARKED of the running text of the pages that have it, so
+teasers in article tags don't. An element whose words say that it holds no article counts all the same if on most of
+the pages that have it the first mark lies in it, with half of the marked text, or if it is only the layout of all that is
+marked; nothing within an article's mark does, nor do comments that stand behind it, however long they are. Text that the
+template holds, and blocks of links, are no data where no mark counts. Within a mark that counts no text goes because others
+have it too: pages may be copies of one article or share paragraphs. Without a template (`article(page, None)`) a page is
+one slot: all its text.
 
 Cases: null or empty html gives an empty text. A page whose url is null or has no host is a host of
 its own. Repeated rows give repeated results, ties none. An empty table gives none. Other columns
@@ -36,11 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import remove, written
 
-#: Least share of a host's contents that a template token is on (so a template is bounded: 100 times an average page's tokens).
+#: Least share of a host's contents that a text of the template is on, so that a template is no longer than 100 average pages. It decides on pages without marks only.
 SHARE = 0.01
 #: Contents that must agree before a text is the template's; two can't tell a template from a quotation.
 EVIDENCE = 3
-#: Least share of a host's running text that a kind of mark covers; least share of it that a form holds which is no form but the page.
+#: Least share of the running text that a kind of mark covers on the pages that have it; least share of it that a form holds which is no form but the page.
 MARKED, WHOLE = 0.25, 0.9
 
 # Names of elements and words of class, id and role.
@@ -61,9 +64,12 @@ NOT_ARTICLE = set(
 )
 NOT_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 ARTICLE_WORDS = {"article", "post", "entry", "content", "main", "story"}
+TALK_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond", "responses", "discussion"}
+LAYOUT_WORDS = {"sidebar", "sidenav", "nav", "navbar", "menu", "toolbar", "banner"}
 
-#: What an element's name, words and attributes say about it: no article, perhaps none, a form; a mark of each kind; a link.
+#: What an element's name, words and attributes say about it: no article, perhaps none, a form; a mark of each kind; a link; readers' talk; layout alone.
 APART_BIT, PERHAPS, FORM, ARTICLE, MAIN, CONTENT, LINK = 1, 2, 4, 8, 16, 32, 64
+TALK, LAYOUT = 256, 512
 KINDS = (ARTICLE, MAIN, CONTENT)
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -93,10 +99,11 @@ class Run:
 
 @dataclass
 class Page:
-    """Nodes are elements in page order; -1 is the page itself. bits: of the node and all that it stands in."""
+    """Nodes are elements in page order; -1 is the page itself. path: a hash of the names down to the node. bits: of the node and all that it stands in."""
 
     tokens: list[int] = field(default_factory=list)  # of tags and text runs, in page order
     node_token: list[int] = field(default_factory=list)
+    path: list[int] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     own: list[int] = field(default_factory=list)
     bits: list[int] = field(default_factory=list)
@@ -105,7 +112,7 @@ class Page:
 
 
 def _told(raw: str) -> tuple[str, str, int, frozenset]:
-    """Name of an opening tag, what its token adds to its parent's, its bits, and its words; remembered, since tags repeat."""
+    """Name of an opening tag, what its token adds to the path it stands in, its bits, and its words; remembered, since tags repeat."""
     if (known := _tags.get(raw)) is not None:
         return known
     name = _NAME.match(raw)[0]
@@ -119,7 +126,10 @@ def _told(raw: str) -> tuple[str, str, int, frozenset]:
     bits |= FORM * (name == "form") | APART_BIT * ((name in APART and name != "form") or hidden or role in NOT_ARTICLE_ROLES)
     # The whole page and the article itself may say what they contain; an article of comments only says that.
     bits |= PERHAPS * (bool(words & NOT_ARTICLE) and not (name in ("html", "body", "main") or name == "article" and words & ARTICLE_WORDS))
-    path = "/" + name + "".join(f".{w}" for w in sorted(words)) + "!" * hidden + (f"@{role}" if role in NOT_ARTICLE_ROLES or role == "main" else "")
+    if bits & PERHAPS:
+        said = words & NOT_ARTICLE
+        bits |= TALK * bool(said & TALK_WORDS) | LAYOUT * (said <= LAYOUT_WORDS)
+    path = "/" + name + "".join(f".{w}" for w in sorted(words & (NOT_ARTICLE | ARTICLE_WORDS))) + "!" * hidden + (f"@{role}" if role in NOT_ARTICLE_ROLES or role == "main" else "")
     if len(_tags) > 50_000:
         _tags.clear()
     _tags[raw] = name, path, bits, words
@@ -137,7 +147,7 @@ def parse(page: str) -> Page:
         plain = s if s.isspace() else entities.unescape(s)
         if clean := " ".join(plain.split()):
             node = stack[-1][1] if stack else -1
-            out.tokens.append(_hash(f"{out.node_token[node] if node >= 0 else 0:x}\0{clean}"))
+            out.tokens.append(_hash(f"{out.path[node] if node >= 0 else 0:x}\0{clean}"))
             out.runs.append(Run(len(out.tokens) - 1, out.tokens[-1], " " * (gap == block) + plain, len(clean), block, node))
             gap = -1
         elif plain:
@@ -214,7 +224,9 @@ def parse(page: str) -> Page:
         inside = out.bits[node] if node >= 0 else 0
         if (name == "header" or ("header" in words and not words & ARTICLE_WORDS)) and not inside & ARTICLE:
             bits |= APART_BIT
-        token = _hash(f"{out.node_token[node] if node >= 0 else 0:x}{path}")
+        around = out.path[node] if node >= 0 else 0
+        token = _hash(f"{around:x}{path}")
+        out.path.append(_hash(f"{around:x}/{name}"))
         out.tokens.append(token)
         out.place.append(len(out.tokens) - 1)
         out.node_token.append(token)
@@ -233,79 +245,125 @@ def parse(page: str) -> Page:
 #: Tokens that carry a host's sums: all running text, and that of each kind.
 _TOTAL = _hash("\0total")
 _OF_KIND = {k: _hash(f"\0kind{k}") for k in KINDS}
-_SEEN = "array<struct<token:long,vec:long,at:long,chars:long,marked:long,bits:int>>"
-_NAMES = ["token", "vec", "at", "chars", "marked", "bits"]
+_SEEN = "array<struct<token:long,vec:long,at:long,chars:long,whole:long,holds:int,bits:int>>"
+_NAMES = ["token", "vec", "at", "chars", "whole", "holds", "bits"]
 TEXT_BIT = 128
 
 
+def _upwards(page: Page, own: list[int], stop: set[int] = frozenset()) -> list[int]:
+    """Sums over each node and what stands in it; nodes of stop give nothing to the one they stand in."""
+    out = list(own)
+    for k in range(len(page.parent) - 1, -1, -1):
+        if (up := page.parent[k]) >= 0 and k not in stop:
+            out[up] += out[k]
+    return out
+
+
+def holders(page: Page) -> set[int]:
+    """Nodes whose words or name say that they hold no article, while on this page they do."""
+    doubted = [k for k, own in enumerate(page.own) if own & (PERHAPS | FORM)]
+    if not doubted:
+        return set()
+    own = [0] * len(page.parent)
+    for r in page.runs:
+        if r.node >= 0 and not page.bits[r.node] & (LINK | APART_BIT):
+            own[r.node] += r.size
+    chars, total = _upwards(page, own), sum(own)
+    inside = [0] * len(page.parent)  # bits of the elements around each node
+    for k, up in enumerate(page.parent):
+        inside[k] = page.bits[up] if up >= 0 else 0
+    # Marks: articles that aren't readers' talk; if there are none, what is main; else the one article that holds almost all.
+    marks = [k for k, o in enumerate(page.own) if o & ARTICLE and not o & (PERHAPS | APART_BIT) and not inside[k] & (TALK | ARTICLE)]
+    marks = marks or [k for k, o in enumerate(page.own) if o & MAIN and not o & (PERHAPS | APART_BIT) and not inside[k] & MAIN]
+    if not marks:
+        articles = [k for k, o in enumerate(page.own) if o & ARTICLE and not inside[k] & ARTICLE]
+        marks = articles if len(articles) == 1 and chars[articles[0]] >= WHOLE * total > 0 else []
+    marks = [k for k in marks if chars[k]]
+    marked = [0] * len(page.parent)
+    for k in marks:
+        marked[k] = chars[k]
+    below, all_marked = _upwards(page, marked), sum(marked)
+    ahead = set()
+    k = marks[0] if marks else -1
+    while k >= 0 and (k := page.parent[k]) >= 0:
+        ahead.add(k)
+    within = set(marks)
+    for k, up in enumerate(page.parent):
+        if up in within:
+            within.add(k)
+    out = set()
+    for k in doubted:
+        bits = page.own[k]
+        if bits & PERHAPS and k not in within and k in ahead and below[k] * 2 >= all_marked > 0:
+            out.add(k)
+        elif bits & PERHAPS and bits & LAYOUT and k in within and not inside[k] & ARTICLE and chars[k] >= WHOLE * all_marked > 0:
+            out.add(k)
+        elif bits & FORM and (chars[k] >= WHOLE * total > 0 or (k in ahead and below[k] * 2 >= all_marked > 0)):
+            out.add(k)
+    return out
+
+
 def evidence(page: Page) -> tuple[int, list[tuple]]:
-    """A hash of the page's text, and for each of its tokens: token, vec (a hash of content and count), at (its first place), chars and marked (characters
-    of running text in it, and of those within article or main), bits."""
+    """A hash of the page's text, and for each of its tokens: token, vec (a hash of content and count), at (its first place), chars (characters of running
+    text in it), whole (those that a kind is held against), holds (whether it is one of `holders`), bits."""
     content = _hash("\n".join(r.text.strip() for r in page.runs))
-    chars, marked = [0] * len(page.parent), [0] * len(page.parent)
-    sums, all_marked = {_TOTAL: 0} | {t: 0 for t in _OF_KIND.values()}, 0
+    kept, bits = holders(page), [0] * len(page.parent)
+    for k, up in enumerate(page.parent):
+        bits[k] = (page.own[k] & ~(PERHAPS | FORM) if k in kept else page.own[k]) | (bits[up] if up >= 0 else 0)
+    total, of_kind = 0, dict.fromkeys(KINDS, 0)
     for r in page.runs:
-        bits = page.bits[r.node] if r.node >= 0 else 0
-        if bits & (LINK | APART_BIT):
+        around = bits[r.node] if r.node >= 0 else 0
+        if around & (LINK | APART_BIT | PERHAPS | FORM):
             continue
-        sums[_TOTAL] += r.size
-        for kind, token in _OF_KIND.items():
-            sums[token] += r.size * bool(bits & kind)
-        all_marked += r.size * bool(bits & (ARTICLE | MAIN))
-        if r.node >= 0:
-            chars[r.node] += r.size
-            marked[r.node] += r.size * bool(bits & (ARTICLE | MAIN))
-    for k in range(len(page.parent) - 1, -1, -1):
-        if (up := page.parent[k]) >= 0:
-            chars[up] += chars[k]
-            marked[up] += marked[k]
-    found: dict[int, list[int]] = {}  # token -> count, place, chars, marked, bits
+        total += r.size
+        for kind in KINDS:
+            of_kind[kind] += r.size * bool(around & kind)
+    found: dict[int, list[int]] = {}  # token -> count, place, chars, holds, bits
     for k, token in enumerate(page.node_token):
         own = found.setdefault(token, [0, page.place[k], 0, 0, page.own[k]])
         own[0] += 1
-        own[2] += chars[k]
-        own[3] += marked[k]
+        own[3] |= k in kept
     for r in page.runs:
         apart = bool(page.bits[r.node] & (APART_BIT | PERHAPS | LINK)) if r.node >= 0 else False
         own = found.setdefault(r.token, [0, r.place, 0 if apart else r.size, 0, TEXT_BIT])
         own[0] += 1
-    rows = [(t, _hash(f"{content}\0{n}"), at, c, m, bits) for t, (n, at, c, m, bits) in found.items()]
-    return content, rows + [(t, content, -1, n, all_marked * (t == _TOTAL), 0) for t, n in sums.items()]
+    rows = [(t, _hash(f"{content}\0{n}"), at, c, 0, int(holds), b) for t, (n, at, c, holds, b) in found.items()]
+    sums = [(_OF_KIND[k], n) for k, n in of_kind.items() if n]
+    return content, rows + [(t, content, -1, n, total, 0, 0) for t, n in [(_TOTAL, total), *sums]]
 
 
 @dataclass
 class Template:
-    """known: tag tokens of the template. kept: those that hold the article whatever their names say. kinds: bits of the
-    marks that count. classes: tokens in order, of classes with text."""
+    """kept: tokens of elements that hold the article whatever their names say. kinds: bits of the marks that count. classes: tokens in order, of classes with text."""
 
-    known: set[int]
     kept: set[int]
     kinds: int
     classes: list[list[int]]
 
 
 def conclude(rows: Iterable[tuple]) -> Template:
-    """The template of a host from its tokens: token, contents that have it, vec, at (mean place), chars, marked, bits (chars and marked are sums over contents)."""
+    """The template of a host from its tokens: token, contents that have it, vec, at (mean place), chars, whole, holds, bits (chars, whole and holds are sums over contents)."""
     by = {r[0]: r for r in rows}
-    contents, total, marked = by[_TOTAL][1], by[_TOTAL][4], by[_TOTAL][5]
-    # A form that holds the page's text is the page; so does an element hold the article that holds most of what is marked.
-    kept = {t for t, _, _, _, c, m, bits in by.values() if bits & (PERHAPS | FORM) and ((m * 2 >= marked > 0) or (bits & FORM and c >= WHOLE * total > 0))}
-    kinds = sum(k for k, t in _OF_KIND.items() if by[t][4] >= MARKED * total)
+    total = by[_TOTAL][4]
+    kept = {r[0] for r in by.values() if r[7] & (PERHAPS | FORM) and r[6] * 2 >= r[1]}
+    kinds = sum(k for k, t in _OF_KIND.items() if t in by and by[t][4] >= MARKED * by[t][5])
+    contents = by[_TOTAL][1]
     for t in (_TOTAL, *_OF_KIND.values()):
-        del by[t]
+        by.pop(t, None)
     classes: dict[tuple[int, int], list[tuple]] = {}
     for r in by.values():
-        classes.setdefault((r[1], r[2]), []).append(r)
-    fixed = [sorted(c, key=lambda r: (r[3], r[0])) for (n, _), c in classes.items() if n >= EVIDENCE and any(r[6] & TEXT_BIT for r in c) and any(not r[6] & TEXT_BIT for r in c)]
+        if r[1] >= max(EVIDENCE, SHARE * contents):
+            classes.setdefault((r[1], r[2]), []).append(r)
+    fixed = [sorted(c, key=lambda r: (r[3], r[0])) for c in classes.values() if any(r[7] & TEXT_BIT for r in c) and any(not r[7] & TEXT_BIT for r in c)]
     # Text that outweighs the rest is what copies share, no template.
-    if sum(r[4] for c in fixed for r in c if r[6] & TEXT_BIT) * 2 > total:
+    if sum(r[4] for c in fixed for r in c if r[7] & TEXT_BIT) * 2 > total:
         fixed = []
-    return Template({t for t, *_, bits in by.values() if not bits & TEXT_BIT}, kept, kinds, [[r[0] for r in c] for c in fixed])
+    return Template(kept, kinds, [[r[0] for r in c] for c in fixed])
 
 
 def alone(page: Page) -> Template:
     """The template of a host with one page."""
-    return conclude((t, 1, vec, at, chars, marked, bits) for t, vec, at, chars, marked, bits in evidence(page)[1])
+    return conclude((t, 1, vec, at, chars, whole, holds, bits) for t, vec, at, chars, whole, holds, bits in evidence(page)[1])
 
 
 # --- slots --------------------------------------------------------------------------------------
@@ -345,10 +403,10 @@ def article(page: str | Page, template: Template | None) -> str:
     page = parse(page) if isinstance(page, str) else page
     chosen = page.runs
     if template is not None:
-        # Bits of the template's elements that each node stands in: no article, and marks that count.
-        bits, known = [0] * len(page.parent), template.known
+        # Bits of the elements that each node stands in: no article, and marks that count.
+        bits = [0] * len(page.parent)
         for k, token in enumerate(page.node_token):
-            own, up = page.own[k] if token in known else 0, page.parent[k]
+            own, up = page.own[k], page.parent[k]
             if token in template.kept:
                 own &= ~(PERHAPS | FORM)
             bits[k] = own | (bits[up] if up >= 0 else 0)
@@ -384,7 +442,7 @@ def _host(url: str | None) -> int | None:
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, content, tokens: one row for each page that has a host."""
-    fields = [pa.field(n, pa.int32() if n == "bits" else pa.int64()) for n in _NAMES]
+    fields = [pa.field(n, pa.int32() if n in ("holds", "bits") else pa.int64()) for n in _NAMES]
     for batch in batches:
         for first in range(0, batch.num_rows, 200):
             rows = batch.slice(first, 200)
@@ -402,31 +460,34 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tokens)], ["host", "content", "tokens"])
 
 
-_TEMPLATE = "host long, known array<long>, kept array<long>, kinds int, classes array<array<long>>"
+_TEMPLATE = "host long, kept array<long>, kinds int, classes array<array<long>>"
 
 
 def _concluded(group: pa.Table) -> pa.Table:
     rows = group.to_pydict()
-    t = conclude(zip(*(rows[c] for c in ("token", "pages", "vec", "at", "chars", "marked", "bits"))))
+    t = conclude(zip(*(rows[c] for c in ("token", "pages", "vec", "at", "chars", "whole", "holds", "bits"))))
     longs = pa.list_(pa.int64())
     return pa.table(
         {
-            "host": pa.array(rows["host"][:1], pa.int64()), "known": pa.array([sorted(t.known)], longs), "kept": pa.array([sorted(t.kept)], longs),
+            "host": pa.array(rows["host"][:1], pa.int64()), "kept": pa.array([sorted(t.kept)], longs),
             "kinds": pa.array([t.kinds], pa.int32()), "classes": pa.array([t.classes], pa.list_(longs)),
         }
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and its template. Rows of one content count once; a host's tokens meet in one task only after SHARE has bounded them."""
+    """host and its template. Rows of one content count once; a host's tokens meet in one task only after SHARE has bounded those of its texts, and the vote of their pages the others."""
     seen = pages.select("url", "html").mapInArrow(_evidence, f"host long, content long, tokens {_SEEN}")
     once = seen.dropDuplicates(["host", "content"])
     tokens = once.select("host", F.inline("tokens")).groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.bit_xor("vec").alias("vec"), F.avg("at").alias("at"), F.sum("chars").alias("chars"), F.sum("marked").alias("marked"), F.first("bits").alias("bits")
+        F.count("*").alias("pages"), F.bit_xor("vec").alias("vec"), F.avg("at").alias("at"), F.sum("chars").alias("chars"), F.sum("whole").alias("whole"), F.sum("holds").alias("holds"), F.first("bits").alias("bits")
     )
-    tokens, path = written(tokens.where((F.col("pages") >= EVIDENCE) | (F.col("bits") != TEXT_BIT)), "tokens")
+    voted = (F.col("bits").bitwiseAND(PERHAPS | FORM) != 0) & (F.col("holds") * 2 >= F.col("pages"))
+    sums = F.col("token").isin(_TOTAL, *_OF_KIND.values())
+    tokens, path = written(tokens.where((F.col("pages") >= EVIDENCE) | voted | sums), "tokens")
     contents = tokens.where(F.col("token") == _TOTAL).select("host", F.col("pages").alias("contents"))
-    found, _ = written(tokens.join(contents, "host").where(F.col("pages") >= SHARE * F.col("contents")).drop("contents").groupBy("host").applyInArrow(_concluded, _TEMPLATE), "templates")
+    chosen = tokens.join(contents, "host").where(voted | sums | (F.col("pages") >= F.greatest(F.lit(EVIDENCE), SHARE * F.col("contents")))).drop("contents")
+    found, _ = written(chosen.groupBy("host").applyInArrow(_concluded, _TEMPLATE), "templates")
     remove(pages.sparkSession, path)
     return found
 
@@ -436,7 +497,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 100):
             part = batch.slice(first, 100)
-            host, kinds = part.column(3).to_pylist(), part.column(6)
+            host, kinds = part.column(3).to_pylist(), part.column(5)
             texts = []
             for k, html in enumerate(part.column(2)):
                 page = parse(html.as_py() or "")
@@ -445,7 +506,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif (template := known.get(host[k])) is None:
                     if len(known) > 2000:
                         known.clear()
-                    template = known[host[k]] = Template(set(part.column(4)[k].as_py()), set(part.column(5)[k].as_py()), kinds[k].as_py(), part.column(7)[k].as_py())
+                    template = known[host[k]] = Template(set(part.column(4)[k].as_py()), kinds[k].as_py(), part.column(6)[k].as_py())
                 texts.append(article(page, template))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -461,5 +522,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = templates(pages)  # as a table, its size is known when the join is planned
     hosted = pages.mapInArrow(_with_host, "page_id long, url string, html string, host long")
-    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "host", "known", "kept", "kinds", "classes")
+    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "host", "kept", "kinds", "classes")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
