@@ -88,11 +88,13 @@ def power_iteration(edges: DataFrame, nodes: DataFrame, max_iter: int = 500, eps
     edges = edges.select("from", "to", F.col("value").cast("double").alias("value")).repartition("from").cache()
     ranks = cut(nodes.select("node", F.col("init").cast("double").alias("ev"), F.col("prior").cast("double").alias("prior"), F.col("w").cast("double").alias("w")))
     size, start = ranks.agg(F.count("*"), F.sum("ev")).first()
+    kept = ranks
     info = {"steps": 0, "eigenvalue": 1.0}
     for step in range(1, max_iter + 1):
         new = transition(edges, ranks)
         factor = 1.0
         new = cut(new) if step % every == 0 or renormalize else new
+        written = new if hasattr(new, "_written") else None
         if renormalize:
             total = new.agg(F.sum("ev")).first()[0]
             factor = start / total if total else 1.0
@@ -101,6 +103,10 @@ def power_iteration(edges: DataFrame, nodes: DataFrame, max_iter: int = 500, eps
         old = ranks.select("node", F.col("ev").alias("__old"))
         change = new.join(old, "node").agg(F.max(F.abs(F.col("ev") - F.col("__old")))).first()[0] or 0.0
         ranks = new
+        if written is not None:
+            # Only the newest written table is read from here on.
+            forget(kept)
+            kept = written
         info = {"steps": step, "eigenvalue": 1 / factor if abs(factor - 1) >= 1e-8 else 1.0}
         if start and size * change / start < eps:
             break
@@ -113,6 +119,30 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, eps: float = 1e-10) -> tuple
     return power_iteration(edges, nodes, max_iter=2000, eps=eps)
 
 
+def colours(edges: DataFrame, a: str = "from", b: str = "to", seed: int = 0) -> DataFrame:
+    """(node, colour): neighbours have different colours, from 0 on. In each round the uncoloured nodes of the greatest priority among their uncoloured neighbours take the least colour
+    that none of their neighbours has; priorities are hashes, so rounds grow slowly with the graph. A hub's neighbours meet as grouped sets of colours, not as rows.
+    """
+    links = edges.where(f"{a} <> {b}").select(F.col(a).alias("node"), F.col(b).alias("other"))
+    links = cut(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    everyone = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).where("node is not null").distinct()
+    # Many neighbours first: they find the most colours free.
+    degree = links.groupBy("node").agg(F.count("*").alias("degree"))
+    rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64(F.lit(seed), "node").alias("hash"), F.col("node").alias("id"))
+    now = cut(everyone.join(degree, "node", "left").select("node", rank.alias("rank"), F.lit(None).cast("int").alias("colour")))
+    while not now.where("colour is null").isEmpty():
+        around = links.join(now.select(F.col("node").alias("other"), F.col("rank").alias("r"), F.col("colour").alias("c")), "other")
+        seen = around.groupBy("node").agg(F.max(F.when(F.col("c").isNull(), F.col("r"))).alias("top"), F.collect_set("c").alias("taken"))
+        seen = seen.withColumnRenamed("node", "__n")
+        taken = F.coalesce("taken", F.expr("cast(array() as array<int>)"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
+        wins = F.col("colour").isNull() & (F.col("top").isNull() | (F.col("rank") > F.col("top")))
+        last, now = now, cut(now.join(seen, F.col("node") == F.col("__n"), "left").select("node", "rank", F.when(wins, free).otherwise(F.col("colour")).alias("colour")))
+        forget(last)
+    forget(links)
+    return now.select("node", "colour")
+
+
 # --- trees and DAGs ------------------------------------------------------------------------------
 
 
@@ -123,7 +153,8 @@ def closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id",
     n = reach.count()
     while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
-        reach = cut(reach.unionByName(further).distinct())
+        last, reach = reach, cut(reach.unionByName(further).distinct())
+        forget(last)
         if (m := reach.count()) == n:
             break
         n = m
@@ -146,6 +177,7 @@ def levels(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -
     for k in range(1, step.count() + 2):
         now = cut(step.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct().withColumn("level", F.lit(k)))
         if now.isEmpty():
+            forget(now)
             return done.groupBy("node").agg(F.max("level").alias("level"))
         done = done.unionByName(now)
     raise ValueError("the graph has a cycle")

@@ -32,6 +32,17 @@ def dyadic(spark: SparkSession, rows: int, nodes: int = 203, contexts: tuple[int
     return obs.select("*", (y + np.sqrt(var_y) * normal(seed, "noise", c("id"))).alias("y"))
 
 
+def multicontext(spark: SparkSession, rows: int, nodes: int = 203, contexts: tuple[int, int, int] = (4, 3, 11), factors: int = 2, var_y: float = 0.1, var_local: float = 0.1, loading: float = 1.0, seed: int = 0) -> DataFrame:
+    """As dyadic, but with two-level main effects: an entity's effect in context c is (loading + c / 10) times its global effect, plus noise of variance var_local. Contexts are dealt so that most pairs of entity and context are rare."""
+    c = F.col
+    flat = dyadic(spark, rows, nodes, contexts, factors, var_y, seed).drop("y")
+    level = lambda n, e, k: (loading + c(k) / 10) * normal(seed, f"{n}/g", c(e)) + np.sqrt(var_local) * normal(seed, n, c(e), c(k))
+    y = level("alpha", "src_id", "src_context") + level("beta", "dst_id", "dst_context")
+    for k in range(factors):
+        y = y + normal(seed, f"u{k}", c("src_id")) * normal(seed, f"v{k}", c("dst_id")) * (1 + normal(seed, f"w{k}", c("ctx_id")))
+    return flat.select("*", (y + np.sqrt(var_y) * normal(seed, "noise", c("id"))).alias("y"))
+
+
 def two_level(spark: SparkSession, items: int, categories: int, repeats: int, var_b: float = 0.5, var_obs: float = 0.2, seed: int = 0) -> DataFrame:
     """(item, category, obs, var, a, b)."""
     c = F.col

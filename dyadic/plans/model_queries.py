@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import betabinom as B
-from ..operators import chain as K
 from ..operators import cube as U
 from ..operators import factor as X
 from ..operators import graph as G
 from ..operators import logistic as L
 from ..operators import multiapp as A
-from ..operators import simulate as sim
+from ..operators import multicontext as M
 from ..operators import smooth as S
 from ..operators import topics as P
 from ..streaming import online
@@ -93,27 +92,38 @@ def logistic_bound(spark: Spark, d: str) -> DataFrame:
     return obs(spark, d).select("row_id", rounded(s2).alias("s2"), rounded(F.when(F.col("y") > 25, 1).otherwise(-1) * s2 / 2).alias("z"))
 
 
+@query(f"""WITH {OBS}, k AS (SELECT src_context, 0.5 + 0.25 * (row_number() OVER (ORDER BY src_context) - 1) AS q, 0.4 + 0.1 * (row_number() OVER (ORDER BY src_context) - 1) AS v FROM (SELECT DISTINCT src_context FROM obs)),
+ s AS (SELECT src_id, src_context, count(*) / 4.0 AS f, sum(y - 25) / 4.0 AS c FROM obs GROUP BY 1, 2),
+ g AS (SELECT src_id, sum(c * q / (1 + f * v)) / (1 + sum(q * q / v * (1 - 1 / (1 + f * v)))) AS g FROM s JOIN k USING (src_context) GROUP BY 1)
+ SELECT src_id, src_context, round((coalesce(c, 0) + q * g / v) / (1 / v + coalesce(f, 0)), 6) + 0.0 AS mean, round(g, 6) + 0.0 AS global_mean FROM g CROSS JOIN k LEFT JOIN s USING (src_id, src_context)""")
+def two_level_effects(spark: Spark, d: str) -> DataFrame:
+    effects, whole = M.effects_given(obs(spark, d), 25.0, 4.0, lambda k: 0.5 + 0.25 * k, lambda k: 0.4 + 0.1 * k)
+    return round_all(effects.join(whole.withColumnRenamed("mean", "global_mean"), "src_id"))
+
+
+def _history(spark: Spark, model: X.Model) -> DataFrame:
+    return spark.createDataFrame([(r["iteration"], float(r["train_loss"]), float(r["test_loss"]) if "test_loss" in r else None) for r in model.history], "iteration int, train_loss double, test_loss double")
+
+
 @query()
 def bst_fit(spark: Spark, d: str) -> DataFrame:
-    model = X.fit(obs(spark, d), X.Setting(n_factors=1, sweeps=1), iterations=1)
-    return spark.createDataFrame([(r["iteration"], float(r["train_loss"])) for r in model.history], "iteration int, train_loss double")
+    return _history(spark, M.fit(obs(spark, d), X.Setting(n_factors=2, samples=1), iterations=10))
 
 
-def _stored_run(spark: Spark, factors: int) -> DataFrame:
-    """The data and sampler settings of the reference's stored runs: 203 x 203 nodes, 10,003 rows, a quarter of them for the test, 10 iterations of 20 + 200 sweeps."""
-    rows = sim.dyadic(spark, 10_003, seed=1)
-    model = K.fit(rows.where("id % 4 > 0"), X.Setting(n_factors=factors, samples=200, burn_in=20), rows.where("id % 4 = 0"), iterations=10)
-    return spark.createDataFrame([(r["iteration"], float(r["train_loss"]), float(r["test_loss"]) if "test_loss" in r else None) for r in model.history], "iteration int, train_loss double, test_loss double")
+def _held_out(spark: Spark, d: str, factors: int) -> DataFrame:
+    rows = obs(spark, d)
+    test = F.pmod(F.xxhash64("row_id"), F.lit(4)) == 0
+    return _history(spark, M.fit(rows.where(~test), X.Setting(n_factors=factors, samples=2, burn_in=1), rows.where(test), iterations=2))
 
 
 @query()
 def bst_chain(spark: Spark, d: str) -> DataFrame:
-    return _stored_run(spark, 1)
+    return _held_out(spark, d, 1)
 
 
 @query()
 def bst_chain_2(spark: Spark, d: str) -> DataFrame:
-    return _stored_run(spark, 2)
+    return _held_out(spark, d, 2)
 
 
 @query()

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadic.operators import betabinom as B
-from dyadic.operators import chain as K
 from dyadic.operators import factor as X
 from dyadic.operators import graph as G
 from dyadic.operators import logistic as L
 from dyadic.operators import multiapp as A
+from dyadic.operators import multicontext as M
 from dyadic.operators import simulate as sim
 from dyadic.operators import smooth as S
 from dyadic.operators import topics as P
@@ -137,18 +137,6 @@ def test_factor_model_recovers_structure(spark):
     assert np.isfinite(X.complete_loglik(train, full))
 
 
-def test_chain_recovers_the_truth(spark):
-    """The settings of the stored runs: 203 x 203 nodes, about 10,000 rows, noise variance 0.1; stored test error 0.378 with two factors, 1.33 with one."""
-    data = sim.dyadic(spark, 10_003, seed=1).cache()
-    train, test = data.where("id % 4 > 0"), data.where("id % 4 = 0")
-    two = K.fit(train, X.Setting(n_factors=2, samples=100, burn_in=20), test, iterations=8)
-    one = K.fit(train, X.Setting(n_factors=1, samples=50, burn_in=10), test, iterations=4)
-    assert two.history[-1]["test_loss"] < 0.45 and one.history[-1]["test_loss"] > 1.0
-    assert abs(two.params.var_y - 0.1) < 0.02 and abs(two.params.var_alpha - 0.5) < 0.15
-    with pytest.raises(ValueError, match="factor.fit"):
-        K.fit(train.limit(300), X.Setting(n_factors=0, samples=2), iterations=1, most_rows=100)
-
-
 def test_regression_priors_serve_new_entities(spark):
     """Source effects are 2 x1 - x2 plus noise; sources that only the test has get them from their features."""
     c = F.col
@@ -157,8 +145,8 @@ def test_regression_priors_serve_new_entities(spark):
     y = 2 * c("x")[1] - c("x")[2] + 0.2 * sim.normal(2, "a", c("src_id")) + 0.3 * sim.normal(2, "e", c("id"))
     rows = rows.withColumn("y", y).drop("x").cache()
     train, test = rows.where("src_id <= 45"), rows.where("src_id > 45").drop("id")
-    for fit in (lambda s: K.fit(train.drop("id"), s, iterations=3, features={"alpha": sources}), lambda s: X.fit(train.drop("id"), X.Setting(n_factors=0), iterations=2, features={"alpha": sources})):
-        model = fit(X.Setting(n_factors=0, samples=30, burn_in=5))
+    for fit in (lambda s: M.fit(train, s, iterations=2, features={"src": sources}), lambda s: X.fit(train.drop("id"), X.Setting(n_factors=0), iterations=2, features={"alpha": sources})):
+        model = fit(X.Setting(n_factors=0, samples=5, burn_in=2))
         assert np.allclose(np.ravel(model.coefficients["alpha"])[1:], [2, -1], atol=0.25)
         assert X.loss(test, X.with_priors(model, {"alpha": sources}))["rmse"] < 0.6 < X.loss(test, model)["rmse"]
 
@@ -181,6 +169,137 @@ def test_self_interaction_and_logistic(spark):
     assert X.predict(labels.drop("y"), fit).where("pred < 0 or pred > 1").isEmpty()
 
 
+def test_colours_of_neighbours_differ(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))] + [(0, k) for k in range(1, 60)] + [(70, 70)]
+    got = {r["node"]: r["colour"] for r in G.colours(spark.createDataFrame(pairs, "from int, to int")).collect()}
+    assert set(got) == {x for p in pairs for x in p} and all(got[a] != got[b] for a, b in pairs if a != b)
+    assert max(got.values()) < 15 and min(got.values()) == 0
+
+
+def test_self_interaction_has_the_posterior_variance(spark):
+    """A star and isolated pairs: draws' moments against the dense posterior where the data say little, and one step given the others against plain algebra."""
+    rows = [(k, 200 + k, 0.0, 1e9) for k in range(200)]
+    obs = spark.createDataFrame(rows, "src_id int, dst_id int, o double, s2 double").withColumn("y", F.col("o"))
+    setting = X.Setting(n_factors=1, has_u=False, samples=1, seed=3)
+    ids = spark.range(400).select(F.col("id").cast("int").alias("dst_id"), F.array(F.lit(0.0)).alias("mean"), F.array(F.lit(0.0)).alias("var"))
+    model = X.Model(setting, X.Params(), {"v": ids})
+    classes = G.colours(obs, "src_id", "dst_id")
+    values = []
+    for sweep in range(4):
+        X.sweep_once(obs, model, sweep, classes=classes)
+        values += [r[0][0] for r in model.factors["v"].select("mean").collect()]
+    assert len(values) == 1600 and abs(np.var(values) - 1) < 0.12
+    # A triangle with data, no draws: at the fixpoint each node is the least-squares answer given the others.
+    tri = spark.createDataFrame([(0, 1, 2.0, 0.1), (1, 2, 1.0, 0.1), (2, 0, 3.0, 0.1)], "src_id int, dst_id int, o double, s2 double").withColumn("y", F.col("o"))
+    start = spark.createDataFrame([(k, [1.0], [0.0]) for k in range(3)], "dst_id int, mean array<double>, var array<double>")
+    model = X.Model(X.Setting(n_factors=1, has_u=False), X.Params(var_v=1.0), {"v": start})
+    classes = {r["node"]: r["colour"] for r in G.colours(tri, "src_id", "dst_id").collect()}
+    X.sweep_once(tri, model, 0, classes=spark.createDataFrame(list(classes.items()), "node int, colour int"))
+    v, var, y = {k: 1.0 for k in range(3)}, {k: 0.0 for k in range(3)}, {(0, 1): 2.0, (1, 2): 1.0, (2, 0): 3.0}
+    for node in sorted(classes, key=classes.get):
+        near = [(b if a == node else a, o) for (a, b), o in y.items() if node in (a, b)]
+        precision = 1 + sum((v[m] ** 2 + var[m]) / 0.1 for m, _ in near)
+        v[node], var[node] = sum(v[m] * o / 0.1 for m, o in near) / precision, 1 / precision
+    got = {r["dst_id"]: r for r in model.factors["v"].collect()}
+    assert all(abs(got[k]["mean"][0] - v[k]) < 1e-9 and abs(got[k]["var"][0] - var[k]) < 1e-9 for k in v)
+
+
+def _dense(n, c, k, seed):
+    """Random sums of one entity's rows in c contexts with vectors of k: the design of its effects, and its global effect as one more unknown."""
+    rng = np.random.default_rng(seed)
+    oc, x, r, wt = rng.integers(0, c, n), rng.normal(size=(n, k)), rng.normal(size=n), rng.uniform(0.5, 2, n)
+    return M.Rows(np.zeros(n, int), oc, np.zeros(n, int), r, x, wt, None, None, r)
+
+
+@pytest.mark.parametrize("c,k,n", [(3, 2, 12), (4, 0, 5), (1, 3, 9), (5, 2, 1)])
+def test_joint_draw_against_the_dense_posterior(c, k, n):
+    rows = _dense(n, c, k, c + k)
+    side = M.Side(np.linspace(0.5, 1.5, c), np.linspace(0.2, 0.6, c), np.zeros((0, c + k)), 0.7, c > 1)
+    shape, m = M.Shape(c, k, 0), np.linspace(-1, 1, c + k)
+    # Unknowns: effects, vector, global effect.
+    w = c + k + 1
+    a, right = np.zeros((w, w)), np.zeros(w)
+    for i in range(n):
+        z = np.zeros(w)
+        z[rows.oc[i]], z[c : c + k] = 1, rows.x[i]
+        a += rows.weight[i] * np.outer(z, z)
+        right += rows.weight[i] * rows.r[i] * z
+    for j in range(c):
+        z = np.zeros(w)
+        z[j], z[-1] = 1, -side.q[j] * side.two_level
+        a += np.outer(z, z) / side.var[j]
+        right += z * m[j] / side.var[j]
+    a[-1, -1] += 1
+    a[range(c, c + k), range(c, c + k)] += 1 / 0.7
+    right[c : c + k] += m[c:] / 0.7
+    mean, cov = np.linalg.solve(a, right), np.linalg.inv(a)
+    sums = M.sums_of(rows, 1, shape)
+    got, glob = M.draw_side(sums, m[None], side, shape, None)
+    assert np.allclose(got[0], mean[:-1]) and (not side.two_level or np.allclose(glob[0], mean[-1]))
+    z = np.random.default_rng(0).normal(size=(40_000, w))
+    drawn, glob = M.draw_side(np.repeat(sums, 40_000, 0), np.repeat(m[None], 40_000, 0), side, shape, z)
+    both = np.concatenate([drawn, glob[:, None]], axis=1)[:, : w if side.two_level else -1]
+    size = both.shape[1]
+    assert np.allclose(np.cov(both.T), cov[:size, :size], atol=0.05 * np.abs(cov).max()) and np.allclose(both.mean(0), mean[:size], atol=0.03 * (1 + np.sqrt(np.diag(cov)).max()))
+
+
+def test_two_level_effects_help_rare_contexts(spark):
+    """Truth recovered where most pairs of entity and context have no row or one, and better than by independent contexts."""
+    data = sim.multicontext(spark, 3000, nodes=60, contexts=(12, 12, 1), factors=0, var_local=0.05, seed=4).drop("ctx_id").cache()
+    train, test = data.where("id % 4 > 0"), data.where("id % 4 = 0")
+    setting = X.Setting(n_factors=0, samples=3, burn_in=2)
+    deep = M.fit(train, setting, test, iterations=3)
+    flat = M.fit(train, setting, test, iterations=3, two_level=False)
+    assert deep.history[-1]["test_loss"] < 0.75 * flat.history[-1]["test_loss"] and deep.history[-1]["test_loss"] < 0.6
+    q = [x[1] for x in deep.loadings["alpha"]]
+    assert np.corrcoef(q, range(12))[0, 1] > 0.8 and all(0 < x[2] < 0.6 for x in deep.loadings["alpha"])
+    assert deep.globals["alpha"].count() == deep.factors["alpha"].select("src_id").distinct().count() and deep.factors["alpha"].count() == 12 * deep.globals["alpha"].count()
+
+
+def test_sweeps_move_no_observations_and_split_hot_entities(spark):
+    data = sim.multicontext(spark, 2000, nodes=25, contexts=(2, 3, 2), factors=1, seed=2)
+    hot = data.withColumn("src_id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("src_id"))).cache()
+    setting = X.Setting(n_factors=1, samples=1, seed=5)
+    whole, split = M.fit(hot, setting, iterations=1), M.fit(hot, setting, iterations=1, block_rows=100)
+    assert whole.history[0]["train_loss"] == pytest.approx(split.history[0]["train_loss"], rel=1e-6)
+    layout = M.lay_out(hot, block_rows=100)
+    assert layout.split("src") and layout.rows == 2000
+    shape = M.Shape(3, 1, 0)
+    state = M._start(layout, "dst", M.Shape(3, 1, 0), None, 0)
+    plan = M._met(layout, "src", M._sent(layout, "dst", state, shape, 0))._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("_blocks")
+    before = plan[:scan]
+    # What stands above the scan of the blocks is a merge join; the one exchange belongs to what was sent.
+    assert plan.count("Exchange") == 1 and "Exchange" not in before and "BroadcastHashJoin" not in plan
+    layout.drop()
+    layout = M.lay_out(hot)
+    states = {s: M._start(layout, s, shape, None, 0) for s in M.SIDES}
+    plan = M._joined_at_once(layout, "src", states)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "BroadcastHashJoin" not in plan and plan.count("Bucketed: true") == 2
+    layout.drop()
+
+
+def test_multicontext_logistic_and_regressors(spark, tmp_path):
+    data = sim.multicontext(spark, 4000, nodes=30, contexts=(2, 2, 2), factors=0, seed=6).withColumn("y", (F.col("y") > 0).cast("double")).cache()
+    model = M.fit(data.where("id % 4 > 0"), X.Setting(n_factors=0, samples=4, burn_in=2, is_logistic=True), data.where("id % 4 = 0"), iterations=2)
+    assert model.history[-1]["test_loss"] < 0.55 and model.history[-1]["train_loss"] < 0.5
+    X.save(model, f"{tmp_path}/m")
+    back = X.load(spark, f"{tmp_path}/m")
+    assert back.loadings == model.loadings and back.globals["beta"].count() == model.globals["beta"].count()
+    # A source's effect is a step function of its feature: a forest finds it, a line doesn't.
+    c = F.col
+    sources = spark.range(1, 301).select(c("id").cast("int").alias("src_id"), F.array(F.lit(1.0), (c("id") / 150 - 1).cast("double")).alias("x"))
+    rows = spark.range(1500).select("id", sim.pick(1, "s", 300, c("id")).alias("src_id"), sim.pick(1, "d", 10, c("id")).alias("dst_id")).join(sources, "src_id")
+    step = F.when(F.floor((c("x")[1] + 1) * 3) % 2 == 0, 2.0).otherwise(-2.0)
+    rows = rows.withColumn("y", step + 1.0 * sim.normal(2, "e", c("id"))).drop("x").cache()
+    train, test = rows.where("id % 3 > 0"), rows.where("id % 3 = 0")
+    setting = X.Setting(n_factors=0, samples=4, burn_in=1)
+    line = M.fit(train, setting, test, iterations=2, features={"src": sources})
+    forest = M.fit(train, setting, test, iterations=2, features={"src": sources}, regressors={"alpha": Forest(30)})
+    assert forest.history[-1]["test_loss"] < 0.95 * line.history[-1]["test_loss"]
+
+
 def test_models_are_saved_and_loaded(spark, tmp_path):
     data = sim.dyadic(spark, 400, nodes=10, factors=1)
     model = X.fit(data, X.Setting(n_factors=1, sweeps=1), iterations=1)
