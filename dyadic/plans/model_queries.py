@@ -384,6 +384,24 @@ def betabinom_dag_mode(spark: Spark, d: str) -> DataFrame:
     return B.dag_posterior_modes(binom(spark, d).select("p_node", "n_pos", "n_trials"), pop_dag(spark, d), G.closure(pop_dag(spark, d)), 0.25, 20.0, 1.0, 1.0)
 
 
+_PAIRS = f"""{BINOM}, {POP}, {TRE}, {_UP}, {_TUP}, w AS (SELECT up.ancestor AS p_node, tup.ancestor AS t_node, n_pos, n_trials FROM binom JOIN up ON up.node = binom.p_node JOIN tup ON tup.node = binom.t_node)"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS} SELECT p_node, t_node, count(*) AS n_obs, CASE WHEN count(*) < 3 OR sum(n_trials) < 10 THEN 0 ELSE 2 END AS status, true AS stationary FROM w GROUP BY 1, 2""")
+def betabinom_pair_modes(spark: Spark, d: str) -> DataFrame:
+    """Modes over pairs of nodes of both DAGs under one prior; stationary: the gradient of the posterior, taken anew from the histograms, is zero there."""
+    rows, pop, tre = binom(spark, d), pop_dag(spark, d), tre_tree(spark, d)
+    modes = B.pair_modes(rows, pop, tre, 0.25, 20.0, 1.0, 1.0, fixed_prior=True)
+    slope = B.mode_gradients(B.pair_histograms(rows, G.closure(pop), G.closure(tre)), modes.where(f"status = {B.MODE}"), 0.25, 20.0, 1.0, 1.0)
+    return modes.join(slope, ["p_node", "t_node"], "left").select("p_node", "t_node", "n_obs", "status", F.coalesce(F.col("slope") < 1e-4, F.lit(True)).alias("stationary"))
+
+
+@query()
+def betabinom_pair_waves(spark: Spark, d: str) -> DataFrame:
+    """The same with priors from the likeliest immediate parents, wave after wave."""
+    return B.pair_modes(binom(spark, d), pop_dag(spark, d), tre_tree(spark, d), 0.25, 20.0, 1.0, 1.0)
+
+
 @query()
 def betabinom_coverage(spark: Spark, d: str) -> DataFrame:
     rows = binom(spark, d)

@@ -127,6 +127,68 @@ def test_dag_modes_pull_to_their_parents(spark):
     assert best[0] in (0.05, 1.0) and len(grid) == 2
 
 
+@pytest.mark.parametrize("z", [1e-8, 0.3, 7.0, 1e4, 1e12])
+def test_gamma_steps(z):
+    v = np.array([0.0, 1, 2, 17, 300, 5000])
+    value, first, second = B.gamma_steps(z, v)
+    for k, n in enumerate(v.astype(int)):
+        j = z + np.arange(n)
+        assert np.allclose([value[k], first[k], second[k]], [np.log(j).sum(), (1 / j).sum(), (1 / j**2).sum()], rtol=1e-9, atol=1e-12)
+
+
+def test_large_counts_take_constant_memory():
+    """A row of 10^9 trials: equal to log Gamma, and one tail array whatever the counts."""
+    x, n = np.array([3, 250_000_000, 40_000]), np.array([10, 1_000_000_000, 90_000])
+    t = (B.tails(x), B.tails(n - x), B.tails(n))
+    assert all(len(c.small) <= B.SMALL for c in t)
+    value = B.loglik_terms(np.array([0.0, np.log(4.0)]), *t, None)[0]
+    lg = math.lgamma
+    want = sum(lg(2 + a) + lg(2 + b - a) - lg(4 + b) - 2 * lg(2) + lg(4) for a, b in zip(x.tolist(), n.tolist()))
+    assert value == pytest.approx(want, rel=1e-9)
+    small, big = (B.mode_of_tails(*(B.tails(v, small=s) for v in (np.arange(5, 60), np.arange(100, 45, -1), np.full(55, 105))), 0.3, 10.0) for s in (256, 0))
+    assert np.allclose(small[:3], big[:3], rtol=1e-7)
+
+
+def test_pair_modes_against_brute_force(spark):
+    """A small product of two DAGs, one of them with a node of two parents."""
+    pop = spark.createDataFrame([("a", "root"), ("b", "root"), ("c", "a"), ("c", "b")], "node_id string, parent_id string")
+    tre = spark.createDataFrame([("x", "all"), ("y", "all"), ("z", "y")], "node_id string, parent_id string")
+    rng = np.random.default_rng(3)
+    rows = [(p, t, int(rng.binomial(n, r)), int(n)) for p, t, r in (("a", "x", 0.2), ("b", "z", 0.5), ("c", "x", 0.4), ("c", "z", 0.1), ("b", "x", 0.9)) for n in rng.integers(5, 40, 2 if (p, t) == ("b", "x") else 8)]
+    obs = spark.createDataFrame(rows, "p_node string, t_node string, n_pos long, n_trials long")
+    got = {(r["p_node"], r["t_node"]): r for r in B.pair_modes(obs, pop, tre, 0.3, 10.0, 0.5, 0.5).collect()}
+    up_p = {"root": ["root"], "a": ["a", "root"], "b": ["b", "root"], "c": ["c", "a", "b", "root"]}
+    up_t = {"all": ["all"], "x": ["x", "all"], "y": ["y", "all"], "z": ["z", "y", "all"]}
+    parents_p, parents_t = {"a": ["root"], "b": ["root"], "c": ["a", "b"], "root": []}, {"x": ["all"], "y": ["all"], "z": ["y"], "all": []}
+    data = {}
+    for p, t, x, n in rows:
+        for pa in up_p[p]:
+            for ta in up_t[t]:
+                data.setdefault((pa, ta), []).append((x, n))
+    assert set(got) == set(data)
+    level_p, level_t = {"root": 0, "a": 1, "b": 1, "c": 2}, {"all": 0, "x": 1, "y": 1, "z": 2}
+    fitted = {}
+    for cell in sorted(data, key=lambda c: level_p[c[0]] + level_t[c[1]]):
+        x, n = np.array(data[cell]).T
+        if len(x) < 3 or n.sum() < 10:
+            assert got[cell]["status"] == B.LOW_SUPPORT and got[cell]["mean"] is None
+            continue
+        t = (B.tails(x), B.tails(n - x), B.tails(n))
+        near = [(f"p/{q}", fitted.get((q, cell[1]))) for q in parents_p[cell[0]]] + [(f"t/{q}", fitted.get((cell[0], q))) for q in parents_t[cell[1]]]
+        near = sorted((k, v) for k, v in near if v)
+        values = [B.loglik_terms(np.array([np.log(m / (1 - m)), np.log(s)]), *t, None)[0] for _, (m, s) in near]
+        prior = (0.3, 10.0) if cell == ("root", "all") else near[int(np.argmax(values))][1]
+        mean, size, *_ = B.posterior_mode(x, n, *prior, 0.5, 0.5)
+        fitted[cell] = (mean, size)
+        assert got[cell]["status"] == B.MODE and got[cell]["mean"] == pytest.approx(mean, rel=1e-6) and got[cell]["size"] == pytest.approx(size, rel=1e-5)
+    # Enough rows: the moment estimate stands, unless it is out of range.
+    rule = B.PairRule(min_obs=9, moment_obs=12, moment_trials=1)
+    assert {r["status"] for r in B.pair_modes(obs, pop, tre, 0.3, 10.0, 0.5, 0.5, rule).collect()} >= {B.OK, B.LOW_SUPPORT}
+    best, grid = B.tuned_pairs(obs, obs, pop, tre, (0.3, 10.0), [(0.01, 0.01), (1.0, 1.0)], "frontier")
+    assert len(grid) == 2 and all(g["frontier"] is not None and g["leaf"] is not None for g in grid) and best.count() == len(got)
+    assert max(g["frontier"] for g in grid) == grid[1]["frontier"]
+
+
 def test_factor_model_recovers_structure(spark):
     data = sim.dyadic(spark, 6000, nodes=40, contexts=(2, 2, 3), factors=1, seed=3).cache()
     train, test = data.where("id % 4 > 0"), data.where("id % 4 = 0")
