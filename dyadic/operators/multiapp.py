@@ -5,6 +5,10 @@ linear in the user's global factor u_i. Loadings are a table with a row for each
 only through sums for each (user, application), which the shuffle combines; users are then solved in stacked
 numpy, and statistics for (application, item) are grouped sums again. What reaches the driver is one small
 matrix for each application.
+
+Rows may have a weight (a Gaussian row's noise is divided by it, a logistic row counts as often) and may be logistic: y is then 0 or 1, its
+likelihood is replaced by the quadratic bound at xi, which makes it Gaussian in the factor, and xi is a column of the rows that each
+step writes anew from second moments. History then holds a lower bound, which never falls.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound_weight
 from .graph import cut, forget
 from .simulate import normal
 
@@ -50,9 +55,15 @@ def initial(rows: DataFrame, n_global: int, n_local: dict[str, int] | int, seed:
     local = {n: n_local if isinstance(n_local, int) else n_local[n] for n in names}
     if not names:
         return MultiApp({}, rows.selectExpr("app", "item", "array(y) AS load", "y AS noise").limit(0), n_global)
+    if "logistic" in rows.columns:
+        # A logistic item's bias is the logit of its mean, and it has no noise of its own.
+        stats = rows.groupBy("app", "item").agg(F.avg("y").alias("mean"), F.var_pop("y").alias("var"), F.max("logistic").alias("logistic"))
+        rate = F.greatest(F.least(F.col("mean"), F.lit(0.99)), F.lit(0.01))
+        stats = stats.withColumn("mean", F.when(F.col("logistic"), F.log(rate / (1 - rate))).otherwise(F.col("mean"))).withColumn("var", F.when(F.col("logistic"), 1.0).otherwise(F.col("var")))
+    else:
+        stats = rows.groupBy("app", "item").agg(F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
     random = [0.1 * normal(seed, f"loading{k}", F.col("app"), F.col("item")) for k in range(max(local.values()))]
     load = F.slice(F.array("mean", *random), F.lit(1), _by_app(local) + 1)
-    stats = rows.groupBy("app", "item").agg(F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
     loadings = cut(stats.select("app", "item", load.alias("load"), F.greatest(F.when(F.col("var") > 0, F.col("var")).otherwise(1.0), F.lit(1e-3)).alias("noise")))
     return MultiApp({n: App(np.eye(k, n_global)) for n, k in local.items()}, loadings, n_global)
 
@@ -91,15 +102,32 @@ def posterior(model: MultiApp, data: dict[str, tuple[np.ndarray, np.ndarray, np.
     return u, var_u, local, value
 
 
+def _row_terms(rows: DataFrame) -> tuple[Column, Column, Column]:
+    """Response, precision and constant of each row (with its item's noise) as those of a Gaussian likelihood."""
+    w = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    y, plain = F.col("y"), w / F.col("noise")
+    base = -0.5 * (F.log(2 * np.pi * F.col("noise")) - F.log(w))
+    if "logistic" not in rows.columns:
+        return y, plain, base
+    lam = bound_weight(F.col("xi"))
+    o = (y - 0.5) / (2 * lam)
+    bound = w * (-F.log1p(F.exp(-F.col("xi"))) - F.col("xi") / 2 + lam * F.col("xi") * F.col("xi") + lam * o * o)
+    return F.when(F.col("logistic"), o).otherwise(y), F.when(F.col("logistic"), 2 * lam * w).otherwise(plain), F.when(F.col("logistic"), bound).otherwise(base)
+
+
 def _messages(rows: DataFrame, model: MultiApp) -> DataFrame:
     """(user, app, p, h, base): the precision (upper triangle), linear term and constant of the likelihood of a user's data in an application."""
     k = model.most_local
     c = lambda i: F.coalesce(F.get("load", F.lit(i + 1)), F.lit(0.0))
-    d = F.col("y") - F.col("load")[0]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.join(model.loadings, ["app", "item"]).groupBy("user", "app").agg(
-        *(F.sum(c(i) * c(j) / F.col("noise")).alias(f"p{i}_{j}") for i, j in pairs), *(F.sum(c(i) * d / F.col("noise")).alias(f"h{i}") for i in range(k)),
-        F.sum(-0.5 * (d * d / F.col("noise") + F.log(2 * np.pi * F.col("noise")))).alias("base"),
+    # A table whose rows are counted in sums and whose names don't clash with a user's columns.
+    joined = rows.join(model.loadings, ["app", "item"])
+    y, precision, base = _row_terms(joined)
+    joined = joined.select("user", "app", "load", (y - F.col("load")[0]).alias("d"), precision.alias("prec"), base.alias("base"))
+    d, prec = F.col("d"), F.col("prec")
+    sums = joined.groupBy("user", "app").agg(
+        *(F.sum(c(i) * c(j) * prec).alias(f"p{i}_{j}") for i, j in pairs), *(F.sum(c(i) * d * prec).alias(f"h{i}") for i in range(k)),
+        F.sum(F.col("base") - 0.5 * d * d * prec).alias("base"),
     )
     return sums.select("user", "app", F.array(*(f"p{i}_{j}" for i, j in pairs)).alias("p"), F.array(*(f"h{i}" for i in range(k))).alias("h"), "base")
 
@@ -145,16 +173,21 @@ def moments_of(sums: DataFrame, model: MultiApp) -> DataFrame:
             g0, g1 = np.triu_indices(apps.n_global)
             uu = (u[:, :, None] * u[:, None, :] + var_u)[:, g0, g1]
             leads = np.r_[True, user[1:] != user[:-1]]
-            out: dict[str, list] = {c: [] for c in ("z", "zz", "zu", "z2")}
-            for i, a in zip(user, app):
-                z, var_z, cov = (x[i] for x in local[names[a]])
-                z1 = np.r_[1.0, z]
-                zz = np.outer(z1, z1)
-                zz[1:, 1:] += var_z
-                out["z"].append(z)
-                out["zz"].append(zz[np.triu_indices(len(z1))])
-                out["zu"].append((np.outer(z, u[i]) + cov).ravel())
-                out["z2"].append(z @ z + np.trace(var_z))
+            out: dict[str, list] = {c: [None] * len(flat) for c in ("z", "zz", "zu", "z2")}
+            for a, name in enumerate(names):
+                own = np.flatnonzero(app == a)
+                if not len(own):
+                    continue
+                z, var_z, cov = (x[user[own]] for x in local[name])
+                z1 = np.concatenate([np.ones((len(own), 1)), z], axis=1)
+                zz = z1[:, :, None] * z1[:, None, :]
+                zz[:, 1:, 1:] += var_z
+                o0, o1 = np.triu_indices(z1.shape[1])
+                zu = (z[:, :, None] * u[user[own]][:, None, :] + cov).reshape(len(own), -1)
+                z2 = (z * z).sum(1) + np.trace(var_z, axis1=1, axis2=2)
+                for c, values in (("z", z), ("zz", zz[:, o0, o1]), ("zu", zu), ("z2", z2)):
+                    for at, v in zip(own, values):
+                        out[c][at] = v
             yield pd.DataFrame(
                 {
                     "user": pdf["user"].to_numpy()[user], "app": [names[a] for a in app], "u": list(u[user]), "uu": list(uu[user]), **out,
@@ -179,12 +212,16 @@ def two_level_vectors(obs: DataFrame, entity: str, context: str, regressor: str,
 
 
 def item_statistics(rows: DataFrame, moments: DataFrame, most_local: int) -> DataFrame:
-    """(app, item, n, yy, zz, yz): sums over a model's rows of y^2, of second moments of 1 and z (upper triangle), and of y times 1 and z."""
+    """(app, item, n, yy, zz, yz): sums over a model's rows of y^2, of second moments of 1 and z (upper triangle), and of y times 1 and z; each times the row's weight, and for a logistic row
+    with the response and the weight of its bound."""
     size = (most_local + 1) * (most_local + 2) // 2
     one_z = lambda i: F.lit(1.0) if i == 0 else F.get("z", F.lit(i - 1))
+    y, w, _ = _row_terms(rows)
+    rows = rows.withColumn("noise", F.lit(1.0)).select("user", "app", "item", y.alias("y"), w.alias("__w"))
+    weighted = lambda c: F.sum(F.col("__w") * c)
     sums = rows.join(moments.select("user", "app", "z", "zz"), ["user", "app"]).groupBy("app", "item").agg(
-        F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"),
-        *(F.sum(F.get("zz", F.lit(i))).alias(f"zz{i}") for i in range(size)), *(F.sum(F.col("y") * one_z(i)).alias(f"yz{i}") for i in range(most_local + 1)),
+        F.count("*").alias("n"), weighted(F.col("y") * F.col("y")).alias("yy"),
+        *(weighted(F.get("zz", F.lit(i))).alias(f"zz{i}") for i in range(size)), *(weighted(F.col("y") * one_z(i)).alias(f"yz{i}") for i in range(most_local + 1)),
     )
     # Slots beyond an application's own factors have no values.
     kept = lambda prefix, m: F.filter(F.array(*(f"{prefix}{i}" for i in range(m))), lambda x: x.isNotNull()).alias(prefix)
@@ -231,17 +268,53 @@ def em_step(rows: DataFrame, model: MultiApp, ridge: float = 0.0, fix_var_u: boo
         apps[r["app"]] = App(a, max((r["z2"] - 2 * np.sum(a * zu) + np.sum((a @ uu) * a)) / (r["n"] * k), 1e-6))
     new = _solved(item_statistics(rows, found, model.most_local), ridge)
     known = model.loadings.join(new.select("app", "item", F.col("load").alias("l"), F.col("noise").alias("s")), ["app", "item"], "left")
-    loadings = cut(known.select("app", "item", F.coalesce("l", "load").alias("load"), F.coalesce("s", "noise").alias("noise")))
+    noise = F.coalesce("s", "noise")
+    if "logistic" in rows.columns:
+        known = known.join(rows.groupBy("app", "item").agg(F.max("logistic").alias("logistic")), ["app", "item"], "left")
+        noise = F.when(F.coalesce("logistic", F.lit(False)), 1.0).otherwise(noise)
+    loadings = cut(known.select("app", "item", F.coalesce("l", "load").alias("load"), noise.alias("noise")))
     forget(found)
     var_u = model.var_u if fix_var_u else sum(r["u2"] for r in sums) / (sum(r["users"] for r in sums) * g)
     return MultiApp(apps, loadings, g, var_u, [*model.history, sum(r["loglik"] for r in sums)])
 
 
-def fit(rows: DataFrame, n_global: int, n_local: dict[str, int] | int, iterations: int = 5, ridge: float = 0.0, seed: int = 0) -> MultiApp:
-    rows = cut(rows.select("user", "app", "item", F.col("y").cast("double").alias("y")))
+def tightened(rows: DataFrame, found: DataFrame, model: MultiApp) -> DataFrame:
+    """rows with the xi at which the bound is tightest: the root of the mean square of the linear predictor under the posterior."""
+    load = lambda i: F.get("load", F.lit(i))
+
+    def square(size: int) -> Column:
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+        return sum(((1.0 if i == j else 2.0) * load(i) * load(j) * F.get("zz", F.lit(at)) for at, (i, j) in enumerate(pairs)), F.lit(0.0))
+
+    value = F.lit(None).cast("double")
+    for size in {len(a.a) + 1 for a in model.apps.values()}:
+        value = F.when(F.size("load") == size, square(size)).otherwise(value)
+    joined = rows.drop("xi").join(model.loadings.select("app", "item", "load"), ["app", "item"]).join(found.select("user", "app", "zz"), ["user", "app"])
+    return joined.withColumn("xi", F.sqrt(F.greatest(value, F.lit(1e-12)))).select(*rows.columns)
+
+
+def prepared(rows: DataFrame, weight: str | None = None, logistic: str | None = None) -> DataFrame:
+    """(user, app, item, y) with weight, logistic and xi as far as columns for them are named; rows of weight 0 inform nothing and go."""
+    columns = ["user", "app", "item", F.col("y").cast("double").alias("y")]
+    if weight:
+        rows = rows.where(F.col(weight) > 0)
+        columns.append(F.col(weight).cast("double").alias("weight"))
+    if logistic:
+        columns += [F.col(logistic).cast("boolean").alias("logistic"), F.lit(1.0).alias("xi")]
+    return rows.select(*columns)
+
+
+def fit(rows: DataFrame, n_global: int, n_local: dict[str, int] | int, iterations: int = 5, ridge: float = 0.0, seed: int = 0, weight: str | None = None, logistic: str | None = None) -> MultiApp:
+    """EM. weight names a column of row weights, logistic a boolean one that marks items whose y is 0 or 1."""
+    rows = cut(prepared(rows, weight, logistic))
     model = initial(rows, n_global, n_local, seed)
     for _ in range(iterations):
         last, model = model, em_step(rows, model, ridge)
+        if logistic:
+            # The posterior that the step's statistics came from, under the new loadings: each of the three raises the bound.
+            found = cut(moments(rows, last))
+            old, rows = rows, cut(tightened(rows, found, model))
+            forget(old, found)
         forget(last.loadings)
     forget(rows)
     return model

@@ -466,6 +466,37 @@ def multiapp_em(spark: Spark, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.history)], "iteration int, loglik double")
 
 
+# The same with weights, and with items of flag R logistic (y above its mean) at xi = 1.
+@query(f"""WITH {OBS}, r0 AS (SELECT src_id AS u, ctx_id AS app, src_context AS item, avg(y) AS y, 1.0 + src_id % 3 AS w FROM obs GROUP BY 1, 2, 3),
+ rows AS (SELECT u, app, item, item = 'R' AS lg, CASE WHEN item = 'R' THEN CASE WHEN y > 25 THEN 1.0 ELSE 0.0 END ELSE y END AS y, w FROM r0),
+ loads AS (SELECT app, item, CASE WHEN item = 'R' THEN 0.25 ELSE avg(y) END AS b, 0.5 + 0.25 * (ascii(item) % 3) AS c, CASE WHEN item = 'R' THEN 1.0 ELSE var_pop(y) END AS s2 FROM rows GROUP BY 1, 2),
+ t AS (SELECT u, app, item, b, c, CASE WHEN lg THEN (y - 0.5) / (2 * tanh(0.5) / 4) ELSE y END AS o, CASE WHEN lg THEN 2 * w * tanh(0.5) / 4 ELSE w / s2 END AS p, CASE WHEN lg THEN 2 * w * tanh(0.5) / 4 ELSE w END AS q FROM rows JOIN loads USING (app, item)),
+ e AS (SELECT u, app, 1 / (1 / 0.8 + sum(c * c * p)) AS w, sum(c * (o - b) * p) AS h FROM t GROUP BY 1, 2),
+ g AS (SELECT u, 1 / (1 / 1.5 + sum(1 / 0.8 - w / 0.64)) AS var, sum(w * h / 0.8) AS t FROM e GROUP BY 1),
+ z AS (SELECT u, app, w * (t * var / 0.8 + h) AS z, w + w * w / 0.64 * var AS v FROM e JOIN g USING (u))
+ SELECT app, item, count(*) AS n, round(sum(q * o * o), 3) + 0.0 AS yy, round(sum(q * z), 4) + 0.0 AS z, round(sum(q * (z * z + v)), 4) + 0.0 AS zz, round(sum(q * o), 4) + 0.0 AS y, round(sum(q * o * z), 4) + 0.0 AS yz
+ FROM t JOIN z USING (u, app) GROUP BY 1, 2""")
+def multiapp_weighted(spark: Spark, d: str) -> DataFrame:
+    """One step's statistics with row weights and logistic items."""
+    flag = F.col("item") == "R"
+    rows = _app_rows(spark, d).withColumn("w", 1.0 + F.col("user") % 3).withColumn("lg", flag).withColumn("y", F.when(flag, F.when(F.col("y") > 25, 1.0).otherwise(0.0)).otherwise(F.col("y")))
+    loads = rows.groupBy("app", "item").agg(F.array(F.when(flag, 0.25).otherwise(F.avg("y")), F.lit(0.5) + 0.25 * (F.ascii("item") % 3)).alias("load"), F.when(flag, 1.0).otherwise(F.var_pop("y")).alias("noise"))
+    model = A.MultiApp({n: A.App(np.eye(1), 0.8) for n in ("F", "O")}, loads, 1, 1.5)
+    rows = A.prepared(rows, "w", "lg")
+    out = A.item_statistics(rows, A.moments(rows, model), 1)
+    named = {"yy": "yy", "zz[0]": "one", "zz[1]": "z", "zz[2]": "zz", "yz[0]": "y", "yz[1]": "yz"}
+    return out.select("app", "item", "n", *(rounded(F.expr(c), 3 if n == "yy" else 4).alias(n) for c, n in named.items() if n != "one"))
+
+
+@query()
+def multiapp_logistic(spark: Spark, d: str) -> DataFrame:
+    """EM with weights and logistic items on whole data: the bound after each step."""
+    rows = _app_rows(spark, d).withColumn("w", 1.0 + F.col("user") % 3).withColumn("lg", F.col("item") == "R")
+    rows = rows.withColumn("y", F.when(F.col("lg"), (F.col("y") > 25).cast("double")).otherwise(F.col("y")))
+    model = A.fit(rows, 1, 1, iterations=2, weight="w", logistic="lg")
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.history)], "iteration int, bound double")
+
+
 # With one global and one local factor, all matrices are numbers.
 @query(f"""WITH {OBS}, rows AS (SELECT src_id AS u, ctx_id AS app, src_context AS item, avg(y) AS y FROM obs GROUP BY 1, 2, 3),
  loads AS (SELECT app, item, avg(y) AS b, 0.5 + 0.25 * (ascii(item) % 3) AS c, var_pop(y) AS s2 FROM rows GROUP BY 1, 2),
