@@ -55,26 +55,41 @@ def _core(word: str) -> str:
     return f"lower(regexp_extract(regexp_extract({word}, '^((?s:.+?))[{_OUTER}]*$', 1), '^[{_OUTER}%]*((?s:.+))$', 1))"
 
 
+def _exact(slots: str) -> str:
+    """Whether a window is matched with the values of its slots."""
+    return f"(2 * len(list_filter({slots}, lambda x: x IS NULL)) < width OR width < {decontaminate.SHORTEST})"
+
+
+def _key(slots: str) -> str:
+    return f"array_to_string(tw, ' ') || CASE WHEN {_exact(slots)} THEN chr(10) || array_to_string(list_transform({slots}, lambda x: coalesce(x, '')), chr(10)) ELSE '' END"
+
+
 _LISTED = ", ".join(f"'{w}'" for w in decontaminate.NUMBERS)
 _UNITS = ", ".join(f"'{w}'" for w in decontaminate.UNITS)
 
-OP7 = rf"""WITH src AS (SELECT 'd' AS k, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
-w AS (SELECT k, id, {_WORDS} AS w FROM src), t AS (SELECT k, id, i, w[i] AS raw, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM w, unnest(range(1, len(w) + 1)) u(i)),
+OP7 = rf"""WITH src AS (SELECT DISTINCT 'd' AS k, doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT DISTINCT 'b', item_id, coalesce(text, '') FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT k, id, row_number() OVER () AS rid, {_WORDS} AS w FROM src), t AS (SELECT k, id, rid, i, w[i] AS raw, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM w, unnest(range(1, len(w) + 1)) u(i)),
 c AS (SELECT *, {_core("raw")} AS core, CASE WHEN prev IS NOT NULL THEN {_core("prev")} END AS before FROM t),
 n AS (SELECT *, regexp_matches(core, '^[0-9]') OR core IN ({_LISTED}) AS num, coalesce(regexp_matches(before, '^[0-9]') OR before IN ({_LISTED}), false) AS after_num FROM c),
 y AS (SELECT *, CASE WHEN num THEN '<num>' WHEN after_num AND core IN ({_UNITS}) THEN '<unit>'
  WHEN prev IS NOT NULL AND NOT regexp_matches(prev, '[.!?:]$') AND regexp_matches(regexp_extract(regexp_extract(raw, '^((?s:.+?))[{_OUTER}]*$', 1), '^[{_OUTER}%]*((?s:.+))$', 1), '^[A-ZÀ-Þ]') THEN '<name>' END AS kind FROM n),
-l AS (SELECT k, id, list(coalesce(kind, core) ORDER BY i) AS tk, list(CASE WHEN kind IS NOT NULL THEN kind || core END ORDER BY i) AS sl, count(*) AS n FROM y GROUP BY 1, 2),
-b AS (SELECT id AS item_id, i, least(n, {decontaminate.WIDTH}) AS width, n - least(n, {decontaminate.WIDTH}) + 1 AS windows, array_to_string(tk[i : i + least(n, {decontaminate.WIDTH}) - 1], ' ') AS key, sl[i : i + least(n, {decontaminate.WIDTH}) - 1] AS s
- FROM l, unnest(range(1, n - least(n, {decontaminate.WIDTH}) + 2)) u(i) WHERE k = 'b' AND n >= {decontaminate.SHORTEST}),
-d AS (SELECT id AS doc_id, i, width, array_to_string(tk[i : i + width - 1], ' ') AS key, sl[i : i + width - 1] AS s FROM l, (SELECT DISTINCT width FROM b), unnest(range(1, n - width + 2)) u(i) WHERE k = 'd'),
-m AS (SELECT doc_id, item_id, d.i - b.i AS offs, b.i AS pos, windows, b.s AS bs, d.s AS ds FROM d JOIN b USING (key, width) WHERE 2 * len(list_filter(b.s, lambda x: x IS NULL)) >= width),
-p AS (SELECT doc_id, item_id, offs, bs[j] AS x, ds[j] AS y FROM m, unnest(range(1, len(bs) + 1)) u(j) WHERE bs[j] IS NOT NULL GROUP BY ALL),
-q AS (SELECT doc_id, item_id, offs, count(*) AS pairs, count(DISTINCT x) AS xs, count(DISTINCT y) AS ys, bool_and(x = y) AS same FROM p GROUP BY 1, 2, 3),
-g AS (SELECT doc_id, item_id, offs, count(DISTINCT pos) AS matched, max(windows) AS windows FROM m GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, bool_or(coalesce(same, true)) AS verbatim FROM g LEFT JOIN q USING (doc_id, item_id, offs)
- WHERE coalesce(pairs = xs AND pairs = ys, true) AND (matched >= {decontaminate.SHARE} * windows OR matched >= {decontaminate.ENOUGH}) GROUP BY 1, 2"""
-
+a AS (SELECT k, id, rid, i, core, kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS again FROM y),
+z AS (SELECT *, sum(1 - again) OVER (PARTITION BY rid ORDER BY i) AS g, sum(again) OVER (PARTITION BY rid) AS runs FROM a),
+s AS (SELECT k, id, rid, g, coalesce(min(kind), min(core)) AS tok, CASE WHEN min(kind) IS NOT NULL THEN min(kind) || string_agg(core, ' ' ORDER BY i) END AS slot FROM z WHERE runs > 0 GROUP BY 1, 2, 3, 4),
+l AS (SELECT k, id, rid, CASE WHEN max(runs) > 0 THEN 1 ELSE 3 END AS form, list(coalesce(kind, core) ORDER BY i) AS tk, list(CASE WHEN kind IS NOT NULL THEN kind || core END ORDER BY i) AS sl, count(*) AS n FROM z GROUP BY 1, 2, 3
+ UNION ALL SELECT k, id, rid, 2, list(tok ORDER BY g), list(slot ORDER BY g), count(*) FROM s GROUP BY 1, 2, 3),
+b0 AS (SELECT id AS item_id, rid AS brid, form, i, least(n, {decontaminate.WIDTH}) AS width, n - least(n, {decontaminate.WIDTH}) + 1 AS windows, tk[i : i + least(n, {decontaminate.WIDTH}) - 1] AS tw, sl[i : i + least(n, {decontaminate.WIDTH}) - 1] AS bs
+ FROM l, unnest(range(1, n - least(n, {decontaminate.WIDTH}) + 2)) u(i) WHERE k = 'b'),
+d0 AS (SELECT id AS doc_id, rid AS drid, form, i, width, tk[i : i + width - 1] AS tw, sl[i : i + width - 1] AS ds FROM l, (SELECT DISTINCT width FROM b0), unnest(range(1, n - width + 2)) u(i) WHERE k = 'd' AND (width >= {decontaminate.SHORTEST} OR n = width)),
+b AS (SELECT *, {_exact("bs")} AS exact, {_key("bs")} AS key FROM b0), d AS (SELECT *, {_key("ds")} AS key FROM d0),
+o AS (SELECT brid, form, count(*) FILTER (NOT exact) AS n_open FROM b GROUP BY 1, 2),
+m AS (SELECT doc_id, drid, item_id, b.brid, d.form & b.form AS form, d.i - b.i AS offs, b.i AS pos, windows, n_open, exact, bs, ds FROM d JOIN b USING (key, width) JOIN o ON o.brid = b.brid AND o.form = b.form WHERE d.form & b.form > 0),
+p AS (SELECT doc_id, drid, item_id, brid, form, offs, bs[j] AS x, ds[j] AS y FROM m, unnest(range(1, len(bs) + 1)) u(j) WHERE NOT exact AND bs[j] IS NOT NULL GROUP BY ALL),
+q AS (SELECT doc_id, drid, item_id, brid, form, offs, count(*) AS pairs, count(DISTINCT x) AS xs, bool_and(x = y) AS same FROM p GROUP BY 1, 2, 3, 4, 5, 6),
+g AS (SELECT doc_id, drid, item_id, brid, form, offs, count(DISTINCT pos) AS matched, count(DISTINCT pos) FILTER (NOT exact) AS open, max(windows) AS windows, max(n_open) AS n_open FROM m GROUP BY 1, 2, 3, 4, 5, 6),
+e AS (SELECT doc_id, item_id, form, matched, windows, coalesce(same, true) AS same FROM g LEFT JOIN q USING (doc_id, drid, item_id, brid, form, offs)
+ WHERE coalesce(pairs = xs, true) AND (matched >= {decontaminate.SHARE} * windows OR matched >= {decontaminate.ENOUGH} OR (open > 0 AND open >= {decontaminate.SHARE} * n_open)))
+SELECT doc_id, item_id, coalesce(max(matched) FILTER (form <> 2), max(matched)) AS matched, coalesce(max(windows) FILTER (form <> 2), max(windows)) AS windows, coalesce(bool_or(same) FILTER (form <> 2), bool_or(same)) AS verbatim FROM e GROUP BY 1, 2"""
 
 OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 h AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),

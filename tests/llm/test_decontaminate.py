@@ -117,3 +117,26 @@ def test_outer_characters_one_by_one():
     flat = np.frombuffer(b"".join(cores), np.uint8)
     end = np.cumsum([len(c) for c in cores])
     assert (token == textvec.hashes(flat, end - [len(c) for c in cores], end)).all()
+
+
+def test_equals_its_sql_on_every_case(spark, make, bench, words, tmp_path):
+    """The SQL of the registered query, on texts that touch every rule: new values, equal new values, runs, dense windows, short items, repeated ids."""
+    import duckdb
+
+    from dyadic.llm import oracles
+
+    table = "The list says Anna 12 kg Peter 30 kg Olga 7 kg Maria 45 kg Paul 8 kg Eva 19 kg which makes this heap of goods"
+    several = ITEM.replace("Peter", "Mary Ann").replace("7", "7 thousand")
+    filler = " ".join(words[:60]) + ". "
+    items = [(1, ITEM), (2, "short one"), (3, None), (4, table), (5, several), (6, "add 3 4 5 6 7"), (6, "what is the sum of 14 and 27 apples"), (None, ITEM)]
+    texts = [ITEM, filler + ITEM, ITEM.replace("12", "45").replace("30", "45"), several, filler + several, several.replace("Mary Ann", "Eva Maria Roth"), ITEM.replace("Anna bought", "Olga bought"), table, table.replace("Anna 12", "Tim 61")]
+    texts += [filler + table.replace("Eva 19", "Uwe 77"), "Short one!", "a short one", "add 3 4 5 6 7", "add 3 4 5 6 8", "What is the sum of 3 and 4 apples", " ".join(ITEM.split()[:12]), filler, None, "", "what is the sum of 14 and 14 apples?"]
+    ids = [*range(len(texts) - 3), 0, 0, 1]
+    docs, benchmark = make(texts, ids), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    expected = con.sql(oracles.OP7)
+    got = sorted(tuple(r[c] for c in expected.columns) for r in D.leaks(docs, benchmark).collect())
+    assert got == sorted(expected.fetchall()) and len(got) > 12
