@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a written table in the shared folder that spark.checkpoint.dir names; where that is unset, one of this machine, if the master is local."""
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; where that is unset, in one of this machine, if the master is local."""
     import tempfile
 
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="dyadic-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/dyadic/{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/dyadic/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: a written table in the shared folder."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
