@@ -351,6 +351,19 @@ def check(rows: DataFrame, model: MultiApp) -> DataFrame:
     return rows.select("app", "item").distinct().join(model.loadings, ["app", "item"], "left_anti")
 
 
+def complete_loglik(rows: DataFrame, found: DataFrame, model: MultiApp) -> float:
+    """Log-density of responses, local factors and global factors together, at the factors' posterior means (as `factors` gives them)."""
+    tables = F.create_map(*(x for name, app in model.apps.items() for x in (F.lit(name), F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in app.a)))))
+    spread = F.create_map(*(x for name, app in model.apps.items() for x in (F.lit(name), F.lit(float(app.var_z)))))
+    mean = F.transform(tables[F.col("app")], lambda row: F.aggregate(F.zip_with(row, "u", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+    v = spread[F.col("app")]
+    local = found.agg(F.sum(-0.5 * (square(F.zip_with("z", mean, lambda a, b: a - b)) / v + F.size("z") * F.log(2 * np.pi * v)))).first()[0]
+    users = found.groupBy("user").agg(F.any_value("u").alias("u"))
+    whole = users.agg(F.sum(-0.5 * (square(F.col("u")) / model.var_u + F.size("u") * float(np.log(2 * np.pi * model.var_u))))).first()[0]
+    return float(observed_loglik(rows, found, model) + (local or 0.0) + (whole or 0.0))
+
+
 def observed_loglik(rows: DataFrame, found: DataFrame, model: MultiApp) -> float:
     """Log-likelihood of responses given the factors' posterior means."""
     e = predict(rows, found, model).join(model.loadings.select("app", "item", F.col("noise").alias("s2")), ["app", "item"])

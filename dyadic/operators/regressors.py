@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any, Protocol
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +79,27 @@ class Ridge:
         return rows.withColumn(out, prior_column(F.col(features), model))
 
 
-def best_ridge(rows: DataFrame, features: str, y: str, penalties: list[float], seed: int = 0) -> tuple[float, list[tuple[float, float]]]:
-    """The penalty with the least squared error on a held-out quarter (by a hash of the row)."""
+def best_ridge(rows: DataFrame, features: str, y: str, penalties: list[float], seed: int = 0, splits: int = 1, rounds: int = 0) -> tuple[float, list[tuple[float, float]]]:
+    """The penalty with the least squared error on held-out quarters (by hashes of the row), averaged over several splits; each further round tries the middles between the best one so far and its neighbours."""
     from .factor import prior_column, regression
 
-    marked = rows.withColumn("__t", F.pmod(F.xxhash64(F.lit(seed), features, y), F.lit(4)) > 0)
-    train, test = marked.where("__t"), marked.where("not __t")
-    out = []
-    for p in penalties:
-        b, _ = regression(train, features, y, ridge=p)
-        out.append((p, test.agg(F.avg((F.col(y) - prior_column(F.col(features), b)) ** 2)).first()[0]))
-    return min(out, key=lambda r: r[1])[0], out
+    marked = []
+    for k in range(splits):
+        own = rows.withColumn("__t", F.pmod(F.xxhash64(F.lit(seed + k), features, y), F.lit(4)) > 0)
+        marked.append((own.where("__t"), own.where("not __t")))
+
+    def error(p: float) -> float:
+        found = []
+        for train, test in marked:
+            b, _ = regression(train, features, y, ridge=p)
+            found.append(test.agg(F.avg((F.col(y) - prior_column(F.col(features), b)) ** 2)).first()[0])
+        return float(np.mean(found))
+
+    out = {p: error(p) for p in penalties}
+    for _ in range(rounds):
+        tried = sorted(out)
+        at = tried.index(min(out, key=out.get))
+        # On a logarithmic scale where that is possible.
+        between = [(a * b) ** 0.5 if a > 0 else b / 10 for a, b in zip(tried[max(at - 1, 0) : at + 1], tried[max(at - 1, 0) + 1 : at + 2]) if a < b]
+        out |= {p: error(p) for p in between if p not in out}
+    return min(out, key=out.get), [(p, out[p]) for p in sorted(out)]

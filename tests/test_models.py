@@ -407,7 +407,15 @@ def test_multiapp_em_never_loses_likelihood(spark, tmp_path):
     A.save(spark, model, f"{tmp_path}/apps")
     back = A.load(spark, f"{tmp_path}/apps")
     assert A.check(rows, back).isEmpty() and back.history == model.history
-    assert np.isfinite(A.observed_loglik(rows, A.factors(rows, back), back))
+    found = A.factors(rows, back)
+    total, u2 = A.observed_loglik(rows, found, back), {}
+    for r in found.collect():
+        app = back.apps[r["app"]]
+        e = np.array(r["z"]) - app.a @ np.array(r["u"])
+        total -= 0.5 * (e @ e / app.var_z + len(e) * np.log(2 * np.pi * app.var_z))
+        u2[r["user"]] = np.array(r["u"])
+    total -= sum(0.5 * (u @ u / back.var_u + len(u) * np.log(2 * np.pi * back.var_u)) for u in u2.values())
+    assert A.complete_loglik(rows, found, back) == pytest.approx(total, rel=1e-9)
 
 
 def test_multiapp_posterior_equals_dense():
@@ -542,6 +550,11 @@ def test_topic_factors(spark):
     found = P.predict_samples(new, train, corpus, out, samples=3, burn_in=2)
     assert found.columns == ["user", "item", "y", "pred"] or set(found.columns) == {"user", "item", "y", "pred"}
     assert error(found) < 0.5 * new.agg(F.var_pop("y")).first()[0]
+    # With the topics left alone, an item's prediction doesn't depend on other new items.
+    key = lambda df: sorted((r.user, r.item, round(r.pred, 9)) for r in df.where("item = 27").collect())
+    together, apart = P.predict_frozen(new, corpus, out, 4, 2), P.predict_frozen(new.where("item = 27"), corpus.where("item <= 25 or item = 27"), out, 4, 2)
+    assert key(together) == key(apart) and len(key(apart)) > 0
+    assert error(together) < 0.6 * new.agg(F.var_pop("y")).first()[0]
     shares = P.cold_start_shares(corpus, P.phi(P.counters(out.last.topics)["topic_term"], 40, 0.1), spark.createDataFrame([(1, 0.5), (2, 0.5)], "topic int, p double"))
     assert abs(shares.groupBy("item").agg(F.sum("share").alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]) < 1e-9
 
@@ -555,6 +568,8 @@ def test_regressors(spark):
         assert pred.agg(F.avg((F.col("y") - F.col("p")) ** 2)).first()[0] < 6  # of a variance of 9
     best, _ = best_ridge(rows, "x", "y", [0.0, 1e4])
     assert best == 0.0
+    best, tried = best_ridge(rows, "x", "y", [1e-3, 10.0, 1e4], splits=2, rounds=2)
+    assert len(tried) > 4 and best <= 10.0 and min(e for _, e in tried) == dict(tried)[best]
 
 
 def test_online_regression_batch_and_stream(spark, tmp_path):
