@@ -11,7 +11,7 @@ held-out fold, which is crc32(doc_id as text) mod 4 = 2.
 Cases: null and empty texts have zero statistics and are scored as such. Rows with a null doc_id
 are scored and not held out. Labels that are null, repeated or of documents that don't exist are
 ignored (the least of repeated labels counts; a document that repeats an id counts once, with its least statistics). Without labels of both kinds every score is the share of label 1,
-or 0.5. An empty table gives no rows.
+or 0.5. An empty table gives no rows. Very long texts are measured whole, in n log n time and memory in proportion to their length.
 """
 
 from __future__ import annotations

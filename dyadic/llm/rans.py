@@ -12,7 +12,8 @@ this order, documents ascend by doc_id), doc_ids, lengths, before (ids of the pa
 the coded bytes. Parts are range partitions, so blocks are written and read in parallel.
 
 Cases: null and empty texts are the end id alone. Null doc_ids come first; repeated rows follow each
-other. A file of an empty table has no blocks. Other columns are never read.
+other. A file of an empty table has no blocks. Other columns are never read. A very long text is
+tokenised whole and lies in one block of its own length, so memory is in proportion to it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Native: DataFrame functions only. All measurements of a text are array expressio
 row, so nothing is shuffled, and repeated windows are found by sorting, not by comparing all.
 
 Cases: a null or empty text has no words, fails `few_words`, and is rejected. Repeated rows give
-repeated results; an empty table gives none. Other columns are never read.
+repeated results; an empty table gives none. Other columns are never read. Very long texts are measured whole, in
+n log n time (windows are sorted) and memory in proportion to their length.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ A method span that overlaps a base span is left out.
 
 Cases: null and empty texts have no span. Spans of several kinds may start at one place (a tie); they come in the
 order of KINDS. Repeated rows give repeated results; an empty table gives none. Other columns are never
-read, and `redacted` keeps them.
+read, and `redacted` keeps them. Very long texts are scanned whole, in time in proportion to their length and matches.
 """
 
 from __future__ import annotations
