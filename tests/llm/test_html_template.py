@@ -162,47 +162,58 @@ def _texts(spark, rows):
     return {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
-@pytest.mark.parametrize("pages", [1, 3, 100, 101, 1000])
-@pytest.mark.parametrize("mark", ["<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', '<article id="{w}-{w}" class="{w}">{}</article>'])
-def test_a_word_that_changes_from_page_to_page(spark, words, pages, mark):
+MARKS = ["<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', '<article id="{w}-{w}" class="{w}">{}</article>']
+
+
+def test_a_word_that_changes_from_page_to_page(spark, words):
     """Menus and footers go however many pages a host has, though body's class and the article's id differ on each."""
-    rng = random.Random(4)
+    rng, rows, want = random.Random(4), [], {}
     name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
-    body = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(pages)]
-    page = '<html><body class="p{w}"><nav>Menu words here</nav>' + mark.replace("{}", "<p>{t}</p>") + '<div class="comments">First!</div><footer>Copyright notice</footer></body></html>'
-    rows = [(k, f"http://h.example/{k}", page.format(w=name(k), t=t), "h", "t") for k, t in enumerate(body)]
-    assert _texts(spark, rows) == dict(enumerate(body))
+    for pages in (1, 3, 100, 101, 1000):
+        for m, mark in enumerate(MARKS):
+            page = '<html><body class="p{w}"><nav>Menu words here</nav>' + mark.replace("{}", "<p>{t}</p>") + '<div class="comments">First!</div><footer>Copyright notice</footer></body></html>'
+            for k in range(pages):
+                want[len(rows)] = " ".join(rng.choice(words) for _ in range(20))
+                rows.append((len(rows), f"http://h{pages}-{m}.example/{k}", page.format(w=name(k), t=want[len(rows)]), "h", "t"))
+    assert _texts(spark, rows) == want
+
+
+RARE = ["<div id=x{k}><nav>Menu words here</nav></div><section><article><p>{t}</p></article></section><footer>Copyright notice</footer>", '<nav>Menu words here</nav><div class="entry"><p>{t}</p></div><div class="footer">Copyright notice</div>']
 
 
-@pytest.mark.parametrize("others", [0, 150, 300])
-@pytest.mark.parametrize("rare", ["<div id=x{k}><nav>Menu words here</nav></div><section><article><p>{t}</p></article></section><footer>Copyright notice</footer>", '<nav>Menu words here</nav><div class="entry"><p>{t}</p></div><div class="footer">Copyright notice</div>'])
-def test_a_rare_second_layout(spark, words, others, rare):
-    rng = random.Random(6)
+def test_a_rare_second_layout(spark, words):
+    rng, rows, want = random.Random(6), [], {}
     say = lambda: " ".join(rng.choice(words) for _ in range(20))
-    odd = [say() for _ in range(2)]
-    rows = [(k, f"http://h.example/odd{k}", f"<body>{rare.format(k=k, t=t)}</body>", "h", "t") for k, t in enumerate(odd)]
-    rows += [(10 + k, f"http://h.example/{k}", f"<body><nav>Menu words here</nav><main><p>{say()}</p></main><footer>Copyright notice</footer></body>", "h", "t") for k in range(others)]
-    got = _texts(spark, rows)
-    assert [got[k] for k in range(2)] == odd
-
-
-@pytest.mark.parametrize("pages", [1, 30])
-@pytest.mark.parametrize("n", [10, 100, 400])
-@pytest.mark.parametrize(
-    "layout",
-    [
-        "<article><p>{a}</p><section class='comments'><p>{c}</p></section></article>",
-        "<main><article><p>{a}</p></article><section class='comments'><article>{c}</article><article>{c}</article></section></main>",
-        "<div class='with-sidebar'><article><p>{a}</p></article></div><div id='comments'><article class='comment'>{c}</article></div>",
-        "<main><p>{a}</p><ol class='comments'><li>{c}</li></ol></main>",
-        "<div class='post'><p>{a}</p></div><div class='replies'>{c}</div>",
-        "<main><div class='has-sidebar'><p>{a}</p></div></main>",
-        "<form><main><div class='page-nav-left'><article><p>{a}</p><div class='reply'>{c}</div></article></div></main></form>",
-    ],
-)
-def test_comments_longer_than_the_article(spark, words, pages, n, layout):
-    rng = random.Random(n)
+    for others in (0, 150, 300):
+        for r, rare in enumerate(RARE):
+            host = f"http://h{others}-{r}.example"
+            for k in range(2):
+                want[len(rows)] = say()
+                rows.append((len(rows), f"{host}/odd{k}", f"<body>{rare.format(k=k, t=want[len(rows)])}</body>", "h", "t"))
+            for k in range(others):
+                want[len(rows)] = say()
+                rows.append((len(rows), f"{host}/{k}", f"<body><nav>Menu words here</nav><main><p>{want[len(rows)]}</p></main><footer>Copyright notice</footer></body>", "h", "t"))
+    assert _texts(spark, rows) == want
+
+
+LAYOUTS = [
+    "<article><p>{a}</p><section class='comments'><p>{c}</p></section></article>",
+    "<main><article><p>{a}</p></article><section class='comments'><article>{c}</article><article>{c}</article></section></main>",
+    "<div class='with-sidebar'><article><p>{a}</p></article></div><div id='comments'><article class='comment'>{c}</article></div>",
+    "<main><p>{a}</p><ol class='comments'><li>{c}</li></ol></main>",
+    "<div class='post'><p>{a}</p></div><div class='replies'>{c}</div>",
+    "<main><div class='has-sidebar'><p>{a}</p></div></main>",
+    "<form><main><div class='page-nav-left'><article><p>{a}</p><div class='reply'>{c}</div></article></div></main></form>",
+]
+
+
+def test_comments_longer_than_the_article(spark, words):
+    rng, rows, want = random.Random(3), [], {}
     say = lambda k: " ".join(rng.choice(words) for _ in range(k))
-    body = [say(30) for _ in range(pages)]
-    rows = [(k, f"http://h.example/{k}", f"<body>{layout.format(a=a, c=say(n))}</body>", "h", "t") for k, a in enumerate(body)]
-    assert _texts(spark, rows) == dict(enumerate(body))
+    for pages in (1, 30):
+        for n in (10, 100, 400):
+            for m, layout in enumerate(LAYOUTS):
+                for k in range(pages):
+                    want[len(rows)] = say(30)
+                    rows.append((len(rows), f"http://h{pages}-{n}-{m}.example/{k}", f"<body>{layout.format(a=want[len(rows)], c=say(n))}</body>", "h", "t"))
+    assert _texts(spark, rows) == want
