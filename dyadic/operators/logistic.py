@@ -139,20 +139,25 @@ def fit_effects(obs: DataFrame, samples: int = 10, burn_in: int = 5, var: float
     b = float(np.log(p / (1 - p)))
     alpha = cut(obs.select("src_id").distinct().withColumn("value", F.lit(0.0)))
     beta = cut(obs.select("dst_id").distinct().withColumn("value", F.lit(0.0)))
+    from .factor import mean_of_draws, with_draw
+
     sums: dict[str, DataFrame] = {}
     for t in range(burn_in + samples):
         for by, other in (("src_id", "dst_id"), ("dst_id", "src_id")):
             mine, theirs = (alpha, beta) if by == "src_id" else (beta, alpha)
             rows = obs.join(theirs.withColumnRenamed("value", "o"), other).withColumn("o", F.col("o") + b)
             new = cut(effects_step(rows, by, "o", mine, var, seed, t))
+            forget(mine)
             if centred:
-                mean = new.agg(F.avg("value")).first()[0]
-                new = new.withColumn("value", F.col("value") - mean)
+                drawn = new
+                new = cut(drawn.withColumn("value", F.col("value") - drawn.agg(F.avg("value")).first()[0]))
+                forget(drawn)
             alpha, beta = (new, beta) if by == "src_id" else (alpha, new)
             if t >= burn_in:
-                sums[by] = new if by not in sums else sums[by].unionByName(new)
-    mean = lambda by: cut(sums[by].groupBy(by).agg(F.avg("value").alias("value")))
-    return mean("src_id"), mean("dst_id"), b
+                sums[by] = with_draw(sums.get(by), new.select(by, F.col("value").alias("mean")), [by])
+    out = [cut(mean_of_draws(sums[by], [by], False).select(by, F.col("mean").alias("value"))) for by in ("src_id", "dst_id")]
+    forget(alpha, beta, *sums.values())
+    return out[0], out[1], b
 
 
 def fit_factors(obs: DataFrame, n_factors: int, samples: int = 10, burn_in: int = 5, var: float = 1.0, seed: int = 0, knot: float | None = None) -> tuple[dict[str, DataFrame], float]:
