@@ -37,7 +37,8 @@ def adaptive_rejection(logf: Callable[[float], tuple[float, float]], start: list
         gap = d[:-1] - d[1:]
         z = np.where(np.abs(gap) > 1e-12, (h[1:] - h[:-1] - x[1:] * d[1:] + x[:-1] * d[:-1]) / np.where(np.abs(gap) > 1e-12, gap, 1), (x[:-1] + x[1:]) / 2)
         edges = np.r_[low, z, high]
-        top = h.max()
+        # The hull's greatest value lies where two tangents meet (or at a bound): where a density is narrow, far above all values of log f.
+        top = max(h.max(), (h[:-1] + d[:-1] * (z - x[:-1])).max(initial=-np.inf), *(h[i] + d[i] * (e - x[i]) for i, e in ((0, low), (-1, high)) if np.isfinite(e)))
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             left = np.where(np.isfinite(edges[:-1]), np.exp(h + d * (edges[:-1] - x) - top), 0.0)
             right = np.where(np.isfinite(edges[1:]), np.exp(h + d * (edges[1:] - x) - top), 0.0)

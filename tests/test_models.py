@@ -733,3 +733,16 @@ def test_topic_tastes_follow_user_features(spark):
     error = lambda df: df.agg(F.avg((F.col("y") - F.col("pred")) ** 2)).first()[0]
     assert len(model.params.user_coefficients) == 2 and len(model.params.user_coefficients[0]) == 3
     assert error(P.predict(new, model, features=features)) < 0.5 * error(P.predict(new, model))
+
+
+def test_adaptive_rejection_of_narrow_densities():
+    # Rows that stand for millions: between the first tangents the hull rises far above every value of log f.
+    for scale in (1e6, 1e9):
+        y, n = np.array([1.0, 0.0]), np.array([0.6, 0.4]) * scale
+        f, rng = L.logistic_terms(y, np.zeros(2), np.ones(2), 0.0, 10.0, n), np.random.default_rng(1)
+        x = np.array([L.adaptive_rejection(f, [-1.0, 0.0, 1.0], rng) for _ in range(300)])
+        sd = 1 / np.sqrt(0.24 * scale)
+        assert abs(x.mean() - np.log(1.5)) < 5 * sd / np.sqrt(300) and 0.85 < x.std() / sd < 1.15
+    x = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 1.0], [1.0, 1.0]])
+    mean, var = L.bayes_logistic(x, np.array([0.0, 1.0, 0.0, 1.0]), np.zeros(2), np.full(2, 10.0), 20, 5, n=np.array([2, 3, 3, 2]) * 1e6)
+    assert np.allclose(mean, [np.log(1.5), -2 * np.log(1.5)], atol=0.02) and (var > 0).all()
