@@ -169,13 +169,16 @@ def newton(start: np.ndarray, terms: Callable, steps: int, search: bool, limit:
         size = 1.0
         new = theta - delta
         new_value, new_grad, new_hess = terms(new)
-        while search and not new_value >= value and size > 1e-6:
+        # Near the top of a large sum, values differ by their rounding alone; there the gradient tells whether a step is one upwards.
+        up = lambda: new_value >= value or (new_value >= value - 1e-10 * max(abs(value), 1.0) and np.abs(new_grad).max() < np.abs(grad).max())  # noqa: B023, E731
+        while search and not up() and size > 1e-6:
             size /= 2
             new = theta - size * delta
             new_value, new_grad, new_hess = terms(new)
         if not np.isfinite(new_value):
             return theta, False
-        done = np.abs(new - theta).max() < eps
+        # A shortened step says nothing of how far the mode is.
+        done = np.abs(delta).max() < eps
         theta, value, grad, hess = new, new_value, new_grad, new_hess
         if done:
             return theta, True

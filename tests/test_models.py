@@ -746,3 +746,16 @@ def test_adaptive_rejection_of_narrow_densities():
     x = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 1.0], [1.0, 1.0]])
     mean, var = L.bayes_logistic(x, np.array([0.0, 1.0, 0.0, 1.0]), np.zeros(2), np.full(2, 10.0), 20, 5, n=np.array([2, 3, 3, 2]) * 1e6)
     assert np.allclose(mean, [np.log(1.5), -2 * np.log(1.5)], atol=0.02) and (var > 0).all()
+
+
+def test_newton_goes_on_where_values_differ_by_rounding():
+    # A short step that rounding makes look best isn't the end: the gradient has to vanish.
+    top = np.array([0.7, -1.2])
+
+    def terms(t):
+        e = t - top
+        noise = 1e-3 * np.sin(1e9 * t.sum())
+        return -1e8 - 500 * e @ e + noise, -1000 * e, -np.diag([900.0, 1100.0])
+
+    theta, done = B.newton(np.zeros(2), terms, 100, True)
+    assert done and np.abs(theta - top).max() < 1e-8
