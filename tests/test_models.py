@@ -342,6 +342,21 @@ def test_sweeps_move_no_observations_and_split_hot_entities(spark):
     layout.drop()
 
 
+def test_parts_grow_with_rows_and_keep_nearby_ids_together(spark, monkeypatch):
+    """A task's blocks are bounded by rows whatever the number of partitions, and ids that meet only their neighbours are sent to few blocks."""
+    data = sim.multicontext(spark, 4000, nodes=400, contexts=(2, 3, 2), factors=1, seed=2).withColumn("dst_id", F.col("src_id") + F.col("id") % 3).cache()
+    setting = X.Setting(n_factors=1, samples=1, seed=5)
+    whole = M.fit(data, setting, iterations=1)
+    monkeypatch.setattr(M, "PART_ROWS", 200)
+    parted = M.fit(data, setting, iterations=1)
+    assert whole.history[0]["train_loss"] == pytest.approx(parted.history[0]["train_loss"], rel=1e-9)
+    layout = M.lay_out(data, keyed=False)
+    blocks = layout.blocks["src"].select("n", F.size("others").alias("k")).collect()
+    assert layout.buckets >= 20 and max(b.n for b in blocks) < 600 and max(b.k for b in blocks) <= 3
+    assert sum(b.n for b in blocks) == 4000
+    layout.drop()
+
+
 def test_multicontext_logistic_and_regressors(spark, tmp_path):
     data = sim.multicontext(spark, 4000, nodes=30, contexts=(2, 2, 2), factors=0, seed=6).withColumn("y", (F.col("y") > 0).cast("double")).cache()
     model = M.fit(data.where("id % 4 > 0"), X.Setting(n_factors=0, samples=3, burn_in=2, is_logistic=True), data.where("id % 4 = 0"), iterations=1)
