@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import encode as E
 from ..operators import metrics as M
 from ..operators import table as T
+from ..operators.graph import cut
 from .registry import query, round_all, rounded
 from .views import CORPUS, OBS, corpus, obs, read
 
@@ -25,7 +26,8 @@ def encode_ids(spark: Spark, d: str) -> DataFrame:
 
 @query(f"WITH {OBS} SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS idx FROM (SELECT src_id AS id FROM obs UNION SELECT dst_id FROM obs)")
 def encode_shared_ids(spark: Spark, d: str) -> DataFrame:
-    return E.dictionary((obs(spark, d), "src_id"), (obs(spark, d), "dst_id"))
+    rows = obs(spark, d)
+    return E.dictionary((rows, "src_id"), (rows, "dst_id"))
 
 
 @query(f"""WITH {OBS}, tr AS (SELECT * FROM obs WHERE dst_context < '3'), te AS (SELECT * FROM obs WHERE dst_context >= '3'),
@@ -416,7 +418,7 @@ def group_split(spark: Spark, d: str) -> DataFrame:
  m AS (SELECT row_id, row_number() OVER (ORDER BY {_md5('row_id', 1)}, row_id) <= need AS more FROM c, k WHERE NOT cold)
  SELECT row_id, cold OR row_id IN (SELECT row_id FROM m WHERE more) AS test FROM c""")
 def cold_start_split(spark: Spark, d: str) -> DataFrame:
-    rows = obs(spark, d)
+    rows = cut(obs(spark, d).select("row_id", "src_id", "dst_id"))
     return T.cold_start_split(rows, "src_id", "dst_id", "row_id", 20, 20, rows.count() // 4).select("row_id", "test")
 
 

@@ -207,3 +207,15 @@ def test_samples_and_partitioned_tables(spark, tmp_path):
     src.partitioned(df, f"{tmp_path}/parts", ["g"])
     assert spark.read.parquet(f"{tmp_path}/parts").where("g = 1").count() == 25
     assert {p.name for p in tmp_path.glob("parts/g=*")} == {f"g={k}" for k in range(4)}
+
+
+def test_cold_start_split_and_shared_dictionary_read_rows_once(spark):
+    from dyadic.operators import encode, table
+
+    df = spark.range(3000).select((F.col("id") % 70).alias("u"), (F.col("id") % 110).alias("i"), F.col("id").alias("k"))
+    out = table.cold_start_split(df, "u", "i", "k", 2, 3, 1500)
+    # Two joins with the cold ids, none with numbered rows.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert out.where("test").count() == 1500 and out.count() == 3000
+    ids = encode.dictionary((df, "u"), (df, "i"))
+    assert [tuple(r) for r in ids.orderBy("idx").collect()] == [(x, x + 1) for x in range(110)]
