@@ -30,10 +30,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "idx", start: int = 1)
 
 
 def dictionary(*columns: tuple[DataFrame, str]) -> DataFrame:
-    """(id, idx): distinct non-null values of the columns, numbered in order; several columns share one dictionary."""
-    ids = None
+    """(id, idx): distinct non-null values of the columns, numbered in order; several columns share one dictionary. Columns of one table are read in one pass."""
+    ids, tables = None, []
     for df, name in columns:
-        own = df.select(F.col(name).alias("id"))
+        same = next((names for t, names in tables if t is df), None)
+        same.append(name) if same else tables.append((df, [name]))
+    for df, names in tables:
+        own = df.select((F.col(names[0]) if len(names) == 1 else F.explode(F.array(*names))).alias("id"))
         ids = own if ids is None else ids.unionByName(own)
     return numbered(ids.where("id is not null").distinct(), ["id"])
 
@@ -58,7 +61,10 @@ def encode(df: DataFrame, column: str, known: DataFrame, out: str, drop_unknown:
 
 
 def index_observations(obs: DataFrame, same_ids: bool = False, drop_self_links: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Observations with numbers for each id column that they have, and the dictionaries. Missing optional columns switch their terms off."""
+    """Observations with numbers for each id column that they have, and the dictionaries. Missing optional columns switch their terms off.
+
+    They are written once, since each dictionary reads them."""
+    obs = cut(obs)
     dicts: dict[str, DataFrame] = {}
     if same_ids:
         dicts["src"] = dicts["dst"] = dictionary((obs, "src_id"), (obs, "dst_id"))
