@@ -774,3 +774,25 @@ def test_newton_goes_on_where_values_differ_by_rounding():
 
     theta, done = B.newton(np.zeros(2), terms, 100, True)
     assert done and np.abs(theta - top).max() < 1e-8
+
+
+def _shuffles(df, spark) -> int:
+    """Shuffles in the plan of df where nothing is broadcast by its size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("logistic", [False, True])
+def test_fits_move_no_observations(spark, logistic):
+    data = sim.dyadic(spark, 800, nodes=20, contexts=(2, 2, 2), factors=1, seed=4).withColumn("y", (F.col("y") > 0).cast("double") if logistic else F.col("y"))
+    setting = X.Setting(n_factors=1, samples=1, burn_in=1, is_logistic=logistic)
+    rows = X.placed(data, setting)
+    model = X.fit(rows, setting, iterations=1)
+    assert _shuffles(X.predict(rows, model), spark) == 0 < _shuffles(X.predict(data, model), spark)
+    assert _shuffles(X._main_step(X.pseudo_response(rows, X.Model(X.Setting(), model.params, model.factors)), model, "beta", 0), spark) == 1
+    one, two = ({r["id"]: r["score"] for r in X.predict(t, model).collect()} for t in (data, rows))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
