@@ -796,3 +796,13 @@ def test_fits_move_no_observations(spark, logistic):
     assert _shuffles(X._main_step(X.pseudo_response(rows, X.Model(X.Setting(), model.params, model.factors)), model, "beta", 0), spark) == 1
     one, two = ({r["id"]: r["score"] for r in X.predict(t, model).collect()} for t in (data, rows))
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+
+
+def test_half_steps_move_no_rows(spark):
+    data = sim.dyadic(spark, 400, nodes=12, factors=1).select("src_id", "dst_id", "y").withColumn("weight", 1.0 + F.col("src_id") % 3)
+    theirs = G.cut(data.select("dst_id").distinct().withColumn("mean", F.array(0.5 + F.col("dst_id") % 5, 1.0 - F.col("dst_id") % 3)))
+    rows = X.place(data, "src_id")
+    met = X.meet(rows, rows.rows, "dst_id", theirs, ["dst_id"], "inner")
+    assert _shuffles(met, spark) == 0 < _shuffles(data.join(theirs, "dst_id"), spark)
+    one, two = ({r[0]: r["mean"] for r in X.half_step(t, "src_id", "dst_id", theirs, 2, 0.3).collect()} for t in (data, rows))
+    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
