@@ -806,3 +806,13 @@ def test_half_steps_move_no_rows(spark):
     assert _shuffles(met, spark) == 0 < _shuffles(data.join(theirs, "dst_id"), spark)
     one, two = ({r[0]: r["mean"] for r in X.half_step(t, "src_id", "dst_id", theirs, 2, 0.3).collect()} for t in (data, rows))
     assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
+
+
+def test_topic_sweeps_move_no_terms(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("t"), F.translate((F.xxhash64("id", F.lit(k)) % 9).cast("string"), "-0123456789", "abcdefghijk")) for k in range(12))).alias("text"))
+    start = P.random_topics(P.corpus_of(docs), 2)
+    placed = P.place(start, "item")
+    new = P.topic_sweep(placed, 9, 2, 0.1, 0.1, 0, 0)
+    assert _shuffles(new, spark) == 0 < _shuffles(P.topic_sweep(start, 9, 2, 0.1, 0.1, 0, 0), spark)
+    rows = lambda df: sorted(map(tuple, df.select("item", "term", "weight", "topic").collect()))
+    assert rows(new) == rows(P.topic_sweep(start, 9, 2, 0.1, 0.1, 0, 0))
