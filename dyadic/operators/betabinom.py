@@ -155,17 +155,26 @@ def loglik_terms(theta: np.ndarray, tx: Counts, ty: Counts, tn: Counts, prior: t
     return value, grad, hess
 
 
+def _uphill(hess: np.ndarray, grad: np.ndarray, limit: float) -> np.ndarray:
+    """A Newton step for a maximum that goes uphill whatever the Hessian's signs, shortened as a whole: cutting its elements one by one could turn it downhill."""
+    values, vectors = np.linalg.eigh(hess)
+    size = np.maximum(np.abs(values), 1e-12 * max(np.abs(values).max(), 1e-300))
+    delta = -vectors @ ((vectors.T @ grad) / size)
+    return delta * min(1.0, limit / max(np.abs(delta).max(), 1e-300))
+
+
 def newton(start: np.ndarray, terms: Callable, steps: int, search: bool, limit: float = 2.0, eps: float = 1e-8) -> tuple[np.ndarray, bool]:
     theta = start.copy()
     value, grad, hess = terms(theta)
     for _ in range(steps):
         try:
-            delta = np.linalg.solve(hess, grad)
+            delta = _uphill(hess, grad, limit) if search else np.linalg.solve(hess, grad)
         except np.linalg.LinAlgError:
             return theta, False
-        if delta @ grad > 0:  # not uphill: follow the gradient
-            delta = -grad / max(np.abs(np.diag(hess)).max(), 1e-12)
-        delta = np.clip(delta, -limit, limit)
+        if not search:
+            if delta @ grad > 0:  # not uphill: follow the gradient
+                delta = -grad / max(np.abs(np.diag(hess)).max(), 1e-12)
+            delta = np.clip(delta, -limit, limit)
         size = 1.0
         new = theta - delta
         new_value, new_grad, new_hess = terms(new)
@@ -175,6 +184,9 @@ def newton(start: np.ndarray, terms: Callable, steps: int, search: bool, limit:
             size /= 2
             new = theta - size * delta
             new_value, new_grad, new_hess = terms(new)
+        if search and not up():
+            # Neither value nor gradient gets better along a way that is uphill: the gradient is rounding, if what it promises is.
+            return theta, bool(-(grad @ delta) <= 1e-12 * max(abs(value), 1.0))
         if not np.isfinite(new_value):
             return theta, False
         # A shortened step says nothing of how far the mode is.

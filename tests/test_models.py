@@ -149,6 +149,17 @@ def test_large_counts_take_constant_memory():
     assert np.allclose(small[:3], big[:3], rtol=1e-7)
 
 
+def test_modes_of_large_flat_likelihoods():
+    """Wide counts without overdispersion: a long ridge on which steps cut element by element turned downhill and the search ended without a mode."""
+    rng = np.random.default_rng(0)
+    n = rng.poisson(2304, 93750)
+    own = slice(35, None, 150)
+    x, n = rng.binomial(n, 0.25)[own], n[own]
+    mean, size, _, ok = B.posterior_mode(x, n, 0.25, 20.0)
+    _, slope, hess = B.loglik_terms(np.array([np.log(mean / (1 - mean)), np.log(size)]), B.tails(x), B.tails(n - x), B.tails(n), ((np.log(1 / 3), np.log(20.0)), (1.0, 1.0)))
+    assert ok and np.abs(slope).max() < 1e-4 and np.linalg.eigvalsh(hess).max() < 0
+
+
 def test_pair_modes_against_brute_force(spark):
     """A small product of two DAGs, one of them with a node of two parents."""
     pop = spark.createDataFrame([("a", "root"), ("b", "root"), ("c", "a"), ("c", "b")], "node_id string, parent_id string")
