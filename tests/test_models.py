@@ -560,6 +560,37 @@ def test_topic_sweep_like_one_item_at_a_time(spark):
         assert (own == together[s]).all()
 
 
+def test_placed_blocks_have_buckets_of_their_own(spark):
+    from dyadic.operators.place import block_names, place
+
+    assert len(set(block_names(spark, 37))) == 37
+    rows = place(spark.range(5000).withColumn("v", F.col("id") % 7), "id")
+    held = rows.rows.groupBy(F.pmod(F.hash("block"), F.lit(rows.buckets)).alias("bucket")).agg(F.count_distinct("block").alias("n")).collect()
+    assert len(held) == rows.buckets and {r["n"] for r in held} == {1}
+    assert rows.rows.agg(F.count("*"), F.sum("v")).first() == (5000, sum(k % 7 for k in range(5000)))
+    rows.drop()
+
+
+def test_topic_factors_query_leaves_no_draws_out(monkeypatch):
+    """The query fits with the operator's own iterations, draws and burn-in."""
+    import inspect
+    from unittest.mock import MagicMock
+
+    from dyadic.plans import model_queries
+
+    given, own = {}, inspect.signature(P.fit_topic_factors)
+
+    def fit(*args, **more):
+        given.update({k: v for k, v in own.bind(*args, **more).arguments.items() if k in ("iterations", "samples", "burn_in")})
+
+    for name in ("place", "_document_ratings", "corpus"):
+        monkeypatch.setattr(model_queries, name, MagicMock())
+    monkeypatch.setattr(P, "fit_topic_factors", fit)
+    monkeypatch.setattr(P, "predict", MagicMock())
+    model_queries.topic_factors(MagicMock(), "")
+    assert all(own.parameters[k].default <= v for k, v in given.items())
+
+
 def test_topic_factors(spark):
     """Ratings that follow topics: the fit predicts held-out ratings, and those of items that have text alone."""
     corpus = sim.topic_corpus(spark, 30, 40, 2, 40).cache()
