@@ -571,6 +571,15 @@ def test_placed_blocks_have_buckets_of_their_own(spark):
     rows.drop()
 
 
+def test_parts_of_sweeps_have_buckets_of_their_own(spark):
+    rows = spark.range(6000).select((F.col("id") % 400).alias("src_id"), (F.col("id") % 130).alias("dst_id"), F.lit(1.0).alias("y"))
+    layout = M.lay_out(rows)
+    for side in M.SIDES:
+        held = layout.blocks[side].groupBy(F.pmod(F.hash("block"), F.lit(layout.buckets)).alias("bucket")).agg(F.count("*").alias("n"), F.sum("n").alias("rows")).collect()
+        assert len(held) == layout.buckets and {r["n"] for r in held} == {1} and sum(r["rows"] for r in held) == 6000
+    layout.drop()
+
+
 def test_topic_factors_query_leaves_no_draws_out(monkeypatch):
     """The query fits with the operator's own iterations, draws and burn-in."""
     import inspect
