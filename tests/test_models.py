@@ -580,6 +580,20 @@ def test_parts_of_sweeps_have_buckets_of_their_own(spark):
     layout.drop()
 
 
+def test_held_out_rows_of_sweeps_stay_where_they_are(spark, monkeypatch):
+    rows = spark.range(600).select((F.col("id") % 20).alias("src_id"), (F.col("id") % 7).alias("dst_id"), (F.col("id") % 5 + F.col("id") % 7).cast("double").alias("y"), "id")
+    seen, loss = [], X.loss
+
+    def spy(test, model):
+        out = loss(test, model)
+        seen.append((isinstance(test, X.Placed), out["loss"], loss(rows.where("id % 4 = 0"), model)["loss"]))
+        return out
+
+    monkeypatch.setattr(X, "loss", spy)
+    M.fit(rows.where("id % 4 > 0"), X.Setting(n_factors=0, samples=1), rows.where("id % 4 = 0"), iterations=1)
+    assert seen and all(placed and abs(a - b) < 1e-9 for placed, a, b in seen)
+
+
 def test_topic_factors_query_leaves_no_draws_out(monkeypatch):
     """The query fits with the operator's own iterations, draws and burn-in."""
     import inspect
